@@ -1,0 +1,57 @@
+"""Schema changes inside a change log.
+
+Row events carry their after image as a text map, so that columns can come and go between two events.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from rowtide.operators.changes import POSITION, apply_changes, split_at_barriers
+from rowtide.operators.schema import apply_ddl, classify_statement, keep_ddl
+
+
+def typed_images(changes: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
+    """Row events with the after image as the target's columns; values the target cannot hold become null."""
+    cols = [f for f in like.schema.fields if f.name not in keys]
+    return changes.select(
+        *keys, "op", "before_pk", *POSITION, *[F.col("after")[f.name].try_cast(f.dataType).alias(f.name) for f in cols]
+    )
+
+
+def ddl_of(changes: DataFrame, table: str) -> list[tuple[int, int, str, str]]:
+    """Schema statements of one table in log order as (file, pos, kind, text): statements, never rows."""
+    named = classify_statement(keep_ddl(changes.filter(F.col("op") == "query")))
+    mine = named.filter(F.col("object") == table.split(".")[-1])
+    return [(r["file_no"], r["pos"], r["op"], r["statement"]) for r in _kind(mine).orderBy(*POSITION).collect()]
+
+
+def _kind(classified: DataFrame) -> DataFrame:
+    return classified.select("file_no", "pos", "seq", "op", "statement")
+
+
+def route_ddl(
+    target: DataFrame, changes: DataFrame, table: str, keys: list[str], load: Callable[[str], DataFrame] | None = None
+) -> DataFrame:
+    """Row changes and schema changes of one table in log order; each schema change is a barrier between row runs.
+
+    A create statement starts from ``load(table)`` if given; drop and truncate leave no rows.
+    """
+    mine = changes.filter((F.col("tbl") == table) | (F.col("op") == "query"))
+    statements = ddl_of(mine, table)
+    rows = mine.filter(F.col("op") != "query")
+    parts = split_at_barriers(rows, [(f, p) for f, p, _, _ in statements])
+    for i, part in enumerate(parts):
+        images = [c for c in target.columns if c not in keys]
+        target = apply_changes(target, typed_images(part, target, keys), keys, images)
+        if i < len(statements):
+            kind, text = statements[i][2:]
+            if kind in ("TRUNCATE_TABLE", "DROP_TABLE"):
+                target = target.limit(0)
+            elif kind == "CREATE_TABLE":
+                target = load(table) if load else target
+            else:
+                target = apply_ddl(target, [text])
+    return target
