@@ -17,9 +17,8 @@ def _spread_copies(df: DataFrame) -> DataFrame:
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _COPIES_PER_BLOCK)))
     ).repartition(*df.columns, "_block")
     left = F.least(F.col("_n") - F.col("_block") * _COPIES_PER_BLOCK, F.lit(_COPIES_PER_BLOCK))
-    return blocks.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), left)) + F.col("_block") * _COPIES_PER_BLOCK
-    ).drop("_n", "_block")
+    copies = blocks.withColumn("_in_block", F.explode(F.sequence(F.lit(1).cast("bigint"), left)))
+    return copies.withColumn("_copy", F.col("_in_block") + F.col("_block") * _COPIES_PER_BLOCK).select(*df.columns, "_copy")
 
 
 def number_rows(
