@@ -71,29 +71,36 @@ def priority_tier(total: Column, avg: Column, execs: Column, compat: bool = Fals
     )
 
 
+def _exact(name: str) -> Column:
+    """Sum of a measure in decimals: the same whatever order the rows are added in."""
+    return F.sum(F.col(name).cast("decimal(20,6)"))
+
+
 def statement_stats(stats: DataFrame, compat: bool = False) -> DataFrame:
     """Totals per database, user and statement over the snapshots that ran it at least once."""
     per_snap = (
         stats.groupBy("dbid", "username", "sql_id", "snap")
         .agg(
             F.sum("executions").alias("executions"),
-            F.sum("elapsed_s").alias("total_time"),
-            F.sum("rows_processed").alias("rows_processed"),
-            F.sum("disk_reads").alias("disk_reads"),
+            *[_exact(m).alias(m) for m in ("elapsed_s", "rows_processed", "disk_reads")],
         )
         .filter("executions > 0")
     )
-    total, execs = F.round(F.sum("total_time"), 0), F.sum("executions")
+
+    def whole(total: Column) -> Column:
+        return F.round(total, 0).cast("double")
+
+    seconds = F.sum("elapsed_s").cast("double")
     return (
         per_snap.groupBy("dbid", "username", "sql_id")
         .agg(
             F.min("snap").alias("first_time"),
             F.max("snap").alias("last_time"),
-            execs.alias("executions"),
-            total.alias("total_time"),
-            F.round(F.try_divide(F.sum("total_time"), F.sum("executions")), 0).alias("avg_time"),
-            F.round(F.sum("rows_processed"), 0).alias("rows_processed"),
-            F.round(F.sum("disk_reads"), 0).alias("disk_reads"),
+            F.sum("executions").alias("executions"),
+            whole(F.sum("elapsed_s")).alias("total_time"),
+            F.round(F.try_divide(seconds, F.sum("executions")), 0).alias("avg_time"),
+            whole(F.sum("rows_processed")).alias("rows_processed"),
+            whole(F.sum("disk_reads")).alias("disk_reads"),
         )
         .withColumn("priority", priority_tier(F.col("total_time"), F.col("avg_time"), F.col("executions"), compat))
     )

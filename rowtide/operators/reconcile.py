@@ -117,6 +117,6 @@ def compact_latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFr
     return keep_last(df, keys, version)
 
 
-def run_log(previous: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
+def run_log(previous: DataFrame, new: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Run metrics with one row per key, the latest run winning."""
-    return compact_latest(previous.unionByName(new), keys, [version])
+    return compact_latest(previous.unionByName(new), keys, version)

@@ -213,10 +213,11 @@ _TIER = (
     " when total_time >= 200 or avg_time >= 50 or executions >= 10 then 3 when {second} or avg_time >= 30 or executions >= 5 then 2 else 1 end"
 )
 STATEMENT_STATS_SQL = (
-    with_inputs("stats") + ", p as (select dbid, username, sql_id, snap, sum(executions) as executions, sum(elapsed_s) as total_time, sum(rows_processed) as rows_processed, sum(disk_reads) as disk_reads"
-    " from stats group by 1, 2, 3, 4 having sum(executions) > 0),"
-    " g as (select dbid, username, sql_id, cast(min(snap) as timestamp) as first_time, cast(max(snap) as timestamp) as last_time, cast(sum(executions) as bigint) as executions, round(sum(total_time), 0) as total_time,"
-    " round(sum(total_time) / sum(executions), 0) as avg_time, round(sum(rows_processed), 0) as rows_processed, round(sum(disk_reads), 0) as disk_reads from p group by 1, 2, 3)"
+    with_inputs("stats") + ", p as (select dbid, username, sql_id, snap, sum(executions) as executions, sum(cast(elapsed_s as decimal(20,6))) as total_time,"
+    " sum(cast(rows_processed as decimal(20,6))) as rows_processed, sum(cast(disk_reads as decimal(20,6))) as disk_reads from stats group by 1, 2, 3, 4 having sum(executions) > 0),"
+    " g as (select dbid, username, sql_id, cast(min(snap) as timestamp) as first_time, cast(max(snap) as timestamp) as last_time, cast(sum(executions) as bigint) as executions,"
+    " cast(round(sum(total_time), 0) as double) as total_time, round(cast(sum(total_time) as double) / sum(executions), 0) as avg_time,"
+    " cast(round(sum(rows_processed), 0) as double) as rows_processed, cast(round(sum(disk_reads), 0) as double) as disk_reads from p group by 1, 2, 3)"
 )
 
 

@@ -26,4 +26,4 @@ def run_report(spark: SparkSession, spec: ReportSpec, begin: date, end: date) ->
 
 def report_log(previous: DataFrame, new: DataFrame) -> DataFrame:
     """Run records of reports, the latest per tag."""
-    return run_log(previous, new, ["tag"], "started_at")
+    return run_log(previous, new, ["tag"], ["started_at"])
