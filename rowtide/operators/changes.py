@@ -5,7 +5,7 @@ A log row has ``tbl, op, before_pk, pk``, the after image and its place ``(file_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.operators.joins import null_safe
 from rowtide.operators.ordered import POSITION, keep_last
@@ -165,6 +165,6 @@ def to_statement(changes: DataFrame, types: dict[str, str], keys: list[str], nam
     return changes.withColumn(name, text)
 
 
-CHANGE_SCHEMA = T.StructType.fromDDL(
+CHANGE_SCHEMA = (
     "seq bigint, file_no bigint, pos bigint, tbl string, op string, before_pk bigint, pk bigint, val double, kind string, ts timestamp_ntz"
 )

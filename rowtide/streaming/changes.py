@@ -9,10 +9,15 @@ from rowtide.operators.changes import CHANGE_SCHEMA
 from rowtide.operators.ordered import POSITION
 
 
+_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def write_change_files(changes: DataFrame, path: str) -> None:
     """Lay a change log out as change-capture tools do: JSON lines, one folder per log file, rows in log order."""
     named = changes.withColumn("log", F.format_string("%08d", "file_no"))
-    named.repartition("log").sortWithinPartitions("log", *POSITION).write.mode("append").partitionBy("log").json(path)
+    named.repartition("log").sortWithinPartitions("log", *POSITION).write.mode("append").option(
+        "timestampNTZFormat", _TIME_FORMAT
+    ).partitionBy("log").json(path)
 
 
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema=CHANGE_SCHEMA) -> DataFrame:
@@ -20,7 +25,7 @@ def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None =
 
     Files may arrive out of log order: appliers compare log places and do not rely on the order of files.
     """
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("timestampNTZFormat", _TIME_FORMAT)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
@@ -39,7 +44,8 @@ def buffer_changes(stream: DataFrame, path: str, checkpoint: str, gap: str | Non
 
 def dedupe_stream(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Each log place once; places are remembered for ``delay`` of event time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(POSITION)
+    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
+    return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(POSITION).drop("_event_time")
 
 
 def stream_lag(query: StreamingQuery) -> dict[str, int]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from rowtide.operators.aggregates import ops_by_interval
 
 
 def ops_metrics(stream: DataFrame, secs: int, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Changes per kind and tumbling window; a window is final once the watermark has passed it."""
-    return ops_by_interval(stream.withWatermark(ts, delay), secs, ts)
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return ops_by_interval(timed, secs, ts).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
