@@ -38,14 +38,21 @@ def distinct_tuples(df: DataFrame, cols: list[str], ts: str) -> DataFrame:
     return df.agg(F.count_distinct(*cols).alias("tuples"), F.min(ts).alias("first_time"), F.max(ts).alias("last_time"))
 
 
-def concat_group(df: DataFrame, keys: list[str], col: str, order: str | None = None, sep: str = ",", distinct: bool = False) -> DataFrame:
-    """The values of a group as one text. Distinct values are reduced before they meet in the group."""
-    rows = df.select(*keys, F.col(col).cast("string").alias("_v"), F.col(order or col).alias("_o"))
+def concat_group(
+    df: DataFrame, keys: list[str], col: str, order: str | None = None, sep: str = ",", distinct: bool = False, chunk: Column | None = None
+) -> DataFrame:
+    """The values of a group as one text. Distinct values are reduced before they meet in the group.
+
+    A group without a bound on its size needs ``chunk``, a step of the order: the text then comes in parts, one row
+    per chunk (``part``), whose order is the order of the text; no task holds the whole group.
+    """
+    rows = df.select(*keys, F.col(col).cast("string").alias("_v"), F.col(order or col).alias("_o"), *([chunk.alias("part")] if chunk is not None else []))
+    groups = [*keys, "part"] if chunk is not None else keys
     if distinct:
-        rows = rows.groupBy(*keys, "_v").agg(F.min("_o").alias("_o"))
+        rows = rows.groupBy(*groups, "_v").agg(F.min("_o").alias("_o"))
     quoted = sep.replace("'", "''")
     agg = F.expr(f"listagg(_v, '{quoted}') within group (order by _o, _v)").alias("joined")
-    return rows.groupBy(*keys).agg(agg) if keys else rows.agg(agg)
+    return rows.groupBy(*groups).agg(agg) if groups else rows.agg(agg)
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

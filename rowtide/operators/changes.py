@@ -61,21 +61,26 @@ def up_to_position(file_no: int, pos: int) -> Column:
     return ~after_position(file_no, pos)
 
 
-def snapshot_then_changes(snapshot: DataFrame, taken_at: DataFrame, changes: DataFrame, keys: list[str], images: list[str]) -> DataFrame:
-    """A snapshot and the events behind the place at which each table's part was taken (tbl, snap_file, snap_pos)."""
-    later = changes.join(taken_at, "tbl", "left").filter(
-        F.col("snap_file").isNull() | after_position(F.col("snap_file"), F.col("snap_pos"))
-    )
-    return apply_changes(snapshot, later.drop("snap_file", "snap_pos"), keys, images)
+def snapshot_then_changes(
+    snapshot: DataFrame, taken_at: dict[str, tuple[int, int]], changes: DataFrame, keys: list[str], images: list[str]
+) -> DataFrame:
+    """A snapshot and the events behind the place at which each table's part was taken.
+
+    Places belong to the job description, so they are a plain condition and the log is not shuffled by table.
+    """
+    covered = F.lit(False)
+    for table, place in taken_at.items():
+        covered = covered | ((F.col("tbl") == table) & up_to_position(*place))
+    return apply_changes(snapshot, changes.filter(~covered), keys, images)
 
 
 def catch_up(
-    target: DataFrame, new_snapshot: DataFrame, known: DataFrame, changes: DataFrame,
+    target: DataFrame, new_snapshot: DataFrame, known: list[str], changes: DataFrame,
     old: tuple[int, int], new: tuple[int, int], keys: list[str], images: list[str],
 ) -> DataFrame:
     """Known tables replay the events in (old, new]; tables added since come from the snapshot taken at ``new``."""
-    replay = changes.filter(after_position(*old) & up_to_position(*new)).join(known.select("tbl"), "tbl", "left_semi")
-    added = new_snapshot.join(known.select("tbl"), "tbl", "left_anti")
+    replay = changes.filter(F.col("tbl").isin(*known) & after_position(*old) & up_to_position(*new))
+    added = new_snapshot.filter(~F.col("tbl").isin(*known))
     return apply_changes(target, replay, keys, images).unionByName(added.select(*target.columns))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.timing import moment
 from rowtide.operators.filters import IDLE_COMMANDS
@@ -29,16 +29,24 @@ def code_lookup(df: DataFrame, codes: DataFrame, col: str, code_class: str, name
     return df.join(picked, F.col(col).cast("string") == F.col("_code"), "left").drop("_code")
 
 
+def _at_highest(df: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """Rows at the highest value of ``col`` within their key.
+
+    The rank filter is also applied before the shuffle, so each input partition sends on only its own candidates;
+    a join with the aggregated maxima would shuffle the whole table.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc(col))
+    return df.filter(F.col(col).isNotNull()).withColumn("_rank", F.rank().over(w)).filter("_rank = 1").drop("_rank")
+
+
 def latest_per_key_semi(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Rows at the latest time of their key; ties stay."""
-    newest = df.groupBy(*keys).agg(F.max(ts).alias(ts))
-    return df.join(newest, [*keys, ts], "left_semi")
+    """Rows at the latest time of their key; ties stay, rows without a key match nothing."""
+    return _at_highest(df.na.drop(subset=keys), keys, ts)
 
 
 def latest_by_max_id(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """The row with the highest id of every key combination."""
-    newest = df.groupBy(*keys).agg(F.max(id_col).alias(id_col)).select(id_col)
-    return df.join(newest, id_col, "left_semi")
+    return _at_highest(df, keys, id_col)
 
 
 def not_whitelisted(df: DataFrame, whitelist: DataFrame) -> DataFrame:

@@ -21,6 +21,15 @@ def _running(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def _placed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows with their chunk. Rows without a key or a place in the order are left out, on both sides of the later
+    join alike, so that the rows and their summary can share one shuffle."""
+    cut = df.withColumn("_chunk", chunk)
+    for name in [*keys, "_chunk"]:
+        cut = cut.filter(F.col(name).isNotNull())
+    return cut
+
+
 def last_change_per_key(log: DataFrame, keys: list[str], order: list[str] = POSITION) -> DataFrame:
     """The last log row of every key with the number of rows merged into it.
 
@@ -88,7 +97,7 @@ def counter_delta(
     samples: DataFrame, keys: list[str], value: str, order: list[str], ts: str, chunk: Column | None = None
 ) -> DataFrame:
     """Growth per second of a cumulative counter; a fall means a reset and gives null."""
-    cut = samples.withColumn("_chunk", hour_chunk(ts) if chunk is None else chunk)
+    cut = _placed(samples, keys, hour_chunk(ts) if chunk is None else chunk)
     w = _running([*keys, "_chunk"], order)
     here = F.struct(F.col(value).alias("v"), F.col(ts).alias("t"))
     local = cut.withColumn("_prev", F.lag(here).over(w))
@@ -111,18 +120,20 @@ def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], t
 
     ``recorded`` is false for successes before the first failure: no state exists for them yet.
     """
-    cut = samples.withColumn("_ok", ok).withColumn("_chunk", hour_chunk(ts) if chunk is None else chunk)
+    cut = _placed(samples.withColumn("_ok", ok), keys, hour_chunk(ts) if chunk is None else chunk)
     w = _running([*keys, "_chunk"], order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_rn", F.row_number().over(w)).withColumn("_was_ok", F.lag("_ok").over(w))
+    numbered = cut.select("*", F.row_number().over(w).alias("_rn"), F.lag("_ok").over(w).alias("_was_ok"))
     ok_at = F.when(F.col("_ok"), F.col("_rn"))
-    local = (
-        local.withColumn("_start", F.when(~F.col("_ok") & F.coalesce("_was_ok", F.lit(True)), F.col(ts)))
-        .withColumn("_last_ok", F.max(ok_at).over(upto))
-        .withColumn("_ok_before", F.max(ok_at).over(before))
-        .withColumn("_last_fail", F.max(F.when(~F.col("_ok"), F.col("_rn"))).over(upto))
-        .withColumn("_began", F.max("_start").over(upto))
+    fail_at = F.when(~F.col("_ok"), F.col("_rn"))
+    start = F.when(~F.col("_ok") & F.coalesce("_was_ok", F.lit(True)), F.col(ts))
+    local = numbered.select(
+        "*",
+        F.max(ok_at).over(upto).alias("_last_ok"),
+        F.max(ok_at).over(before).alias("_ok_before"),
+        F.max(fail_at).over(upto).alias("_last_fail"),
+        F.max(start).over(upto).alias("_began"),
     )
     summary = local.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),

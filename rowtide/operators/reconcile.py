@@ -40,15 +40,16 @@ def repair_days(
     upserted by key elsewhere.
     """
     first = as_of - timedelta(days=n)
+    # one row per day of the range at most, so it may go to every task
     bad = reconcile_days(source, target, ts, n, as_of).filter("status = 'differ'")
     fresh = (
         between_days(source, ts, first, as_of).withColumn("_day", F.to_date(ts))
-        .join(bad.select(F.col("day").alias("_day")), "_day", "left_semi").drop("_day")
+        .join(F.broadcast(bad.select(F.col("day").alias("_day"))), "_day", "left_semi").drop("_day")
     )
     cleared = bad.filter("target_rows > source_rows") if delete_only_if_extra else bad
     kept = (
         target.withColumn("_day", F.to_date(ts))
-        .join(cleared.select(F.col("day").alias("_day")), "_day", "left_anti").drop("_day")
+        .join(F.broadcast(cleared.select(F.col("day").alias("_day"))), "_day", "left_anti").drop("_day")
     )
     return without_keys(kept.select(*target.columns), fresh, keys).unionByName(fresh.select(*target.columns))
 

@@ -113,7 +113,7 @@ _LATER = "later as (select c.* from changes c left join places s on c.tbl = s.tb
 
 @query("x6_snapshot_then_changes", LOG + f", {_PLACES}, {_LATER}" + apply_sql("later"))
 def x6(spark, d):
-    places = spark.createDataFrame([("app.t0", 9, 500), ("app.t1", 10, 4000)], "tbl string, snap_file bigint, snap_pos bigint")
+    places = {"app.t0": (9, 500), "app.t1": (10, 4000)}
     return cdc.snapshot_then_changes(inputs.changed(spark, d), places, inputs.changes(spark, d), KEYS, IMAGES)
 
 
@@ -127,8 +127,7 @@ _REPLAY = (
 def x7(spark, d):
     target = inputs.changed(spark, d)
     known = target.filter("tbl <> 'app.t2'")
-    names = known.select("tbl").distinct()
-    return cdc.catch_up(known, target.withColumn("val", F.col("val") + 1), names, inputs.changes(spark, d), (9, 500), (12, 800), KEYS, IMAGES)
+    return cdc.catch_up(known, target.withColumn("val", F.col("val") + 1), ["app.t0", "app.t1"], inputs.changes(spark, d), (9, 500), (12, 800), KEYS, IMAGES)
 
 
 @query(

@@ -192,10 +192,12 @@ def e6(spark, d):
 
 @query(
     "e6_concat_group_ordered",
-    "select o_custkey, string_agg(cast(o_orderkey as varchar), ',' order by o_orderdate, cast(o_orderkey as varchar)) as keys from orders group by 1",
+    "select o_custkey, cast(year(o_orderdate) as integer) as part, string_agg(cast(o_orderkey as varchar), ',' order by o_orderdate, cast(o_orderkey as varchar)) as keys from orders group by 1, 2",
 )
 def e6_ordered(spark, d):
-    return agg.concat_group(base(spark, d, "orders"), ["o_custkey"], "o_orderkey", order="o_orderdate").withColumnRenamed("joined", "keys")
+    """All orders of a customer in time order, in parts of one year."""
+    joined = agg.concat_group(base(spark, d, "orders"), ["o_custkey"], "o_orderkey", order="o_orderdate", chunk=F.year("o_orderdate"))
+    return joined.withColumnRenamed("joined", "keys")
 
 
 @query("e7_duplicate_keys", "select l_orderkey, l_linenumber, count(*) as copies from lineitem group by 1, 2 having count(*) > 1")

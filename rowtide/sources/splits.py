@@ -17,12 +17,9 @@ def key_ranges(df: DataFrame, key: str, n: int, accuracy: int = 100_000) -> Data
     Quantile sketches combine on the map side, so no sort of the table is needed; rows are counted exactly.
     """
     cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], accuracy).alias("c"))
-    keyed = df.select(key)
-    above = sum((F.col(key) > cuts.select(F.col("c")[i]).scalar()).cast("int") for i in range(n - 1))
-    return (
-        keyed.groupBy(above.cast("int").alias("range_no"))
-        .agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
-    )
+    cut = df.select(key).withColumn("_cuts", cuts.scalar())
+    ranged = cut.withColumn("range_no", F.size(F.filter("_cuts", lambda c: c < F.col(key))))
+    return ranged.groupBy("range_no").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
 
 
 def key_blocks(df: DataFrame, key: str, lo: int, width: int) -> DataFrame:
