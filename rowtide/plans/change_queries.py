@@ -36,7 +36,7 @@ def apply_sql(source: str = "changes", target: str = "changed", compat: bool = F
 
 def _change_files(spark, d, df: DataFrame | None = None) -> str:
     path = scratch_path(spark, "log")
-    streams.write_change_files(inputs.changes(spark, d) if df is None else df, path)
+    streams.write_change_files(inputs.changes(spark, d) if df is None else df, path, files=8)
     return path
 
 
@@ -57,7 +57,7 @@ def x2(spark, d):
     """Several flushes, and a second start on the same checkpoint that must add nothing."""
     out, files = scratch_path(spark, "buffer"), _change_files(spark, d)
     for _ in range(2):
-        _finish(streams.buffer_changes(streams.read_changes(spark, files, 50), out, f"{out}-ck"))
+        _finish(streams.buffer_changes(streams.read_changes(spark, files, 3), out, f"{out}-ck"))
     return spark.read.parquet(out).groupBy("file_no").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -71,7 +71,7 @@ def x3_stream(spark, d):
     """The same through files, micro-batches and a bucketed target."""
     path = scratch_path(spark, "applied")
     applying.write_snapshot(inputs.changed(spark, d), path, 8)
-    stream = streams.read_changes(spark, _change_files(spark, d), 200)
+    stream = streams.read_changes(spark, _change_files(spark, d), 4)
     _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES, 8))
     return applying.live_rows(spark, path, COLS)
 
@@ -208,7 +208,7 @@ def x12(spark, d):
 def x13(spark, d):
     """All tables in one stream, each in its own partitions, applied in log order."""
     path = scratch_path(spark, "fan")
-    stream = streams.read_changes(spark, _change_files(spark, d), 200)
+    stream = streams.read_changes(spark, _change_files(spark, d), 4)
     _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES, 4))
     target = applying.read_target(spark, path)
     return target.groupBy("tbl").agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("gone"), F.max("seq").alias("last_seq"))

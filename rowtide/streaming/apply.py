@@ -18,15 +18,12 @@ from rowtide.sources.sinks import path_exists, with_bucket
 from rowtide.streaming.changes import buffered
 
 KEYS = ["tbl", "pk"]
-_FILES_PER_BUCKET = 4
+PARTS = ["tbl", "bucket"]
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    spread = rows.repartition("tbl", "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(_FILES_PER_BUCKET)))
-    (
-        spread.sortWithinPartitions("tbl", "bucket", "pk").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("tbl", "bucket").parquet(path)
-    )
+    """Write rows that are already clustered by partition; a bucket is one file, its size set by their number."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
 
 
 def write_snapshot(snapshot: DataFrame, path: str, buckets: int, at: tuple[int, int] = (-1, -1)) -> None:
@@ -36,7 +33,7 @@ def write_snapshot(snapshot: DataFrame, path: str, buckets: int, at: tuple[int,
         .withColumn("file_no", F.lit(at[0]).cast("bigint")).withColumn("pos", F.lit(at[1]).cast("bigint"))
         .withColumn("seq", F.lit(2**62).cast("bigint"))
     )
-    _write(with_bucket(rows, KEYS, buckets), path)
+    _write(with_bucket(rows, KEYS, buckets).repartition(*PARTS).sortWithinPartitions(*PARTS, "pk"), path)
 
 
 def _touched(changes: DataFrame) -> Column | None:
@@ -58,7 +55,8 @@ def merge_batch(batch: DataFrame, path: str, images: list[str], buckets: int, co
         if path_exists(batch.sparkSession, path):
             held = read_target(batch.sparkSession, path).filter(where)
             merged = held.select(*last.columns).unionByName(last)
-        _write(keep_last(merged, KEYS, POSITION), path)
+        # one shuffle by partition serves both the choice of the last row and the write
+        _write(keep_last(merged.repartition(*PARTS), [*PARTS, "pk"], POSITION), path)
     finally:
         last.unpersist()
 
@@ -87,4 +85,4 @@ def start_apply(
 def drop_tombstones(spark: SparkSession, path: str, new_path: str, file_no: int, pos: int) -> None:
     """A compacted copy of the target without tombstones up to a log place."""
     old = F.col("deleted") & ((F.col("file_no") < file_no) | ((F.col("file_no") == file_no) & (F.col("pos") <= pos)))
-    _write(read_target(spark, path).filter(~old), new_path)
+    _write(read_target(spark, path).filter(~old).repartition(*PARTS).sortWithinPartitions(*PARTS, "pk"), new_path)

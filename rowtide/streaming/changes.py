@@ -12,12 +12,11 @@ from rowtide.operators.ordered import POSITION
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
-def write_change_files(changes: DataFrame, path: str) -> None:
-    """Lay a change log out as change-capture tools do: JSON lines, one folder per log file, rows in log order."""
-    named = changes.withColumn("log", F.format_string("%08d", "file_no"))
-    named.repartition("log").sortWithinPartitions("log", *POSITION).write.mode("append").option(
-        "timestampNTZFormat", _TIME_FORMAT
-    ).partitionBy("log").json(path)
+def write_change_files(changes: DataFrame, path: str, files: int | None = None) -> None:
+    """Lay a change log out as change-capture tools do: JSON lines in files of about equal size, in log order."""
+    n = files or int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = changes.repartitionByRange(n, *POSITION).sortWithinPartitions(*POSITION)
+    ranged.write.mode("append").option("timestampNTZFormat", _TIME_FORMAT).json(path)
 
 
 def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None = None, schema=CHANGE_SCHEMA) -> DataFrame:
@@ -25,7 +24,7 @@ def read_changes(spark: SparkSession, path: str, files_per_trigger: int | None =
 
     Files may arrive out of log order: appliers compare log places and do not rely on the order of files.
     """
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("timestampNTZFormat", _TIME_FORMAT)
+    reader = spark.readStream.schema(schema).option("timestampNTZFormat", _TIME_FORMAT)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.json(path)
