@@ -67,6 +67,7 @@ def alert_state(
         run.withColumn("is_send_alt_mail", F.when(fails > rule.first, "Y").otherwise("N"))
         .withColumn("is_send_alt_mail_times", F.when(F.col("ok"), F.lit(0)).otherwise(sent).cast("bigint"))
         .withColumn("emit", F.when(~F.col("ok") & sends, "alert").when(recovers, "recovery"))
+        .withColumn("is_send_rcv_mail", F.when(F.col("ended_streak") > rule.first, "Y").otherwise("N"))
         .drop("recorded", "ended_streak")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.functions.timing import cutoff, moment, moment_for
 from rowtide.operators.sync import read_month_target, without_keys
-from rowtide.sources.sinks import path_exists, rewrite_partitions
+from rowtide.sources.sinks import even_files, path_exists, rewrite_partitions
 
 
 def archive_window(source: DataFrame, ts: str, n: int, unit: str, as_of: datetime) -> DataFrame:
@@ -85,10 +85,10 @@ def archive_month_target(
         moved = without_keys(there, moving, keys).unionByName(moving)
     else:
         moved = moving
-    rewrite_partitions(moved, archive_path, "yyyymm", months)
+    rewrite_partitions(even_files(moved, "yyyymm"), archive_path, "yyyymm", months)
     copied = read_month_target(spark, archive_path).filter(F.col("yyyymm").isin(*months))
     if copied.join(moving.select(*keys), keys, "left_semi").count() != counted:
         raise RuntimeError("archive copy has a different number of rows; source left as it is")
     stays = old.filter(F.col("yyyymm").isin(*months) & (F.col(ts) > moment_for(old, ts, end)))
-    rewrite_partitions(stays, source_path, "yyyymm", months)
+    rewrite_partitions(even_files(stays, "yyyymm"), source_path, "yyyymm", months)
     return counted

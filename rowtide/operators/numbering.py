@@ -29,13 +29,12 @@ def number_rows(
     Range partitions are sorted locally and shifted by the sizes of the partitions before them; the only
     global step works on one row per partition. ``unique`` says the rows differ and skips the copy split.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [partitions] if partitions else []  # else as many as the session shuffles into
     exprs = [F.col(c) if isinstance(c, str) else c for c in order]
     rows = df if unique else _spread_copies(df)
     keys = exprs if unique else [*exprs, F.col("_copy")]
     ranged = stable(
-        rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+        rows.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     )
     placed = ranged.withColumn("_part", F.shiftright("_at", _PART_BITS))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

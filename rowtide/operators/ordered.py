@@ -116,7 +116,8 @@ def counter_delta(
 
 
 def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], ts: str, chunk: Column | None = None) -> DataFrame:
-    """Failures in a row so far, when they began, successes since, and the streak a success has just ended.
+    """Failures in a row so far, when they began, successes since, and ``ended_streak``: the failures right before
+    the latest success.
 
     ``recorded`` is false for successes before the first failure: no state exists for them yet.
     """
@@ -134,10 +135,11 @@ def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], t
         F.max(ok_at).over(before).alias("_ok_before"),
         F.max(fail_at).over(upto).alias("_last_fail"),
         F.max(start).over(upto).alias("_began"),
-    )
+    ).withColumn("_ok2", F.max(F.when(F.col("_ok"), F.col("_ok_before"))).over(upto))
     summary = local.groupBy(*keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("_last_ok").alias("_end_ok"),
+        F.max("_ok2").alias("_end_ok2"),
         F.max("_last_fail").alias("_end_fail"),
         F.max("_began").alias("_end_began"),
     )
@@ -147,22 +149,23 @@ def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], t
         summary.withColumn("_off", F.coalesce(F.sum("_n").over(past), F.lit(0)))
         .withColumn("_ends_ok", F.col("_end_ok").eqNullSafe(F.col("_n").cast("int")))
         .withColumn("_prev_ends_ok", F.coalesce(F.lag("_ends_ok").over(by_chunk), F.lit(True)))
-        .withColumn(
-            "_opens", F.when(~F.col("_ends_ok") & (F.col("_end_ok").isNotNull() | F.col("_prev_ends_ok")), F.col("_end_began"))
-        )
-        .select(
-            *keys,
-            "_chunk",
-            "_off",
-            "_prev_ends_ok",
-            F.max(F.col("_off") + F.col("_end_ok")).over(past).alias("_carry_ok"),
-            F.max(F.col("_off") + F.col("_end_fail")).over(past).alias("_carry_fail"),
-            F.max("_opens").over(past).alias("_carry_began"),
-        )
+        .withColumn("_carry_ok", F.max(F.col("_off") + F.col("_end_ok")).over(past))
+    )
+    opens = F.when(~F.col("_ends_ok") & (F.col("_end_ok").isNotNull() | F.col("_prev_ends_ok")), F.col("_end_began"))
+    second = F.coalesce(F.col("_off") + F.col("_end_ok2"), F.when(F.col("_end_ok").isNotNull(), F.coalesce("_carry_ok", F.lit(0))))
+    summary = summary.select(
+        *keys,
+        "_chunk",
+        "_off",
+        "_prev_ends_ok",
+        "_carry_ok",
+        F.max(second).over(past).alias("_carry_ok2"),
+        F.max(F.col("_off") + F.col("_end_fail")).over(past).alias("_carry_fail"),
+        F.max(opens).over(past).alias("_carry_began"),
     )
     rn = F.col("_off") + F.col("_rn")
     last_ok = F.coalesce(F.col("_off") + F.col("_last_ok"), "_carry_ok", F.lit(0))
-    ok_before = F.coalesce(F.col("_off") + F.col("_ok_before"), "_carry_ok", F.lit(0))
+    ok_before = F.coalesce(F.col("_off") + F.col("_ok2"), F.when(F.col("_last_ok").isNotNull(), F.col("_carry_ok")).otherwise(F.col("_carry_ok2")), F.lit(0))
     last_fail = F.coalesce(F.col("_off") + F.col("_last_fail"), "_carry_fail")
     continues = F.col("_last_ok").isNull() & ~F.col("_prev_ends_ok")
     good = F.col("_ok")
@@ -172,7 +175,7 @@ def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], t
         .withColumn("fail_times", F.when(good, F.lit(0)).otherwise(rn - last_ok).cast("bigint"))
         .withColumn("succ_times", F.when(good, F.coalesce(rn - last_fail, F.lit(0))).otherwise(0).cast("bigint"))
         .withColumn("first_failure_time", F.when(~good, F.when(continues, F.col("_carry_began")).otherwise(F.col("_began"))))
-        .withColumn("ended_streak", F.when(good & (F.col("succ_times") == 1), rn - 1 - ok_before).otherwise(0).cast("bigint"))
+        .withColumn("ended_streak", F.when(last_ok > 0, last_ok - 1 - ok_before).otherwise(0).cast("bigint"))
         .withColumn("ok", good)
         .select(*samples.columns, "ok", "recorded", "fail_times", "succ_times", "first_failure_time", "ended_streak")
     )

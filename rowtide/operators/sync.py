@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide.functions.timing import cutoff, moment_for
 from rowtide.operators.filters import recent
-from rowtide.sources.sinks import path_exists, rewrite_partitions, with_month, write_month_partitioned
+from rowtide.sources.sinks import even_files, path_exists, rewrite_partitions, with_month, write_month_partitioned
 
 
 def _outside(df: DataFrame, ts: str, start: datetime) -> DataFrame:
@@ -128,5 +128,5 @@ def sync_month_target(
     plan = window_upsert if upsert else window_replace
     new = with_month(plan(source, part.drop("yyyymm"), keys, ts, n, unit, as_of), ts)
     # rows of the new target may fall only into touched months, so nothing else is overwritten
-    rewrite_partitions(new.repartition("yyyymm", F.pmod(F.xxhash64(*keys), F.lit(16))), path, "yyyymm", months)
+    rewrite_partitions(even_files(new, "yyyymm"), path, "yyyymm", months)
     return months

@@ -57,7 +57,7 @@ _STATE = (
     ", r as (select * from t where recorded), q as (select *, case when fail_times < 2 then 0 else least(fail_times // 2, 3) end as sent, case when fail_times < 3 then 0 else least((fail_times - 1) // 2, 3) end as sent_before from r)"
     ", state as (select sample_id, server_id, ts, ok, fail_times, succ_times, first_failure_time, case when fail_times > 1 then 'Y' else 'N' end as is_send_alt_mail,"
     " case when ok then 0 else sent end as is_send_alt_mail_times, case when not ok and (fail_times = 2 or (fail_times > 2 and fail_times % 2 = 0 and sent_before <= 2)) then 'alert'"
-    " when ok and succ_times = 1 and ended_streak > 1 then 'recovery' end as emit from q)"
+    " when ok and succ_times = 1 and ended_streak > 1 then 'recovery' end as emit, case when ended_streak > 1 then 'Y' else 'N' end as is_send_rcv_mail from q)"
 )
 
 
@@ -81,7 +81,7 @@ def _streamed(spark, d, rule):
     streaming.use_rocksdb(spark)
     out = scratch_path(spark, "alerts")
     schema = base(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
     samples = events.selectExpr(*inputs.SAMPLES).withColumn("ok", F.col("cpu") <= 40)
     state = streaming.alert_stream(samples, ["server_id"], "ts", "sample_id", rule)
     buffer_changes(state, out, f"{out}-ck").awaitTermination()
@@ -147,7 +147,24 @@ def m8(spark, d):
     return alerts.probe_status(probes, 300, ["probe"])
 
 
-@query("m9_api_alert_stream")
+# the state machine step by step: one recursion per sample of a server
+_API_FOLD = (
+    with_inputs("samples").replace("with ", "with recursive ", 1)
+    + ", o as (select sample_id, server_id, ts, cpu <= 40 as ok, row_number() over (partition by server_id order by ts, sample_id) as rn from samples),"
+    " f as (select server_id, 0::bigint as rn, null::bigint as sample_id, null::timestamp as ts, true as ok, 0::bigint as fails, 0::bigint as succs, null::timestamp as began, false as sent, 0::bigint as times,"
+    " false as known, false as recovered, null::varchar as emit from (select distinct server_id from o)"
+    " union all select o.server_id, o.rn, o.sample_id, o.ts, o.ok, case when o.ok then 0 else fails + 1 end, case when o.ok and known then succs + 1 else 0 end,"
+    " case when not o.ok then coalesce(began, o.ts) end, case when o.ok then sent and succs + 1 <> 2 else sent or fails + 1 > 1 end,"
+    " case when o.ok then 0 when (not sent and fails + 1 > 1) or (sent and (fails + 1) % 3 = 0 and times <= 10) then times + 1 else times end, known or not o.ok,"
+    " case when o.ok then known and sent and succs + 1 = 2 else recovered end,"
+    " case when o.ok and known and sent and succs + 1 = 2 then 'recovery' when not o.ok and ((not sent and fails + 1 > 1) or (sent and (fails + 1) % 3 = 0 and times <= 10)) then 'alert' end"
+    " from f join o on o.server_id = f.server_id and o.rn = f.rn + 1)"
+    " select server_id, sample_id, ts, ok, fails as fail_times, succs as succ_times, began as first_failure_time, case when sent then 'Y' else 'N' end as is_send_alt_mail,"
+    " times as is_send_alt_mail_times, case when recovered then 'Y' else 'N' end as is_send_rcv_mail, emit from f where known"
+)
+
+
+@query("m9_api_alert_stream", _API_FOLD)
 def m9(spark, d):
     """API rule: a recovery needs two successes, so one good answer does not end an alert."""
     return _streamed(spark, d, api_rule(200))

@@ -369,9 +369,10 @@ STREAKS_SQL = (
     " s as (select *, coalesce(max(case when ok then rn end) over w, 0) as lo, max(case when not ok then rn end) over w as lf,"
     " coalesce(max(case when ok then rn end) over (partition by server_id order by rn rows between unbounded preceding and 1 preceding), 0) as lob"
     " from n window w as (partition by server_id order by rn rows unbounded preceding)),"
+    " e as (select *, max(case when ok then lob end) over (partition by server_id order by rn rows unbounded preceding) as l2 from s),"
     " t as (select sample_id, server_id, ts, ok, lf is not null as recorded, case when ok then 0 else rn - lo end as fail_times, case when ok then coalesce(rn - lf, 0) else 0 end as succ_times,"
     " case when not ok then min(ts) over (partition by server_id, lo, ok) end as first_failure_time,"
-    " case when ok and rn - lf = 1 then rn - 1 - lob else 0 end as ended_streak from s)"
+    " case when lo > 0 then lo - 1 - l2 else 0 end as ended_streak from e)"
 )
 
 

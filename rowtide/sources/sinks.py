@@ -18,21 +18,22 @@ def with_bucket(df: DataFrame, keys: list[str], n: int, name: str = "bucket") ->
     return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
-def write_month_partitioned(df: DataFrame, path: str, ts: str, keys: list[str], mode: str = "overwrite") -> None:
-    """One folder per month, rows sorted by key inside each file.
+def even_files(df: DataFrame, *by: str) -> DataFrame:
+    """Rows brought together by partition for a write. Adaptive execution cuts a large partition into several tasks
+    of the advisory size and puts small ones together, so one full month does not wait for one task."""
+    return df.hint("rebalance", *[F.col(c) for c in by])
 
-    Files are spread over several tasks per month by a hash of the key, so one full month does not wait for one task.
-    """
-    monthly = with_month(df, ts)
-    spread = monthly.repartition("yyyymm", F.pmod(F.xxhash64(*keys), F.lit(16)))
-    spread.sortWithinPartitions("yyyymm", *keys).write.mode(mode).partitionBy("yyyymm").parquet(path)
+
+def write_month_partitioned(df: DataFrame, path: str, ts: str, keys: list[str], mode: str = "overwrite") -> None:
+    """One folder per month, rows sorted by key inside each file."""
+    monthly = even_files(with_month(df, ts), "yyyymm").sortWithinPartitions("yyyymm", *keys)
+    monthly.write.mode(mode).partitionBy("yyyymm").parquet(path)
 
 
 def write_hash_buckets(df: DataFrame, path: str, keys: list[str], n: int, mode: str = "overwrite") -> None:
     """Rows spread by a hash of the key; a change then touches only the bucket of its key."""
-    with_bucket(df, keys, n).repartition("bucket").sortWithinPartitions("bucket", *keys).write.mode(mode).partitionBy(
-        "bucket"
-    ).parquet(path)
+    bucketed = even_files(with_bucket(df, keys, n), "bucket").sortWithinPartitions("bucket", *keys)
+    bucketed.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:

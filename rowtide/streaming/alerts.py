@@ -3,77 +3,113 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rowtide.specs import AlertRule
 
 _STATE = "fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, sent boolean, sent_times bigint, known boolean, recovered boolean"
-_START = (0, 0, None, False, 0, False, False)
+_OUT = "ok boolean, fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, is_send_rcv_mail string, emit string"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AlertState(NamedTuple):
+    """What is kept per key between batches."""
+
+    fail_times: int = 0
+    succ_times: int = 0
+    first_failure_time: object = None
+    sent: bool = False
+    sent_times: int = 0
+    known: bool = False
+    recovered: bool = False
+
+
+def _frame(n: int, ok: bool, fails, succs, first, sent, times, recovered, emit) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "ok": np.full(n, ok), "fail_times": fails, "succ_times": succs, "first_failure_time": pd.Series([first] * n, dtype="datetime64[us]"),
+            "is_send_alt_mail": np.where(sent, "Y", "N"), "is_send_alt_mail_times": times, "is_send_rcv_mail": np.where(recovered, "Y", "N"), "emit": emit,
+        }
+    )
 
 
-def advance(state: tuple, ok: bool, ts: datetime, rule: AlertRule) -> tuple[tuple, str | None]:
-    """One step: the state after a sample and what it sends."""
-    fails, succs, first, sent, times, known, recovered = state
-    if ok:
-        if not known:
-            return state, None
-        succs += 1
-        recover = sent and succs == rule.recover_at
-        return (0, succs, None, sent and not recover, 0, True, recover), ("recovery" if recover else None)
-    fails += 1
-    first = first if first is not None else ts
-    alert = (not sent and fails > rule.first) or (sent and fails % rule.every == 0 and times <= rule.cap)
-    return (fails, 0, first, sent or alert, times + int(alert), True, recovered), ("alert" if alert else None)
+def failing_run(state: AlertState, n: int, began, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
+    """``n`` failures in a row: the first alert once past ``rule.first``, then one at every multiple, up to the cap."""
+    fails = state.fail_times + np.arange(1, n + 1)
+    first = state.first_failure_time if state.first_failure_time is not None else began
+    due = fails % rule.every == 0
+    if not state.sent:
+        opening = max(rule.first + 1, state.fail_times + 1)
+        due = (fails == opening) | ((fails > opening) & due)
+    nth = np.cumsum(due)
+    left = max(rule.cap + 1 - state.sent_times, 0)
+    alerts = due & (nth <= left)
+    times = state.sent_times + np.minimum(nth, left)
+    sent = state.sent | (times > state.sent_times)
+    end = AlertState(int(fails[-1]), 0, first, bool(sent[-1]), int(times[-1]), True, state.recovered)
+    return end, _frame(n, False, fails, np.zeros(n, "int64"), first, sent, times, np.full(n, state.recovered), np.where(alerts, "alert", None))
+
+
+def good_run(state: AlertState, n: int, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
+    """``n`` successes in a row: the alert ends at the success the rule names."""
+    succs = state.succ_times + np.arange(1, n + 1)
+    recovers = (succs == rule.recover_at) & state.sent
+    sent = state.sent & ~np.logical_or.accumulate(recovers)
+    end = AlertState(0, int(succs[-1]), None, bool(sent[-1]), 0, True, bool(recovers[-1]))
+    zero = np.zeros(n, "int64")
+    return end, _frame(n, True, zero, succs, None, sent, zero, recovers, np.where(recovers, "recovery", None))
 
 
 class AlertProcessor(StatefulProcessor):
-    """Keeps one small state row per key; a batch of samples is taken in time order."""
+    """Keeps one small state row per key and goes through a batch run by run, not row by row."""
 
-    def __init__(self, rule: AlertRule, key_names: list[str], ts: str, order: list[str]):
-        self.rule, self.key_names, self.ts, self.order = rule, key_names, ts, order
+    def __init__(self, rule: AlertRule, keys: list[str], ts: str, ident: str):
+        self.rule, self.keys, self.ts, self.ident = rule, keys, ts, ident
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("alert", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = tuple(self.state.get()) if self.state.exists() else _START
-        out = []
-        for ident, ts, ok in zip(samples[self.order[-1]], samples[self.ts], samples["ok"]):
-            state, emit = advance(state, bool(ok), ts.to_pydatetime(), self.rule)
-            if state[5]:
-                fails, succs, first, sent, times = state[:5]
-                out.append((*key, ident, ts, bool(ok), fails, succs, first, "Y" if sent else "N", times, emit))
-        self.state.update(state)
-        columns = [*self.key_names, self.order[-1], self.ts, "ok", "fail_times", "succ_times", "first_failure_time", "is_send_alt_mail", "is_send_alt_mail_times", "emit"]
-        frame = pd.DataFrame(out, columns=columns)
-        frame["first_failure_time"] = pd.to_datetime(frame["first_failure_time"])
-        yield frame
+        samples = pd.concat(list(rows)).sort_values([self.ts, self.ident], ignore_index=True)
+        state = AlertState(*self.state.get()) if self.state.exists() else AlertState()
+        ok = samples["ok"].to_numpy(dtype=bool)
+        edges = [0, *(np.flatnonzero(ok[1:] != ok[:-1]) + 1), len(ok)]
+        for start, stop in zip(edges, edges[1:]):
+            if ok[start] and not state.known:
+                continue
+            if ok[start]:
+                state, out = good_run(state, stop - start, self.rule)
+            else:
+                state, out = failing_run(state, stop - start, samples[self.ts].iloc[start].to_pydatetime(), self.rule)
+            part = samples.iloc[start:stop]
+            out.insert(0, self.ts, part[self.ts].to_numpy())
+            out.insert(0, self.ident, part[self.ident].to_numpy())
+            for i, name in enumerate(self.keys):
+                out.insert(i, name, key[i])
+            yield out
+        self.state.update(tuple(state))
 
     def close(self) -> None:
         pass
 
 
 def alert_stream(samples: DataFrame, keys: list[str], ts: str, ident: str, rule: AlertRule) -> DataFrame:
-    """M3, M9: follow the state of every key over a stream of (keys, ts, ident, ok); needs the RocksDB state store."""
+    """M3, M9: follow the state of every key over a stream of (keys, ts, ident, ok); needs the RocksDB state store.
+
+    A trigger takes the samples of a key together, so the source should limit what one trigger reads.
+    """
     kinds = dict(samples.dtypes)
-    key_ddl = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    schema = (
-        f"{key_ddl}, {ident} {kinds[ident]}, {ts} {kinds[ts]}, ok boolean, fail_times bigint, succ_times bigint, "
-        "first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, emit string"
-    )
+    names = ", ".join(f"{c} {kinds[c]}" for c in [*keys, ident, ts])
     return samples.select(*keys, ident, ts, "ok").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=AlertProcessor(rule, keys, ts, [ts, ident]), outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=AlertProcessor(rule, keys, ts, ident), outputStructType=f"{names}, {_OUT}", outputMode="Append", timeMode="None"
     )
 
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    """The state store this operator needs; set before the query starts."""
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store ``alert_stream`` needs; set before the query starts."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)

@@ -14,8 +14,7 @@ _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 def write_change_files(changes: DataFrame, path: str, files: int | None = None) -> None:
     """Lay a change log out as change-capture tools do: JSON lines in files of about equal size, in log order."""
-    n = files or int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = changes.repartitionByRange(n, *POSITION).sortWithinPartitions(*POSITION)
+    ranged = changes.repartitionByRange(*([files] if files else []), *POSITION).sortWithinPartitions(*POSITION)
     ranged.write.mode("append").option("timestampNTZFormat", _TIME_FORMAT).json(path)
 
 

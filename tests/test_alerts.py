@@ -14,20 +14,34 @@ from rowtide.streaming.changes import buffer_changes
 
 START = dt.datetime(2024, 1, 1)
 SCHEMA = "server_id bigint, sample_id bigint, ts timestamp_ntz, ok boolean"
-STATE = ["fail_times", "succ_times", "first_failure_time", "is_send_alt_mail", "is_send_alt_mail_times", "emit"]
+STATE = ["fail_times", "succ_times", "first_failure_time", "is_send_alt_mail", "is_send_alt_mail_times", "is_send_rcv_mail", "emit"]
 
 
 def rows_of(results, server=1, minutes=1):
     return [(server, i, START + dt.timedelta(minutes=i * minutes), ok) for i, ok in enumerate(results)]
 
 
+def advance(state, ok, ts, rule):
+    """One step of the state machine, as plain as it gets."""
+    fails, succs, first, sent, times, known, recovered = state
+    if ok:
+        if not known:
+            return state, None
+        succs += 1
+        recover = sent and succs == rule.recover_at
+        return (0, succs, None, sent and not recover, 0, True, recover), ("recovery" if recover else None)
+    fails += 1
+    alert = (not sent and fails > rule.first) or (sent and fails % rule.every == 0 and times <= rule.cap)
+    return (fails, 0, first or ts, sent or alert, times + int(alert), True, recovered), ("alert" if alert else None)
+
+
 def fold(rows, rule):
     out, states = {}, {}
     for server, ident, ts, ok in sorted(rows, key=lambda r: (r[2], r[1])):
-        state, emit = streaming.advance(states.get(server, streaming._START), ok, ts, rule)
+        state, emit = advance(states.get(server, (0, 0, None, False, 0, False, False)), ok, ts, rule)
         states[server] = state
         if state[5]:
-            out[server, ident] = (state[0], state[1], state[2], "Y" if state[3] else "N", state[4], emit)
+            out[server, ident] = (state[0], state[1], state[2], "Y" if state[3] else "N", state[4], "Y" if state[6] else "N", emit)
     return out
 
 

@@ -65,3 +65,16 @@ def test_ordered_operators_partition_by_key_and_chunk(spark, sf):
     for name in ("w3_runs", "w4_counter_delta", "w5_fail_streak"):
         text = plan(QUERIES[name](spark, sf))
         assert "SinglePartition" not in text and "_chunk" in text or "file_no" in text
+
+
+def test_a_hot_month_is_written_by_several_tasks(spark):
+    df = spark.range(200_000).selectExpr("id as order_id", "timestamp_ntz '2001-07-01 00:00:00' + make_dt_interval(if(id % 3 = 0, cast(id % 500 as int), 0)) as updated_at")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        path = scratch_path(spark, "hot")
+        sinks.write_month_partitioned(df, path, "updated_at", ["order_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.format("binaryFile").load(f"{path}/yyyymm=200107").count()
+    assert files > 3
+    assert spark.read.parquet(path).count() == 200_000
