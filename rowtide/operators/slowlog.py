@@ -65,9 +65,14 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter("not ok").select("raw")
 
 
+# one key => value pair; quoted values are taken whole, so that text inside them is never read as a pair. The
+# repetitions do not give back what they took, which keeps long values off the matcher's stack
+_PAIR = r"(?s)(\w+)\s*=>\s*('[^'\\]*+(?:\\.[^'\\]*+)*+'|[^,\s}]++)"
+
+
 def _dump_value(name: str) -> Column:
-    raw = F.regexp_extract("value", rf"(?s)\b{name}\s*=>\s*('(?:[^'\\]|\\.)*'|[^,\s}}]+)", 1)
-    bare = F.regexp_replace(F.regexp_replace(raw, "^'", ""), "'$", "")
+    raw = F.try_element_at(F.col("_values"), F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
+    bare = F.when(F.startswith(raw, F.lit("'")), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
     return F.nullif(bare, F.lit(""))
 
 
@@ -77,7 +82,10 @@ def _dump_text(name: str) -> Column:
 
 def parse_digest_dump(records: DataFrame, inst_id: int | None = None, db_id: int | None = None) -> DataFrame:
     """Q2: key => value records with statement and fingerprint; equal fingerprints share ``templete_id``."""
-    parsed = records.select(
+    pairs = records.select(
+        "value", F.regexp_extract_all("value", F.lit(_PAIR), 1).alias("_names"), F.regexp_extract_all("value", F.lit(_PAIR), 2).alias("_values")
+    )
+    parsed = pairs.select(
         F.try_to_timestamp(F.concat(F.lit("20"), _dump_value("ts")), F.lit("yyyyMMdd HH:mm:ss")).cast("timestamp_ntz").alias("finish_time"),
         *[_dump_value(n).alias(n) for n in ("user", "host", "ip", "db", "cmd")],
         _dump_value("Query_time").try_cast("double").alias("query_time"),
@@ -106,11 +114,11 @@ def fingerprint(sql: Column) -> Column:
     text = F.lower(F.trim(F.regexp_replace(sql, r"\s+", " ")))
     # fixed values: patterns of what is folded, in the order they apply
     for pattern, put in (
-        (r"'(?:[^'\\]|\\.|'')*'", "?"),
-        (r'"(?:[^"\\]|\\.)*"', "?"),
+        (r"(?s)'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'", "?"),
+        (r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "?"),
         (r"\b[0-9]+(?:\.[0-9]+)?\b", "?"),
-        (r"\bin ?\( ?\?(?: ?, ?\?)* ?\)", "in(?+)"),
-        (r"\bvalues ?\([^)]*\)(?: ?, ?\([^)]*\))*", "values(?+)"),
+        (r"\bin ?\( ?\?(?: ?, ?\?)*+ ?\)", "in(?+)"),
+        (r"\bvalues ?\([^)]*+\)(?: ?, ?\([^)]*+\))*+", "values(?+)"),
     ):
         text = F.regexp_replace(text, pattern, put)
     return text

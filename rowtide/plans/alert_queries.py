@@ -81,7 +81,8 @@ def _streamed(spark, d, rule):
     streaming.use_rocksdb(spark)
     out = scratch_path(spark, "alerts")
     schema = base(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(d)
+    # as a pattern the path may be a file or a folder
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parque[t]")
     samples = events.selectExpr(*inputs.SAMPLES).withColumn("ok", F.col("cpu") <= 40)
     state = streaming.alert_stream(samples, ["server_id"], "ts", "sample_id", rule)
     buffer_changes(state, out, f"{out}-ck").awaitTermination()

@@ -29,44 +29,72 @@ class AlertState(NamedTuple):
     recovered: bool = False
 
 
-def _frame(n: int, ok: bool, fails, succs, first, sent, times, recovered, emit) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "ok": np.full(n, ok), "fail_times": fails, "succ_times": succs, "first_failure_time": pd.Series([first] * n, dtype="datetime64[us]"),
-            "is_send_alt_mail": np.where(sent, "Y", "N"), "is_send_alt_mail_times": times, "is_send_rcv_mail": np.where(recovered, "Y", "N"), "emit": emit,
-        }
-    )
+def _before(flags: np.ndarray) -> np.ndarray:
+    """Index of the latest true flag at or before each place, -1 if there is none."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
 
 
-def failing_run(state: AlertState, n: int, began, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
-    """``n`` failures in a row: the first alert once past ``rule.first``, then one at every multiple, up to the cap."""
-    fails = state.fail_times + np.arange(1, n + 1)
-    first = state.first_failure_time if state.first_failure_time is not None else began
-    due = fails % rule.every == 0
-    if not state.sent:
-        opening = max(rule.first + 1, state.fail_times + 1)
-        due = (fails == opening) | ((fails > opening) & due)
-    nth = np.cumsum(due)
-    left = max(rule.cap + 1 - state.sent_times, 0)
-    alerts = due & (nth <= left)
-    times = state.sent_times + np.minimum(nth, left)
-    sent = state.sent | (times > state.sent_times)
-    end = AlertState(int(fails[-1]), 0, first, bool(sent[-1]), int(times[-1]), True, state.recovered)
-    return end, _frame(n, False, fails, np.zeros(n, "int64"), first, sent, times, np.full(n, state.recovered), np.where(alerts, "alert", None))
-
+def _sent_at_run_start(state: AlertState, ok: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fails: np.ndarray, rule: AlertRule) -> np.ndarray:
+    """Whether an alert was open when each run of equal results began.
 
-def good_run(state: AlertState, n: int, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
-    """``n`` successes in a row: the alert ends at the success the rule names."""
-    succs = state.succ_times + np.arange(1, n + 1)
-    recovers = (succs == rule.recover_at) & state.sent
-    sent = state.sent & ~np.logical_or.accumulate(recovers)
-    end = AlertState(0, int(succs[-1]), None, bool(sent[-1]), 0, True, bool(recovers[-1]))
-    zero = np.zeros(n, "int64")
-    return end, _frame(n, True, zero, succs, None, sent, zero, recovers, np.where(recovers, "recovery", None))
+    A failing run longer than ``rule.first`` opens one, a good run that reaches ``rule.recover_at`` ends it; what
+    counts is which of the two came last.
+    """
+    last = starts + lengths - 1
+    good = ok[starts]
+    reach = lengths + np.where(np.arange(len(starts)) == 0, state.succ_times, 0)
+    opens = np.concatenate([[state.sent], ~good & (fails[last] > rule.first)])
+    ends = np.concatenate([[not state.sent], good & (reach >= rule.recover_at)])
+    return (_before(opens) > _before(ends))[:-1]
+
+
+def advance(state: AlertState, ok: np.ndarray, ts: np.ndarray, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
+    """The state after a series of samples in time order, and one row per sample. The series is not empty and starts
+    with a failure unless the state is known."""
+    n = len(ok)
+    at = np.arange(n)
+    starts = np.concatenate([[0], np.flatnonzero(ok[1:] != ok[:-1]) + 1])
+    lengths = np.diff(np.append(starts, n))
+    run = np.repeat(np.arange(len(starts)), lengths)
+    within = at - starts[run] + 1
+    goes_on = run == 0  # the first run may continue the one the state ended in
+    fails = np.where(ok, 0, within + np.where(goes_on, state.fail_times, 0))
+    succs = np.where(ok, within + np.where(goes_on, state.succ_times, 0), 0)
+    sent_before = _sent_at_run_start(state, ok, starts, lengths, fails, rule)[run]
+
+    # failures: the first alert once past the limit, then one at every multiple, up to the cap
+    opening = np.maximum(rule.first + 1, np.where(goes_on, state.fail_times, 0) + 1)
+    multiple = fails % rule.every == 0
+    due = ~ok & np.where(sent_before, multiple, (fails == opening) | ((fails > opening) & multiple))
+    count = np.cumsum(due)
+    nth = count - (count - due)[starts][run]
+    times_before = np.where(goes_on & ~ok, state.sent_times, 0)
+    left = np.maximum(rule.cap + 1 - times_before, 0)
+    alerts = due & (nth <= left)
+    times = np.where(ok, 0, times_before + np.minimum(nth, left))
+
+    # successes: the alert ends at the one the rule names
+    recovers = ok & sent_before & (succs == rule.recover_at)
+    sent = np.where(ok, sent_before & (succs < rule.recover_at), sent_before | (times > times_before))
+    last_ok = _before(ok)
+    recovered = np.where(last_ok >= 0, recovers[last_ok], state.recovered)
+
+    began = ts[starts][run]
+    if state.first_failure_time is not None:
+        began = np.where(goes_on, np.datetime64(state.first_failure_time), began)
+    out = pd.DataFrame(
+        {
+            "ok": ok, "fail_times": fails, "succ_times": succs, "first_failure_time": np.where(ok, np.datetime64("NaT"), began),
+            "is_send_alt_mail": np.where(sent, "Y", "N"), "is_send_alt_mail_times": times, "is_send_rcv_mail": np.where(recovered, "Y", "N"),
+            "emit": np.where(alerts, "alert", np.where(recovers, "recovery", None)),
+        }
+    )
+    first = None if ok[-1] else pd.Timestamp(began[-1]).to_pydatetime()
+    return AlertState(int(fails[-1]), int(succs[-1]), first, bool(sent[-1]), int(times[-1]), True, bool(recovered[-1])), out
 
 
 class AlertProcessor(StatefulProcessor):
-    """Keeps one small state row per key and goes through a batch run by run, not row by row."""
+    """Keeps one small state row per key and takes a batch of its samples as arrays."""
 
     def __init__(self, rule: AlertRule, keys: list[str], ts: str, ident: str):
         self.rule, self.keys, self.ts, self.ident = rule, keys, ts, ident
@@ -77,22 +105,18 @@ class AlertProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         samples = pd.concat(list(rows)).sort_values([self.ts, self.ident], ignore_index=True)
         state = AlertState(*self.state.get()) if self.state.exists() else AlertState()
-        ok = samples["ok"].to_numpy(dtype=bool)
-        edges = [0, *(np.flatnonzero(ok[1:] != ok[:-1]) + 1), len(ok)]
-        for start, stop in zip(edges, edges[1:]):
-            if ok[start] and not state.known:
-                continue
-            if ok[start]:
-                state, out = good_run(state, stop - start, self.rule)
-            else:
-                state, out = failing_run(state, stop - start, samples[self.ts].iloc[start].to_pydatetime(), self.rule)
-            part = samples.iloc[start:stop]
-            out.insert(0, self.ts, part[self.ts].to_numpy())
-            out.insert(0, self.ident, part[self.ident].to_numpy())
-            for i, name in enumerate(self.keys):
-                out.insert(i, name, key[i])
-            yield out
+        if not state.known:  # successes before the first failure leave no state
+            failed = np.flatnonzero(~samples["ok"].to_numpy(dtype=bool))
+            samples = samples.iloc[failed[0] if len(failed) else len(samples):]
+        if samples.empty:
+            return
+        state, out = advance(state, samples["ok"].to_numpy(dtype=bool), samples[self.ts].to_numpy(), self.rule)
+        out.insert(0, self.ts, samples[self.ts].to_numpy())
+        out.insert(0, self.ident, samples[self.ident].to_numpy())
+        for i, name in enumerate(self.keys):
+            out.insert(i, name, key[i])
         self.state.update(tuple(state))
+        yield out
 
     def close(self) -> None:
         pass

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,26 @@ def test_missing_threshold_counts_as_zero_and_null_is_no_breach(spark):
     limits = spark.createDataFrame([("cpu", 0.8)], "index_code string, index_threshold double")
     got = alerts.with_breach(values, limits).collect()
     assert sorted((r["index_code"], r["index_value"] or 0, r["breach"]) for r in got) == [("cpu", 0, False), ("cpu", 50.0, False), ("disk", 0.0, False), ("mem", 1.0, True)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_array_steps_equal_single_steps(seed):
+    rng = random.Random(seed)
+    rule = AlertRule(first=rng.randrange(4), every=rng.randrange(1, 7), cap=rng.randrange(4), recover_at=rng.randrange(1, 4))
+    p = rng.choice([0.1, 0.4, 0.7, 0.9])
+    results = [False] + [rng.random() > p for _ in range(400)]
+    times = [START + dt.timedelta(minutes=i) for i in range(len(results))]
+    single, want = (0, 0, None, False, 0, False, False), []
+    for ok, ts in zip(results, times):
+        single, emit = advance(single, ok, ts, rule)
+        want.append((*single, emit))
+    state, at, got = streaming.AlertState(), 0, []
+    while at < len(results):
+        n = rng.randrange(1, 60)
+        state, out = streaming.advance(state, np.array(results[at:at + n]), np.array(times[at:at + n], dtype="datetime64[us]"), rule)
+        for r in out.itertuples():
+            first = None if r.first_failure_time is pd.NaT else r.first_failure_time.to_pydatetime()
+            got.append((r.fail_times, r.succ_times, first, r.is_send_alt_mail == "Y", r.is_send_alt_mail_times, True, r.is_send_rcv_mail == "Y", r.emit))
+        assert tuple(state) == got[-1][:-1]
+        at += n
+    assert got == want

@@ -297,3 +297,19 @@ def test_file_increment(spark):
 def test_report_rows_blank_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert sinks.report_rows(df, ["x", "y"]).first().asDict() == {"x": "1", "y": ""}
+
+
+def test_very_long_statements_are_taken_whole(spark):
+    values = ", ".join(["'it\\\\'s'"] * 40_000)
+    arg = f"select * from t where v in ({values})"
+    path = scratch_path(spark, "long")
+    record = "$VAR1 = {\n  Query_time => '1.5',\n  arg => '" + arg.replace("'", "\\'") + "',\n  db => 'app',\n  ts => '240101 00:00:07',\n  user => 'u db => x'\n};"
+    block = f"# Time: 2024-01-01T00:00:07Z\n# User@Host: u[u] @ h []\n# Query_time: 6.55 Lock_time: 0.10 Rows_sent: 3 Rows_examined: 120\nuse app;\n{arg};"
+    spark.createDataFrame([(record,)], "value string").coalesce(1).write.text(f"{path}/dump")
+    spark.createDataFrame([(block,)], "value string").coalesce(1).write.text(f"{path}/blocks")
+    dump = slowlog.accepted(slowlog.parse_digest_dump(slowlog.read_records(spark, f"{path}/dump", slowlog.DUMP_MARK))).first()
+    assert len(dump["sql_text"]) > 300_000 and (dump["db"], dump["user"], dump["host"]) == ("app", "u db => x", None)
+    block = slowlog.accepted(slowlog.parse_slow_blocks(slowlog.read_records(spark, f"{path}/blocks", slowlog.BLOCK_MARK))).first()
+    assert block["sql_text"] == arg + ";"
+    made = spark.createDataFrame([(arg.replace("\\\\", "\\"),), ("insert into t values " + ", ".join(["(1, 'a')"] * 50_000),)], "q string").select(slowlog.fingerprint(F.col("q"))).collect()
+    assert [r[0] for r in made] == ["select * from t where v in(?+)", "insert into t values(?+)"]
