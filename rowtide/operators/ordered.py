@@ -56,12 +56,15 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def label_runs(log: DataFrame, table: str = "tbl", op: str = "op", order: list[str] = POSITION, chunk: str = "file_no") -> DataFrame:
     """Number the runs of equal operations of each table in log order (column ``run_no``)."""
+    placed = log.filter(F.col(table).isNotNull() & F.col(chunk).isNotNull())
     w = _running([table, chunk], order)
-    changed = (F.lag(op).over(w).isNotNull()) & (F.lag(op).over(w) != F.col(op))
-    local = log.withColumn("_changed", F.when(changed, 1).otherwise(0)).withColumn("_steps", F.sum("_changed").over(w))
+    local = placed.select("*", F.lag(op).over(w).alias("_was"), F.lead(op).over(w).alias("_next"))
+    steps = F.sum(F.when(F.col("_was") != F.col(op), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    local = local.withColumn("_steps", steps)
+    # operations are never null, so a missing neighbour marks the ends of a chunk
     summary = local.groupBy(table, chunk).agg(
-        F.min_by(op, F.struct(*order)).alias("_first_op"),
-        F.max_by(op, F.struct(*order)).alias("_last_op"),
+        F.max(F.when(F.col("_was").isNull(), F.col(op))).alias("_first_op"),
+        F.max(F.when(F.col("_next").isNull(), F.col(op))).alias("_last_op"),
         F.max("_steps").alias("_inner"),
     )
     by_chunk = Window.partitionBy(table).orderBy(chunk)

@@ -126,8 +126,9 @@ def add_missing_columns(target: DataFrame, source: DataFrame) -> DataFrame:
 
 def classify_statement(statements: DataFrame, col: str = "statement") -> DataFrame:
     """Kind and object of each statement of a log; the object comes without schema and backticks."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.col(col), "`", ""), r"\s+", " "))
-    up = F.upper(text)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.col(col), "`", ""), r"\s+", " "))
+    evened = statements.withColumn("_text", plain).withColumn("_up", F.upper("_text"))
+    text, up = F.col("_text"), F.col("_up")
     alter = F.regexp_extract(up, r"^ALTER TABLE \S+ (ADD|DROP|CHANGE)\b", 1)
     made = F.regexp_extract(up, r"^(CREATE|DROP) (TABLE|INDEX|DATABASE)\b", 0)
     op = (
@@ -143,7 +144,7 @@ def classify_statement(statements: DataFrame, col: str = "statement") -> DataFra
         r"(?i)^UPDATE ([^\s(;]+)",
     ]
     found = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
-    return statements.withColumn("op", op).withColumn("object", F.substring_index(found, ".", -1))
+    return evened.withColumn("op", op).withColumn("object", F.substring_index(found, ".", -1)).drop("_text", "_up")
 
 
 def keep_ddl(statements: DataFrame, col: str = "statement") -> DataFrame:

@@ -17,7 +17,13 @@ DUMP_MARK = "$VAR1 ="
 
 def read_records(spark: SparkSession, path: str, mark: str) -> DataFrame:
     """Records of text files cut at a mark; the reader splits files between tasks at the mark itself."""
-    return spark.read.option("lineSep", mark).text(path).filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+    return spark.read.option("lineSep", mark).text(path).filter(F.col("value").rlike(r"\S"))
+
+
+def once(df: DataFrame, *cols: Column) -> DataFrame:
+    """Work out costly columns once per row. As output of a generator they are not copied into later filters and
+    selections, as the optimiser would do with a plain select."""
+    return df.select(F.explode(F.array(F.struct(*cols))).alias("_row")).select("_row.*")
 
 
 def squeeze(text: Column) -> Column:
@@ -32,7 +38,8 @@ def _found(pattern: str, group: int = 1, col: str = "value") -> Column:
 def parse_slow_blocks(records: DataFrame, inst_id: int | None = None, db_id: int | None = None) -> DataFrame:
     """Q1: fields of '# Time:' records. Records without a time, the numbers or a statement get ``ok`` false."""
     stmt = squeeze(F.regexp_extract("value", r"(?s)\n\s*use\s+[^;\n]+;[ \t]*\r?\n(.*)$", 1))
-    parsed = records.select(
+    parsed = once(
+        records,
         F.try_to_timestamp(_found(r"^\s*(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)"), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("finish_time"),
         _found(r"# User@Host:\s*([^\[\s@]*)\s*\[").alias("user"),
         _found(r"# User@Host:[^@\n]*@\s*([^\s\[:]*)").alias("host"),
@@ -65,15 +72,14 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter("not ok").select("raw")
 
 
-# one key => value pair; quoted values are taken whole, so that text inside them is never read as a pair. The
-# repetitions do not give back what they took, which keeps long values off the matcher's stack
-_PAIR = r"(?s)(\w+)\s*=>\s*('[^'\\]*+(?:\\.[^'\\]*+)*+'|[^,\s}]++)"
+# one key => value pair, the value without its quotes; quoted values are taken whole, so that text inside them is
+# never read as a pair. The repetitions do not give back what they took, which keeps long values off the matcher's stack
+_PAIR = r"(?s)\b(\w++)\s*+=>\s*+'?+((?<=')[^'\\]*+(?:\\.[^'\\]*+)*+|[^,\s}']++)"
 
 
 def _dump_value(name: str) -> Column:
-    raw = F.try_element_at(F.col("_values"), F.nullif(F.array_position("_names", name), F.lit(0)).cast("int"))
-    bare = F.when(F.startswith(raw, F.lit("'")), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.nullif(bare, F.lit(""))
+    """The value of a key. ``_values`` opens with a null, where the place of a missing key points."""
+    return F.element_at("_values", (F.array_position("_names", name) + 1).cast("int"))
 
 
 def _dump_text(name: str) -> Column:
@@ -82,12 +88,14 @@ def _dump_text(name: str) -> Column:
 
 def parse_digest_dump(records: DataFrame, inst_id: int | None = None, db_id: int | None = None) -> DataFrame:
     """Q2: key => value records with statement and fingerprint; equal fingerprints share ``templete_id``."""
-    pairs = records.select(
-        "value", F.regexp_extract_all("value", F.lit(_PAIR), 1).alias("_names"), F.regexp_extract_all("value", F.lit(_PAIR), 2).alias("_values")
+    pairs = once(
+        records, F.col("value"), F.regexp_extract_all("value", F.lit(_PAIR), 1).alias("_names"),
+        F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("value", F.lit(_PAIR), 2)).alias("_values"),
     )
-    parsed = pairs.select(
+    parsed = once(
+        pairs,
         F.try_to_timestamp(F.concat(F.lit("20"), _dump_value("ts")), F.lit("yyyyMMdd HH:mm:ss")).cast("timestamp_ntz").alias("finish_time"),
-        *[_dump_value(n).alias(n) for n in ("user", "host", "ip", "db", "cmd")],
+        *[F.nullif(_dump_value(n), F.lit("")).alias(n) for n in ("user", "host", "ip", "db", "cmd")],
         _dump_value("Query_time").try_cast("double").alias("query_time"),
         _dump_value("Lock_time").try_cast("double").alias("lock_time"),
         _dump_value("Rows_sent").try_cast("bigint").alias("rows_sent"),

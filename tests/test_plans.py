@@ -78,3 +78,10 @@ def test_a_hot_month_is_written_by_several_tasks(spark):
     files = spark.read.format("binaryFile").load(f"{path}/yyyymm=200107").count()
     assert files > 3
     assert spark.read.parquet(path).count() == 200_000
+
+
+@pytest.mark.parametrize("name", ["w3_runs", "w5_fail_streak"])
+def test_rows_and_their_chunk_summary_share_one_shuffle(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    df.collect()
+    assert "ReusedExchange" in plan(df)
