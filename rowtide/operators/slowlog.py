@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide.functions.timing import moment
-from rowtide.operators.aggregates import group_as_distinct
+from rowtide.operators.aggregates import command_summary, group_as_distinct
 from rowtide.operators.filters import between_days
 from rowtide.operators.joins import not_whitelisted
 
@@ -149,15 +149,23 @@ def upsert_statement(stored: DataFrame, new: DataFrame, key: str = "sql_id") ->
     return stored.join(new.select(key).distinct(), key, "left_anti").select(*stored.columns).unionByName(new.select(*stored.columns))
 
 
+def _recent_commands(log: DataFrame, whitelist: DataFrame, as_of: datetime, minutes: int) -> DataFrame:
+    first = as_of - timedelta(minutes=minutes)
+    return not_whitelisted(log.filter((F.col("start_time") >= moment(first)) & (F.col("start_time") <= moment(as_of))), whitelist)
+
+
 def command_slowlog(log: DataFrame, whitelist: DataFrame, as_of: datetime, minutes: int = 10) -> DataFrame:
     """Q6: slow commands of the last minutes that are not whitelisted, once each with the time last recorded.
 
     Numbering the lines of a listing is ``number_rows`` over this result.
     """
-    start = as_of.timestamp() - minutes * 60
-    first = datetime.fromtimestamp(start)
-    recent = log.filter((F.col("start_time") >= moment(first)) & (F.col("start_time") <= moment(as_of)))
-    return group_as_distinct(not_whitelisted(recent, whitelist), ["dbid", "start_time", "duration", "command"], "create_time")
+    recent = _recent_commands(log, whitelist, as_of, minutes)
+    return group_as_distinct(recent, ["dbid", "start_time", "duration", "command"], "create_time")
+
+
+def command_slowlog_summary(log: DataFrame, whitelist: DataFrame, as_of: datetime, minutes: int = 10) -> DataFrame:
+    """Q6: the same commands per database, batch and command: average duration, first and last start."""
+    return command_summary(_recent_commands(log, whitelist, as_of, minutes), ["dbid", "batch_id", "command"], "duration", "start_time")
 
 
 def active_sessions(sessions: DataFrame, as_of: datetime, secs: int, started: str = "last_batch") -> DataFrame:

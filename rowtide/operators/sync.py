@@ -95,12 +95,15 @@ def transfer(source: DataFrame, target: DataFrame, where: str | Column | None =
     return kept.unionByName(source.filter(cond).select(*target.columns))
 
 
-def touched_months(source: DataFrame, target: DataFrame, keys: list[str], ts: str, n: int, unit: str, as_of: datetime) -> list[str]:
+def touched_months(
+    source: DataFrame, target: DataFrame, keys: list[str], ts: str, n: int, unit: str, as_of: datetime
+) -> list[str]:
     """Months a window replace changes: the window on both sides, and where moved rows were kept before."""
     fresh = recent(source, ts, n, unit, as_of)
-    moved = target.join(fresh.select(*keys), keys, "left_semi").select("yyyymm")
-    windows = recent(target, ts, n, unit, as_of).select("yyyymm").union(with_month(fresh, ts).select("yyyymm"))
-    return sorted(r[0] for r in moved.union(windows).distinct().toLocalIterator())
+    months = recent(target, ts, n, unit, as_of).select("yyyymm").union(with_month(fresh, ts).select("yyyymm"))
+    if keys:
+        months = months.union(target.join(fresh.select(*keys), keys, "left_semi").select("yyyymm"))
+    return sorted(r[0] for r in months.distinct().toLocalIterator())
 
 
 def read_month_target(spark: SparkSession, path: str) -> DataFrame:
@@ -112,21 +115,27 @@ def read_month_target(spark: SparkSession, path: str) -> DataFrame:
 def sync_month_target(
     source: DataFrame, path: str, keys: list[str], ts: str, n: int, unit: str, as_of: datetime, upsert: bool = False
 ) -> list[str]:
-    """Y1 then Y3/Y4 on a month-partitioned target, rewriting only the months that change.
+    """Y1 then Y3, Y4 or (without keys) Y6 on a month-partitioned target, rewriting only the months that change.
 
     Gives back the rewritten months; running it again with the same input changes nothing.
     """
     spark = source.sparkSession
     if not path_exists(spark, path):
-        write_month_partitioned(source, path, ts, keys)
+        write_month_partitioned(source, path, ts, keys or source.columns)
         return ["*"]
     target = read_month_target(spark, path)
     months = touched_months(source, target, keys, ts, n, unit, as_of)
     if not months:
         return []
     part = target.filter(F.col("yyyymm").isin(*months))
-    plan = window_upsert if upsert else window_replace
-    new = with_month(plan(source, part.drop("yyyymm"), keys, ts, n, unit, as_of), ts)
+    held = part.drop("yyyymm")
+    if not keys:
+        new = window_replace_nokey(source, held, ts, n, unit, as_of)
+    elif upsert:
+        new = window_upsert(source, held, keys, ts, n, unit, as_of)
+    else:
+        new = window_replace(source, held, keys, ts, n, unit, as_of)
+    new = with_month(new, ts)
     # rows of the new target may fall only into touched months, so nothing else is overwritten
     rewrite_partitions(even_files(new, "yyyymm"), path, "yyyymm", months)
     return months

@@ -9,6 +9,8 @@ from rowtide.operators.numbering import number_rows
 from rowtide.plans import inputs
 from rowtide.plans.inputs import EVENTS_AS_OF, base, with_inputs
 from rowtide.plans.registry import query
+from rowtide.sources.scan import choose_time_column
+from rowtide.sources.sinks import with_month
 
 
 # ---- joins
@@ -405,6 +407,16 @@ def l3(spark, d):
     return agg.next_batch(inputs.changes(spark, d), 400, 250).select("seq", "tbl", "op", "pk")
 
 
+@query("l4_first_datetime_column", "select 'update_time' as time_column, strftime(o_orderdate, '%Y%m') as yyyymm, count(*) as rows from orders where o_orderkey % 3 <> 0 group by 2")
+def l4(spark, d):
+    """No time column is free of nulls here, so the first indexed one by name is taken."""
+    late = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate"))
+    df = base(spark, d, "orders").select(late.alias("closed_at"), late.alias("update_dt"), late.alias("update_time"), late.alias("create_time"))
+    chosen = choose_time_column(df.schema, {"closed_at", "update_dt", "update_time"})
+    kept = with_month(df.filter(F.col(chosen).isNotNull()), chosen)
+    return kept.groupBy(F.lit(chosen).alias("time_column"), "yyyymm").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("s1_difference", with_inputs("orders_tgt") + "select order_id, status, amount from orders_src except select order_id, status, amount from orders_tgt")
 def s1(spark, d):
     cols = ["order_id", "status", "amount"]

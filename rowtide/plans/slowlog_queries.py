@@ -140,6 +140,15 @@ def q6(spark, d):
     return number_rows(listed, ["start_time", "dbid", "command", "duration"], "xh", unique=True)
 
 
+@query(
+    "q6_command_summary",
+    with_inputs("commands") + f", wl as ({_WHITELIST}) select dbid, batch_id, command, round(avg(duration), 2) as avg_duration, min(start_time) as first_time, max(start_time) as last_time from commands a"
+    " where start_time between timestamp '2024-01-29' and timestamp '2024-01-31' and command not in (select command from wl b where b.dbid = a.dbid and b.status = '1') group by 1, 2, 3",
+)
+def q6_summary(spark, d):
+    return slowlog.command_slowlog_summary(inputs.commands(spark, d), _whitelist(spark, d), EVENTS_AS_OF, 2 * 1440)
+
+
 @query(
     "q7_active_sessions",
     with_inputs("processes") + "select id, cast(trunc(epoch(timestamp '2024-01-31' - last_batch)) as bigint) as query_time, last_batch + to_seconds(cast(trunc(epoch(timestamp '2024-01-31' - last_batch)) as bigint)) as end_time"

@@ -12,9 +12,12 @@ from rowtide.operators import archive, reconcile, sync
 from rowtide.operators.numbering import add_surrogate_key
 from rowtide.plans import inputs
 from rowtide.plans.inputs import ORDERS_AS_OF, base, with_inputs
+from rowtide.plans.jobs import sync_tables
 from rowtide.plans.registry import query
 from rowtide.session import scratch_path
 from rowtide.sources import sinks
+from rowtide.sources.scan import catalog_of
+from rowtide.specs import SyncSpec
 
 PAIR = with_inputs("orders_tgt")
 KEY, TS = ["order_id"], "updated_at"
@@ -27,6 +30,22 @@ def _pair(spark, d):
     return inputs.orders_src(spark, d), inputs.orders_tgt(spark, d)
 
 
+@query(
+    "y0_sync_job",
+    "select 'orders' as tbl, count(*) filter (o_orderdate >= timestamp '2001-05-03') as moved, count(*) as held from orders union all select 'lineitem', count(*) filter (l_shipdate >= timestamp '2001-05-03'), count(*) from lineitem"
+    " union all select 'nation', count(*), count(*) from nation",
+)
+def y0(spark, d):
+    """A whole job: a keyed, a keyless and a full table, run twice; the second run finds the first one's targets."""
+    target = scratch_path(spark, "job")
+    source = catalog_of(d, ["orders", "lineitem", "nation"], {"orders": ("o_orderkey",), "nation": ("n_nationkey",)})
+    specs = SyncSpec.parse_list("orders:o_orderdate:90,lineitem:l_shipdate:90,nation::")
+    sync_tables(spark, source, specs, target, ORDERS_AS_OF)
+    log = sync_tables(spark, source, specs, target, ORDERS_AS_OF, allow={"nation": "n_name#n_nationkey"})
+    held = [spark.read.parquet(f"{target}/{s.table}").agg(F.lit(s.table).alias("tbl"), F.count(F.lit(1)).alias("held")) for s in specs]
+    return log.select("tbl", "moved").join(reduce(DataFrame.unionByName, held), "tbl")
+
+
 @query("y1_init_load", PAIR + "select 'empty' as target, * from orders_src union all select 'filled', * from orders_tgt")
 def y1(spark, d):
     src, tgt = _pair(spark, d)

@@ -103,14 +103,16 @@ def project_synced(df: DataFrame, allow: str | None) -> DataFrame:
     return df.select(*[c for c in df.columns if c.lower() in wanted])
 
 
-def choose_time_column(schema: T.StructType) -> str | None:
-    """The time column to partition by: a preferred name first, else any that cannot be null."""
+def choose_time_column(schema: T.StructType, indexed: set[str] = frozenset()) -> str | None:
+    """The time column to partition by: a preferred name first, else any that cannot be null; failing
+    those, the ``indexed`` date or time columns in the same order of preference, null or not."""
     fixed = [f.name for f in schema.fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) and not f.nullable]
-    by_name = {name.lower(): name for name in fixed}
-    for preferred in TIME_COLUMN_ORDER:
-        if preferred in by_name:
-            return by_name[preferred]
-    return fixed[0] if fixed else None
+    keyed = [c for c in incremental_candidates(schema) if c in indexed]
+
+    def rank(name: str) -> int:
+        return TIME_COLUMN_ORDER.index(name.lower()) if name.lower() in TIME_COLUMN_ORDER else len(TIME_COLUMN_ORDER)
+
+    return min(fixed or keyed, key=rank, default=None)
 
 
 def page(df: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:

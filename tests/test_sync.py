@@ -313,3 +313,13 @@ def test_very_long_statements_are_taken_whole(spark):
     assert block["sql_text"] == arg + ";"
     made = spark.createDataFrame([(arg.replace("\\\\", "\\"),), ("insert into t values " + ", ".join(["(1, 'a')"] * 50_000),)], "q string").select(slowlog.fingerprint(F.col("q"))).collect()
     assert [r[0] for r in made] == ["select * from t where v in(?+)", "insert into t values(?+)"]
+
+
+def test_listing_and_indexed_time_column(spark, sf):
+    cat = scan.catalog_of(sf, ["nation", "Region"])
+    assert sorted(r[0] for r in scan.list_tables(spark, cat).collect()) == ["nation", "region"]
+    ts = T.TimestampNTZType()
+    made = T.StructType([T.StructField("closed", T.DateType()), T.StructField("update_dt", ts), T.StructField("create_time", ts)])
+    assert scan.choose_time_column(made, {"closed", "update_dt"}) == "update_dt"
+    assert scan.choose_time_column(made, {"closed"}) == "closed"
+    assert scan.choose_time_column(made) is None
