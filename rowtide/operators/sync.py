@@ -97,13 +97,14 @@ def transfer(source: DataFrame, target: DataFrame, where: str | Column | None =
 
 def touched_months(
     source: DataFrame, target: DataFrame, keys: list[str], ts: str, n: int, unit: str, as_of: datetime
-) -> list[str]:
-    """Months a window replace changes: the window on both sides, and where moved rows were kept before."""
+) -> list[str | None]:
+    """Months a window replace changes: the window on both sides, and where moved rows were kept before (None for
+    rows that had no time)."""
     fresh = recent(source, ts, n, unit, as_of)
     months = recent(target, ts, n, unit, as_of).select("yyyymm").union(with_month(fresh, ts).select("yyyymm"))
     if keys:
         months = months.union(target.join(fresh.select(*keys), keys, "left_semi").select("yyyymm"))
-    return sorted(r[0] for r in months.distinct().toLocalIterator())
+    return sorted((r[0] for r in months.distinct().toLocalIterator()), key=lambda m: m or "")
 
 
 def read_month_target(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +115,7 @@ def read_month_target(spark: SparkSession, path: str) -> DataFrame:
 
 def sync_month_target(
     source: DataFrame, path: str, keys: list[str], ts: str, n: int, unit: str, as_of: datetime, upsert: bool = False
-) -> list[str]:
+) -> list[str | None]:
     """Y1 then Y3, Y4 or (without keys) Y6 on a month-partitioned target, rewriting only the months that change.
 
     Gives back the rewritten months; running it again with the same input changes nothing.
@@ -127,7 +128,8 @@ def sync_month_target(
     months = touched_months(source, target, keys, ts, n, unit, as_of)
     if not months:
         return []
-    part = target.filter(F.col("yyyymm").isin(*months))
+    inside = F.col("yyyymm").isin(*[m for m in months if m])
+    part = target.filter(inside | F.col("yyyymm").isNull() if None in months else inside)
     held = part.drop("yyyymm")
     if not keys:
         new = window_replace_nokey(source, held, ts, n, unit, as_of)

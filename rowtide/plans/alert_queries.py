@@ -78,7 +78,7 @@ def m3_stream(spark, d):
 
 
 def _streamed(spark, d, rule):
-    streaming.use_rocksdb(spark)
+    before = streaming.use_rocksdb(spark)
     out = scratch_path(spark, "alerts")
     schema = base(spark, d, "events").schema
     # as a pattern the path may be a file or a folder
@@ -86,6 +86,7 @@ def _streamed(spark, d, rule):
     samples = events.selectExpr(*inputs.SAMPLES).withColumn("ok", F.col("cpu") <= 40)
     state = streaming.alert_stream(samples, ["server_id"], "ts", "sample_id", rule)
     buffer_changes(state, out, f"{out}-ck").awaitTermination()
+    spark.conf.set(streaming.STATE_STORE_CONF, before)
     return spark.read.parquet(out)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # fixed values: schemas that are never exported
 SYSTEM_SCHEMAS = ("information_schema", "performance_schema", "test", "sys", "mysql")
+# fixed value: folder name of a partition without a value
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def with_month(df: DataFrame, ts: str, name: str = "yyyymm") -> DataFrame:
@@ -64,7 +66,7 @@ def rewrite_partitions(new_rows: DataFrame, path: str, part_col: str, touched: l
     new files, so its old folder is removed afterwards. ``touched`` holds partition values, never row keys.
     """
     spark = new_rows.sparkSession
-    folders = [f"{path}/{part_col}={value}" for value in touched]
+    folders = [f"{path}/{part_col}={NO_VALUE if value is None else value}" for value in touched]
     earlier = {folder: _files(spark, folder) for folder in folders}
     new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
     for folder in folders:

@@ -14,6 +14,7 @@ from rowtide.specs import AlertRule
 
 _STATE = "fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, sent boolean, sent_times bigint, known boolean, recovered boolean"
 _OUT = "ok boolean, fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, is_send_rcv_mail string, emit string"
+STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -134,6 +135,8 @@ def alert_stream(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
     )
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store ``alert_stream`` needs; set before the query starts."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+def use_rocksdb(spark: SparkSession) -> str:
+    """Set the state store ``alert_stream`` needs, before its query starts. Gives the one set before."""
+    before = spark.conf.get(STATE_STORE_CONF)
+    spark.conf.set(STATE_STORE_CONF, STATE_STORE)
+    return before

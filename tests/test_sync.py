@@ -323,3 +323,22 @@ def test_listing_and_indexed_time_column(spark, sf):
     assert scan.choose_time_column(made, {"closed", "update_dt"}) == "update_dt"
     assert scan.choose_time_column(made, {"closed"}) == "closed"
     assert scan.choose_time_column(made) is None
+
+
+def test_a_row_without_a_time_that_gets_one_moves_to_its_month(spark):
+    cols = "order_id int, updated_at timestamp_ntz"
+    for others in ([], [(2, None)]):
+        path = scratch_path(spark, "nulls")
+        sinks.write_month_partitioned(spark.createDataFrame([(1, None), (3, dt.datetime(2001, 1, 1)), *others], cols), path, TS, KEY)
+        sync.sync_month_target(spark.createDataFrame([(1, dt.datetime(2001, 7, 9))], cols), path, KEY, TS, *WINDOW)
+        got = {r["order_id"]: r["yyyymm"] for r in sync.read_month_target(spark, path).collect()}
+        assert got == {1: "200107", 3: "200101", **{k: None for k, _ in others}}
+
+
+def test_keyless_month_target(spark):
+    cols = "v int, updated_at timestamp_ntz"
+    old, new = (1, dt.datetime(2001, 1, 1)), (2, dt.datetime(2001, 7, 9))
+    path = scratch_path(spark, "keyless")
+    sinks.write_month_partitioned(spark.createDataFrame([old, old, new], cols), path, TS, ["v"])
+    sync.sync_month_target(spark.createDataFrame([old, new, new, new], cols), path, [], TS, *WINDOW)
+    assert sorted(r["v"] for r in sync.read_month_target(spark, path).collect()) == [1, 1, 2, 2, 2]
