@@ -48,27 +48,27 @@ def sent_times(fails: Column, rule: AlertRule) -> Column:
 
 
 def alert_state(
-    samples: DataFrame, keys: list[str], ok: Column, order: list[str], ts: str, rule: AlertRule = SERVER_RULE, chunk: Column | None = None
+    samples: DataFrame, keys: list[str], ok: Column, order: list[str], ts: str, rule: AlertRule = SERVER_RULE, chunk: Column | None = None,
+    since: DataFrame | None = None,
 ) -> DataFrame:
     """M3-M5: state of every check after each sample, and what it sends (``emit``: alert, recovery or null).
 
     Failures and successes are runs of equal results, and everything the state holds follows from the lengths of
-    the current and the last run; so the state machine is a prefix scan, not a fold in one task per key.
+    the current and the last run; so the state machine is a prefix scan, not a fold in one task per key. ``since``
+    is the last row per key of the samples before these.
     """
-    run = streaks(samples, keys, ok, order, ts, chunk).filter("recorded")
+    if rule.recover_at != 1:
+        raise ValueError("rules that recover later than the first success are followed by the stream's keyed state only")
+    run = streaks(samples, keys, ok, order, ts, chunk, since).filter("recorded")
     fails = F.col("fail_times")
-    sent = sent_times(fails, rule)
     sends = (fails == rule.first + 1) | ((fails > rule.first + 1) & (fails % rule.every == 0) & (sent_times(fails - 1, rule) <= rule.cap))
-    if rule.recover_at == 1:
-        recovers = F.col("ok") & (F.col("succ_times") == 1) & (F.col("ended_streak") > rule.first)
-    else:
-        raise ValueError("rules that recover later than the first success are followed by the streaming state only")
+    recovers = F.col("ok") & (F.col("succ_times") == 1) & (F.col("ended_streak") > rule.first)
     return (
         run.withColumn("is_send_alt_mail", F.when(fails > rule.first, "Y").otherwise("N"))
-        .withColumn("is_send_alt_mail_times", F.when(F.col("ok"), F.lit(0)).otherwise(sent).cast("bigint"))
+        .withColumn("is_send_alt_mail_times", F.when(F.col("ok"), F.lit(0)).otherwise(sent_times(fails, rule)).cast("bigint"))
         .withColumn("emit", F.when(~F.col("ok") & sends, "alert").when(recovers, "recovery"))
         .withColumn("is_send_rcv_mail", F.when(F.col("ended_streak") > rule.first, "Y").otherwise("N"))
-        .drop("recorded", "ended_streak")
+        .drop("recorded")
     )
 
 

@@ -118,9 +118,28 @@ def counter_delta(
     )
 
 
-def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], ts: str, chunk: Column | None = None) -> DataFrame:
+def _as_chunk(since: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Earlier results as the summary of a chunk before all others: an ended streak, its success, then what goes on."""
+    failing = F.col("fail_times") > 0
+    many = F.col("succ_times") > 1
+    ended = F.when(many, F.lit(1)).otherwise(F.col("ended_streak"))
+    good = F.when(failing, F.lit(1)).otherwise(F.col("succ_times"))
+    return since.select(
+        *keys,
+        F.lit(None).cast(kind).alias("_chunk"),
+        (ended + good + F.col("fail_times")).alias("_n"),
+        (ended + good).cast("int").alias("_end_ok"),
+        F.when(many, ended + good - 1).cast("int").alias("_end_ok2"),
+        F.when(failing, ended + good + F.col("fail_times")).otherwise(ended).cast("int").alias("_end_fail"),
+        F.col("first_failure_time").alias("_end_began"),
+    )
+
+
+def streaks(
+    samples: DataFrame, keys: list[str], ok: Column, order: list[str], ts: str, chunk: Column | None = None, since: DataFrame | None = None
+) -> DataFrame:
     """Failures in a row so far, when they began, successes since, and ``ended_streak``: the failures right before
-    the latest success.
+    the latest success. ``since`` holds the last row per key of an earlier call whose run goes on here.
 
     ``recorded`` is false for successes before the first failure: no state exists for them yet.
     """
@@ -146,7 +165,9 @@ def streaks(samples: DataFrame, keys: list[str], ok: Column, order: list[str], t
         F.max("_last_fail").alias("_end_fail"),
         F.max("_began").alias("_end_began"),
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    if since is not None:
+        summary = summary.unionByName(_as_chunk(since, keys, dict(cut.dtypes)["_chunk"]))
+    by_chunk = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_chunk"))
     past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         summary.withColumn("_off", F.coalesce(F.sum("_n").over(past), F.lit(0)))

@@ -61,9 +61,12 @@ _STATE = (
 )
 
 
+STATE = ["sample_id", "server_id", "ts", "ok", "fail_times", "succ_times", "first_failure_time", "is_send_alt_mail", "is_send_alt_mail_times", "emit", "is_send_rcv_mail"]
+
+
 def _state(spark, d, rule=RULE):
     samples = inputs.samples(spark, d).select("sample_id", "server_id", "ts", "cpu")
-    return alerts.alert_state(samples, ["server_id"], F.col("cpu") <= 40, ["ts", "sample_id"], "ts", rule).drop("cpu")
+    return alerts.alert_state(samples, ["server_id"], F.col("cpu") <= 40, ["ts", "sample_id"], "ts", rule).select(*STATE)
 
 
 @query("m3_alert_state", STREAKS_SQL + _STATE + " select * from state")
@@ -77,14 +80,25 @@ def m3_stream(spark, d):
     return _streamed(spark, d, RULE)
 
 
+@query("m3_alert_state_batches", STREAKS_SQL + _STATE + " select * from state")
+def m3_batches(spark, d):
+    """The same rows from a stream whose batches run the prefix scan."""
+    path = scratch_path(spark, "alerting")
+    streaming.start_alerts(_samples(spark, d), ["server_id"], "ts", "sample_id", RULE, f"{path}/out", f"{path}/state", f"{path}/ck").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(*STATE)
+
+
+def _samples(spark, d):
+    schema = base(spark, d, "events").schema
+    # as a pattern the path may be a file or a folder
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{d}/events.parque[t]")
+    return events.selectExpr(*inputs.SAMPLES).withColumn("ok", F.col("cpu") <= 40)
+
+
 def _streamed(spark, d, rule):
     before = streaming.use_rocksdb(spark)
     out = scratch_path(spark, "alerts")
-    schema = base(spark, d, "events").schema
-    # as a pattern the path may be a file or a folder
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{d}/events.parque[t]")
-    samples = events.selectExpr(*inputs.SAMPLES).withColumn("ok", F.col("cpu") <= 40)
-    state = streaming.alert_stream(samples, ["server_id"], "ts", "sample_id", rule)
+    state = streaming.alert_stream(_samples(spark, d), ["server_id"], "ts", "sample_id", rule)
     buffer_changes(state, out, f"{out}-ck").awaitTermination()
     spark.conf.set(streaming.STATE_STORE_CONF, before)
     return spark.read.parquet(out)

@@ -53,6 +53,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def _files(spark: SparkSession, folder: str) -> frozenset[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -71,8 +76,7 @@ def rewrite_partitions(new_rows: DataFrame, path: str, part_col: str, touched: l
     new_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part_col).parquet(path)
     for folder in folders:
         if earlier[folder] and earlier[folder] == _files(spark, folder):
-            gone = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+            remove_path(spark, folder)
 
 
 def full_or_incremental(target: DataFrame, full: DataFrame, incr: DataFrame, incr_col: str | None) -> tuple[str, DataFrame]:

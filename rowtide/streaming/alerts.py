@@ -7,10 +7,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from rowtide.operators.alerts import alert_state
+from rowtide.operators.ordered import keep_last
+from rowtide.sources.sinks import path_exists, remove_path
 from rowtide.specs import AlertRule
+from rowtide.streaming.changes import buffered
 
 _STATE = "fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, sent boolean, sent_times bigint, known boolean, recovered boolean"
 _OUT = "ok boolean, fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, is_send_rcv_mail string, emit string"
@@ -135,6 +139,33 @@ def alert_stream(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
     )
 
 
+def start_alerts(
+    samples: DataFrame, keys: list[str], ts: str, ident: str, rule: AlertRule, out: str, state: str, checkpoint: str, gap: str | None = None
+) -> StreamingQuery:
+    """M3-M5 as a stream whose batches go through the prefix scan, so a hot key is no single task's work.
+
+    Batch ``n`` starts from the last rows kept after batch ``n - 1`` and replaces its own output when it is repeated.
+    Batches must come in time order; inside one any order will do.
+    """
+    order = [ts, ident]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = f"{state}/batch={batch_id - 1}"
+        since = spark.read.parquet(held) if path_exists(spark, held) else None
+        rows = alert_state(batch.select(*keys, ident, ts, F.col("ok").alias("good")), keys, F.col("good"), order, ts, rule, since=since).drop("good")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = spark.read.parquet(f"{out}/batch={batch_id}")
+        # a key without new samples keeps its row: the new one wins only because it comes later in the union
+        merged = last.withColumn("_new", F.lit(1))
+        if since is not None:
+            merged = merged.unionByName(since.withColumn("_new", F.lit(0)))
+        keep_last(merged, keys, ["_new", *order]).drop("_new").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        remove_path(spark, f"{state}/batch={batch_id - 2}")  # a repeat only ever needs the batch before
+
+    return buffered(samples, checkpoint, gap).foreachBatch(step).start()
+
+
 def use_rocksdb(spark: SparkSession) -> str:
     """Set the state store ``alert_stream`` needs, before its query starts. Gives the one set before."""
     before = spark.conf.get(STATE_STORE_CONF)

@@ -156,3 +156,19 @@ def test_array_steps_equal_single_steps(seed):
         assert tuple(state) == got[-1][:-1]
         at += n
     assert got == want
+
+
+@pytest.mark.parametrize("rule", [SERVER_RULE, AlertRule(first=1, every=2, cap=2)])
+def test_batches_of_the_prefix_scan_equal_the_fold(spark, rule):
+    rng = random.Random(4)
+    rows = [(s, i, START + dt.timedelta(minutes=i * 7), rng.random() > (0.3 + 0.2 * s)) for s in range(4) for i in range(200)]
+    rows += rows_of([False] * 120 + [True] + [False] * 79, 4, 7) + rows_of([True] * 60 + [False] * 6 + [True, True] + [False] * 132, 5, 7)
+    # server 6 is silent in the middle
+    rows += [r for r in rows_of([False] * 200, 6, 7) if not 50 <= r[1] < 150]
+    src, out = scratch_path(spark, "samples"), scratch_path(spark, "alerting")
+    for part in range(5):
+        spark.createDataFrame([r for r in rows if r[1] // 40 == part], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(SCHEMA).parquet(src)
+        streaming.start_alerts(stream, ["server_id"], "ts", "sample_id", rule, f"{out}/out", f"{out}/state", f"{out}/ck").awaitTermination()
+    got = {(r["server_id"], r["sample_id"]): tuple(r[c] for c in STATE) for r in spark.read.parquet(f"{out}/out").collect()}
+    assert got == fold(rows, rule)
