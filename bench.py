@@ -18,7 +18,7 @@ HEADLINE = [
     "y9_reconcile_days", "y11_reconcile_rows", "y3_window_replace", "y4_window_upsert", "y10_repair_days", "y14_compact_latest",
     "x3_apply_changes", "x3_apply_changes_stream", "w2_last_change_per_key", "w3_runs", "w4_counter_delta", "d1_job_config",
     "d4_latest_per_key_semi", "d9_lock_waits", "e7_duplicate_keys", "e8_statement_stats", "e11_ops_by_interval", "l1_top_statements",
-    "m2_breaches", "m3_alert_state", "m3_alert_state_stream", "q1_parse_slow_blocks", "q4_slow_summary", "b8_add_surrogate_key", "a7_key_ranges", "r1_run_report",
+    "m2_breaches", "m3_alert_state", "m3_alert_state_stream", "m3_alert_state_batches", "q1_parse_slow_blocks", "q2_parse_digest_dump", "q4_slow_summary", "b8_add_surrogate_key", "a7_key_ranges", "r1_run_report",
 ]
 
 

@@ -57,7 +57,7 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def label_runs(log: DataFrame, table: str = "tbl", op: str = "op", order: list[str] = POSITION, chunk: str = "file_no") -> DataFrame:
     """Number the runs of equal operations of each table in log order (column ``run_no``)."""
     placed = log.filter(F.col(table).isNotNull() & F.col(chunk).isNotNull())
-    w = _running([table, chunk], order)
+    w = _running([table, chunk], [c for c in order if c != chunk])
     local = placed.select("*", F.lag(op).over(w).alias("_was"), F.lead(op).over(w).alias("_next"))
     steps = F.sum(F.when(F.col("_was") != F.col(op), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     local = local.withColumn("_steps", steps)
