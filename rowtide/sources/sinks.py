@@ -145,7 +145,7 @@ def export_with_manifest(spark: SparkSession, tables: dict[str, DataFrame], path
             .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
         )
         counted = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows"))
-        row = listed.withColumn("item", F.lit(name)).join(counted.withColumn("item", F.lit(name)), "item")
+        row = listed.withColumn("item", F.lit(name)).withColumn("rows", counted.scalar())
         files = row if files is None else files.unionByName(row)
     detail = files.join(seconds, "item").withColumn("status", F.when(F.col("files") > 0, "ok").otherwise("empty"))
     total = detail.agg(

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from rowtide import specs
 from rowtide.operators.alerts import alert_state
 from rowtide.operators.ordered import keep_last
 from rowtide.sources.sinks import path_exists, remove_path
 from rowtide.specs import AlertRule
 from rowtide.streaming.changes import buffered
 
+# the processor travels to the workers as code, so they need not have this package installed
+for _module in (sys.modules[__name__], specs):
+    cloudpickle.register_pickle_by_value(_module)
+
 _STATE = "fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, sent boolean, sent_times bigint, known boolean, recovered boolean"
 _OUT = "ok boolean, fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, is_send_rcv_mail string, emit string"
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
