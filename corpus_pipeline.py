@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import pivot_dedup, suffix_index
+from rowtide.llm import mixing, packing, pivot_dedup, quality, suffix_index
+from rowtide.llm.columns import words
 from rowtide.session import scratch_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
+    return quality.keep_good(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays."""
     return pivot_dedup.keep_first(docs)
@@ -18,9 +24,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffix_index.drop_repeats(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    return mixing.repeat_rows(docs, F.array("source"), F.size(words(F.col("text"))))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, each with its sequence and its place there, and the ids themselves."""
+    return packing.packed_documents(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_passages),
+    ("mixing_sources", mixture),
+    ("best_fit_packing", packed),
+]
 
-#: Hashing and suffix order can't be put in SQL; the stages are tested against brute force.
+#: Hashing, suffix order, seeded selection and token ids can't be put in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -21,6 +21,18 @@ def _place(bounds: np.ndarray):
     return place
 
 
+def placed(values: np.ndarray, names: np.ndarray):
+    """The name of each id among the sorted ``values``, -1 for the others."""
+
+    @F.pandas_udf("int")
+    def place(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in ids:
+            at = np.minimum(np.searchsorted(values, x.to_numpy()), len(values) - 1)
+            yield pd.Series(np.where(values[at] == x.to_numpy(), names[at], -1).astype(np.int32))
+
+    return place
+
+
 def id_bounds(docs: DataFrame, batch_bytes: int) -> np.ndarray:
     """Upper bounds of doc_id of all batches but the last.
 
@@ -47,12 +59,12 @@ def id_bounds(docs: DataFrame, batch_bytes: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def doc_batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int]:
+def doc_batches(docs: DataFrame, batch_bytes: int, bounds: np.ndarray | None = None) -> tuple[DataFrame, int]:
     """Rows (doc_id, text, rest, batch) and the number of batches. rest is a struct of all columns as given but text.
 
     doc_id has NO_ID for null. Batches rise with doc_id; rows that share a doc_id share a batch.
     """
-    bounds = id_bounds(docs, batch_bytes)
+    bounds = id_bounds(docs, batch_bytes) if bounds is None else bounds
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     return rows.withColumn("batch", _place(bounds)("doc_id")), len(bounds) + 1
