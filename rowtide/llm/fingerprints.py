@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.llm.batches import NO_ID, doc_batches, id_bounds, placed
-from rowtide.llm.texts import BASE, BYTE_CODES, bit_votes, column_bytes, mix64, spans, word_bounds
+from rowtide.llm.texts import bit_votes, column_bytes, mix64, span_hashes, spans, word_bounds
 from rowtide.session import scratch_path
 
 BITS = 128
@@ -18,34 +18,12 @@ BITS = 128
 SHORT, LONG, PAIR = 1, 2, 6
 
 _STEP = 1 << 19
-_POWERS = np.cumprod(np.concatenate([[1], np.full(_STEP, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-_INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
-_FALLING = np.cumprod(np.concatenate([[1], np.full(_STEP, _INVERSE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes: differences of running sums of byte codes times falling powers, moved to one place."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
-    i = 0
-    while i < len(starts):  # runs of words within _STEP bytes
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _STEP, "right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        if b - a > _STEP:  # one word longer than that
-            out[i] = int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=8).digest(), "little")
-        else:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[buf[a:b]] * _FALLING[: b - a], dtype=np.uint64)])
-            at = starts[i:j] - a
-            out[i:j] = (sums[ends[i:j] - a] - sums[at]) * _POWERS[at]
-        i = j
-    return mix64(out + (ends - starts).astype(np.uint64))
 
 
 def simhash128(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Two unsigned 64-bit halves per row. Each term votes with its weight for the set bits of its hash and against the others."""
     starts, ends, counts = word_bounds(buf, offsets)
-    hashes = word_hashes(buf, starts, ends)
+    hashes = span_hashes(buf, starts, ends)
     row = np.repeat(np.arange(len(counts)), counts)
     long = (ends - starts) > 4
     twin = np.flatnonzero(row[1:] == row[:-1]) if len(row) else np.zeros(0, np.int64)

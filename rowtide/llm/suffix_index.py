@@ -5,13 +5,16 @@ Documents are taken in batches of rising doc_id. The suffixes of a batch are kno
 sorted; the space of fingerprints is cut into slices, and each slice holds its own family of sorted arrays (``Levels``).
 Each new batch is merge-scanned against the levels, and levels of equal size merge.
 
-Sorting every suffix of the corpus would cost several times its size, so two passes do it:
+Sorting every suffix of the corpus would cost several times its size, so three passes do it, each over less:
 
-1. Only sampled suffixes. Every string of ``length`` bytes has one sampled suffix, chosen by its bytes alone (the
-   smallest fingerprint of ``gram`` bytes inside it), so equal strings have equal samples. A sample that no other
-   document shares rules out all strings around it.
-2. All suffixes whose sample is shared, by the fingerprint of their first ``length`` bytes. These are exactly the
-   candidates; a hit in an earlier batch, or in an earlier document of the same batch, is a match.
+1. Sampled suffixes. Every string of ``length`` bytes has one sampled suffix, chosen by its bytes alone (the smallest
+   fingerprint of ``gram`` bytes inside it), so equal strings have equal samples. A sample that no other document
+   shares rules out all strings around it.
+2. Blocks. The neighbouring strings of one sample make a block of bytes. A block that an earlier document has too is
+   matched as a whole. A sample whose blocks are all equal is settled: its first document has nothing before it.
+3. All suffixes in first blocks of samples that have several blocks (edges of passages, edits in near copies), by the
+   fingerprint of their first ``length`` bytes. A string of an earlier document stands in the first block equal to the
+   one it is in, so no match is lost.
 
 A slice answers a batch with one bit per fingerprint asked, so what goes back is small. Texts are shuffled once, and
 batches are told apart by doc_id alone: no document id travels with a fingerprint.
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from rowtide.llm.batches import doc_batches
-from rowtide.llm.texts import column_bytes, rolling
+from rowtide.llm.texts import column_bytes, mix64, rolling, span_hashes
 
 #: Positions hashed at a time, which bounds memory whatever the length of a document.
 _STEP = 1 << 20
@@ -102,7 +106,7 @@ class Batch:
             new = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
             cuts = np.union1d(new, self.offsets[(self.offsets > a) & (self.offsets < a + n)] - a)
             ends = np.append(cuts[1:], n)
-            prints.append(least[cuts])
+            prints.append(mix64(least[cuts]))  # smallest ones crowd near zero: spread them over the slices again
             firsts.append(a + cuts)
             lasts.append(a + ends - 1)
         if not prints:
@@ -112,11 +116,15 @@ class Batch:
         real = last >= first
         return first[real], last[real], prints[real]
 
-    def shared_samples(self, first: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct fingerprints in order, each sample's place among them, and which are in several documents of the batch."""
-        distinct, place = np.unique(prints, return_inverse=True)
-        rank = self.rank[self.doc_of(first)]
-        return distinct, place, _least(rank, place, len(distinct)) < _most(rank, place, len(distinct))
+    def shared(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct values in order, the place of each among them, the smallest rank of a document with each, and
+        which are in several documents of the batch."""
+        distinct, place = np.unique(values, return_inverse=True)
+        rank, n = self.rank[self.doc_of(first)], len(distinct)
+        least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        np.minimum.at(least, place, rank)
+        np.maximum.at(most, place, rank)
+        return distinct, place, least, least < most
 
     def strings(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all strings in the runs, and the fingerprints of their bytes."""
@@ -131,18 +139,6 @@ class Batch:
         return starts, prints
 
 
-def _least(values: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(out, place, values)
-    return out
-
-
-def _most(values: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(n, -1)
-    np.maximum.at(out, place, values)
-    return out
-
-
 def _slice_cuts(distinct: np.ndarray, slices: int) -> np.ndarray:
     """Where each slice of the fingerprint space begins among sorted fingerprints."""
     bounds = np.array([(s << 64) // slices for s in range(slices)], np.uint64)
@@ -160,112 +156,172 @@ def _widen(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
-_ASK = "batch int, slice int, prints binary, passed binary"
-_REPLY = "batch int, slice int, bits binary, passed binary"
+_ASK = "batch int, slice int, prints binary, blocks binary, passed array<binary>"
+_REPLY = "batch int, slice int, bits binary, more_bits binary, passed array<binary>"
+_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+_ASK_NAMES, _REPLY_NAMES = ["batch", "slice", "prints", "blocks", "passed"], ["batch", "slice", "bits", "more_bits", "passed"]
 
 
-def _asks(batch: int, distinct: np.ndarray, slices: int, width: int, passed: bytes | None = None) -> pa.Table:
-    """One row per slice that the batch has fingerprints for. ``passed`` travels with slice -1, which asks nothing."""
-    cuts = _slice_cuts(distinct, slices)
-    full = np.flatnonzero(np.diff(cuts))
-    rows = [(batch, int(s), _narrow(distinct[cuts[s] : cuts[s + 1]], width), None) for s in full]
-    if passed is not None:
-        rows.append((batch, -1 - batch, b"", passed))
-    return _table(rows, ["batch", "slice", "prints", "passed"])
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, _KINDS, strict=True)], names=names)
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=names)
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
 
 
-def _answers(replies: pa.Table, distinct: np.ndarray, slices: int) -> np.ndarray:
-    """The bit of each fingerprint that was asked."""
-    out, cuts = np.zeros(len(distinct), bool), _slice_cuts(distinct, slices)
-    for s, bits in zip(replies.column("slice").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        if s >= 0:
-            n = cuts[s + 1] - cuts[s]
-            out[cuts[s] : cuts[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return out
+def _flags(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
-def _scan_slice(width: int, both: bool):
-    """For one slice: batches in order, each scanned against the levels, then added. With ``both``, a hit also marks the owner."""
+def _asks(batch: int, prints: np.ndarray, width: int, slices: int, blocks: np.ndarray | None = None, block_width: int = 0, passed: list[bytes] | None = None) -> pa.Table:
+    """One row per slice that the batch has fingerprints for; ``passed`` travels in a slice of its own and comes back as it is."""
+    cuts, rows = _slice_cuts(prints, slices), []
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[s], cuts[s + 1])
+        rows.append((batch, s, _narrow(prints[own], width), _narrow(blocks[own], block_width) if blocks is not None else None, None))
+    if passed is not None:
+        rows.append((batch, -1 - batch, None, None, passed))
+    return _table(rows, _ASK_NAMES)
+
+
+def _answers(replies: pa.Table, prints: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Both bits of each fingerprint that was asked, and what was passed along."""
+    one, two, cuts, passed = np.zeros(len(prints), bool), np.zeros(len(prints), bool), _slice_cuts(prints, slices), []
+    for s, bits, more, own in zip(*(replies.column(c).to_pylist() for c in ("slice", "bits", "more_bits", "passed")), strict=True):
+        if s < 0:
+            passed = own
+        else:
+            at = slice(cuts[s], cuts[s + 1])
+            one[at] = _flags(bits, cuts[s + 1] - cuts[s])
+            if more is not None:
+                two[at] = _flags(more, cuts[s + 1] - cuts[s])
+    return one, two, passed
+
+
+def _scan_slice(width: int, block_width: int = 0, mark_owner: bool = False):
+    """For one slice: batches in order, each merge-scanned against the levels, then added.
+
+    The first bit of a value tells whether an earlier batch has it; with ``mark_owner`` whether any other batch has it. With blocks,
+    values are pairs of a sample and a block, and the second bit tells whether the sample has several blocks.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        batches, slices, asked, passed = (table.column(c).to_pylist() for c in ("batch", "slice", "prints", "passed"))
+        batches, slices, asked, blocks, passed = (table.column(c).to_pylist() for c in _ASK_NAMES)
         if slices[0] < 0:
-            return _table([(b, s, b"", p) for b, s, p in zip(batches, slices, passed, strict=True)], ["batch", "slice", "bits", "passed"])
+            return _table([(b, s, None, None, p) for b, s, p in zip(batches, slices, passed, strict=True)], _REPLY_NAMES)
         order = sorted(range(len(batches)), key=batches.__getitem__)
-        sizes = [len(x) // width for x in asked]
-        begins, at = {}, 0
-        for k in order:
-            begins[k], at = at, at + sizes[k]
-        marks, levels = np.zeros(at, bool), Levels()
-        for k in order:
-            prints = _widen(asked[k], width)
-            rank = np.argsort(prints, kind="stable")
-            owner = levels.scan(prints[rank])
-            mine = begins[k] + rank
+        values = [_widen(asked[k], width) for k in order]
+        samples = np.concatenate(values)
+        ends = np.cumsum([len(v) for v in values])
+        if block_width:
+            held = np.concatenate([_widen(blocks[k], block_width) for k in order])
+            several = _several(samples, held)
+            samples = mix64(samples * np.uint64(0x9E3779B97F4A7C15) + held)
+        marks, levels = np.zeros(len(samples), bool), Levels()
+        for a, b in zip((ends - [len(v) for v in values]).tolist(), ends.tolist(), strict=True):
+            rank = a + np.argsort(samples[a:b], kind="stable")
+            now = samples[rank]
+            owner = levels.scan(now)
             hit = owner >= 0
-            marks[mine[hit]] = True
-            if both:
+            marks[rank[hit]] = True
+            fresh = ~hit
+            if len(now) > 1:  # cut to ``width`` bytes, two values of a batch may be equal: levels keep one
+                twin = now[1:] == now[:-1]
+                fresh[1:] &= ~twin
+                if mark_owner:
+                    marks[rank[1:][twin]] = marks[rank[:-1][twin]] = True
+            if mark_owner:
                 marks[owner[hit]] = True
-            distinct = ~hit  # cut to ``width`` bytes, two of a batch may be equal: levels keep the first
-            distinct[1:] &= prints[rank][1:] != prints[rank][:-1]
-            if both and len(rank) > 1:
-                twin = prints[rank][1:] == prints[rank][:-1]
-                marks[mine[1:][twin]] = marks[mine[:-1][twin]] = True
-            levels.add(prints[rank][distinct], mine[distinct])
-        rows = [(batches[k], slices[k], np.packbits(marks[begins[k] : begins[k] + sizes[k]]).tobytes(), None) for k in order]
-        return _table(rows, ["batch", "slice", "bits", "passed"])
+            levels.add(now[fresh], rank[fresh])
+        rows = []
+        for k, a, b in zip(order, (ends - [len(v) for v in values]).tolist(), ends.tolist(), strict=True):
+            rows.append((batches[k], slices[k], _bits(marks[a:b]), _bits(several[a:b]) if block_width else None, None))
+        return _table(rows, _REPLY_NAMES)
 
     return run
 
 
+def _several(samples: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """For each pair whether its sample has more than one block."""
+    distinct, place = np.unique(samples, return_inverse=True)
+    low, high = np.full(len(distinct), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(distinct), np.uint64)
+    np.minimum.at(low, place, blocks)
+    np.maximum.at(high, place, blocks)
+    return (low < high)[place]
+
+
+class Candidates:
+    """What one batch knows after each pass; every step is worked out again from the texts and the bits received."""
+
+    def __init__(self, batch: Batch, slices: int):
+        self.batch, self.slices = batch, slices
+        self.first, self.last, self.samples = batch.samples()
+        self.distinct, self.place, _, self.several = batch.shared(self.samples, self.first)
+
+    def blocks_of(self, shared: np.ndarray) -> None:
+        """Keep the runs whose sample is shared, and number their distinct (sample, block) pairs in order."""
+        keep = (self.several | shared)[self.place]
+        self.first, self.last, self.samples = self.first[keep], self.last[keep], self.samples[keep]
+        self.blocks = span_hashes(self.batch.buf, self.first, self.last + self.batch.length)
+        order = np.lexsort((self.blocks, self.samples))
+        x, y = self.samples[order], self.blocks[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        self.pair = np.empty(len(x), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
+        self.pair_samples, self.pair_blocks = x[new], y[new]
+
+    def settle(self, earlier: np.ndarray, mixed: np.ndarray) -> None:
+        """Runs whose block stands in an earlier document are matched; first blocks of samples with several are open."""
+        rank = self.batch.rank[self.batch.doc_of(self.first)]
+        least = np.full(len(self.pair_samples), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.pair, rank)
+        self.matched = earlier[self.pair] | (rank > least[self.pair])
+        unsure = ~self.matched & mixed[self.pair]
+        self.starts, self.strings = self.batch.strings(self.first[unsure], self.last[unsure])
+
+
 def _judged(docs: DataFrame, length: int, gram: int, batch_bytes: int, sample_bytes: int, print_bytes: int, keep_text: bool) -> DataFrame:
     """(rest, n_bytes, n_removed, n_spans, kept_sha256, kept_text); rest has all columns but text."""
     batched, slices = doc_batches(docs, batch_bytes)
     texts = batched.repartition(F.col("batch"))
 
     def ask_samples(key: tuple, table: pa.Table) -> pa.Table:
-        batch = Batch(table, length, gram)
-        first, _, prints = batch.samples()
-        return _asks(key[0].as_py(), np.unique(prints), slices, sample_bytes)
-
-    def shared_strings(batch: Batch, bits: np.ndarray | None, replies: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        first, last, prints = batch.samples()
-        distinct, place, several = batch.shared_samples(first, prints)
-        if bits is None:
-            bits = _answers(replies, distinct, slices)
-        wanted = (several | bits[: len(distinct)])[place]
-        return *batch.strings(first[wanted], last[wanted]), bits
+        known = Candidates(Batch(table, length, gram), slices)
+        return _asks(key[0].as_py(), known.distinct, sample_bytes, slices)
+
+    def ask_blocks(key: tuple, left: pa.Table, replies: pa.Table) -> pa.Table:
+        known = Candidates(Batch(left, length, gram), slices)
+        shared, _, _ = _answers(replies, known.distinct, slices)
+        known.blocks_of(shared)
+        return _asks(key[0].as_py(), known.pair_samples, sample_bytes, slices, known.pair_blocks, print_bytes, [_bits(shared)])
 
     def ask_strings(key: tuple, left: pa.Table, replies: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([], ["batch", "slice", "prints", "passed"])
-        _, prints, bits = shared_strings(Batch(left, length, gram), None, replies)
-        return _asks(key[0].as_py(), np.unique(prints), slices, print_bytes, np.packbits(bits).tobytes())
+        known, passed = Candidates(Batch(left, length, gram), slices), replies.filter(pc.less(replies.column("slice"), 0)).column("passed").to_pylist()
+        if not passed:
+            return _table([], _ASK_NAMES)
+        known.blocks_of(_flags(passed[0][0], len(known.distinct)))
+        earlier, mixed, _ = _answers(replies, known.pair_samples, slices)
+        known.settle(earlier, mixed)
+        return _asks(key[0].as_py(), np.unique(known.strings), print_bytes, slices, passed=[passed[0][0], _bits(earlier), _bits(mixed)])
 
     def judge(key: tuple, left: pa.Table, replies: pa.Table) -> pa.Table:
         batch = Batch(left, length, gram)
-        gone = np.zeros(len(batch.buf) + 1, np.int8)
+        known, depth = Candidates(batch, slices), np.zeros(len(batch.buf) + 1, np.int32)
         passed = [p for p in replies.column("passed").to_pylist() if p is not None]
         if passed:
-            bits = np.unpackbits(np.frombuffer(passed[0], np.uint8)).astype(bool)
-            starts, prints, _ = shared_strings(batch, bits, None)
-            distinct, place = np.unique(prints, return_inverse=True)
-            rank = batch.rank[batch.doc_of(starts)]
-            match = (rank > _least(rank, place, len(distinct))[place]) | _answers(replies, distinct, slices)[place]
-            hits = starts[match]
-            if len(hits):  # runs of hits, each with the bytes it covers
-                cut = np.flatnonzero(np.diff(hits) > 1)
-                begin, end = hits[np.append(0, cut + 1)], hits[np.append(cut, len(hits) - 1)] + length
-                depth = np.zeros(len(batch.buf) + 1, np.int32)
-                np.add.at(depth, begin, 1)
-                np.add.at(depth, end, -1)
-                gone = np.cumsum(depth) > 0
-        gone = gone.astype(bool)[: len(batch.buf)]
+            known.blocks_of(_flags(passed[0][0], len(known.distinct)))
+            known.settle(*(_flags(bits, len(known.pair_samples)) for bits in passed[0][1:]))
+            distinct, place, least, _ = batch.shared(known.strings, known.starts)
+            earlier, _, _ = _answers(replies, distinct, slices)
+            hits = known.starts[(batch.rank[batch.doc_of(known.starts)] > least[place]) | earlier[place]]
+            np.add.at(depth, known.first[known.matched], 1)
+            np.add.at(depth, known.last[known.matched] + length, -1)
+            np.add.at(depth, hits, 1)
+            np.add.at(depth, hits + length, -1)
+        gone = np.cumsum(depth) > 0
+        gone = gone[: len(batch.buf)]
         out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
         for a, b in zip(batch.offsets[:-1].tolist(), batch.offsets[1:].tolist(), strict=True):
             mask = gone[a:b]
@@ -280,9 +336,11 @@ def _judged(docs: DataFrame, length: int, gram: int, batch_bytes: int, sample_by
         return pa.table([batch.table.column("rest"), *columns], names=["rest", *out])
 
     grouped = texts.groupBy("batch")
-    first = grouped.applyInArrow(ask_samples, _ASK).groupBy("slice").applyInArrow(_scan_slice(sample_bytes, True), _REPLY)
-    second = grouped.cogroup(first.groupBy("batch")).applyInArrow(ask_strings, _ASK)
-    judged = second.groupBy("slice").applyInArrow(_scan_slice(print_bytes, False), _REPLY)
+    first = grouped.applyInArrow(ask_samples, _ASK).groupBy("slice").applyInArrow(_scan_slice(sample_bytes, mark_owner=True), _REPLY)
+    second = grouped.cogroup(first.groupBy("batch")).applyInArrow(ask_blocks, _ASK)
+    second = second.groupBy("slice").applyInArrow(_scan_slice(sample_bytes, print_bytes), _REPLY)
+    third = grouped.cogroup(second.groupBy("batch")).applyInArrow(ask_strings, _ASK)
+    judged = third.groupBy("slice").applyInArrow(_scan_slice(print_bytes), _REPLY)
     result = StructType([batched.schema["rest"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")])
     return grouped.cogroup(judged.groupBy("batch")).applyInArrow(judge, result)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,30 @@ def rolling(buf: np.ndarray, width: int) -> np.ndarray:
         have *= 2
 
 
+_RUN = 1 << 19
+_RISING = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_RUN, BASE, np.uint64)]), dtype=np.uint64)
+_FALLING = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_RUN, pow(BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span [start, end); starts and ends rise, spans may overlap.
+
+    Running sums of byte codes times falling powers give every span's sum as a difference, which is moved to one place.
+    """
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):  # spans that lie within _RUN bytes
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _RUN, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a > _RUN:  # one longer span
+            out[i] = int.from_bytes(hashlib.blake2b(buf[a:b].tobytes(), digest_size=8).digest(), "little")
+        else:
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[buf[a:b]] * _FALLING[: b - a], dtype=np.uint64)])
+            at = starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[at]) * _RISING[at]
+        i = j
+    return mix64(out + (ends - starts).astype(np.uint64))
+
+
 def bit_votes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For rows with ``counts`` hashes each, one after the other: how many of a row's hashes have bit 0, ..., 63 set.
 
