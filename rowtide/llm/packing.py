@@ -177,7 +177,7 @@ def packed_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, pat
     """Pieces of all documents with their place; they are written to the shared folder once, so texts are encoded once."""
     place = scratch_path(docs.sparkSession, "pieces")
     rows = pieces(docs, capacity, end_id, paths, with_ids)
-    (rows if with_ids else rows.drop("ids")).write.parquet(place)
+    (rows if with_ids else rows.drop("ids")).write.option("compression", "zstd").parquet(place)
     return pack(docs.sparkSession.read.parquet(place), capacity)
 
 
