@@ -44,7 +44,7 @@ triples as (
     select d.doc_id, len(w)::bigint as n_words, coalesce(length(array_to_string(w, '')), 0)::bigint as word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
         coalesce(n_dup, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines,
-        len(list_filter(w, x -> lower(x) in ({_STOPS}))) as n_stop
+        len(list_filter(w, lambda x: lower(x) in ({_STOPS}))) as n_stop
     from d left join covered c using (r) left join lines using (r)
 ), f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest(n_words, 1)::double as per from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
