@@ -25,6 +25,12 @@ def row_fingerprint(cols: list[str]) -> Column:
     return F.md5(row_text(cols))
 
 
+def marked_text(name: str) -> Column:
+    """A value with its length in front, so that joined values can't run into each other; null has a mark of its own."""
+    text = F.col(name).cast("string")
+    return F.when(text.isNull(), F.lit("-;")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+
+
 def row_hash(cols: list[str]) -> Column:
     """64-bit hash of a row that also tells where its nulls are (the plain hash skips them)."""
     nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])

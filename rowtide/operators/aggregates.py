@@ -18,8 +18,8 @@ def key_bounds(df: DataFrame, key: str, ts: str | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
-def pending_by_table(log: DataFrame, after: int, tables: int, cap: int | None = 100000) -> DataFrame:
-    """Tables with the most waiting changes among the first ``cap`` waiting rows."""
+def pending_by_table(log: DataFrame, after: int, tables: int, cap: int | None = None) -> DataFrame:
+    """Tables with the most waiting changes; with ``cap``, among the first ``cap`` waiting rows only."""
     waiting = log.filter(F.col("seq") > after)
     if cap is not None:
         waiting = waiting.orderBy("seq").limit(cap)

@@ -107,8 +107,8 @@ def api_silence(log: DataFrame, as_of: datetime, keys: list[str], id_col: str, t
     return last.select(*keys, id_col, ts, F.when(late, "500").otherwise("200").alias("api_status"))
 
 
-def probe_status(probes: DataFrame, limit_ms: float, keys: list[str], attempt: str = "attempt") -> DataFrame:
-    """M8: recorded status of each probe. Slow answers become 408 and may be tried again, three times at most.
+def probe_status(probes: DataFrame, limit_ms: float, keys: list[str], attempt: str = "attempt", most: int | None = None) -> DataFrame:
+    """M8: recorded status of each probe. Slow answers become 408 and may be tried again, ``most`` times if given.
 
     ``probes`` has ``code`` (text of the answer's code, null if unreachable) and ``ms``; attempts behind the first
     answer that was not slow do not happen.
@@ -116,7 +116,8 @@ def probe_status(probes: DataFrame, limit_ms: float, keys: list[str], attempt: s
     code = F.expr("try_cast(code as int)")
     slow = F.coalesce((code == 200) & (F.col("ms") > limit_ms), F.lit(False))
     status = F.when(F.col("code").isNull(), 202).when(code.isNull(), 201).when(slow, 408).otherwise(code)
-    rated = probes.filter(F.col(attempt) <= 3).withColumn("_slow", slow).withColumn("api_status", status)
+    tried = probes if most is None else probes.filter(F.col(attempt) <= most)
+    rated = tried.withColumn("_slow", slow).withColumn("api_status", status)
     settled = rated.filter(~F.col("_slow")).groupBy(*keys).agg(F.min(attempt).alias("_settled"))
     return rated.join(settled, keys, "left").filter(F.col("_settled").isNull() | (F.col(attempt) <= F.col("_settled"))).select(
         *keys, attempt, "api_status", F.when(F.col("api_status").isin(201, 202), 0.0).otherwise(F.col("ms")).alias("response_time")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtide.functions.timing import cutoff, moment, moment_for
 from rowtide.operators.sync import read_month_target, without_keys
-from rowtide.sources.sinks import even_files, path_exists, rewrite_partitions
+from rowtide.sources.sinks import even_files, has_parquet, rewrite_partitions
 
 
 def archive_window(source: DataFrame, ts: str, n: int, unit: str, as_of: datetime) -> DataFrame:
@@ -73,6 +73,8 @@ def archive_month_target(
     alone; a run that died half-way can be started again, since rows replace their own keys in the archive.
     """
     end = cutoff(as_of, n, unit)
+    if not has_parquet(spark, source_path):
+        return 0
     old = read_month_target(spark, source_path).filter(F.col("yyyymm") <= end.strftime("%Y%m"))
     moving = archive_rows(old, ts, n, unit, as_of)
     per_month = {r["yyyymm"]: r["n"] for r in moving.groupBy("yyyymm").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
@@ -80,13 +82,18 @@ def archive_month_target(
         return 0
     months = sorted(per_month)
     counted = sum(per_month.values())
-    if path_exists(spark, archive_path):
-        there = read_month_target(spark, archive_path).filter(F.col("yyyymm").isin(*months))
+    touched = months
+    if has_parquet(spark, archive_path):
+        archived = read_month_target(spark, archive_path)
+        # a key that was archived before under another month leaves that month
+        held = archived.join(moving.select(*keys), keys, "left_semi").select("yyyymm").distinct()
+        touched = sorted({*months, *(r["yyyymm"] for r in held.toLocalIterator())})
+        there = archived.filter(F.col("yyyymm").isin(*touched))
         moved = without_keys(there, moving, keys).unionByName(moving)
     else:
         moved = moving
-    rewrite_partitions(even_files(moved, "yyyymm"), archive_path, "yyyymm", months)
-    copied = read_month_target(spark, archive_path).filter(F.col("yyyymm").isin(*months))
+    rewrite_partitions(even_files(moved, "yyyymm"), archive_path, "yyyymm", touched)
+    copied = read_month_target(spark, archive_path)
     if copied.join(moving.select(*keys), keys, "left_semi").count() != counted:
         raise RuntimeError("archive copy has a different number of rows; source left as it is")
     stays = old.filter(F.col("yyyymm").isin(*months) & (F.col(ts) > moment_for(old, ts, end)))

@@ -46,8 +46,14 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: list[str], images
 
 
 def idempotent_insert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key is already there count as applied."""
-    fresh = rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
+    """Rows whose key is already there count as applied; of several rows of a key the first by log place counts.
+
+    Without a log place in ``rows``, the first by all other columns. Null keys are keys like others.
+    """
+    order = [c for c in POSITION if c in rows.columns] or [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_row")).select(*keys, "_row.*")
+    there = target.select(*keys)
+    fresh = first.join(there, null_safe(first, there, keys), "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.rows import row_fingerprint, row_hash
+from rowtide.functions.rows import marked_text, row_hash
 from rowtide.functions.timing import moment
 from rowtide.operators.filters import between_days, recent
 from rowtide.operators.ordered import keep_last
@@ -54,23 +54,42 @@ def repair_days(
     return without_keys(kept.select(*target.columns), fresh, keys).unionByName(fresh.select(*target.columns))
 
 
+def _same_types(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with one type per column: where they differ, the type that a union of the two gives."""
+    rows = source.limit(0).unionByName(target.limit(0).select(*source.columns))
+
+    def cast(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+    return cast(source), cast(target)
+
+
 def row_status(source: DataFrame, target: DataFrame, keys: list[str], md5: bool = False) -> DataFrame:
     """Per key whether the row is missing, extra, changed or the same.
 
-    Only the key and one hash per row are shuffled, and hash aggregation needs no sort.
+    Only the key and one hash per row are shuffled, and hash aggregation needs no sort. Hashes tell nulls from empty texts and
+    where each value ends; both sides are cast to one type. A key that repeats is the same only if both sides have the
+    same rows as often: counts and two sums over the hashes are compared.
     """
     rest = [c for c in source.columns if c not in keys]
-    mark = row_fingerprint(rest) if md5 else row_hash(rest)
+    source, target = _same_types(source, target)
+    mark = F.xxhash64(F.md5(F.concat(F.lit(""), *[marked_text(c) for c in rest]))) if md5 else row_hash(rest)
+    wide = "decimal(38,0)"
+
+    def side(df: DataFrame, is_source: int) -> DataFrame:
+        return df.select(*keys, mark.alias("_h"), F.lit(is_source).alias("_side"))
 
-    def side(df: DataFrame, is_source: bool) -> DataFrame:
-        none = F.lit(None).cast("string" if md5 else "bigint")
-        here, there = ("_s", "_t") if is_source else ("_t", "_s")
-        return df.select(*keys, mark.alias(here), none.alias(there))
+    def sums(is_source: int) -> list[Column]:
+        mine = F.col("_side") == is_source
+        return [
+            F.count_if(mine), F.sum(F.when(mine, F.col("_h").cast(wide))),
+            F.sum(F.when(mine, F.xxhash64("_h").cast(wide))),
+        ]
 
-    merged = side(source, True).unionByName(side(target, False)).groupBy(*keys).agg(F.max("_s").alias("_s"), F.max("_t").alias("_t"))
+    merged = side(source, 1).unionByName(side(target, 0)).groupBy(*keys).agg(F.struct(*sums(1)).alias("_s"), F.struct(*sums(0)).alias("_t"))
     status = (
-        F.when(F.col("_t").isNull(), "missing").when(F.col("_s").isNull(), "extra")
-        .when(F.col("_s") != F.col("_t"), "changed").otherwise("same")
+        F.when(F.col("_t.col1") == 0, "missing").when(F.col("_s.col1") == 0, "extra")
+        .when(~F.col("_s").eqNullSafe(F.col("_t")), "changed").otherwise("same")
     )
     return merged.select(*keys, status.alias("status"))
 

@@ -73,23 +73,62 @@ def target_struct(columns: list[tuple[str, str, bool]], legacy_types: bool = Fal
     return T.StructType(fields)
 
 
+# fixed values: words that begin an index, key or constraint clause; such clauses change no column
+CLAUSES = ("INDEX", "KEY", "PRIMARY", "UNIQUE", "FULLTEXT", "SPATIAL", "FOREIGN", "CONSTRAINT", "CHECK", "PARTITION")
+
+
+def _top_level(text: str) -> list[str]:
+    """Parts between commas that stand outside of brackets and quotes."""
+    parts, depth, quote, now = [], 0, "", ""
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        if c == "," and not depth and not quote:
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+    return [p.strip() for p in [*parts, now] if p.strip()]
+
+
 def ddl_steps(statement: str) -> list[tuple[str, str, str | None, str | None]]:
-    """The changes of one ``alter table`` text as (action, column, new name, type); commas inside brackets do not split."""
+    """The column changes of one ``alter table`` text as (action, column, new name, type).
+
+    Index, key and constraint clauses change no column and give no step; a bracketed list of added columns gives one
+    step each. A clause about columns that can't be read raises ValueError rather than being passed over.
+    """
     body = re.sub(r"(?is)^\s*alter\s+table\s+\S+\s+", "", statement.strip().rstrip(";"))
-    steps = []
-    for part in re.split(r",(?![^(]*\))", body):
-        words = part.replace("`", "").split()
-        action = words[0].upper()
+    steps: list[tuple[str, str, str | None, str | None]] = []
+    for part in _top_level(body):
+        words = re.sub(r"\s+\(", "(", part.replace("`", "")).split()
+        action = re.match(r"\w+", words[0])[0].upper() if re.match(r"\w+", words[0]) else ""
+        listed = re.match(r"(?is)^add\s*(?:column\s*)?\((.*)\)$", part.replace("`", "").strip())
+        if listed:
+            inner = [x.split() for x in _top_level(listed[1])]
+            steps += [("add", w[0], None, w[1]) for w in inner if len(w) > 1 and w[0].split("(")[0].upper() not in CLAUSES]
+            continue
         if len(words) > 1 and words[1].upper() == "COLUMN":
             words.pop(1)
-        if action == "ADD":
+        elif len(words) > 1 and words[1].split("(")[0].upper() in CLAUSES:
+            continue
+        if action == "ADD" and len(words) > 2:
             steps.append(("add", words[1], None, words[2]))
-        elif action == "DROP":
+        elif action == "DROP" and len(words) > 1:
             steps.append(("drop", words[1], None, None))
-        elif action == "CHANGE" and words[1].lower() == words[2].lower():
+        elif action == "MODIFY" and len(words) > 2:
+            steps.append(("retype", words[1], None, words[2]))
+        elif action == "CHANGE" and len(words) > 3 and words[1].lower() == words[2].lower():
             steps.append(("retype", words[1], None, words[3]))
-        elif action == "CHANGE":
+        elif action == "CHANGE" and len(words) > 3:
             steps.append(("rename", words[1], words[2].lower(), None))
+        elif action == "RENAME" and len(words) > 3 and words[2].upper() == "TO" and words[1].upper() not in CLAUSES:
+            steps.append(("rename", words[1], words[3].lower(), None))
+        elif action in ("ADD", "DROP", "MODIFY", "CHANGE"):
+            raise ValueError(f"can't read the clause {part!r}")
     return steps
 
 
@@ -149,7 +188,7 @@ def classify_statement(statements: DataFrame, col: str = "statement") -> DataFra
 
 def keep_ddl(statements: DataFrame, col: str = "statement") -> DataFrame:
     """Only statements that create, drop, truncate or alter a table."""
-    return statements.filter(F.col(col).rlike(r"(create|drop|truncate|alter) table"))
+    return statements.filter(F.col(col).rlike(r"(?i)\b(create|drop|truncate|alter)\s+table\b"))
 
 
 def carry_comments(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide.functions.timing import cutoff, moment_for
 from rowtide.operators.filters import recent
-from rowtide.sources.sinks import even_files, path_exists, rewrite_partitions, with_month, write_month_partitioned
+from rowtide.session import scratch_path
+from rowtide.sources.sinks import even_files, has_parquet, rewrite_partitions, with_month, write_month_partitioned
 
 
 def _outside(df: DataFrame, ts: str, start: datetime) -> DataFrame:
@@ -16,7 +18,10 @@ def _outside(df: DataFrame, ts: str, start: datetime) -> DataFrame:
 
 
 def without_keys(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns)
+    """Target rows whose key isn't among ``rows``; a null in a key equals a null."""
+    gone = rows.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_gone_{k}")) for k in keys])
+    return target.join(gone, same, "left_anti").select(*target.columns)
 
 
 def init_load(source: DataFrame, target: DataFrame | None) -> DataFrame:
@@ -107,8 +112,11 @@ def touched_months(
     return sorted((r[0] for r in months.distinct().toLocalIterator()), key=lambda m: m or "")
 
 
-def read_month_target(spark: SparkSession, path: str) -> DataFrame:
-    """A month-partitioned target with its partition column as text."""
+def read_month_target(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """A month-partitioned target with its partition column as text. One that has lost its last month is empty, with the columns of
+    ``like``."""
+    if like is not None and not has_parquet(spark, path):
+        return like.limit(0).select("*", F.lit(None).cast("string").alias("yyyymm")) if "yyyymm" not in like.columns else like.limit(0)
     df = spark.read.parquet(path)
     return df.withColumn("yyyymm", F.col("yyyymm").cast("string"))
 
@@ -121,10 +129,14 @@ def sync_month_target(
     Gives back the rewritten months; running it again with the same input changes nothing.
     """
     spark = source.sparkSession
-    if not path_exists(spark, path):
+    if not has_parquet(spark, path):
         write_month_partitioned(source, path, ts, keys or source.columns)
         return ["*"]
     target = read_month_target(spark, path)
+    # the source is read once: a row that comes in meanwhile waits for the next run
+    staged = scratch_path(spark, "window")
+    recent(source, ts, n, unit, as_of).write.parquet(staged)
+    source = spark.read.parquet(staged)
     months = touched_months(source, target, keys, ts, n, unit, as_of)
     if not months:
         return []
@@ -138,6 +150,7 @@ def sync_month_target(
     else:
         new = window_replace(source, held, keys, ts, n, unit, as_of)
     new = with_month(new, ts)
-    # rows of the new target may fall only into touched months, so nothing else is overwritten
+    listed = F.col("yyyymm").isin(*[m for m in months if m])
+    new = new.filter(listed | F.col("yyyymm").isNull() if None in months else listed)  # no other month may be overwritten
     rewrite_partitions(even_files(new, "yyyymm"), path, "yyyymm", months)
     return months

@@ -151,7 +151,7 @@ _PROBES = (
 
 @query(
     "m8_probe_status",
-    f"with {_PROBES}, r as (select *, coalesce(code = '200' and ms > 300, false) as slow from p where attempt <= 3), s as (select probe, min(attempt) as s from r where not slow group by 1)"
+    f"with {_PROBES}, r as (select *, coalesce(code = '200' and ms > 300, false) as slow from p), s as (select probe, min(attempt) as s from r where not slow group by 1)"
     " select r.probe, attempt, case when code is null then 202 when code = 'x' then 201 when slow then 408 else cast(code as integer) end as api_status,"
     " case when code is null or code = 'x' then 0.0 else ms end as response_time from r left join s on r.probe = s.probe where s.s is null or attempt <= s.s",
 )

@@ -66,7 +66,7 @@ WITH = {
     "changed": _sql(CHANGED, "customer"),
     "samples": _sql(SAMPLES, "events"),
     "stats": _sql(STATS, "lineitem"),
-    "processes": _sql(PROCESSES, "events", "event_id % 5 = 0"),
+    "processes": _sql(PROCESSES, "events"),
     "commands": _sql(COMMANDS, "events"),
     "calls": _sql(CALLS, "events"),
     "counters": _sql(COUNTERS, "events"),
@@ -116,7 +116,7 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr(*PROCESSES)
+    return base(spark, sf_dir, "events").selectExpr(*PROCESSES)
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:

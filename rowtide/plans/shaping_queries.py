@@ -127,15 +127,22 @@ def b4(spark, d):
     return schema.classify_statement(_statements(spark, d))
 
 
-@query("b5_keep_ddl", f"select event_id, {_STATEMENT_SQL} as statement from events where event_id % 11 in (0, 1, 2, 3)")
+@query("b5_keep_ddl", f"select event_id, {_STATEMENT_SQL} as statement from events where event_id % 11 in (0, 1, 2, 3, 4, 5)")
 def b5(spark, d):
     return schema.keep_ddl(_statements(spark, d))
 
 
-@query("b6_carry_comments", "select c_custkey, c_name from customer")
+@query(
+    "b6_carry_comments",
+    "select column_name, comment, n from (values ('c_custkey', null), ('c_name', 'name of the customer'), ('c_mktsegment', 'own')) as t(column_name, comment), (select count(*) as n from customer)",
+)
 def b6(spark, d):
-    df = base(spark, d, "customer").select("c_custkey", "c_name")
-    return schema.carry_comments(schema.with_comments(df, {"c_name": "name of the customer"}), df)
+    """The comments that the target's columns have afterwards, beside the number of its rows."""
+    df = base(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    source = schema.with_comments(df.select("c_custkey", F.col("c_name").alias("C_NAME")), {"C_NAME": "name of the customer"})
+    target = schema.carry_comments(source, schema.with_comments(df, {"c_mktsegment": "own"}))
+    found = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(f.metadata.get("comment")).cast("string").alias("comment")) for f in target.schema.fields])
+    return target.agg(F.count(F.lit(1)).alias("n")).select(F.explode(found).alias("f"), "n").select("f.column_name", "f.comment", "n")
 
 
 @query(

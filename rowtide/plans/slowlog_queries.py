@@ -121,12 +121,12 @@ def q4(spark, d):
 
 @query(
     "q5_upsert_statement",
-    STATEMENT_STATS_SQL + " select dbid, username, sql_id, executions + 1 as executions from g where sql_id % 3 = 0 union all select dbid, username, sql_id, executions from g where sql_id % 3 <> 0 and sql_id % 2 = 0",
+    STATEMENT_STATS_SQL + " select dbid, username, sql_id, executions + 1 as executions from g where sql_id % 3 = 0 union all select dbid, username, sql_id, executions from g where sql_id % 3 <> 0",
 )
 def q5(spark, d):
     stats = statement_stats(inputs.stats(spark, d)).select("dbid", "username", "sql_id", "executions")
     new = stats.filter("sql_id % 3 = 0").withColumn("executions", F.col("executions") + 1)
-    return slowlog.upsert_statement(stats.filter("sql_id % 2 = 0"), new)
+    return slowlog.upsert_statement(stats.filter("sql_id % 3 <> 0 or sql_id % 2 = 0"), new)
 
 
 @query(

@@ -53,6 +53,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def has_parquet(spark: SparkSession, path: str) -> bool:
+    """True if there is at least one Parquet file in the folder or one partition below it."""
+    if not path_exists(spark, path):
+        return False
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     gone = spark._jvm.org.apache.hadoop.fs.Path(path)
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, functions as F
 
-# fixed values: tables below the floor are never called sparse; a span beyond the factor is
-SPARSE_FLOOR = 100_000
+# fixed value: a span of ids beyond this many times the rows is called sparse
 SPARSE_FACTOR = 3
 
 
@@ -42,22 +41,37 @@ def day_slices(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def choose_split(df: DataFrame, key: str, floor: int = SPARSE_FLOOR) -> DataFrame:
-    """A10: read by id, or by date where ids are far sparser than rows."""
+def choose_split(df: DataFrame, key: str, floor: int = 0) -> DataFrame:
+    """A10: read by id, or by date where ids are far sparser than rows; tables below ``floor`` rows are never sparse."""
     stats = df.agg(F.count(F.lit(1)).alias("rows"), (F.max(key) - F.min(key)).alias("span"))
     by_date = (F.col("rows") >= floor) & (F.col("span") > F.col("rows") * SPARSE_FACTOR)
     return stats.withColumn("split", F.when(by_date, "date").otherwise("id"))
 
 
+def _literal(value) -> str:
+    """A value as SQL text: numbers plain, all else quoted."""
+    if isinstance(value, (int, float, Decimal)) and not isinstance(value, bool):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def _cover(col: str, starts: list) -> list[str]:
+    """Half-open conditions between sorted ``starts`` that together take every row exactly once: the first is open below, the last
+    above, and one more takes the nulls. Rows that came in after the starts were taken are covered too."""
+    marks = [_literal(x) for x in starts[1:]]
+    if not marks:
+        return [f"{col} is not null", f"{col} is null"]
+    inner = [f"{col} >= {lo} and {col} < {hi}" for lo, hi in zip(marks, marks[1:], strict=False)]
+    return [f"{col} < {marks[0]}", *inner, f"{col} >= {marks[-1]}", f"{col} is null"]
+
+
 def range_predicates(ranges: DataFrame, key: str) -> list[str]:
-    """JDBC predicates of A7 ranges; the list is as long as the number of parallel reads asked for."""
-    return [f"{key} >= {r['lo']} and {key} <= {r['hi']}" for r in ranges.orderBy("lo").toLocalIterator()]
+    """JDBC predicates of A7 ranges, or A8 blocks, that cover all rows; as many as parallel reads asked for, and one for null keys."""
+    low = "lo" if "lo" in ranges.columns else "start_id"
+    return _cover(key, [r[0] for r in ranges.filter(F.col(low).isNotNull()).select(low).orderBy(low).toLocalIterator()])
 
 
 def day_predicates(slices: DataFrame, ts: str) -> list[str]:
-    """JDBC predicates of A9 slices, one per day."""
-    out = []
-    for r in slices.select("slice_start").orderBy("slice_start").toLocalIterator():
-        start = r["slice_start"]
-        out.append(f"{ts} >= '{start:%Y-%m-%d}' and {ts} < '{start + timedelta(days=1):%Y-%m-%d}'")
-    return out
+    """JDBC predicates of A9 slices, one per day and one for rows without a time; together they cover all rows."""
+    days = slices.filter(F.col("slice_start").isNotNull()).select("slice_start").orderBy("slice_start")
+    return _cover(ts, [f"{r[0]:%Y-%m-%d}" for r in days.toLocalIterator()])

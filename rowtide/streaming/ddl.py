@@ -24,7 +24,12 @@ def typed_images(changes: DataFrame, like: DataFrame, keys: list[str]) -> DataFr
 def ddl_of(changes: DataFrame, table: str) -> list[tuple[int, int, str, str]]:
     """Schema statements of one table in log order as (file, pos, kind, text): statements, never rows."""
     named = classify_statement(keep_ddl(changes.filter(F.col("op") == "query")))
-    mine = named.filter(F.col("object") == table.split(".")[-1])
+    schema, _, name = table.rpartition(".")
+    # the schema written in the statement, else the one the event was logged under
+    written = F.nullif(F.regexp_extract(F.regexp_replace("statement", "`", ""), rf"(?i)([^\s.(]+)\.{name}\b", 1), F.lit(""))
+    logged = F.nullif(F.substring_index("tbl", ".", 1), F.lit(""))
+    of = F.lower(F.coalesce(written, logged, F.lit(schema)))
+    mine = named.filter((F.lower("object") == name.lower()) & (of == schema.lower()) if schema else F.lower("object") == name.lower())
     return [(r["file_no"], r["pos"], r["op"], r["statement"]) for r in _kind(mine).orderBy(*POSITION).collect()]
 
 

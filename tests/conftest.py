@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from rowtide.session import build_session
@@ -6,7 +8,7 @@ from rowtide.session import build_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[8]",
+        "tests", f"local[{os.environ.get('TEST_CPUS', '8')}]",
         **{
             "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
