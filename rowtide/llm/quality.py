@@ -100,7 +100,9 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     measured = measured.withColumn("m", F.when(m["n_words"] < 3, m.withField("n_repeat_words", F.lit(0).cast("long"))).otherwise(m))
     failed = (m["n_words"] < BASE_LEAST_WORDS) | (100 * m["n_repeat_words"] > BASE_MOST_REPEATED * m["n_words"])
     verdict = F.struct("m.*", failed.alias("base_failed"), (~failed & compile_rules(rules, m)).alias("kept"))
-    return measured.select("doc", verdict.alias("quality"))
+    # A filter on the verdict would be pushed below the projections, with all of them written out inside it: once for each use,
+    # and per element inside the array functions. It stops at a generator, here one of exactly one row.
+    return measured.select("doc", F.explode(F.array(verdict)).alias("quality"))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
