@@ -22,7 +22,7 @@ def _running(keys: list[str], order: list[str]):
 
 
 def _placed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
-    """Rows with their chunk. Rows without a key or a place in the order are left out, on both sides of the later
+    """Rows with their chunk. Rows without a key or a place in the order are kept apart (``_unplaced``), on both sides of the later
     join alike, so that the rows and their summary can share one shuffle."""
     cut = df.withColumn("_chunk", chunk)
     for name in [*keys, "_chunk"]:
@@ -30,6 +30,19 @@ def _placed(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     return cut
 
 
+def _unplaced(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """Rows that ``_placed`` keeps apart: they have no place in any order."""
+    missing = chunk.isNull()
+    for name in keys:
+        missing = missing | F.col(name).isNull()
+    return df.filter(missing)
+
+
+def rejected_samples(samples: DataFrame, keys: list[str], ts: str, chunk: Column | None = None) -> DataFrame:
+    """Samples without a key or a time, which no streak can hold; ``streaks`` gives all others."""
+    return _unplaced(samples, keys, hour_chunk(ts) if chunk is None else chunk)
+
+
 def last_change_per_key(log: DataFrame, keys: list[str], order: list[str] = POSITION) -> DataFrame:
     """The last log row of every key with the number of rows merged into it.
 
@@ -55,7 +68,11 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def label_runs(log: DataFrame, table: str = "tbl", op: str = "op", order: list[str] = POSITION, chunk: str = "file_no") -> DataFrame:
-    """Number the runs of equal operations of each table in log order (column ``run_no``)."""
+    """Number the runs of equal operations of each table in log order (column ``run_no``).
+
+    Rows without a table or a log file have no place among the others: they stay, with a null run_no.
+    """
+    unplaced = log.filter(F.col(table).isNull() | F.col(chunk).isNull()).select("*", F.lit(None).cast("bigint").alias("run_no"))
     placed = log.filter(F.col(table).isNotNull() & F.col(chunk).isNotNull())
     w = _running([table, chunk], [c for c in order if c != chunk])
     local = placed.select("*", F.lag(op).over(w).alias("_was"), F.lead(op).over(w).alias("_next"))
@@ -78,6 +95,7 @@ def label_runs(log: DataFrame, table: str = "tbl", op: str = "op", order: list[s
         local.join(carried, [table, chunk])
         .withColumn("run_no", (F.col("_base") + F.col("_steps")).cast("bigint"))
         .select(*log.columns, "run_no")
+        .unionByName(unplaced)
     )
 
 
@@ -99,7 +117,8 @@ def runs(log: DataFrame, table: str = "tbl", op: str = "op", order: list[str] =
 def counter_delta(
     samples: DataFrame, keys: list[str], value: str, order: list[str], ts: str, chunk: Column | None = None
 ) -> DataFrame:
-    """Growth per second of a cumulative counter; a fall means a reset and gives null."""
+    """Growth per second of a cumulative counter; a fall means a reset and gives null, and so does a row without key or time."""
+    lost = _unplaced(samples, keys, hour_chunk(ts) if chunk is None else chunk)
     cut = _placed(samples, keys, hour_chunk(ts) if chunk is None else chunk)
     w = _running([*keys, "_chunk"], order)
     here = F.struct(F.col(value).alias("v"), F.col(ts).alias("t"))
@@ -111,11 +130,12 @@ def counter_delta(
     joined = local.join(carried, [*keys, "_chunk"]).withColumn("_p", F.coalesce("_prev", "_carry"))
     grown = F.col(value) - F.col("_p.v")
     secs = F.timestamp_diff("SECOND", F.col("_p.t"), F.col(ts))
-    return joined.select(
+    out = joined.select(
         *samples.columns,
         F.when(grown >= 0, grown).alias("delta"),
         F.when(grown >= 0, F.try_divide(grown, secs)).alias("per_second"),
     )
+    return out.unionByName(lost, allowMissingColumns=True)
 
 
 def _as_chunk(since: DataFrame, keys: list[str], kind: str) -> DataFrame:

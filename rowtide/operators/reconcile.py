@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.rows import marked_text, row_hash
-from rowtide.functions.timing import moment
+from rowtide.functions.timing import midnight, moment, moment_for
 from rowtide.operators.filters import between_days, recent
 from rowtide.operators.ordered import keep_last
 from rowtide.operators.sync import without_keys
@@ -31,6 +32,12 @@ def reconcile_days(source: DataFrame, target: DataFrame, ts: str, n: int, as_of:
     return counts.withColumn("status", F.when(same, "equal").otherwise("differ"))
 
 
+def between(df: DataFrame, ts: str, day: str) -> Column:
+    """True for rows on a day, as a range that can be pushed down."""
+    start = date.fromisoformat(day)
+    return (F.col(ts) >= moment_for(df, ts, midnight(start))) & (F.col(ts) < moment_for(df, ts, midnight(start + timedelta(days=1))))
+
+
 def repair_days(
     source: DataFrame, target: DataFrame, keys: list[str], ts: str, n: int, as_of: datetime, delete_only_if_extra: bool = False
 ) -> DataFrame:
@@ -39,19 +46,20 @@ def repair_days(
     The day is replaced; with ``delete_only_if_extra`` it is cleared only where the target has more rows, and
     upserted by key elsewhere.
     """
-    first = as_of - timedelta(days=n)
-    # one row per day of the range at most, so it may go to every task
-    bad = reconcile_days(source, target, ts, n, as_of).filter("status = 'differ'")
-    fresh = (
-        between_days(source, ts, first, as_of).withColumn("_day", F.to_date(ts))
-        .join(F.broadcast(bad.select(F.col("day").alias("_day"))), "_day", "left_semi").drop("_day")
-    )
-    cleared = bad.filter("target_rows > source_rows") if delete_only_if_extra else bad
-    kept = (
-        target.withColumn("_day", F.to_date(ts))
-        .join(F.broadcast(cleared.select(F.col("day").alias("_day"))), "_day", "left_anti").drop("_day")
-    )
-    return without_keys(kept.select(*target.columns), fresh, keys).unionByName(fresh.select(*target.columns))
+    # n + 1 days at most: they are worked out once and become a plain filter that reaches the scans
+    bad = reconcile_days(source, target, ts, n, as_of).filter("status = 'differ'").collect()
+    if not bad:
+        return target
+    days = [str(r["day"]) for r in bad]
+    cleared = [str(r["day"]) for r in bad if r["target_rows"] > r["source_rows"]] if delete_only_if_extra else days
+
+    def on(df: DataFrame, which: list[str]) -> Column:
+        inside = [between(df, ts, day) for day in which]
+        return F.coalesce(reduce(lambda a, b: a | b, inside, F.lit(False)), F.lit(False))
+
+    fresh = source.filter(on(source, days))
+    kept = target.filter(~on(target, cleared))
+    return without_keys(kept, fresh, keys).unionByName(fresh.select(*target.columns))
 
 
 def _same_types(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:

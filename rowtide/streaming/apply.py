@@ -1,29 +1,71 @@
 """Applying a change stream to bucketed targets.
 
-The target is partitioned by table and key bucket. Each row carries the log place of its last change, and deleted
-keys stay as tombstones. A batch therefore gives the same target however often and in whatever file order it is
-applied, and a snapshot taken at some place ignores earlier events by itself.
+A target is a set of generations, each a folder partitioned by table and key bucket, and a manifest that names the live
+ones. A batch adds one generation with the last change of each of its keys: nothing that is there is read or
+rewritten. Each row carries the log place of its change, and deleted keys stay as tombstones, so the last place of a key wins
+however often and in whatever order batches come, and a snapshot taken at some place ignores earlier events by itself.
+``compact`` folds all generations into one. A new manifest appears by a rename after its generations are whole, so a crash
+at any point leaves the target as it was.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import uuid
+import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowtide.operators.changes import net_changes
 from rowtide.operators.ordered import POSITION, keep_last
-from rowtide.sources.sinks import path_exists, with_bucket
+from rowtide.sources.sinks import even_files, remove_path, with_bucket
 from rowtide.streaming.changes import buffered
 
 KEYS = ["tbl", "pk"]
 PARTS = ["tbl", "bucket"]
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    """Write rows that are already clustered by partition; a bucket is one file, its size set by their number."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _manifests(spark: SparkSession, path: str) -> list[str]:
+    at, fs = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if n.startswith("manifest-"))
+
+
+def generations(spark: SparkSession, path: str) -> list[str]:
+    """The live generations, oldest first; none for a target that isn't there yet."""
+    names = _manifests(spark, path)
+    if not names:
+        return []
+    at, fs = _folder(spark, f"{path}/{names[-1]}")
+    stream = fs.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, live: list[str]) -> None:
+    names = _manifests(spark, path)
+    number = int(names[-1].split("-")[1]) + 1 if names else 0
+    made, fs = _folder(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
+    stream = fs.create(made, True)
+    try:
+        stream.write(bytearray(json.dumps(live).encode()))
+    finally:
+        stream.close()
+    if not fs.rename(made, _folder(spark, f"{path}/manifest-{number:09d}")[0]):
+        raise RuntimeError(f"another writer has changed {path}")
+
+
+def _write(rows: DataFrame, path: str, name: str) -> None:
+    """A generation; a full bucket is cut into several files and tasks, small ones are put together."""
+    even_files(rows, *PARTS).write.mode("overwrite").partitionBy(*PARTS).parquet(f"{path}/gen={name}")
 
 
 def write_snapshot(snapshot: DataFrame, path: str, buckets: int, at: tuple[int, int] = (-1, -1)) -> None:
@@ -33,37 +75,26 @@ def write_snapshot(snapshot: DataFrame, path: str, buckets: int, at: tuple[int,
         .withColumn("file_no", F.lit(at[0]).cast("bigint")).withColumn("pos", F.lit(at[1]).cast("bigint"))
         .withColumn("seq", F.lit(2**62).cast("bigint"))
     )
-    _write(with_bucket(rows, KEYS, buckets).repartition(*PARTS).sortWithinPartitions(*PARTS, "pk"), path)
-
-
-def _touched(changes: DataFrame) -> Column | None:
-    """Filter on the partitions a batch touches; at most tables x buckets values reach the driver."""
-    per_table = changes.groupBy("tbl").agg(F.collect_set("bucket").alias("b")).collect()
-    if not per_table:
-        return None
-    return reduce(lambda a, b: a | b, [(F.col("tbl") == r["tbl"]) & F.col("bucket").isin(*r["b"]) for r in per_table])
+    name = uuid.uuid4().hex
+    _write(with_bucket(rows, KEYS, buckets), path, name)
+    _publish(snapshot.sparkSession, path, [name])
 
 
-def merge_batch(batch: DataFrame, path: str, images: list[str], buckets: int, compat: bool = False) -> None:
-    """Fold one batch into the target, reading and rewriting only the buckets of its keys."""
-    last = with_bucket(net_changes(batch, KEYS, images, compat=compat), KEYS, buckets).persist()
-    try:
-        where = _touched(last)
-        if where is None:
-            return
-        merged = last
-        if path_exists(batch.sparkSession, path):
-            held = read_target(batch.sparkSession, path).filter(where)
-            merged = held.select(*last.columns).unionByName(last)
-        # one shuffle by partition serves both the choice of the last row and the write
-        _write(keep_last(merged.repartition(*PARTS), [*PARTS, "pk"], POSITION), path)
-    finally:
-        last.unpersist()
+def merge_batch(batch: DataFrame, path: str, images: list[str], buckets: int, compat: bool = False, name: str | None = None) -> None:
+    """Add one batch to the target. A batch whose ``name`` is live already has been applied and changes nothing."""
+    spark, name = batch.sparkSession, name or uuid.uuid4().hex
+    live = generations(spark, path)
+    if name in live or batch.isEmpty():
+        return
+    _write(with_bucket(net_changes(batch, KEYS, images, compat=compat), KEYS, buckets), path, name)
+    _publish(spark, path, [*live, name])
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    """The target with tombstones and log places."""
-    return spark.read.parquet(path).withColumn("tbl", F.col("tbl").cast("string"))
+    """The target with tombstones and log places: the last row of each key over all generations."""
+    live = generations(spark, path)
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/gen={name}" for name in live]).drop("gen").withColumn("tbl", F.col("tbl").cast("string"))
+    return rows if len(live) == 1 else keep_last(rows, KEYS, POSITION)
 
 
 def live_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
@@ -71,13 +102,39 @@ def live_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     return read_target(spark, path).filter(~F.col("deleted")).select(*cols)
 
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold all generations into one. The old ones stay for readers at work until ``vacuum``."""
+    live = generations(spark, path)
+    if len(live) > 1:
+        name = uuid.uuid4().hex
+        _write(read_target(spark, path), path, name)
+        _publish(spark, path, [name, *generations(spark, path)[len(live) :]])
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove generations that the manifest doesn't name; call it when no reader of an older manifest is at work."""
+    at, fs = _folder(spark, path)
+    live = set(generations(spark, path))
+    for name in [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]:
+        if name.removeprefix("gen=") not in live:
+            remove_path(spark, f"{path}/{name}")
+
+
 def start_apply(
-    stream: DataFrame, path: str, checkpoint: str, images: list[str], buckets: int, gap: str | None = None, compat: bool = False
+    stream: DataFrame, path: str, checkpoint: str, images: list[str], buckets: int, gap: str | None = None, compat: bool = False,
+    most_generations: int = 16,
 ) -> StreamingQuery:
-    """Apply the stream to all tables at once; order inside a table is kept by log place."""
+    """Apply the stream to all tables at once; order inside a table is kept by log place.
+
+    A micro-batch that runs again has the same name and is not added twice. The target is compacted when it has
+    ``most_generations``, so the cost of rewriting is shared by that many batches.
+    """
+    own = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch, path, images, buckets, compat)
+        merge_batch(batch, path, images, buckets, compat, f"batch-{own}-{batch_id:09d}")
+        if len(generations(batch.sparkSession, path)) >= most_generations:
+            compact(batch.sparkSession, path)
 
     return buffered(stream, checkpoint, gap).foreachBatch(fold).start()
 
@@ -85,4 +142,6 @@ def start_apply(
 def drop_tombstones(spark: SparkSession, path: str, new_path: str, file_no: int, pos: int) -> None:
     """A compacted copy of the target without tombstones up to a log place."""
     old = F.col("deleted") & ((F.col("file_no") < file_no) | ((F.col("file_no") == file_no) & (F.col("pos") <= pos)))
-    _write(read_target(spark, path).filter(~old).repartition(*PARTS).sortWithinPartitions(*PARTS, "pk"), new_path)
+    name = uuid.uuid4().hex
+    _write(read_target(spark, path).filter(~old), new_path, name)
+    _publish(spark, new_path, [name])

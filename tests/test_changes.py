@@ -71,17 +71,38 @@ def test_any_split_into_batches_in_any_order_gives_the_same_target(spark):
     assert live(applying.live_rows(spark, path, COLS)) == fold(start, rows)
 
 
-def test_a_batch_rewrites_only_its_own_buckets(spark):
+def _files(spark, path):
+    return {r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()}
+
+
+def test_a_batch_rewrites_nothing_and_adds_only_its_own_buckets(spark):
     path = scratch_path(spark, "touch")
     applying.write_snapshot(target(spark, [(k, 0.0) for k in range(200)]), path, 16)
-    names = lambda: {r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()}
-    before = names()
+    before = _files(spark, path)
     applying.merge_batch(log(spark, [(9, 1, "update", 5, 5, 1.0)]), path, IMAGES, 16)
-    after = names()
-    assert len(before - after) == 1 and len(after - before) == 1
+    after = _files(spark, path)
+    assert before < after and len(after - before) == 1
     assert live(applying.live_rows(spark, path, COLS))[5] == 1.0
 
 
+def test_a_crash_before_the_switch_leaves_the_target_whole(spark, monkeypatch):
+    path = scratch_path(spark, "crash")
+    applying.write_snapshot(target(spark, [(1, 1.0), (2, 2.0)]), path, 2)
+    batch = [(9, 1, "update", 1, 1, 5.0), (9, 2, "delete", 2, 2, 0.0)]
+    with monkeypatch.context() as m:
+        m.setattr(applying, "_publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            applying.merge_batch(log(spark, batch), path, IMAGES, 2, name="batch-0")
+    assert live(applying.live_rows(spark, path, COLS)) == {1: 1.0, 2: 2.0}
+    for _ in range(2):
+        applying.merge_batch(log(spark, batch), path, IMAGES, 2, name="batch-0")
+    assert live(applying.live_rows(spark, path, COLS)) == {1: 5.0}
+    assert len(applying.generations(spark, path)) == 2
+    applying.compact(spark, path)
+    applying.vacuum(spark, path)
+    assert len(applying.generations(spark, path)) == 1 and live(applying.live_rows(spark, path, COLS)) == {1: 5.0}
+
+
 def test_empty_batch_changes_nothing(spark):
     path = scratch_path(spark, "empty")
     applying.write_snapshot(target(spark, [(1, 1.0)]), path, 2)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.operators import archive, changes as cdc, reconcile, schema, sync
+from rowtide.operators import archive, changes as cdc, ordered, reconcile, schema, sync
 from rowtide.sources import sinks, splits
 from rowtide.streaming import changes as streams, ddl, metrics
 
@@ -99,3 +99,14 @@ def test_late_files_are_kept_and_counted(spark, tmp_path):
     assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [5, 12, 31]
     counted = {r["window_start"].day: r["event_amount"] for r in metrics.read_ops_metrics(spark, f"{out}-m").collect()}
     assert counted == {20: 2, 2: 1, 1: 1}
+
+
+def test_rows_without_a_place_stay(spark):
+    t = dt.datetime(2024, 1, 1)
+    samples = spark.createDataFrame([(1, t, 5), (None, t, 6), (1, None, 7), (1, t + dt.timedelta(minutes=1), 65)], "k int, ts timestamp_ntz, v long")
+    got = {r["v"]: (r["delta"], r["per_second"]) for r in ordered.counter_delta(samples, ["k"], "v", ["ts", "v"], "ts").collect()}
+    assert got == {5: (None, None), 6: (None, None), 7: (None, None), 65: (60, 1.0)}
+    assert sorted(r["v"] for r in ordered.rejected_samples(samples, ["k"], "ts").collect()) == [6, 7]
+    log = spark.createDataFrame([(1, 1, 1, "a", "insert"), (1, 2, 2, None, "insert"), (None, 3, 3, "a", "delete")], "file_no long, pos long, seq long, tbl string, op string")
+    assert {r["seq"]: r["run_no"] for r in ordered.label_runs(log).collect()} == {1: 1, 2: None, 3: None}
+    assert ordered.runs(log).agg(F.sum("n")).first()[0] == 3
