@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rowtide.functions.timing import minutes_between, moment, seconds_between
 from rowtide.operators.joins import latest_by_max_id, latest_per_key_semi
 from rowtide.operators.ordered import streaks
+from rowtide.session import sql_over
 from rowtide.specs import SERVER_RULE, AlertRule
 
 
@@ -126,9 +127,7 @@ def probe_status(probes: DataFrame, limit_ms: float, keys: list[str], attempt: s
 
 def sql_check(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
     """The rows of a check query as texts joined by ' | ' under their header line; no rows give 'no data'."""
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    result = spark.sql(sql)
+    result = sql_over(spark, sql, views)
     line = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in result.columns])
     rows = result.select(F.lit(" | ".join(result.columns)).alias("header"), line.alias("line"))
     empty = spark.range(1).filter(~rows.select(F.lit(1)).limit(1).exists()).select(F.lit("").alias("header"), F.lit("no data").alias("line"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rowtide.session import sql_over
 from rowtide.specs import CdcSpec, TableCatalog
 
 # fixed values: preferred time columns, best first
@@ -46,9 +47,7 @@ def query_jdbc(spark: SparkSession, url: str, query: str, **extra: str) -> DataF
 
 def scan_query(spark: SparkSession, source: TableCatalog, sql: str, blank_nulls: bool = False) -> DataFrame:
     """A2: any SELECT over the tables of a source; ``blank_nulls`` shows everything as text with '' for null."""
-    for table, path in source.paths.items():
-        spark.read.parquet(path).createOrReplaceTempView(table)
-    df = spark.sql(sql)
+    df = sql_over(spark, sql, {table: spark.read.parquet(path) for table, path in source.paths.items()})
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]) if blank_nulls else df
 
 

@@ -159,7 +159,9 @@ def start_alerts(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         held = f"{state}/batch={batch_id - 1}"
-        since = spark.read.parquet(held) if path_exists(spark, held) else None
+        if batch_id and not path_exists(spark, held):
+            raise RuntimeError(f"the state after batch {batch_id - 1} is missing at {held}; going on would forget open alerts")
+        since = spark.read.parquet(held) if batch_id else None
         rows = alert_state(batch.select(*keys, ident, ts, F.col("ok").alias("good")), keys, F.col("good"), order, ts, rule, since=since).drop("good")
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         last = spark.read.parquet(f"{out}/batch={batch_id}")

@@ -122,10 +122,11 @@ def test_service_faults(spark):
 
 def test_probe_attempts_end_with_the_first_settled_answer(spark):
     rows = [("a", 1, "200", 9.0), ("a", 2, "200", 1.0), ("a", 3, "500", 1.0), ("b", 1, None, 0.0), ("c", 1, "x", 3.0), ("d", 1, "200", 9.0), ("d", 2, "200", 9.0), ("d", 3, "200", 9.0), ("d", 4, "200", 1.0)]
-    got = alerts.probe_status(spark.createDataFrame(rows, "probe string, attempt int, code string, ms double"), 5, ["probe"])
-    assert sorted((r["probe"], r["attempt"], r["api_status"]) for r in got.collect()) == [
-        ("a", 1, 408), ("a", 2, 200), ("b", 1, 202), ("c", 1, 201), ("d", 1, 408), ("d", 2, 408), ("d", 3, 408)
-    ]
+    probes = spark.createDataFrame(rows, "probe string, attempt int, code string, ms double")
+    first = [("a", 1, 408), ("a", 2, 200), ("b", 1, 202), ("c", 1, 201), ("d", 1, 408), ("d", 2, 408), ("d", 3, 408)]
+    for most, more in ((3, []), (None, [("d", 4, 200)])):
+        got = alerts.probe_status(probes, 5, ["probe"], most=most)
+        assert sorted((r["probe"], r["attempt"], r["api_status"]) for r in got.collect()) == first + more
 
 
 def test_missing_threshold_counts_as_zero_and_null_is_no_breach(spark):
