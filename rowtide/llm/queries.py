@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowtide.llm import chat, fingerprints, languages, mixing, packing, pivot_dedup, quality, sharding, suffix_index, training_order
 from rowtide.llm.columns import words
 from rowtide.llm.registry import ORACLES, QUERIES, query
+from rowtide.session import scratch_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -110,8 +111,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mixing_sources")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.size(words(F.col("text"))).cast("long")
-    rows = documents(spark, sf_dir).select("doc_id", "source", size.alias("size"))
-    mixed = mixing.mix(rows, F.array("source"), F.col("size"))
+    place = scratch_path(spark, "sizes")  # the mix reads its rows more than once; texts are split into words once
+    documents(spark, sf_dir).select("doc_id", "source", size.alias("size")).write.parquet(place)
+    mixed = mixing.mix(spark.read.parquet(place), F.array("source"), F.col("size"))
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
