@@ -141,5 +141,6 @@ def fingerprint_and_search(docs: DataFrame, every: int = 100, radius: int = 3, b
     counts = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("n"))
     asked = rows.where(F.col("doc_id") % every == 0).select(F.col("fingerprint").alias("fp"))
     found = near(asked, counts, radius, blocks).join(counts, F.col("fingerprint") == F.col("fp")).groupBy("query").agg(F.sum("n").alias("n"))
-    joined = rows.join(found, F.when(F.col("doc_id") % every == 0, F.col("fingerprint")) == found["query"], "left")
-    return joined.select(*rows.columns, (F.col("n") - 1).alias("n_near"))
+    chosen = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))  # the others need no partner and aren't moved
+    joined = rows.where(chosen).join(found, F.col("fingerprint") == F.col("query"), "left").select(*rows.columns, (F.col("n") - 1).alias("n_near"))
+    return joined.unionByName(rows.where(~chosen).withColumn("n_near", F.lit(None).cast("long")))
