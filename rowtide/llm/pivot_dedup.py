@@ -182,13 +182,11 @@ def links(prints: DataFrame, table: PivotTable, most: int = 1 << 16) -> DataFram
     return cut.repartition("key", "i", "j").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id), one per row of ``docs``.
+def _components(docs: DataFrame, width: int, radius: int, bands: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, fp), and a row (fp, least, component, component_id) for each distinct fingerprint.
 
-    Fingerprints of equal value are linked, and those at ``radius`` or fewer differing bits. component_id is the
-    smallest doc_id in reach. Equal fingerprints are one node, so copies cost one row each and no pair. A null text
-    counts as empty and has fingerprint zero; a null doc_id keeps its row and never names a component (the component of
-    rows that all lack a doc_id is null); repeated rows stay. An empty table gives no rows. Other columns are ignored.
+    least is the smallest doc_id of the fingerprint, component_id that of its component; both are null without any.
+    component is the smallest fingerprint in reach, so it also tells components apart that share a doc_id or have none.
     """
     spark = docs.sparkSession
     place = scratch_path(spark, "simhash")
@@ -198,18 +196,43 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bands: int
     named = nodes.join(components(links(nodes.select("fp"), PivotTable(radius, bands))).withColumnRenamed("node", "fp"), "fp", "left")
     named = named.select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(smallest, "component").select("fp", "component_id")
+    return prints, named.join(smallest, "component").select("fp", "least", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id), one per row of ``docs``.
+
+    Fingerprints of equal value are linked, and those at ``radius`` or fewer differing bits. component_id is the
+    smallest doc_id in reach. Equal fingerprints are one node, so copies cost one row each and no pair. A null text
+    counts as empty and has fingerprint zero; a null doc_id keeps its row and never names a component (the component of
+    rows that all lack a doc_id is null); repeated rows stay. An empty table gives no rows. Other columns are ignored.
+    """
+    prints, named = _components(docs, width, radius, bands, doc_id, text)
+    of = named.select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id; columns as given.
+def keep_first(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5, spare_no_id: bool = True) -> DataFrame:
+    """One row of each component stays, the one with the least (doc_id, text); columns as given.
 
-    Of rows that repeat this doc_id, the one with the smallest text stays. Rows without doc_id stay as they are, since
-    they can't be told apart.
+    Components are told apart by their fingerprints: unrelated texts under one doc_id each stay. A null doc_id comes
+    last. With ``spare_no_id``, rows without doc_id stay as they are and only the others are counted; else they are
+    copies like any others, and one of them stays where no row of the component has a doc_id.
+
+    Small tables say which (doc_id, fingerprint) a component is left to; only rows of these are moved, and the rank
+    filter leaves one row of a component in each input partition.
     """
-    named = near_duplicates(docs, width, radius, bands)
-    first = named.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.where("doc_id is not null").join(first, docs["doc_id"] == first["_kept"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first()))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth").unionByName(docs.where("doc_id is null"))
+
+    @F.arrow_udf("long")
+    def simhash(texts: pa.Array) -> pa.Array:
+        return pa.array(simhash64(texts, width).view(np.int64))
+
+    _, named = _components(docs, width, radius, bands)
+    first = named.where("least = component_id" if spare_no_id else "least <=> component_id")
+    first = first.select(F.col("fp").alias("_of"), F.coalesce("least", F.lit(0)).alias("_least"), F.col("least").isNull().alias("_none"), F.col("component").alias("_component"))
+    rows = docs.where("doc_id is not null") if spare_no_id else docs
+    rows = rows.withColumn("_fp", simhash.asNondeterministic()(F.col("text").cast("string")))  # not computed again in a pushed filter
+    own = (F.col("_fp") == F.col("_of")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_least")) & (F.col("doc_id").cast("long").isNull() == F.col("_none"))
+    nth = F.row_number().over(Window.partitionBy("_component").orderBy(F.col("text").asc_nulls_first()))
+    kept = rows.join(first, own).withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null")) if spare_no_id else kept

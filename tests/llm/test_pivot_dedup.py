@@ -92,3 +92,38 @@ def test_keep_first_keeps_one_of_each_component(spark, documents):
     got = keep_first(documents(rows))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(2, text.upper()), (9, rows[3][1]), (None, text)], key=repr)
+
+
+def test_keep_first_goes_by_component_not_by_id(spark, documents):
+    one, two = "a b c d e f g h i j", "quite another text here"
+    rows = [(2, one), (2, two), (3, one.upper()), (5, two.upper()), (7, "third"), (None, "third"), (None, "lonely words"), (None, "lonely words"), (None, "LONELY words"), (8, None), (None, "")]
+    # all that has an id: one row for each component, also where two share an id
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_first(documents(rows)).where("doc_id is not null").collect()), key=repr)
+    assert got == sorted([(2, one), (2, two), (7, "third"), (8, None)], key=repr)
+    got = sorted(((r["doc_id"], r["text"]) for r in keep_first(documents(rows), spare_no_id=False).collect()), key=repr)
+    assert got == sorted([(2, one), (2, two), (7, "third"), (8, None), (None, "LONELY words")], key=repr)
+
+
+def test_keep_first_of_repeated_ids_equals_brute_force(spark, documents):
+    rnd, base = random.Random(3), [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(12)]
+    rows = []
+    for _ in range(160):
+        words = rnd.choice(base).split()
+        if rnd.random() < 0.5:
+            words[rnd.randrange(60)] = "other"
+        rows.append((rnd.choice([None, 1, 2, 3, 4, 5]), " ".join(words)))
+    prints, want = [plain_print(t) for _, t in rows], {}
+    group = plain_components(list(range(len(rows))), prints, 3)
+    for (d, t), g in zip(rows, group, strict=True):
+        want[g] = min(want.get(g, (2, 0, "")), (d is None, d or 0, t))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in keep_first(documents(rows), spare_no_id=False).collect())
+    assert got == sorted(want.values())
+
+
+def test_pipeline_drops_copies_without_id(spark, documents):
+    import corpus_pipeline
+
+    rows = [(1, "one two three four"), (None, "one two three four"), (None, "five six seven"), (None, "five six seven")]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    got = sorted(((r["doc_id"], r["text"]) for r in stage(spark, documents(rows), "").collect()), key=repr)
+    assert got == sorted([(1, "one two three four"), (None, "five six seven")], key=repr)
