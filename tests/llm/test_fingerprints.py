@@ -80,3 +80,17 @@ def test_byte_helpers():
 
 def test_a_null_id_stays_null(spark, documents):
     assert fingerprint(documents([(None, "a"), (1, "b")])).where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_search_finds_copies_with_one_replaced_word(spark, documents):
+    rnd, rows = random.Random(4), []
+    for k in range(30):
+        words = [f"w{rnd.randrange(400)}" for _ in range(300)]
+        copy = list(words)
+        copy[rnd.randrange(300)] = "other"
+        rows += [(100 * k, " ".join(words)), (100 * k + 1, " ".join(copy))]
+    prints = prints_of([t for _, t in rows])
+    apart = [int(np.bitwise_count(prints[i] ^ prints[i + 1]).sum()) for i in range(0, len(rows), 2)]
+    got = {r["doc_id"]: r["n_near"] for r in fingerprint_and_search(documents(rows)).collect()}
+    assert [got[100 * k] for k in range(30)] == [int(a <= 6) for a in apart]
+    assert any(3 < a <= 6 for a in apart)
