@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rowtide.llm.columns import whole_row
 
-#: Rows that one draw may take; numpy's generator ends at 10^9.
+#: Rows up to which numpy draws; its generator ends at 10^9.
 _DRAW = 900_000_000
 
 
@@ -16,31 +16,54 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (j < rows % shards) for j in range(shards)], np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` rows, taken without replacement, are among the ``good`` ones; also beyond ``_DRAW`` rows.
+
+    There the law is inverted from ratios of neighbouring probabilities, over twelve deviations on both sides of the
+    mean; what lies outside is below 1e-30, far under the steps of a random number.
+    """
+    total = good + bad
+    if total <= _DRAW:
+        return int(rng.hypergeometric(good, bad, drawn))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    mean = drawn * (good / total)
+    reach = 12 * (mean * (bad / total) * ((total - drawn) / total)) ** 0.5 + 40
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(drawn - k) - np.log(k + 1) - np.log(bad - drawn + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(weights - weights.max()))
+    return low + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), high - low)
+
+
 def communication_matrix(cells: list[int], shards: int, seed: int) -> np.ndarray:
     """How many rows of each cell go to each shard: rows add up to the cells, columns to the shard sizes.
 
     Given both, the counts have the law they would have if all rows were shuffled at once: each cell draws from what
-    is left of the shards without replacement. Beyond ``_DRAW`` rows, runs of cells get their share of every shard first.
+    is left of the shards without replacement. Beyond ``_DRAW`` rows, the cells are halved and the first half draws its
+    total from every shard by the same law, until a run of cells is small enough or one cell.
     """
-    rng, total = np.random.default_rng(seed), sum(cells)
-    sizes, out = shard_sizes(total, shards), np.zeros((len(cells), shards), np.int64)
-    begin, given = 0, np.zeros(shards, np.int64)
-    while begin < len(cells):
-        end, rows = begin, 0
-        while end < len(cells) and (end == begin or rows + cells[end] <= _DRAW):
-            rows, end = rows + cells[end], end + 1
-        left = sizes - given
-        if end < len(cells):
-            share = left * rows // int(left.sum())
-            share[: rows - int(share.sum())] += 1
-            left = share
-        given += left
-        for i in range(begin, end):
-            if cells[i] > _DRAW:
-                raise ValueError(f"a cell holds {cells[i]} rows: take more cells")
-            out[i] = rng.multivariate_hypergeometric(left, cells[i], method="marginals")
-            left = left - out[i]
-        begin = end
+    rng, out = np.random.default_rng(seed), np.zeros((len(cells), shards), np.int64)
+
+    def deal(begin: int, end: int, left: np.ndarray) -> None:
+        rows = sum(cells[begin:end])
+        if rows <= _DRAW:
+            for i in range(begin, end):
+                out[i] = rng.multivariate_hypergeometric(left, cells[i], method="marginals")
+                left = left - out[i]
+        elif end - begin == 1:
+            out[begin] = left
+        else:
+            middle = (begin + end) // 2
+            wanted, others, first = sum(cells[begin:middle]), rows, np.zeros(shards, np.int64)
+            for j, size in enumerate(left.tolist()):
+                others -= size
+                first[j] = hypergeometric(rng, size, others, wanted)
+                wanted -= int(first[j])
+            deal(begin, middle, first)
+            deal(middle, end, left - first)
+
+    deal(0, len(cells), shard_sizes(sum(cells), shards))
     return out
 
 

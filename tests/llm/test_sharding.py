@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 
+from rowtide.llm import sharding
 from rowtide.llm.queries import op5
 from rowtide.llm.sharding import communication_matrix, shard_sizes, shuffle_into_shards
 
@@ -49,3 +50,35 @@ def test_edges(spark, documents):
     rows = shuffle_into_shards(docs.withColumnRenamed("lang", "shard"), 4).collect()
     assert len(rows) == 6 and sorted(Counter(r["shard"] for r in rows).values()) == [1, 1, 2, 2]
     assert shuffle_into_shards(documents([]), 4).count() == 0
+
+
+def test_large_counts_keep_the_law_of_a_shuffle(monkeypatch):
+    monkeypatch.setattr(sharding, "_DRAW", 50)
+    cells, first = [30, 0, 70, 25, 40, 35], []
+    for seed in range(3000):
+        matrix = communication_matrix(cells, 4, seed)
+        assert matrix.sum(axis=1).tolist() == cells and matrix.sum(axis=0).tolist() == [50] * 4 and matrix.min() >= 0
+        first.append(matrix[:3, 0].sum())
+    n, own, taken = 200, 50, 100  # rows of the first three cells in the first shard
+    assert abs(np.mean(first) - taken * own / n) < 0.25
+    want = taken * (own / n) * (1 - own / n) * (n - taken) / (n - 1)
+    assert 0.88 * want < np.var(first) < 1.12 * want
+
+
+def test_large_draws_follow_numpy(monkeypatch):
+    cases = [(500, 700, 300), (3, 900, 400), (900, 3, 400), (50, 40, 90), (0, 100, 60), (100, 0, 60), (60, 50, 0), (60, 50, 75)]
+    draw = lambda case, seed: [sharding.hypergeometric(rng, *case) for rng in [np.random.default_rng(seed)] for _ in range(4000)]
+    plain = [draw(c, 1) for c in cases]
+    monkeypatch.setattr(sharding, "_DRAW", 1)
+    for case, one in zip(cases, plain, strict=True):
+        two, (good, bad, drawn) = draw(case, 2), case
+        assert min(two) >= max(0, drawn - bad) and max(two) <= min(good, drawn)
+        spread = max(np.std(one), 1e-9)
+        assert abs(np.mean(one) - np.mean(two)) <= 0.12 * spread and abs(np.std(two) - np.std(one)) <= 0.1 * spread
+
+
+def test_cells_beyond_the_generator():
+    cells = [2_000_000_000, 5, 1_500_000_000, 700_000_000]
+    matrix = communication_matrix(cells, 3, 1)
+    assert matrix.sum(axis=1).tolist() == cells and matrix.sum(axis=0).tolist() == shard_sizes(sum(cells), 3).tolist()
+    assert matrix.min() >= 0 and len(set(matrix[0].tolist())) == 3
