@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import chat, fingerprints, languages, mixing, packing, pivot_dedup, quality, sharding, suffix_index, training_order
+from rowtide.llm import chat, fingerprints, languages, mixing, packing, periodic_runs, pivot_dedup, prefix_trie, quality, secret_scans, sharding, suffix_index, training_order
 from rowtide.llm.columns import words
 from rowtide.llm.registry import ORACLES, QUERIES, query
 from rowtide.session import scratch_path
@@ -130,3 +130,66 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
+
+
+@query("op11_secret_scans")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digest(secret_scans.scan(documents(spark, sf_dir)))
+
+
+OP12_SQL = r"""
+with t as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) as k
+    from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations)
+), c as (
+    select conv_id, count(*) as n, conv_id - ((conv_id % 20) + 20) % 20 as base,
+        xor(list_reduce(
+            list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+            lambda crc, byte: list_reduce(
+                list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)
+        ), 4294967295) % 4 as h
+    from t group by conv_id
+), m as (
+    select c.*, least(c.h, coalesce(b.n, 0)) as got, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) as total
+    from c left join c as b on b.conv_id = c.base
+), r as (
+    select m.conv_id, t.k as pos, role, text from m join t on t.conv_id = m.base and t.k <= m.h
+    union all
+    select m.conv_id, t.k - m.h + m.got, role, text from m join t on t.conv_id = m.conv_id and t.k > m.h
+), p as (
+    select conv_id, pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w,
+        md5(string_agg(sha256(length(role) || ':' || role || text), '') over (partition by conv_id order by pos)) as key
+    from r
+    union all select conv_id, 0, 0, '' from m
+), q as (
+    select p.*, lag(key) over (partition by p.conv_id order by pos) as up, pos = m.total as ends from p join m using (conv_id)
+), nodes as (
+    select pos, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(up) as up, any_value(w) as w,
+        sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256
+    from q group by pos, key
+), kids as (
+    select pos - 1 as pos, up as key, count(*) as n from nodes where pos > 0 group by all
+), valued as (
+    select nodes.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * w as saved from nodes left join kids using (pos, key)
+), totals as (
+    select a.pos, a.key, count(*) filter (n_children = 0) as n_leaves, sum(saved)::bigint as saved_tokens
+    from valued v join p a on a.conv_id = v.conv_id and a.pos <= v.pos group by all
+)
+select v.conv_id, v.pos as depth, above.conv_id as parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+from valued v join totals using (pos, key) left join nodes above on above.pos = v.pos - 1 and above.key = v.up
+"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    c = F.col("c")
+    return prefix_trie.trie(prefix_trie.share_openings(turns, c - F.pmod(c, F.lit(20)), F.crc32(c.cast("string").cast("binary")) % 4, 3))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs, periodic_runs.with_planted_run(F.col("doc_id"), F.col("text"))))
