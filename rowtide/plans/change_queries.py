@@ -10,7 +10,7 @@ from rowtide.plans import inputs
 from rowtide.plans.inputs import with_inputs
 from rowtide.plans.registry import query
 from rowtide.session import scratch_path
-from rowtide.streaming import apply as applying, changes as streams, ddl, metrics
+from rowtide.streaming import apply as applying, changes as streams, ddl, metrics, places
 
 KEYS, IMAGES = ["tbl", "pk"], ["val", "kind", "ts"]
 COLS = ["tbl", "pk", "val", "kind", "ts"]
@@ -61,6 +61,64 @@ def x2(spark, d):
     return spark.read.parquet(out).groupBy("file_no").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def _flushed(spark, log: str, name: str, **options) -> tuple[str, tuple[int, int]]:
+    """Read a log with places to its end; where the flushes lie, and the place it has come to."""
+    out = scratch_path(spark, name)
+    flow = places.flush_places(places.read_places(spark, log, checkpoint=f"{out}-ck", **options), out, f"{out}-ck")
+    try:
+        flow.processAllAvailable()
+    finally:
+        flow.stop()
+    return out, places.last_place(spark, f"{out}-ck", flushed=True) or options.get("start", places.BEGINNING)
+
+
+@query(
+    "x1_read_from_place",
+    with_inputs("changes") + "select seq, file_no, pos, tbl, op, before_pk, pk, val, kind, ts from changes where file_no > 9 or (file_no = 9 and pos > 500)",
+)
+def x1_place(spark, d):
+    """A stream that starts in the middle of a log file."""
+    log = scratch_path(spark, "places")
+    places.write_log(inputs.changes(spark, d), log)
+    out, _ = _flushed(spark, log, "from-place", start=(9, 500))
+    return spark.read.schema(places.CHANGE_SCHEMA).option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+
+
+@query(
+    "x2_flush_by_rows",
+    with_inputs("changes") + ", n as (select *, row_number() over (order by file_no, pos) - 1 as rn, count(*) over () // 5 + 1 as size from changes)"
+    " select cast(rn // size as integer) as batch, count(*) as rows, min(seq) as first_seq, max(seq) as last_seq from n group by 1",
+)
+def x2_rows(spark, d):
+    """Flushes of a fifth of the log each, which end in the middle of log files."""
+    log, rows = scratch_path(spark, "places"), inputs.changes(spark, d)
+    places.write_log(rows, log)
+    out, _ = _flushed(spark, log, "flushes", max_rows=rows.count() // 5 + 1)
+    return spark.read.parquet(out).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+@query(
+    "x8_resume_stream",
+    with_inputs("changes") + "select 'a' as tag, false as gap, count(*) as rows, cast(sum(seq) as bigint) as seqs from changes"
+    " union all select 'b', true, 0, null union all select 'c', false, count(*), cast(sum(seq) as bigint) from changes where file_no > 10 or (file_no = 10 and pos > 800)",
+)
+def x8_stream(spark, d):
+    """Three jobs go on where X8 says: one behind its last flush, one whose log file is gone, one in the middle of a file."""
+    log, rows = scratch_path(spark, "places"), inputs.changes(spark, d)
+    places.write_log(rows.filter("file_no < 10"), log)
+    first, place = _flushed(spark, log, "job-a", max_rows=300)
+    places.write_log(rows.filter("file_no >= 10"), log)
+    saved = spark.createDataFrame([("a", *place), ("b", 3, 7), ("c", 10, 800)], "tag string, file_no bigint, pos bigint")
+    end = rows.agg(F.max("file_no").alias("end_file"), F.max_by("pos", F.struct("file_no", "pos")).alias("end_pos"))
+    parts = spark.read.schema(places.CHANGE_SCHEMA).parquet(f"{first}/batch=*").select(F.lit("a").alias("tag"), F.lit(False).alias("gap"), "seq")
+    for job in cdc.resume_position(saved, places.log_files(spark, log), end).collect():  # one row per job
+        out, _ = _flushed(spark, log, f"job-{job['tag']}", start=(job["file_no"], job["pos"]))
+        read = spark.read.schema(places.CHANGE_SCHEMA).parquet(out) if streams.has_parquet(spark, out) else rows.limit(0)
+        none = spark.createDataFrame([(job["tag"], job["gap"], None)], "tag string, gap boolean, seq bigint")
+        parts = parts.unionByName(read.select(F.lit(job["tag"]).alias("tag"), F.lit(job["gap"]).alias("gap"), "seq")).unionByName(none)
+    return parts.groupBy("tag", "gap").agg(F.count("seq").alias("rows"), F.sum("seq").alias("seqs"))
+
+
 @query("x3_apply_changes", LOG + apply_sql())
 def x3(spark, d):
     return cdc.apply_changes(inputs.changed(spark, d), inputs.changes(spark, d), KEYS, IMAGES)
