@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowtide.session import stable
+
 POSITION = ["file_no", "pos", "seq"]
 
 
@@ -17,6 +19,17 @@ def hour_chunk(ts: str) -> Column:
     return F.date_trunc("hour", F.col(ts))
 
 
+def even_chunks(df: DataFrame, keys: list[str], order: list[str], name: str = "_chunk", partitions: int | None = None) -> DataFrame:
+    """Rows with a chunk number that rises with (keys, order); chunks hold about equal numbers of rows.
+
+    Borders come from Spark's sample of whole (keys, order) values, so a key with a third of all rows is cut into a third of
+    the chunks, and rows of one time are cut by the rest of the order. Rows of a chunk lie together, sorted, in one
+    partition. The result is checkpointed: borders must not change when an executor is lost.
+    """
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys, *order).sortWithinPartitions(*keys, *order)
+    return stable(ranged.withColumn(name, F.spark_partition_id()))
+
+
 def _running(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 

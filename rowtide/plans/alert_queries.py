@@ -82,10 +82,30 @@ def m3_stream(spark, d):
 
 @query("m3_alert_state_batches", STREAKS_SQL + _STATE + " select * from state")
 def m3_batches(spark, d):
-    """The same rows from a stream whose batches run the prefix scan."""
+    """The same rows from a stream whose batches are followed in even pieces."""
+    return _followed(spark, _samples(spark, d), RULE)
+
+
+def _followed(spark, stream, rule):
     path = scratch_path(spark, "alerting")
-    streaming.start_alerts(_samples(spark, d), ["server_id"], "ts", "sample_id", RULE, f"{path}/out", f"{path}/state", f"{path}/ck").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select(*STATE)
+    streaming.start_alerts(stream, ["server_id"], "ts", "sample_id", rule, path, f"{path}-ck").awaitTermination()
+    return streaming.read_alerts(spark, path, ["server_id"], "sample_id").select(*STATE)
+
+
+def _late_samples(spark, d):
+    """The samples as three files read one by one: some days, the days after them, and last what comes late from all days."""
+    path, rows = scratch_path(spark, "sample-files"), inputs.samples(spark, d).select("sample_id", "server_id", "ts", "cpu")
+    late = F.col("sample_id") % 23 == 0
+    for part in (~late & (F.dayofmonth("ts") <= 12), ~late & (F.dayofmonth("ts") > 12), late):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("ok", F.col("cpu") <= 40)
+
+
+@query("m3_alert_state_late", STREAKS_SQL + _STATE + " select * from state")
+def m3_late(spark, d):
+    """The same rows although every 23rd sample comes days late: what follows from it is worked out again."""
+    return _followed(spark, _late_samples(spark, d), RULE)
 
 
 def _samples(spark, d):
@@ -186,6 +206,12 @@ def m9(spark, d):
     return _streamed(spark, d, api_rule(200))
 
 
+@query("m9_api_alert_late", _API_FOLD)
+def m9_late(spark, d):
+    """The API rule over several batches with late samples, no key in one worker."""
+    return _followed(spark, _late_samples(spark, d), api_rule(200))
+
+
 @query(
     "m10_sql_check",
     "select 'status | n | total' as header, o_orderstatus || ' | ' || cast(count(*) as varchar) || ' | ' || cast(cast(sum(o_custkey) as bigint) as varchar) as line from orders group by o_orderstatus"

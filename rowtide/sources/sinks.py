@@ -65,6 +65,19 @@ def has_parquet(spark: SparkSession, path: str) -> bool:
     return False
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; nothing if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def mark_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     gone = spark._jvm.org.apache.hadoop.fs.Path(path)
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

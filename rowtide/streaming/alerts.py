@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from typing import NamedTuple
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -13,98 +14,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from rowtide import specs
-from rowtide.operators.alerts import alert_state
+from rowtide.operators import alert_runs
+from rowtide.operators.alert_runs import FOLLOWED, STATE, AlertState, advance, follow, state_after
 from rowtide.operators.ordered import keep_last
-from rowtide.sources.sinks import path_exists, remove_path
+from rowtide.sources.sinks import children, has_parquet, mark_folder, path_exists
 from rowtide.specs import AlertRule
 from rowtide.streaming.changes import buffered
 
 # the processor travels to the workers as code, so they need not have this package installed
-for _module in (sys.modules[__name__], specs):
+for _module in (sys.modules[__name__], alert_runs, specs):
     cloudpickle.register_pickle_by_value(_module)
 
-_STATE = "fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, sent boolean, sent_times bigint, known boolean, recovered boolean"
-_OUT = "ok boolean, fail_times bigint, succ_times bigint, first_failure_time timestamp_ntz, is_send_alt_mail string, is_send_alt_mail_times bigint, is_send_rcv_mail string, emit string"
 STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class AlertState(NamedTuple):
-    """What is kept per key between batches."""
-
-    fail_times: int = 0
-    succ_times: int = 0
-    first_failure_time: object = None
-    sent: bool = False
-    sent_times: int = 0
-    known: bool = False
-    recovered: bool = False
-
-
-def _before(flags: np.ndarray) -> np.ndarray:
-    """Index of the latest true flag at or before each place, -1 if there is none."""
-    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), -1))
-
-
-def _sent_at_run_start(state: AlertState, ok: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fails: np.ndarray, rule: AlertRule) -> np.ndarray:
-    """Whether an alert was open when each run of equal results began.
-
-    A failing run longer than ``rule.first`` opens one, a good run that reaches ``rule.recover_at`` ends it; what
-    counts is which of the two came last.
-    """
-    last = starts + lengths - 1
-    good = ok[starts]
-    reach = lengths + np.where(np.arange(len(starts)) == 0, state.succ_times, 0)
-    opens = np.concatenate([[state.sent], ~good & (fails[last] > rule.first)])
-    ends = np.concatenate([[not state.sent], good & (reach >= rule.recover_at)])
-    return (_before(opens) > _before(ends))[:-1]
-
-
-def advance(state: AlertState, ok: np.ndarray, ts: np.ndarray, rule: AlertRule) -> tuple[AlertState, pd.DataFrame]:
-    """The state after a series of samples in time order, and one row per sample. The series is not empty and starts
-    with a failure unless the state is known."""
-    n = len(ok)
-    at = np.arange(n)
-    starts = np.concatenate([[0], np.flatnonzero(ok[1:] != ok[:-1]) + 1])
-    lengths = np.diff(np.append(starts, n))
-    run = np.repeat(np.arange(len(starts)), lengths)
-    within = at - starts[run] + 1
-    goes_on = run == 0  # the first run may continue the one the state ended in
-    fails = np.where(ok, 0, within + np.where(goes_on, state.fail_times, 0))
-    succs = np.where(ok, within + np.where(goes_on, state.succ_times, 0), 0)
-    sent_before = _sent_at_run_start(state, ok, starts, lengths, fails, rule)[run]
-
-    # failures: the first alert once past the limit, then one at every multiple, up to the cap
-    opening = np.maximum(rule.first + 1, np.where(goes_on, state.fail_times, 0) + 1)
-    multiple = fails % rule.every == 0
-    due = ~ok & np.where(sent_before, multiple, (fails == opening) | ((fails > opening) & multiple))
-    count = np.cumsum(due)
-    nth = count - (count - due)[starts][run]
-    times_before = np.where(goes_on & ~ok, state.sent_times, 0)
-    left = np.maximum(rule.cap + 1 - times_before, 0)
-    alerts = due & (nth <= left)
-    times = np.where(ok, 0, times_before + np.minimum(nth, left))
-
-    # successes: the alert ends at the one the rule names
-    recovers = ok & sent_before & (succs == rule.recover_at)
-    sent = np.where(ok, sent_before & (succs < rule.recover_at), sent_before | (times > times_before))
-    last_ok = _before(ok)
-    recovered = np.where(last_ok >= 0, recovers[last_ok], state.recovered)
-
-    began = ts[starts][run]
-    if state.first_failure_time is not None:
-        began = np.where(goes_on, np.datetime64(state.first_failure_time), began)
-    out = pd.DataFrame(
-        {
-            "ok": ok, "fail_times": fails, "succ_times": succs, "first_failure_time": np.where(ok, np.datetime64("NaT"), began),
-            "is_send_alt_mail": np.where(sent, "Y", "N"), "is_send_alt_mail_times": times, "is_send_rcv_mail": np.where(recovered, "Y", "N"),
-            "emit": np.where(alerts, "alert", np.where(recovers, "recovery", None)),
-        }
-    )
-    first = None if ok[-1] else pd.Timestamp(began[-1]).to_pydatetime()
-    return AlertState(int(fails[-1]), int(succs[-1]), first, bool(sent[-1]), int(times[-1]), True, bool(recovered[-1])), out
-
-
 class AlertProcessor(StatefulProcessor):
     """Keeps one small state row per key and takes a batch of its samples as arrays."""
 
@@ -112,7 +36,7 @@ class AlertProcessor(StatefulProcessor):
         self.rule, self.keys, self.ts, self.ident = rule, keys, ts, ident
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("alert", _STATE)
+        self.state = handle.getValueState("alert", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         samples = pd.concat(list(rows)).sort_values([self.ts, self.ident], ignore_index=True)
@@ -142,39 +66,90 @@ def alert_stream(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
     kinds = dict(samples.dtypes)
     names = ", ".join(f"{c} {kinds[c]}" for c in [*keys, ident, ts])
     return samples.select(*keys, ident, ts, "ok").groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=AlertProcessor(rule, keys, ts, ident), outputStructType=f"{names}, {_OUT}", outputMode="Append", timeMode="None"
+        statefulProcessor=AlertProcessor(rule, keys, ts, ident), outputStructType=f"{names}, {FOLLOWED}", outputMode="Append", timeMode="None"
     )
 
 
-def start_alerts(
-    samples: DataFrame, keys: list[str], ts: str, ident: str, rule: AlertRule, out: str, state: str, checkpoint: str, gap: str | None = None
-) -> StreamingQuery:
-    """M3-M5 as a stream whose batches go through the prefix scan, so a hot key is no single task's work.
+def _days(spark: SparkSession, path: str, number: int) -> list[str]:
+    """Days that batches before ``number`` have kept a starting state for, in order."""
+    folders = [(day, batch) for day in children(spark, path) for batch in children(spark, f"{path}/{day}")]
+    return sorted({day.removeprefix("day=") for day, batch in folders if batch.startswith("batch=") and int(batch.removeprefix("batch=")) < number})
 
-    Batch ``n`` starts from the last rows kept after batch ``n - 1`` and replaces its own output when it is repeated.
-    Batches must come in time order; inside one any order will do.
+
+def _put(rows: DataFrame, path: str, number: int, *by: str) -> None:
+    """Rows of a batch; it replaces only what itself has written before."""
+    rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path)
+
+
+def start_alerts(samples: DataFrame, keys: list[str], ts: str, ident: str, rule: AlertRule, path: str, checkpoint: str, gap: str | None = None) -> StreamingQuery:
+    """M3-M5, M9 as a stream in which samples may come late: each batch goes through :func:`follow`, a hot key in many pieces.
+
+    A key's states are kept per day: ``carry`` has the state a day starts with, ``ends`` the one it leaves. A batch takes
+    its keys from the first day it has samples of, reads that day's starting states and the samples kept since, and writes
+    again what follows from there. So a late sample costs the days behind it for its own key, and a sample in time costs its
+    day. ``read_alerts`` gives the rows, of which those of the latest batch count. Samples without key, time or
+    result have no place in any order: they are kept under ``rejected``. A batch that runs again replaces its own rows.
     """
-    order = [ts, ident]
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        held = f"{state}/batch={batch_id - 1}"
-        if batch_id and not path_exists(spark, held):
-            raise RuntimeError(f"the state after batch {batch_id - 1} is missing at {held}; going on would forget open alerts")
-        since = spark.read.parquet(held) if batch_id else None
-        rows = alert_state(batch.select(*keys, ident, ts, F.col("ok").alias("good")), keys, F.col("good"), order, ts, rule, since=since).drop("good")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        last = spark.read.parquet(f"{out}/batch={batch_id}")
-        # a key without new samples keeps its row: the new one wins only because it comes later in the union
-        merged = last.withColumn("_new", F.lit(1))
-        if since is not None:
-            merged = merged.unionByName(since.withColumn("_new", F.lit(0)))
-        keep_last(merged, keys, ["_new", *order]).drop("_new").write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        remove_path(spark, f"{state}/batch={batch_id - 2}")  # a repeat only ever needs the batch before
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, day = batch.sparkSession, F.date_format(F.col(ts), "yyyy-MM-dd")
+        batch = batch.select(*keys, ident, ts, "ok")
+        lacking = reduce(or_, [F.col(c).isNull() for c in [*keys, ts, "ok"]])
+        batch.filter(lacking).write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+        _put(batch.filter(~lacking).withColumn("day", day), f"{path}/samples", number, "day")
+        if not has_parquet(spark, f"{path}/samples"):
+            return
+        kept = spark.read.parquet(f"{path}/samples").withColumn("day", F.col("day").cast("string"))
+        first = kept.filter(F.col("batch") == number).groupBy(*keys).agg(F.min("day").alias("_first"))
+        came = sorted(r["_first"] for r in first.select("_first").distinct().collect())  # days, not samples
+        if not came:
+            return
+        had = _days(spark, f"{path}/carry", number)
+        if not had and not kept.filter(F.col("batch") < number).isEmpty():
+            raise RuntimeError(f"the states of earlier batches are missing at {path}/carry; going on would forget open alerts")
+        states = ", ".join([*[f"`{c}` {kind}" for c, kind in batch.dtypes if c in keys], STATE, "day string", "batch int"])
+
+        def held(name: str, days: list[str]) -> DataFrame:
+            folders = [f"{path}/{name}/day={d}" for d in days if path_exists(spark, f"{path}/{name}/day={d}")]
+            if not folders:
+                return spark.createDataFrame([], states)
+            rows = spark.read.schema(states).option("basePath", f"{path}/{name}").parquet(*folders)
+            return keep_last(rows.filter(F.col("batch") < number), [*keys, "day"], ["batch"])
+
+        def later_wins(one: DataFrame, two: DataFrame, by: list[str]) -> DataFrame:
+            return keep_last(one.withColumn("_late", F.lit(0)).unionByName(two.withColumn("_late", F.lit(1))), by, ["_late"]).drop("_late")
+
+        # a day that is new starts with what the day before it started with, and with what that one left
+        new = sorted(r["day"] for r in kept.filter(F.col("batch") == number).select("day").distinct().collect() if r["day"] not in had)
+        none, opened = spark.createDataFrame([], states), []
+        for d in new:
+            earlier = [x for x in had if x < d][-1:]
+            opened.append(later_wins(held("carry", earlier), held("ends", earlier), keys).withColumn("day", F.lit(d)))
+        start = reduce(DataFrame.unionByName, [held("carry", [x for x in came if x in had]), *opened])
+        same = reduce(and_, [start[c] == first[c] for c in keys], F.col("day") == F.col("_first"))
+        since = start.join(first, same).select(*[start[c] for c in keys], *AlertState._fields)
+        again = kept.filter((F.col("batch") <= number) & (F.col("day") >= came[0])).join(first, keys).filter("day >= _first")
+        out = f"{path}/out/batch={number}"
+        follow(again, keys, ts, ident, rule, since).write.mode("overwrite").parquet(out)
+        rows = spark.read.parquet(out).withColumn("day", day)
+        ends = state_after(keep_last(rows, [*keys, "day"], [ts, ident]), [*keys, "day"])
+        _put(ends, f"{path}/ends", number, "day")
+        # the days behind start, for these keys, with the last state left before them
+        behind = [d for d in sorted({*had, *new}) if d > came[0]]
+        moved = [keep_last(ends.filter(F.col("day") < d), keys, ["day"]).withColumn("day", F.lit(d)) for d in behind]
+        fresh, patched = (reduce(DataFrame.unionByName, parts, none.drop("batch")) for parts in ([o.drop("batch") for o in opened], moved))
+        _put(later_wins(fresh, patched, [*keys, "day"]), f"{path}/carry", number, "day")
+        for d in new:  # also a day that starts without any state is known from now on
+            mark_folder(spark, f"{path}/carry/day={d}/batch={number}")
 
     return buffered(samples, checkpoint, gap).foreachBatch(step).start()
 
 
+def read_alerts(spark: SparkSession, path: str, keys: list[str], ident: str) -> DataFrame:
+    """The state after every sample as far as is known, with its notification: of several rows the latest batch's counts."""
+    return keep_last(spark.read.parquet(f"{path}/out"), [*keys, ident], ["batch"]).drop("batch")
+
+
 def use_rocksdb(spark: SparkSession) -> str:
     """Set the state store ``alert_stream`` needs, before its query starts. Gives the one set before."""
     before = spark.conf.get(STATE_STORE_CONF)

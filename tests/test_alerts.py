@@ -6,10 +6,13 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from rowtide.operators import alerts, ordered
+from rowtide.operators import alert_runs, alerts, ordered
+from rowtide.operators.alert_runs import AlertState
 from rowtide.session import scratch_path
+from rowtide.sources.sinks import remove_path
 from rowtide.specs import SERVER_RULE, AlertRule, api_rule
 from rowtide.streaming import alerts as streaming
 from rowtide.streaming.changes import buffer_changes
@@ -159,17 +162,92 @@ def test_array_steps_equal_single_steps(seed):
     assert got == want
 
 
-@pytest.mark.parametrize("rule", [SERVER_RULE, AlertRule(first=1, every=2, cap=2)])
-def test_batches_of_the_prefix_scan_equal_the_fold(spark, rule):
+@pytest.mark.parametrize("rule", [AlertRule(first=1, every=2, cap=2), api_rule(200)])
+def test_batches_with_late_samples_equal_the_fold(spark, rule):
     rng = random.Random(4)
     rows = [(s, i, START + dt.timedelta(minutes=i * 7), rng.random() > (0.3 + 0.2 * s)) for s in range(4) for i in range(200)]
     rows += rows_of([False] * 120 + [True] + [False] * 79, 4, 7) + rows_of([True] * 60 + [False] * 6 + [True, True] + [False] * 132, 5, 7)
     # server 6 is silent in the middle
     rows += [r for r in rows_of([False] * 200, 6, 7) if not 50 <= r[1] < 150]
     src, out = scratch_path(spark, "samples"), scratch_path(spark, "alerting")
-    for part in range(5):
-        spark.createDataFrame([r for r in rows if r[1] // 40 == part], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    late = rng.sample(range(200), 30)
+    for part in range(4):  # the last file holds samples of all days
+        own = [r for r in rows if (r[1] in late) == (part == 3) and (part == 3 or r[1] // 67 == part)]
+        spark.createDataFrame(own, SCHEMA).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(SCHEMA).parquet(src)
-        streaming.start_alerts(stream, ["server_id"], "ts", "sample_id", rule, f"{out}/out", f"{out}/state", f"{out}/ck").awaitTermination()
-    got = {(r["server_id"], r["sample_id"]): tuple(r[c] for c in STATE) for r in spark.read.parquet(f"{out}/out").collect()}
-    assert got == fold(rows, rule)
+        streaming.start_alerts(stream, ["server_id"], "ts", "sample_id", rule, out, f"{out}-ck").awaitTermination()
+        seen = [r for r in rows if (r[1] in late and part == 3) or (r[1] not in late and r[1] // 67 <= part)]
+        got = {(r["server_id"], r["sample_id"]): tuple(r[c] for c in STATE) for r in streaming.read_alerts(spark, out, ["server_id"], "sample_id").collect()}
+        assert got == fold(seen, rule)
+
+
+def test_a_late_success_ends_the_streak_it_falls_into(spark):
+    src, out = scratch_path(spark, "samples"), scratch_path(spark, "alerting")
+    rule = AlertRule(first=1, every=10, cap=1)
+    hour = lambda h: START + dt.timedelta(hours=h)
+    files = [[(1, 10, hour(10), False), (1, 12, hour(12), False), (2, 1, hour(1), False)], [(1, 30, hour(30), True)], [(1, 11, hour(11), True), (None, 5, hour(1), False), (1, 6, None, True), (1, 7, hour(1), None)]]
+    emitted = []
+    for part in files:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        streaming.start_alerts(spark.readStream.schema(SCHEMA).parquet(src), ["server_id"], "ts", "sample_id", rule, out, f"{out}-ck").awaitTermination()
+        rows = streaming.read_alerts(spark, out, ["server_id"], "sample_id").collect()
+        emitted.append(sorted((r["sample_id"], r["emit"]) for r in rows if r["emit"]))
+    assert emitted == [[(12, "alert")], [(12, "alert"), (30, "recovery")], []]
+    assert sorted(r["sample_id"] for r in spark.read.parquet(f"{out}/rejected").collect()) == [5, 6, 7]
+
+
+def test_a_lost_state_stops_the_stream(spark):
+    src, out = scratch_path(spark, "samples"), scratch_path(spark, "alerting")
+    for part in range(2):
+        spark.createDataFrame(rows_of([False] * 3)[part : part + 1], SCHEMA).write.mode("append").parquet(src)
+        query = streaming.start_alerts(spark.readStream.schema(SCHEMA).parquet(src), ["server_id"], "ts", "sample_id", SERVER_RULE, out, f"{out}-ck")
+        if part:
+            with pytest.raises(StreamingQueryException, match="are missing"):
+                query.awaitTermination()
+        else:
+            query.awaitTermination()
+            remove_path(spark, f"{out}/carry")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_summaries_of_pieces_tell_the_state(seed):
+    rng = random.Random(seed)
+    rule = AlertRule(first=rng.randrange(4), every=rng.randrange(1, 7), cap=rng.randrange(4), recover_at=rng.randrange(1, 4))
+    results = [rng.random() > rng.choice([0.2, 0.5, 0.8]) for _ in range(500)]
+    times = [START + dt.timedelta(minutes=i) for i in range(len(results))]
+    micros = np.array(times, dtype="datetime64[us]").astype(np.int64)
+    single, states = (0, 0, None, False, 0, False, False), []
+    for ok, ts in zip(results, times):
+        single, _ = advance(single, ok, ts, rule)
+        states.append(single)
+    cuts = sorted({0, len(results), *rng.sample(range(len(results)), 60)})
+    parts = [alert_runs.runs_of(np.array(results[a:b]), micros[a:b], rule) for a, b in zip(cuts, cuts[1:])]
+    assert max(map(len, parts)) <= 4
+    state, joined = AlertState(), ()
+    for b, part in zip(cuts[1:], parts):
+        state, joined = alert_runs.after_runs(state, part, rule), alert_runs.merge(joined, part, rule)
+        assert tuple(state) == states[b - 1]
+        assert len(joined) <= 4 and tuple(alert_runs.after_runs(AlertState(), joined, rule)) == states[b - 1]
+    i = rng.randrange(1, len(parts))  # merging may be done in any grouping
+    left = alert_runs.merge((), (), rule)
+    for part in parts[:i]:
+        left = alert_runs.merge(left, part, rule)
+    right = ()
+    for part in reversed(parts[i:]):
+        right = alert_runs.merge(part, right, rule)
+    assert tuple(alert_runs.after_runs(AlertState(), alert_runs.merge(left, right, rule), rule)) == states[-1]
+
+
+def test_one_time_for_a_third_of_the_samples_is_many_tasks(spark):
+    rng = random.Random(3)
+    rows = [(1, i, START, rng.random() > 0.6) for i in range(3000)] + [(s, i, START + dt.timedelta(minutes=i), rng.random() > 0.6) for s in range(2, 8) for i in range(1000)]
+    samples = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    pieces = ordered.even_chunks(samples, ["server_id"], ["ts", "sample_id"], partitions=24)
+    sizes = {r["_chunk"]: r["count"] for r in pieces.groupBy("_chunk").count().collect()}
+    assert len(sizes) > 15 and max(sizes.values()) < 3 * 9000 / 24
+    got = ordered.streaks(pieces, ["server_id"], F.col("ok"), ["ts", "sample_id"], "ts", chunk=F.col("_chunk")).drop("_chunk")
+    want = ordered.streaks(samples, ["server_id"], F.col("ok"), ["ts", "sample_id"], "ts")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    rule = api_rule(200)
+    followed = {(r["server_id"], r["sample_id"]): tuple(r[c] for c in STATE) for r in alert_runs.follow(samples, ["server_id"], "ts", "sample_id", rule).collect()}
+    assert followed == fold(rows, rule)
