@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -75,85 +76,216 @@ def target_struct(columns: list[tuple[str, str, bool]], legacy_types: bool = Fal
 
 # fixed values: words that begin an index, key or constraint clause; such clauses change no column
 CLAUSES = ("INDEX", "KEY", "PRIMARY", "UNIQUE", "FULLTEXT", "SPATIAL", "FOREIGN", "CONSTRAINT", "CHECK", "PARTITION")
-
-
-def _top_level(text: str) -> list[str]:
-    """Parts between commas that stand outside of brackets and quotes."""
-    parts, depth, quote, now = [], 0, "", ""
-    for c in text:
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        if c == "," and not depth and not quote:
-            parts.append(now)
-            now = ""
+# fixed values: words that begin a clause about the table itself
+TABLE_CLAUSES = (
+    "ALGORITHM", "ALTER", "ANALYZE", "AUTO_INCREMENT", "CHARACTER", "CHARSET", "CHECKSUM", "COALESCE", "COLLATE", "COMMENT", "CONVERT", "DEFAULT", "DELAY_KEY_WRITE",
+    "DISABLE", "DISCARD", "ENABLE", "ENGINE", "FORCE", "IMPORT", "LOCK", "MAX_ROWS", "MIN_ROWS", "OPTIMIZE", "ORDER", "PACK_KEYS", "REBUILD", "REMOVE", "REORGANIZE",
+    "ROW_FORMAT", "STATS_PERSISTENT", "TABLESPACE", "TRUNCATE", "WITH", "WITHOUT",
+)
+
+_TOKEN = re.compile(r"""\s+|/\*.*?\*/|--[^\n]*|\#[^\n]*|`(?P<quoted>(?:[^`]|``)*)`|"(?P<named>(?:[^"]|"")*)"|(?P<text>'(?:[^'\\]|\\.|'')*')|(?P<word>[\w$]+)|(?P<mark>.)""", re.S)
+
+
+class Token(NamedTuple):
+    text: str
+    kind: str  # word, name (quoted), text (a literal) or mark
+
+    def says(self, *words: str) -> bool:
+        return self.kind in ("word", "mark") and self.text.upper() in words
+
+
+class Step(NamedTuple):
+    """One change of a column: add, drop, retype or rename; ``after`` names the column an added or moved one follows, '' is the first place."""
+
+    action: str
+    column: str
+    new: str | None = None
+    kind: str | None = None
+    after: str | None = None
+
+
+def _tokens(text: str) -> list[Token]:
+    """Words, names, literals and marks of a statement; blanks and comments are left out."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        if m.lastgroup == "quoted":
+            out.append(Token(m["quoted"].replace("``", "`"), "name"))
+        elif m.lastgroup == "named":
+            out.append(Token(m["named"].replace('""', '"'), "name"))
+        elif m.lastgroup:
+            out.append(Token(m[m.lastgroup], m.lastgroup))
+    return out
+
+
+def _parts(tokens: list[Token]) -> list[list[Token]]:
+    """Runs of tokens between commas that stand outside of brackets."""
+    parts, depth = [[]], 0
+    for t in tokens:
+        depth += t.says("(") - t.says(")")
+        if t.says(",") and not depth:
+            parts.append([])
         else:
-            now += c
-    return [p.strip() for p in [*parts, now] if p.strip()]
+            parts[-1].append(t)
+    return [p for p in parts if p]
+
+
+class _Clause:
+    """The tokens of one clause, read from left to right."""
+
+    def __init__(self, tokens: list[Token]):
+        self.left = list(tokens)
+
+    def takes(self, *words: str) -> bool:
+        """Goes past these words if they come next."""
+        if len(self.left) >= len(words) and all(t.says(w) for t, w in zip(self.left, words)):
+            del self.left[: len(words)]
+            return True
+        return False
+
+    def begins(self, words: tuple[str, ...]) -> bool:
+        return bool(self.left) and self.left[0].kind == "word" and self.left[0].text.upper() in words
+
+    def name(self) -> str:
+        if not self.left or self.left[0].kind not in ("word", "name"):
+            raise ValueError("a name is missing")
+        return self.left.pop(0).text
+
+    def bracket(self) -> str:
+        """A bracketed text, without blanks; nothing if there is none."""
+        if not self.left or not self.left[0].says("("):
+            return ""
+        out, depth = "", 0
+        while self.left:
+            t = self.left.pop(0)
+            depth += t.says("(") - t.says(")")
+            out += t.text
+            if not depth:
+                return out
+        raise ValueError("a bracket is not closed")
+
+    def column(self) -> tuple[str, str, str | None]:
+        """A column definition: its name, its type and the column it follows."""
+        name, kind = self.name(), self.name().lower()
+        if kind in ("double", "long") and self.begins(("PRECISION",)):
+            self.left.pop(0)
+        kind += self.bracket()
+        if self.takes("UNSIGNED"):
+            kind += " unsigned"
+        after = None
+        for i, t in enumerate(self.left):
+            if t.says("FIRST") and i + 1 == len(self.left):
+                after = ""
+            elif t.says("AFTER") and i + 2 == len(self.left):
+                after = self.left[i + 1].text
+        return name, kind, after
+
+
+def _clause_steps(tokens: list[Token]) -> list[Step]:
+    c = _Clause(tokens)
+    action = c.left.pop(0).text.upper() if c.left[0].kind == "word" else ""
+    named = c.takes("COLUMN")
+    if action in ("ADD", "DROP", "RENAME") and not named and c.begins(CLAUSES):
+        return []
+    if action == "ADD":
+        c.takes("IF", "NOT", "EXISTS")
+        if c.left and c.left[0].says("(") and c.left[-1].says(")"):
+            made = [_Clause(p) for p in _parts(c.left[1:-1])]
+            return [Step("add", name, None, kind, after) for name, kind, after in (x.column() for x in made if not x.begins(CLAUSES))]
+        name, kind, after = c.column()
+        return [Step("add", name, None, kind, after)]
+    if action == "DROP":
+        c.takes("IF", "EXISTS")
+        return [Step("drop", c.name())]
+    if action == "MODIFY":
+        c.takes("IF", "EXISTS")
+        name, kind, after = c.column()
+        return [Step("retype", name, None, kind, after)]
+    if action == "CHANGE":
+        c.takes("IF", "EXISTS")
+        old = c.name()
+        name, kind, after = c.column()
+        if old.lower() == name.lower():
+            return [Step("retype", old, None, kind, after)]
+        return [Step("rename", old, name.lower(), None, after)]
+    if action == "RENAME" and named:
+        old = c.name()
+        if not c.takes("TO"):
+            raise ValueError("TO is missing")
+        return [Step("rename", old, c.name().lower())]
+    if action == "RENAME" or action in TABLE_CLAUSES:
+        return []
+    raise ValueError(f"unknown clause {action}")
+
+
+def alter_steps(statement: str) -> list[Step]:
+    """The column changes of one ``alter table`` text, several clauses in their order.
+
+    Index, key, constraint and table clauses change no column and give no step; a bracketed list of added columns gives one
+    step each. Names may be quoted, types may hold blanks, and defaults, comments and other attributes are passed over.
+    A clause that can't be read raises ValueError rather than being passed over.
+    """
+    tokens = [t for t in _tokens(statement.strip().rstrip(";"))]
+    head = _Clause(tokens)
+    if not head.takes("ALTER", "TABLE"):
+        raise ValueError(f"no alter table statement: {statement!r}")
+    head.takes("IF", "EXISTS")
+    head.name()
+    while head.left and head.left[0].says("."):
+        head.left.pop(0)
+        head.name()
+    steps: list[Step] = []
+    for part in _parts(head.left):
+        try:
+            steps += _clause_steps(part)
+        except ValueError as error:
+            raise ValueError(f"can't read the clause {' '.join(t.text for t in part)!r}: {error}") from None
+    return steps
 
 
 def ddl_steps(statement: str) -> list[tuple[str, str, str | None, str | None]]:
-    """The column changes of one ``alter table`` text as (action, column, new name, type).
+    """The column changes of one ``alter table`` text as (action, column, new name, type)."""
+    return [tuple(s[:4]) for s in alter_steps(statement)]
 
-    Index, key and constraint clauses change no column and give no step; a bracketed list of added columns gives one
-    step each. A clause about columns that can't be read raises ValueError rather than being passed over.
-    """
-    body = re.sub(r"(?is)^\s*alter\s+table\s+\S+\s+", "", statement.strip().rstrip(";"))
-    steps: list[tuple[str, str, str | None, str | None]] = []
-    for part in _top_level(body):
-        words = re.sub(r"\s+\(", "(", part.replace("`", "")).split()
-        action = re.match(r"\w+", words[0])[0].upper() if re.match(r"\w+", words[0]) else ""
-        listed = re.match(r"(?is)^add\s*(?:column\s*)?\((.*)\)$", part.replace("`", "").strip())
-        if listed:
-            inner = [x.split() for x in _top_level(listed[1])]
-            steps += [("add", w[0], None, w[1]) for w in inner if len(w) > 1 and w[0].split("(")[0].upper() not in CLAUSES]
-            continue
-        if len(words) > 1 and words[1].upper() == "COLUMN":
-            words.pop(1)
-        elif len(words) > 1 and words[1].split("(")[0].upper() in CLAUSES:
-            continue
-        if action == "ADD" and len(words) > 2:
-            steps.append(("add", words[1], None, words[2]))
-        elif action == "DROP" and len(words) > 1:
-            steps.append(("drop", words[1], None, None))
-        elif action == "MODIFY" and len(words) > 2:
-            steps.append(("retype", words[1], None, words[2]))
-        elif action == "CHANGE" and len(words) > 3 and words[1].lower() == words[2].lower():
-            steps.append(("retype", words[1], None, words[3]))
-        elif action == "CHANGE" and len(words) > 3:
-            steps.append(("rename", words[1], words[2].lower(), None))
-        elif action == "RENAME" and len(words) > 3 and words[2].upper() == "TO" and words[1].upper() not in CLAUSES:
-            steps.append(("rename", words[1], words[3].lower(), None))
-        elif action in ("ADD", "DROP", "MODIFY", "CHANGE"):
-            raise ValueError(f"can't read the clause {part!r}")
-    return steps
+
+# fixed values: what holds the whole range of an unsigned type
+_UNSIGNED = {"tinyint": "smallint", "smallint": "int", "mediumint": "int", "int": "bigint", "integer": "bigint", "bigint": "decimal(20,0)"}
 
 
-def _spark_type(kind: str) -> T.DataType:
+def spark_type(kind: str) -> T.DataType:
+    """The type of a column described as ``kind``."""
+    if kind.endswith(" unsigned"):
+        base = re.sub(r"\(.*", "", kind.removesuffix(" unsigned")).strip()
+        return T.StructType.fromDDL(f"c {_UNSIGNED[base]}")[0].dataType if base in _UNSIGNED else spark_type(kind.removesuffix(" unsigned"))
     return target_struct([("c", kind, True)])[0].dataType
 
 
+def _placed(frame: DataFrame, name: str, after: str | None) -> DataFrame:
+    """The columns with ``name`` behind ``after`` ('' is in front); as they are if nothing is said."""
+    held = {c.lower(): c for c in frame.columns}
+    if after is None or (after and after.lower() not in held):
+        return frame
+    rest = [c for c in frame.columns if c != held[name.lower()]]
+    at = rest.index(held[after.lower()]) + 1 if after else 0
+    return frame.select(*[F.col(f"`{c}`") for c in [*rest[:at], held[name.lower()], *rest[at:]]])
+
+
 def apply_ddl(df: DataFrame, statements: list[str]) -> DataFrame:
     """B2: the table after a series of ``alter table`` statements; values that do not fit a new type become null."""
 
-    def step(frame: DataFrame, change: tuple[str, str, str | None, str | None]) -> DataFrame:
-        action, col, new, kind = change
-        names = {c.lower(): c for c in frame.columns}
-        held = names.get(col.lower())
-        if action == "add":
-            return frame if held else frame.withColumn(col.lower(), F.lit(None).cast(_spark_type(kind)))
+    def step(frame: DataFrame, change: Step) -> DataFrame:
+        held = {c.lower(): c for c in frame.columns}.get(change.column.lower())
+        if change.action == "add":
+            name = change.column.lower()
+            return frame if held else _placed(frame.withColumn(name, F.lit(None).cast(spark_type(change.kind))), name, change.after)
         if held is None:
             return frame
-        if action == "drop":
+        if change.action == "drop":
             return frame.drop(held)
-        if action == "retype":
-            return frame.withColumn(held, F.col(held).try_cast(_spark_type(kind)))
-        return frame.withColumnRenamed(held, new)
+        if change.action == "retype":
+            return _placed(frame.withColumn(held, F.col(f"`{held}`").try_cast(spark_type(change.kind))), held, change.after)
+        return _placed(frame.withColumnRenamed(held, change.new), change.new, change.after)
 
-    return reduce(step, [s for text in statements for s in ddl_steps(text)], df)
+    return reduce(step, [s for text in statements for s in alter_steps(text)], df)
 
 
 def add_missing_columns(target: DataFrame, source: DataFrame) -> DataFrame:

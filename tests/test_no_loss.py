@@ -79,6 +79,23 @@ def test_clauses_that_change_no_column_are_skipped(spark):
         schema.ddl_steps("alter table t add lonely")
 
 
+def test_statements_are_read_by_clauses(spark):
+    text = """ALTER TABLE `app`.`t` /* both, here */ ADD COLUMN IF NOT EXISTS c decimal(10, 2) unsigned DEFAULT '1,5' COMMENT 'it''s (new), first' FIRST,
+        modify a decimal( 12 , 4 ) not null after `odd``name`, drop column if exists gone, -- a comment, with a comma
+        change "b" `B` varchar (20) charset utf8 default "x", rename column d to e, rename to other, engine = InnoDB, alter column a set default 3, add (x int, y enum('a,b', 'c)'), key (x)), drop primary key;"""
+    steps = schema.alter_steps(text)
+    assert steps == [
+        ("add", "c", None, "decimal(10,2) unsigned", ""), ("retype", "a", None, "decimal(12,4)", "odd`name"), ("drop", "gone", None, None, None),
+        ("retype", "b", None, "varchar(20)", None), ("rename", "d", "e", None, None), ("add", "x", None, "int", None), ("add", "y", None, "enum('a,b','c)')", None),
+    ]
+    df = spark.createDataFrame([(1.25, "7", 2)], "a double, b string, gone int")
+    got = schema.apply_ddl(df, ["alter table t add column if not exists c decimal(10, 2) first, add n int unsigned after a", "alter table t drop column if exists gone, drop column if exists never, modify a decimal(12, 4), change b b int"])
+    assert got.schema.simpleString() == "struct<c:decimal(10,2),a:decimal(12,4),n:bigint,b:int>" and str(got.first()["a"]) == "1.2500"
+    for wrong in ("alter table t add lonely", "alter table t frobnicate c int", "alter table t add c decimal(10", "alter table t rename column a b", "create table t (c int)"):
+        with pytest.raises(ValueError):
+            schema.alter_steps(wrong)
+
+
 def test_the_first_of_repeated_inserts_counts(spark):
     rows = spark.createDataFrame([(1, "late", 2, 9, 1), (1, "first", 2, 3, 1), (None, "n", 1, 1, 1), (2, "there", 1, 1, 1)], "k int, v string, file_no long, pos long, seq long")
     target = spark.createDataFrame([(2, "old")], "k int, v string")
