@@ -120,20 +120,6 @@ def purge_applied(log: DataFrame, file_no: int, pos: int) -> DataFrame:
     return log.filter(after_position(file_no, pos))
 
 
-def split_at_barriers(changes: DataFrame, barriers: list[tuple[int, int]]) -> list[DataFrame]:
-    """Row changes between schema changes, in log order; ``barriers`` are the places of the schema changes."""
-    edges = [None, *sorted(barriers), None]
-    parts = []
-    for start, stop in zip(edges, edges[1:]):
-        part = changes
-        if start:
-            part = part.filter(after_position(*start))
-        if stop:
-            part = part.filter(up_to_position(*stop))
-        parts.append(part)
-    return parts
-
-
 def _quoted(value: Column, kind: str) -> Column:
     if kind in BARE_TYPES:
         shown = value.cast("string")

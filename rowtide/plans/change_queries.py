@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowtide.operators import changes as cdc, ordered
+from rowtide.operators import changes as cdc, images, ordered
 from rowtide.operators.aggregates import ops_by_interval
 from rowtide.plans import inputs
 from rowtide.plans.inputs import with_inputs
 from rowtide.plans.registry import query
 from rowtide.session import scratch_path
-from rowtide.streaming import apply as applying, changes as streams, ddl, metrics, places
+from rowtide.streaming import apply as applying, changes as streams, metrics, places
 
 KEYS, IMAGES = ["tbl", "pk"], ["val", "kind", "ts"]
 COLS = ["tbl", "pk", "val", "kind", "ts"]
@@ -126,11 +126,11 @@ def x3(spark, d):
 
 @query("x3_apply_changes_stream", LOG + apply_sql())
 def x3_stream(spark, d):
-    """The same through files, micro-batches and a bucketed target."""
+    """The same through files and micro-batches."""
     path = scratch_path(spark, "applied")
-    applying.write_snapshot(inputs.changed(spark, d), path, 8)
+    applying.write_snapshot(inputs.changed(spark, d), path)
     stream = streams.read_changes(spark, _change_files(spark, d), 4)
-    _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES, 8))
+    _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES))
     return applying.live_rows(spark, path, COLS)
 
 
@@ -201,32 +201,128 @@ def x8(spark, d):
     return cdc.resume_position(saved, log.filter("file_no >= 9").select("file_no"), end)
 
 
+# places, the table a statement was logged under, its text: three tables of two schemas, and one nobody follows
 DDL = [
-    (9, 3, "alter table app.t0 add column note varchar(20), change kind label varchar(20)"),
-    (11, 3, "alter table app.t0 drop column val"),
+    (9, 3, 0, "app.t0", "alter table app.t0 add column note varchar(20), change kind label varchar(20)"),
+    (9, 3, 1, "crm.t2", "ALTER TABLE `crm`.`t2` ADD COLUMN note varchar(20) FIRST"),
+    (9, 900, 0, "app.x", "alter table t1 modify val int"),
+    (10, 3, 0, "app.t0", "alter table app.t0 add column if not exists note int"),
+    (10, 3, 1, "app.t0", "truncate table crm.t2"),
+    (10, 4000, 0, "app.t1", "alter table app.t1 modify column val varchar (30) default 'a, b'"),
+    (11, 3, 0, "app.t0", "alter table app.t0 drop column if exists val"),
+    (11, 3, 1, "other.t9", "alter table other.t9 drop column val"),
+    (12, 3, 0, "app.t0", "alter table app.t0 add column val decimal(10, 2)"),
+    (12, 3, 1, "crm.t2", "alter table crm.t2 change pk id bigint"),
 ]
+_NAMED = "case tbl when 'app.t2' then 'crm.t2' else tbl end"
+_X9 = (
+    LOG + f", named as (select * replace ({_NAMED} as tbl, floor(val) as val) from changes), base as (select * replace ({_NAMED} as tbl) from changed),"
+    " logged as (select * from named where tbl <> 'crm.t2' or file_no > 10 or (file_no = 10 and pos > 3)),"
+    f" net as ({net_sql('logged')}), last as (select * from net where rn = 1), v as (select *, cast(cast(val as bigint) as varchar) as t from last where not deleted),"
+    " rest as (select * from base b where tbl <> 'crm.t2' and not exists (select 1 from last l where l.tbl = b.tbl and l.pk = b.pk))"
+    " select tbl, pk, case when tbl = 'app.t1' then cast(cast(trunc(val) as integer) as varchar) end as val, kind, null::varchar as note, ts from rest"
+    " union all select tbl, pk, case when tbl = 'app.t0' then case when file_no > 12 or (file_no = 12 and pos > 3) then t || '.00' end else t end,"
+    " case when tbl = 'app.t0' and (file_no > 9 or (file_no = 9 and pos > 3)) then upper(kind) else kind end,"
+    " case when tbl <> 'app.t1' and (file_no > 9 or (file_no = 9 and pos > 3)) then 'n' || cast(seq as varchar) end, ts from v"
+)
+TABLE_KEYS = {"app.t0": ["pk"], "app.t1": ["pk"], "crm.t2": ["id"]}
+
+
+def _image_log(spark, d) -> DataFrame:
+    """The change log with whole images as text, and the statements between its rows."""
+    text = F.floor("val").cast("string")
+
+    def image(pk: str):
+        return F.create_map(
+            F.lit("pk"), F.col(pk).cast("string"), F.lit("id"), F.col(pk).cast("string"), F.lit("val"), text, F.lit("kind"), F.col("kind"), F.lit("label"), F.upper("kind"),
+            F.lit("note"), F.concat(F.lit("n"), F.col("seq").cast("string")), F.lit("ts"), F.col("ts").cast("string"),
+        )
+
+    tbl = F.when(F.col("tbl") == "app.t2", "crm.t2").otherwise(F.col("tbl"))
+    rows = inputs.changes(spark, d).select(
+        "file_no", "pos", "seq", tbl.alias("tbl"), "op", image("before_pk").alias("before"), image("pk").alias("after"), F.lit(None).cast("string").alias("statement")
+    )
+    marks = spark.createDataFrame(DDL, "file_no bigint, pos bigint, seq bigint, tbl string, statement string")
+    none = F.lit(None).cast("map<string,string>")
+    return rows.unionByName(marks.select("file_no", "pos", "seq", "tbl", F.lit("query").alias("op"), none.alias("before"), none.alias("after"), "statement"))
+
+
+def _tables_before(spark, d) -> dict[str, DataFrame]:
+    rows = inputs.changed(spark, d)
+    return {new: rows.filter(F.col("tbl") == old).drop("tbl") for old, new in (("app.t0", "app.t0"), ("app.t1", "app.t1"), ("app.t2", "crm.t2"))}
+
+
+def _together(tables: dict[str, DataFrame]) -> DataFrame:
+    names = {"app.t0": ("pk", "label", "note"), "app.t1": ("pk", "kind", None), "crm.t2": ("id", "kind", "note")}
+    parts = [
+        df.select(F.lit(t).alias("tbl"), F.col(names[t][0]).alias("pk"), F.col("val").cast("string").alias("val"), F.col(names[t][1]).alias("kind"), (F.col(names[t][2]) if names[t][2] else F.lit(None).cast("string")).alias("note"), "ts")
+        if t != "crm.t2" else df.select(F.lit(t).alias("tbl"), F.col("id").alias("pk"), F.col("val").cast("bigint").cast("string").alias("val"), "kind", "note", "ts")
+        for t, df in tables.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("x9_route_ddl", _X9)
+def x9(spark, d):
+    """Ten schema changes of three tables in the middle of their row changes."""
+    return _together(images.route_tables(_tables_before(spark, d), _image_log(spark, d), TABLE_KEYS))
+
+
+@query("x9_route_ddl_stream", _X9)
+def x9_stream(spark, d):
+    """The same through files in several batches."""
+    files, path, before = scratch_path(spark, "log"), scratch_path(spark, "routed"), _tables_before(spark, d)
+    streams.write_change_files(_image_log(spark, d), files, files=8)
+    stream = streams.read_changes(spark, files, 3, images.IMAGE_SCHEMA)
+    _finish(applying.start_routing(stream, path, f"{path}-ck", before, TABLE_KEYS))
+    return _together(applying.routed_tables(spark, path, before, TABLE_KEYS))
+
+
+# keys of two parts, a text and a number; updates may change either part, so that rows move
+_PAIR = "select seq, file_no, pos, tbl, op, before_pk % 40 as n0, pk % 40 as n1, case when before_pk % 7 = 0 then null else 'k' || cast(before_pk % 5 as varchar) end as c0, case when pk % 7 = 0 then null else 'k' || cast(pk % 5 as varchar) end as c1, floor(val) as val, ts from changes"
+_PAIRS = (
+    with_inputs("changes", "changed") + f", e as ({_PAIR}), b as (select tbl, case when pk % 7 = 0 then null else 'k' || cast(pk % 5 as varchar) end as code, pk % 40 as n, min(val) as val from changed group by 1, 2, 3),"
+    " f as (select tbl, c1 as code, n1 as n, op = 'delete' as deleted, val, ts, file_no, pos, seq, 1 as part from e where op <> 'delete' union all select tbl, c0, n0, true, val, ts, file_no, pos, seq, 1 from e where op = 'delete'"
+    " union all select tbl, c0, n0, true, val, ts, file_no, pos, seq, 0 from e where op = 'update' and (c0 is distinct from c1 or n0 <> n1)),"
+    " l as (select *, row_number() over (partition by tbl, code, n order by file_no desc, pos desc, seq desc) as rn from f)"
+)
 
 
 @query(
-    "x9_route_ddl",
-    LOG + ", t0 as (select * from changes where tbl = 'app.t0'), " + f"net as ({net_sql('t0')}), last as (select * from net where rn = 1)"
-    " select tbl, pk, kind as label, ts, cast(null as varchar) as note from changed c where tbl = 'app.t0' and not exists (select 1 from last l where l.pk = c.pk)"
-    " union all select tbl, pk, case when file_no < 9 or (file_no = 9 and pos <= 3) then kind else upper(kind) end, ts,"
-    " case when file_no < 9 or (file_no = 9 and pos <= 3) then null else 'n' || cast(seq as varchar) end from last where not deleted",
+    "x3_apply_composite_keys",
+    _PAIRS + " select tbl, code, n, val, null::timestamp as ts from b where not exists (select 1 from l where l.tbl = b.tbl and l.code is not distinct from b.code and l.n = b.n)"
+    " union all select tbl, code, n, val, ts from l where rn = 1 and not deleted",
 )
-def x9(spark, d):
-    """Two schema changes in the middle of the row changes of one table."""
-    log = inputs.changes(spark, d)
-    after = F.create_map(
-        F.lit("val"), F.col("val").cast("string"), F.lit("kind"), F.col("kind"), F.lit("label"), F.upper("kind"),
-        F.lit("note"), F.concat(F.lit("n"), F.col("seq").cast("string")), F.lit("ts"), F.col("ts").cast("string"),
-    )
-    rows = log.select("file_no", "pos", "seq", "tbl", "op", "before_pk", "pk", after.alias("after"), F.lit(None).cast("string").alias("statement"))
-    marks = spark.createDataFrame(DDL, "file_no bigint, pos bigint, statement string").select(
-        "file_no", "pos", F.lit(0).cast("bigint").alias("seq"), F.lit("app.t0").alias("tbl"), F.lit("query").alias("op"),
-        F.lit(None).cast("bigint").alias("before_pk"), F.lit(None).cast("bigint").alias("pk"), F.lit(None).cast("map<string,string>").alias("after"), "statement",
-    )
-    return ddl.route_ddl(inputs.changed(spark, d).filter("tbl = 'app.t0'"), rows.unionByName(marks), "app.t0", KEYS)
+def x3_pairs(spark, d):
+    """Tables whose key is a text (with nulls) and a number; an update that changes either part moves the row."""
+    tables, log = _pair_tables(spark, d), _pair_log(spark, d)
+    done = images.route_tables(tables, log, {t: ["code", "n"] for t in tables})
+    parts = [df.select(F.lit(t).alias("tbl"), "code", "n", "val", "ts") for t, df in done.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("x4_move_composite_keys", _PAIRS + " select tbl, code, cast(n as varchar) as n, deleted, seq from l where rn = 1")
+def x4_pairs(spark, d):
+    tables, log = _pair_tables(spark, d), _pair_log(spark, d)
+    _, info = images.tables_of(tables, images.statements_of(log), {t: ["code", "n"] for t in tables})
+    return images.net_images(log, info).select("tbl", F.col("key")[0].alias("code"), F.col("key")[1].alias("n"), "deleted", "seq")
+
+
+def _code(pk: str):
+    return F.when(F.col(pk) % 7 != 0, F.concat(F.lit("k"), (F.col(pk) % 5).cast("string")))
+
+
+def _pair_tables(spark, d) -> dict[str, DataFrame]:
+    rows = inputs.changed(spark, d).groupBy("tbl", _code("pk").alias("code"), (F.col("pk") % 40).alias("n")).agg(F.min("val").alias("val"))
+    rows = rows.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    return {t: rows.filter(F.col("tbl") == t).drop("tbl") for t in ("app.t0", "app.t1", "app.t2")}
+
+
+def _pair_log(spark, d) -> DataFrame:
+    def image(pk: str):
+        return F.create_map(F.lit("code"), _code(pk), F.lit("n"), (F.col(pk) % 40).cast("string"), F.lit("val"), F.floor("val").cast("string"), F.lit("ts"), F.col("ts").cast("string"))
+
+    return inputs.changes(spark, d).select("file_no", "pos", "seq", "tbl", "op", image("before_pk").alias("before"), image("pk").alias("after"), F.lit(None).cast("string").alias("statement"))
 
 
 @query(
@@ -262,10 +358,10 @@ def x12(spark, d):
 
 @query("x13_fan_out", with_inputs("changes") + f", net as ({net_sql()}) select tbl, count(*) filter (not deleted) as live, count(*) filter (deleted) as gone, max(seq) as last_seq from net where rn = 1 group by 1")
 def x13(spark, d):
-    """All tables in one stream, each in its own partitions, applied in log order."""
+    """All tables in one stream, applied in log order."""
     path = scratch_path(spark, "fan")
     stream = streams.read_changes(spark, _change_files(spark, d), 4)
-    _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES, 4))
+    _finish(applying.start_apply(stream, path, f"{path}-ck", IMAGES))
     target = applying.read_target(spark, path)
     return target.groupBy("tbl").agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("gone"), F.max("seq").alias("last_seq"))
 

@@ -1,100 +1,46 @@
-"""Applying a change stream to bucketed targets.
-
-A target is a set of generations, each a folder partitioned by table and key bucket, and a manifest that names the live
-ones. A batch adds one generation with the last change of each of its keys: nothing that is there is read or
-rewritten. Each row carries the log place of its change, and deleted keys stay as tombstones, so the last place of a key wins
-however often and in whatever order batches come, and a snapshot taken at some place ignores earlier events by itself.
-``compact`` folds all generations into one. A new manifest appears by a rename after its generations are whole, so a crash
-at any point leaves the target as it was.
+"""Applying a change stream to tables.
+
+A target is a folder of batches, each with the last change of each of its keys and that change's log place; deleted keys stay
+as tombstones. A micro-batch writes only its own folder and replaces it when it runs again; the last place of a key wins on
+reading, however often and in whatever order batches come, and a snapshot taken at some place ignores earlier events by itself.
+``fold`` is an ordinary job that writes the last rows of all batches to a new folder, to go on with.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-import zlib
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowtide.operators.changes import net_changes
+from rowtide.operators.changes import after_position, net_changes
+from rowtide.operators.images import IMAGE_SCHEMA, reduced_log, route_tables, statements_of, tables_of
 from rowtide.operators.ordered import POSITION, keep_last
-from rowtide.sources.sinks import even_files, remove_path, with_bucket
+from rowtide.sources.sinks import has_parquet
 from rowtide.streaming.changes import buffered
 
 KEYS = ["tbl", "pk"]
-PARTS = ["tbl", "bucket"]
-
-
-def _folder(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _manifests(spark: SparkSession, path: str) -> list[str]:
-    at, fs = _folder(spark, path)
-    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(n for n in names if n.startswith("manifest-"))
-
-
-def generations(spark: SparkSession, path: str) -> list[str]:
-    """The live generations, oldest first; none for a target that isn't there yet."""
-    names = _manifests(spark, path)
-    if not names:
-        return []
-    at, fs = _folder(spark, f"{path}/{names[-1]}")
-    stream = fs.open(at)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
 
 
-def _publish(spark: SparkSession, path: str, live: list[str]) -> None:
-    names = _manifests(spark, path)
-    number = int(names[-1].split("-")[1]) + 1 if names else 0
-    made, fs = _folder(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
-    stream = fs.create(made, True)
-    try:
-        stream.write(bytearray(json.dumps(live).encode()))
-    finally:
-        stream.close()
-    if not fs.rename(made, _folder(spark, f"{path}/manifest-{number:09d}")[0]):
-        raise RuntimeError(f"another writer has changed {path}")
+def _put(rows: DataFrame, path: str, number: int) -> None:
+    """A batch's rows, sorted so that readers of some tables or keys skip the rest; an empty batch still has its columns."""
+    rows.sortWithinPartitions(*[c for c in KEYS if c in rows.columns]).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
 
-def _write(rows: DataFrame, path: str, name: str) -> None:
-    """A generation; a full bucket is cut into several files and tasks, small ones are put together."""
-    even_files(rows, *PARTS).write.mode("overwrite").partitionBy(*PARTS).parquet(f"{path}/gen={name}")
+def write_snapshot(snapshot: DataFrame, path: str, at: tuple[int, int] = (-1, -1)) -> None:
+    """Start a target from a snapshot taken at a log place."""
+    place = {"file_no": F.lit(at[0]).cast("bigint"), "pos": F.lit(at[1]).cast("bigint"), "seq": F.lit(2**62).cast("bigint")}
+    _put(snapshot.withColumns({"deleted": F.lit(False), **place}), path, -1)
 
 
-def write_snapshot(snapshot: DataFrame, path: str, buckets: int, at: tuple[int, int] = (-1, -1)) -> None:
-    """Start a target from a snapshot taken at a log place."""
-    rows = (
-        snapshot.withColumn("deleted", F.lit(False))
-        .withColumn("file_no", F.lit(at[0]).cast("bigint")).withColumn("pos", F.lit(at[1]).cast("bigint"))
-        .withColumn("seq", F.lit(2**62).cast("bigint"))
-    )
-    name = uuid.uuid4().hex
-    _write(with_bucket(rows, KEYS, buckets), path, name)
-    _publish(snapshot.sparkSession, path, [name])
-
-
-def merge_batch(batch: DataFrame, path: str, images: list[str], buckets: int, compat: bool = False, name: str | None = None) -> None:
-    """Add one batch to the target. A batch whose ``name`` is live already has been applied and changes nothing."""
-    spark, name = batch.sparkSession, name or uuid.uuid4().hex
-    live = generations(spark, path)
-    if name in live or batch.isEmpty():
-        return
-    _write(with_bucket(net_changes(batch, KEYS, images, compat=compat), KEYS, buckets), path, name)
-    _publish(spark, path, [*live, name])
+def merge_batch(batch: DataFrame, path: str, images: list[str], number: int, compat: bool = False) -> None:
+    """Add one batch to the target; under the same number it replaces itself."""
+    _put(net_changes(batch, KEYS, images, compat=compat), path, number)
 
 
 def read_target(spark: SparkSession, path: str) -> DataFrame:
-    """The target with tombstones and log places: the last row of each key over all generations."""
-    live = generations(spark, path)
-    rows = spark.read.option("basePath", path).parquet(*[f"{path}/gen={name}" for name in live]).drop("gen").withColumn("tbl", F.col("tbl").cast("string"))
-    return rows if len(live) == 1 else keep_last(rows, KEYS, POSITION)
+    """The target with tombstones and log places: the last row of each key over all batches."""
+    return keep_last(spark.read.parquet(path).drop("batch"), KEYS, POSITION)
 
 
 def live_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
@@ -102,46 +48,49 @@ def live_rows(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     return read_target(spark, path).filter(~F.col("deleted")).select(*cols)
 
 
-def compact(spark: SparkSession, path: str) -> None:
-    """Fold all generations into one. The old ones stay for readers at work until ``vacuum``."""
-    live = generations(spark, path)
-    if len(live) > 1:
-        name = uuid.uuid4().hex
-        _write(read_target(spark, path), path, name)
-        _publish(spark, path, [name, *generations(spark, path)[len(live) :]])
+def fold(spark: SparkSession, path: str, new_path: str, forget: tuple[int, int] | None = None) -> None:
+    """All batches as one, in a new folder; run it while no stream writes, and go on there with the same checkpoint.
+
+    X12: with ``forget``, tombstones up to that log place are left out. No event up to it must come any more.
+    """
+    rows = read_target(spark, path)
+    _put(rows if forget is None else rows.filter(~F.col("deleted") | after_position(*forget)), new_path, -1)
+
+
+def start_apply(stream: DataFrame, path: str, checkpoint: str, images: list[str], gap: str | None = None, compat: bool = False) -> StreamingQuery:
+    """Apply the stream to all tables at once; order inside a table is kept by log place."""
 
+    def add(batch: DataFrame, number: int) -> None:
+        merge_batch(batch, path, images, number, compat)
 
-def vacuum(spark: SparkSession, path: str) -> None:
-    """Remove generations that the manifest doesn't name; call it when no reader of an older manifest is at work."""
-    at, fs = _folder(spark, path)
-    live = set(generations(spark, path))
-    for name in [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]:
-        if name.removeprefix("gen=") not in live:
-            remove_path(spark, f"{path}/{name}")
+    return buffered(stream, checkpoint, gap).foreachBatch(add).start()
 
 
-def start_apply(
-    stream: DataFrame, path: str, checkpoint: str, images: list[str], buckets: int, gap: str | None = None, compat: bool = False,
-    most_generations: int = 16,
+def start_routing(
+    stream: DataFrame, path: str, checkpoint: str, targets: Mapping[str, DataFrame], keys: Mapping[str, list[str]],
+    load: Callable[[str], DataFrame] | None = None, gap: str | None = None, compat: bool = False,
 ) -> StreamingQuery:
-    """Apply the stream to all tables at once; order inside a table is kept by log place.
+    """Keep the effect of a log of many tables with their own keys, row changes and schema changes alike.
 
-    A micro-batch that runs again has the same name and is not added twice. The target is compacted when it has
-    ``most_generations``, so the cost of rewriting is shared by that many batches.
+    ``stream`` has rows of ``IMAGE_SCHEMA``. Each micro-batch is reduced to one event per key, by the schemas known so
+    far, and keeps its statements; ``routed_tables`` gives the tables. Of ``targets`` only the columns are used here.
     """
-    own = f"{zlib.crc32(checkpoint.encode()):08x}"
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch, path, images, buckets, compat, f"batch-{own}-{batch_id:09d}")
-        if len(generations(batch.sparkSession, path)) >= most_generations:
-            compact(batch.sparkSession, path)
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        said = statements_of(batch)
+        said.write.mode("overwrite").parquet(f"{path}/statements/batch={number}")
+        known = spark.read.parquet(f"{path}/statements").filter(F.col("batch") <= number)
+        _, info = tables_of(targets, known, keys, load)
+        reduced_log(batch, info, compat).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
 
-    return buffered(stream, checkpoint, gap).foreachBatch(fold).start()
+    return buffered(stream, checkpoint, gap).foreachBatch(add).start()
 
 
-def drop_tombstones(spark: SparkSession, path: str, new_path: str, file_no: int, pos: int) -> None:
-    """A compacted copy of the target without tombstones up to a log place."""
-    old = F.col("deleted") & ((F.col("file_no") < file_no) | ((F.col("file_no") == file_no) & (F.col("pos") <= pos)))
-    name = uuid.uuid4().hex
-    _write(read_target(spark, path).filter(~old), new_path, name)
-    _publish(spark, new_path, [name])
+def routed_tables(
+    spark: SparkSession, path: str, targets: Mapping[str, DataFrame], keys: Mapping[str, list[str]], load: Callable[[str], DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """The tables as ``start_routing`` has followed them, from ``targets`` as they were before the log."""
+    if not has_parquet(spark, f"{path}/log"):
+        return dict(targets)
+    return route_tables(targets, spark.read.schema(f"{IMAGE_SCHEMA}, batch int").parquet(f"{path}/log").drop("batch"), keys, load)

@@ -4,10 +4,10 @@ import random
 
 import pytest
 
-from rowtide.operators import changes as cdc, ordered
+from rowtide.operators import changes as cdc, images, ordered
 from rowtide.operators.changes import CHANGE_SCHEMA
 from rowtide.session import scratch_path
-from rowtide.streaming import apply as applying, changes as streams, ddl
+from rowtide.streaming import apply as applying, changes as streams
 
 KEYS, IMAGES = ["tbl", "pk"], ["val", "kind", "ts"]
 COLS = ["tbl", "pk", "val", "kind", "ts"]
@@ -64,49 +64,24 @@ def test_apply_is_the_fold_of_the_log(spark, seed, compat):
 def test_any_split_into_batches_in_any_order_gives_the_same_target(spark):
     rows, start = random_log(7), {k: -1.0 for k in range(0, 40, 2)}
     path = scratch_path(spark, "split")
-    applying.write_snapshot(target(spark, start.items()), path, 4)
+    applying.write_snapshot(target(spark, start.items()), path)
     cuts = [rows[:40], rows[200:], rows[40:130], rows[130:200], rows[200:260]]  # out of order, one part twice
-    for part in cuts:
-        applying.merge_batch(log(spark, part), path, IMAGES, 4)
+    for number, part in enumerate(cuts):
+        applying.merge_batch(log(spark, part), path, IMAGES, number)
     assert live(applying.live_rows(spark, path, COLS)) == fold(start, rows)
-
-
-def _files(spark, path):
-    return {r[0] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()}
-
-
-def test_a_batch_rewrites_nothing_and_adds_only_its_own_buckets(spark):
-    path = scratch_path(spark, "touch")
-    applying.write_snapshot(target(spark, [(k, 0.0) for k in range(200)]), path, 16)
-    before = _files(spark, path)
-    applying.merge_batch(log(spark, [(9, 1, "update", 5, 5, 1.0)]), path, IMAGES, 16)
-    after = _files(spark, path)
-    assert before < after and len(after - before) == 1
-    assert live(applying.live_rows(spark, path, COLS))[5] == 1.0
-
-
-def test_a_crash_before_the_switch_leaves_the_target_whole(spark, monkeypatch):
-    path = scratch_path(spark, "crash")
-    applying.write_snapshot(target(spark, [(1, 1.0), (2, 2.0)]), path, 2)
-    batch = [(9, 1, "update", 1, 1, 5.0), (9, 2, "delete", 2, 2, 0.0)]
-    with monkeypatch.context() as m:
-        m.setattr(applying, "_publish", lambda *a: (_ for _ in ()).throw(OSError("gone")))
-        with pytest.raises(OSError):
-            applying.merge_batch(log(spark, batch), path, IMAGES, 2, name="batch-0")
-    assert live(applying.live_rows(spark, path, COLS)) == {1: 1.0, 2: 2.0}
-    for _ in range(2):
-        applying.merge_batch(log(spark, batch), path, IMAGES, 2, name="batch-0")
-    assert live(applying.live_rows(spark, path, COLS)) == {1: 5.0}
-    assert len(applying.generations(spark, path)) == 2
-    applying.compact(spark, path)
-    applying.vacuum(spark, path)
-    assert len(applying.generations(spark, path)) == 1 and live(applying.live_rows(spark, path, COLS)) == {1: 5.0}
+    applying.merge_batch(log(spark, cuts[2]), path, IMAGES, 2)  # a batch that runs again replaces itself
+    assert live(applying.live_rows(spark, path, COLS)) == fold(start, rows)
+    applying.fold(spark, path, f"{path}-new")
+    applying.merge_batch(log(spark, [(99, 1, "insert", 77, 77, 7.0)]), f"{path}-new", IMAGES, 5)
+    assert live(applying.live_rows(spark, f"{path}-new", COLS)) == fold(start, rows) | {77: 7.0}
 
 
 def test_empty_batch_changes_nothing(spark):
     path = scratch_path(spark, "empty")
-    applying.write_snapshot(target(spark, [(1, 1.0)]), path, 2)
-    applying.merge_batch(log(spark, []), path, IMAGES, 2)
+    applying.merge_batch(log(spark, []), path, IMAGES, 0)  # also as the first
+    assert live(applying.live_rows(spark, path, COLS)) == {}
+    applying.write_snapshot(target(spark, [(1, 1.0)]), path)
+    applying.merge_batch(log(spark, []), path, IMAGES, 1)
     assert live(applying.live_rows(spark, path, COLS)) == {1: 1.0}
     assert live(cdc.apply_changes(target(spark, [(1, 1.0)]), log(spark, []), KEYS, IMAGES)) == {1: 1.0}
 
@@ -129,8 +104,8 @@ def test_snapshot_ignores_events_up_to_its_place(spark):
     got = cdc.snapshot_then_changes(target(spark, [(1, 1.0), (2, 2.0), (3, 3.0)]), {"app.t": (9, 1)}, log(spark, rows), KEYS, IMAGES)
     assert live(got) == {1: 1.0, 2: 6.0}
     path = scratch_path(spark, "snap")
-    applying.write_snapshot(target(spark, [(1, 1.0), (2, 2.0), (3, 3.0)]), path, 2, at=(9, 1))
-    applying.merge_batch(log(spark, rows), path, IMAGES, 2)
+    applying.write_snapshot(target(spark, [(1, 1.0), (2, 2.0), (3, 3.0)]), path, at=(9, 1))
+    applying.merge_batch(log(spark, rows), path, IMAGES, 0)
     assert live(applying.live_rows(spark, path, COLS)) == {1: 1.0, 2: 6.0}
 
 
@@ -182,7 +157,7 @@ def test_stream_restarted_on_its_checkpoint_equals_one_run(spark):
     for part in (rows[:150], rows[150:]):
         streams.write_change_files(log(spark, part), files, files=3)
         stream = streams.read_changes(spark, files, 1)
-        applying.start_apply(stream, path, f"{path}-ck", IMAGES, 4).awaitTermination()
+        applying.start_apply(stream, path, f"{path}-ck", IMAGES).awaitTermination()
     assert live(applying.live_rows(spark, path, COLS)) == fold({}, rows)
 
 
@@ -197,27 +172,97 @@ def test_lag_of_a_finished_stream(spark):
 
 def test_tombstones_can_be_dropped_up_to_a_place(spark):
     path = scratch_path(spark, "tomb")
-    applying.merge_batch(log(spark, [(9, 1, "delete", 1, 1, 0.0), (9, 5, "delete", 2, 2, 0.0), (9, 2, "insert", 3, 3, 3.0)]), path, IMAGES, 2)
-    applying.drop_tombstones(spark, path, f"{path}-new", 9, 1)
+    applying.merge_batch(log(spark, [(9, 1, "delete", 1, 1, 0.0), (9, 5, "delete", 2, 2, 0.0), (9, 2, "insert", 3, 3, 3.0)]), path, IMAGES, 0)
+    applying.fold(spark, path, f"{path}-new", forget=(9, 1))
     assert sorted(r["pk"] for r in applying.read_target(spark, f"{path}-new").collect()) == [2, 3]
 
 
+def image_log(spark, rows):
+    """rows of (place, table, op, before, after, statement); the place is a number, ten to a log file"""
+    return spark.createDataFrame([(9 + n // 10, n % 10, n, t, op, before, after, text) for n, t, op, before, after, text in rows], images.IMAGE_SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def test_schema_changes_are_barriers(spark):
-    schema = "file_no bigint, pos bigint, seq bigint, tbl string, op string, before_pk bigint, pk bigint, after map<string,string>, statement string"
     rows = [
-        (9, 1, 1, "app.t", "insert", 1, 1, {"val": "1.5", "kind": "a"}, None),
-        (9, 2, 2, "app.t", "query", None, None, None, "alter table app.t add column size int, drop column kind"),
-        (9, 3, 3, "app.t", "insert", 2, 2, {"val": "2.5", "size": "7"}, None),
-        (9, 4, 4, "app.t", "query", None, None, None, "truncate table app.t"),
-        (9, 5, 5, "app.t", "update", 3, 3, {"val": "x", "size": "9"}, None),
+        (1, "app.t", "insert", None, {"pk": "1", "val": "1.5", "kind": "a"}, None),
+        (2, "app.t", "query", None, None, "alter table app.t add column size int, drop column kind"),
+        (3, "app.t", "insert", None, {"pk": "2", "val": "2.5", "size": "7"}, None),
+        (4, "app.t", "query", None, None, "truncate table app.t"),
+        (5, "app.t", "update", {"pk": "3"}, {"pk": "3", "val": "x", "size": "9"}, None),
+        (11, "app.t", "query", None, None, "create table app.t (id int)"),
+    ]
+    start = {"app.t": spark.createDataFrame([(9, 9.0, "k")], "pk bigint, val double, kind string")}
+    upto = lambda n, load=None: rows_of(images.route_tables(start, image_log(spark, rows[:n][::-1]), {"app.t": ["pk"]}, load)["app.t"])
+    assert upto(3) == [(1, 1.5, None), (2, 2.5, 7), (9, 9.0, None)]
+    assert upto(5) == upto(6) == [(3, None, 9)]
+    assert upto(6, lambda t: spark.createDataFrame([(4, 4.0)], "pk bigint, val double")) == [(4, 4.0)]
+
+
+def test_columns_keep_their_values_through_renames_and_lose_them_when_dropped(spark):
+    rows = [
+        (1, "a.t", "insert", None, {"id": "1", "x": "7.9", "y": "p"}, None),
+        (2, "a.t", "query", None, None, "alter table t change id code varchar(9), modify code varchar(9), modify x int, add z int first"),
+        (3, "a.t", "update", {"code": "5", "x": "1"}, {"code": "six", "x": "2", "y": "q", "z": "4"}, None),
+        (4, "a.t", "query", None, None, "alter table a.t drop column y, change x w varchar(5), modify w varchar(5)"),
+        (5, "a.t", "query", None, None, "alter table a.t add column y int"),
+        (6, "a.t", "delete", {"code": "1"}, None, None),
+        (7, "a.t", "insert", None, {"code": "8", "w": "v", "y": "3"}, None),
+    ]
+    start = {"a.t": spark.createDataFrame([(5, 5.5, "b"), (6, 6.6, "c")], "id int, x double, y string")}
+    got = images.route_tables(start, image_log(spark, rows[::-1]), {"a.t": ["code"]})["a.t"]
+    assert got.columns == ["z", "code", "w", "y"]
+    assert rows_of(got) == sorted([(None, "6", "6", None), (4, "six", "2", None), (None, "8", "v", 3)], key=repr)
+
+
+def test_keys_of_several_parts_move(spark):
+    start = {"a.t": spark.createDataFrame([("x", 1, "old"), (None, 2, "old"), ("y", 3, "old")], "c string, n int, v string")}
+    rows = [
+        (1, "a.t", "update", {"c": "x", "n": "1"}, {"c": "x", "n": "9", "v": "moved"}, None),
+        (2, "a.t", "update", {"c": None, "n": "2"}, {"c": None, "n": "2", "v": "new"}, None),
+        (3, "a.t", "delete", {"c": "y", "n": "3"}, None, None),
+        (4, "b.u", "insert", None, {"c": "other"}, None),
     ]
-    start = target(spark, [(9, 9.0)]).drop("ts")
-    upto = lambda n: ddl.route_ddl(start, spark.createDataFrame(rows[:n], schema), "app.t", KEYS)
-    assert upto(3).drop("tbl").orderBy("pk").collect() == [(1, 1.5, None), (2, 2.5, 7), (9, 9.0, None)]
-    assert upto(5).drop("tbl").collect() == [(3, None, 9)]
-    made = rows + [(10, 1, 6, "app.t", "query", None, None, None, "create table app.t (id int)")]
-    loaded = ddl.route_ddl(start, spark.createDataFrame(made, schema), "app.t", KEYS, load=lambda t: target(spark, [(4, 4.0)]))
-    assert live(loaded) == {4: 4.0}
+    keys = {"a.t": ["c", "n"]}
+    assert rows_of(images.route_tables(start, image_log(spark, rows), keys)["a.t"]) == sorted([("x", 9, "moved"), (None, 2, "new")], key=repr)
+    assert rows_of(images.route_tables(start, image_log(spark, rows), keys, compat=True)["a.t"]) == sorted([("x", 1, "old"), ("x", 9, "moved"), (None, 2, "new")], key=repr)
+    assert rows_of(images.route_tables(start, image_log(spark, []), keys)["a.t"]) == rows_of(start["a.t"])
+
+
+def test_batches_of_a_log_with_schema_changes_equal_the_whole(spark):
+    rng, rows, tables = random.Random(6), [], {"a.t": "k", "b.u": "k"}
+    for n in range(1, 120):
+        t = rng.choice(list(tables))
+        if n in (20, 60):
+            rows.append((n, t, "query", None, None, f"alter table {t} add column c{n} int"))
+            continue
+        image = {"k": str(rng.randrange(9)), "v": str(n), "c20": str(n), "c60": str(n)}
+        rows.append((n, t, rng.choice(["insert", "update", "delete"]), {**image, "k": str(rng.randrange(9))}, image, None))
+    start = {t: spark.createDataFrame([(k, -1) for k in range(5)], "k int, v int") for t in tables}
+    keys = {t: [k] for t, k in tables.items()}
+    files, path = scratch_path(spark, "log"), scratch_path(spark, "routed")
+    for part in (rows[:50], rows[50:90], rows[90:]):
+        streams.write_change_files(image_log(spark, part), files, files=2)
+        applying.start_routing(streams.read_changes(spark, files, 1, images.IMAGE_SCHEMA), path, f"{path}-ck", start, keys).awaitTermination()
+    whole = images.route_tables(start, image_log(spark, rows), keys)
+    got = applying.routed_tables(spark, path, start, keys)
+    assert {t: rows_of(df) for t, df in got.items()} == {t: rows_of(df) for t, df in whole.items()}
+
+
+def test_plans_do_not_grow_with_the_number_of_statements(spark):
+    def plan(n):
+        rows = [(1, "a.t", "insert", None, {"k": "1", "v": "1"}, None)] + [(2 + i, "a.t", "query", None, None, f"alter table a.t add column c{i} int") for i in range(n)]
+        start = {"a.t": spark.createDataFrame([(1, 1)], "k int, v int")}
+        changes = image_log(spark, rows)
+        _, info = images.tables_of(start, images.statements_of(changes), {"a.t": ["k"]})
+        return images.net_images(changes, info)._jdf.queryExecution().executedPlan().toString()
+
+    small, large = plan(2), plan(20)
+    for word in ("Exchange", "Scan", "Join", "Window"):
+        assert small.count(word) == large.count(word)
 
 
 def test_idempotent_insert_keeps_what_is_there(spark):

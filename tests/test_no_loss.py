@@ -5,9 +5,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.operators import archive, changes as cdc, ordered, reconcile, schema, sync
+from rowtide.operators import archive, changes as cdc, images, ordered, reconcile, schema, sync
 from rowtide.sources import sinks, splits
-from rowtide.streaming import changes as streams, ddl, metrics
+from rowtide.streaming import changes as streams, metrics
 
 AS_OF = dt.datetime(2001, 8, 1)
 
@@ -68,7 +68,7 @@ def test_archive_of_everything_leaves_a_target_that_syncs(spark, tmp_path):
 def test_ddl_of_other_schemas_and_any_case(spark):
     rows = [("alter table crm.t0 drop column val", "crm.x"), ("ALTER  TABLE `app`.`t0` ADD COLUMN note varchar(5)", "app.t0"), ("Alter Table t0 add other int", "app.t0"), ("alter table t0 add wrong int", "crm.t0")]
     log = spark.createDataFrame([(1, i, 0, tbl, "query", text) for i, (text, tbl) in enumerate(rows)], "file_no long, pos long, seq long, tbl string, op string, statement string")
-    assert [x[3] for x in ddl.ddl_of(log, "app.t0")] == [rows[1][0], rows[2][0]]
+    assert [r["statement"] for r in images.statements_of(log).filter("tbl = 'app.t0'").orderBy("pos").collect()] == [rows[1][0], rows[2][0]]
     assert schema.keep_ddl(log).count() == 4
 
 
