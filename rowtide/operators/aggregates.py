@@ -122,15 +122,16 @@ def usage_ratio(totals: DataFrame, free: DataFrame, key: str) -> DataFrame:
 
 
 def ops_by_interval(changes: DataFrame, secs: int, ts: str = "ts") -> DataFrame:
-    """Changes per kind and time interval; works on batch and streaming input."""
+    """Changes per kind and time interval, which begin at full multiples of ``secs`` since 1970; changes without a
+    time are counted under a null interval."""
     def kind(name: str) -> Column:
         return F.count_if(F.col("op") == name).alias(f"{name}_amount")
 
-    return (
-        changes.groupBy(F.window(ts, f"{secs} seconds").alias("_w"))
-        .agg(F.count(F.lit(1)).alias("event_amount"), kind("insert"), kind("update"), kind("delete"), kind("ddl"))
-        .select(F.col("_w.start").alias("window_start"), "event_amount", "insert_amount", "update_amount", "delete_amount", "ddl_amount")
-    )
+    zero = F.lit("1970-01-01 00:00:00Z").cast("timestamp") if changes.schema[ts].dataType.typeName() == "timestamp" else F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    step = secs * 1_000_000
+    micros = F.timestamp_diff("MICROSECOND", zero, F.col(ts))
+    start = F.timestamp_add("MICROSECOND", micros - F.pmod(micros, F.lit(step)), zero)
+    return changes.groupBy(start.alias("window_start")).agg(F.count(F.lit(1)).alias("event_amount"), kind("insert"), kind("update"), kind("delete"), kind("ddl"))
 
 
 def group_as_distinct(df: DataFrame, cols: list[str], created: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,12 +31,6 @@ def reconcile_days(source: DataFrame, target: DataFrame, ts: str, n: int, as_of:
     return counts.withColumn("status", F.when(same, "equal").otherwise("differ"))
 
 
-def between(df: DataFrame, ts: str, day: str) -> Column:
-    """True for rows on a day, as a range that can be pushed down."""
-    start = date.fromisoformat(day)
-    return (F.col(ts) >= moment_for(df, ts, midnight(start))) & (F.col(ts) < moment_for(df, ts, midnight(start + timedelta(days=1))))
-
-
 def repair_days(
     source: DataFrame, target: DataFrame, keys: list[str], ts: str, n: int, as_of: datetime, delete_only_if_extra: bool = False
 ) -> DataFrame:
@@ -53,12 +46,14 @@ def repair_days(
     days = [str(r["day"]) for r in bad]
     cleared = [str(r["day"]) for r in bad if r["target_rows"] > r["source_rows"]] if delete_only_if_extra else days
 
-    def on(df: DataFrame, which: list[str]) -> Column:
-        inside = [between(df, ts, day) for day in which]
-        return F.coalesce(reduce(lambda a, b: a | b, inside, F.lit(False)), F.lit(False))
+    def on(which: list[str]) -> Column:
+        return F.coalesce(F.to_date(ts).isin(*[date.fromisoformat(day) for day in which]), F.lit(False))
 
-    fresh = source.filter(on(source, days))
-    kept = target.filter(~on(target, cleared))
+    # one range that the scan can use, above it a set of days
+    first, last = midnight(date.fromisoformat(min(days))), midnight(date.fromisoformat(max(days)) + timedelta(days=1))
+    inside = (F.col(ts) >= moment_for(source, ts, first)) & (F.col(ts) < moment_for(source, ts, last))
+    fresh = source.filter(inside & on(days))
+    kept = target.filter(~on(cleared)) if cleared else target
     return without_keys(kept, fresh, keys).unionByName(fresh.select(*target.columns))
 
 

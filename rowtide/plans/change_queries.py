@@ -10,7 +10,8 @@ from rowtide.plans import inputs
 from rowtide.plans.inputs import with_inputs
 from rowtide.plans.registry import query
 from rowtide.session import scratch_path
-from rowtide.streaming import apply as applying, changes as streams, metrics, places
+from rowtide.sources.sinks import has_parquet
+from rowtide.streaming import apply as applying, changes as streams, metrics, places, seen
 
 KEYS, IMAGES = ["tbl", "pk"], ["val", "kind", "ts"]
 COLS = ["tbl", "pk", "val", "kind", "ts"]
@@ -113,7 +114,7 @@ def x8_stream(spark, d):
     parts = spark.read.schema(places.CHANGE_SCHEMA).parquet(f"{first}/batch=*").select(F.lit("a").alias("tag"), F.lit(False).alias("gap"), "seq")
     for job in cdc.resume_position(saved, places.log_files(spark, log), end).collect():  # one row per job
         out, _ = _flushed(spark, log, f"job-{job['tag']}", start=(job["file_no"], job["pos"]))
-        read = spark.read.schema(places.CHANGE_SCHEMA).parquet(out) if streams.has_parquet(spark, out) else rows.limit(0)
+        read = spark.read.schema(places.CHANGE_SCHEMA).parquet(out) if has_parquet(spark, out) else rows.limit(0)
         none = spark.createDataFrame([(job["tag"], job["gap"], None)], "tag string, gap boolean, seq bigint")
         parts = parts.unionByName(read.select(F.lit(job["tag"]).alias("tag"), F.lit(job["gap"]).alias("gap"), "seq")).unionByName(none)
     return parts.groupBy("tag", "gap").agg(F.count("seq").alias("rows"), F.sum("seq").alias("seqs"))
@@ -159,7 +160,7 @@ def x5_stream(spark, d):
     log = inputs.changes(spark, d)
     files = _change_files(spark, d, log.unionByName(log.filter("seq % 3 = 0")))
     out = scratch_path(spark, "deduped")
-    _finish(streams.dedupe_stream(streams.read_changes(spark, files, 3), out, f"{out}-ck"))
+    _finish(seen.dedupe_stream(streams.read_changes(spark, files, 3), out, f"{out}-ck"))
     return spark.read.parquet(out).groupBy("tbl", "op").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
 
 
@@ -338,6 +339,16 @@ def x10(spark, d):
     return metrics.read_ops_metrics(spark, out)
 
 
+@query(
+    "x10_ops_without_time",
+    with_inputs("changes") + "select date_trunc('day', case when seq % 9 <> 0 then ts end)::timestamp as window_start, count(*) as event_amount, count(*) filter (op = 'delete') as delete_amount from changes group by 1",
+)
+def x10_no_time(spark, d):
+    """Changes without a time are counted too."""
+    rows = inputs.changes(spark, d).withColumn("ts", F.when(F.col("seq") % 9 != 0, F.col("ts")))
+    return ops_by_interval(rows, 86400).select("window_start", "event_amount", "delete_amount")
+
+
 @query("x10_ops_metrics_batch", with_inputs("changes") + "select date_trunc('day', ts)::timestamp as window_start, count(*) as event_amount from changes group by 1")
 def x10_batch(spark, d):
     return ops_by_interval(inputs.changes(spark, d), 86400).select("window_start", "event_amount")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rowtide.operators import aggregates as agg, joins, ordered
 from rowtide.operators.numbering import number_rows
@@ -378,6 +378,33 @@ STREAKS_SQL = (
 )
 
 
+# a back-fill: a third of all samples has one time
+_BACKFILL = "case when sample_id % 3 = 0 then timestamp '2024-01-09 00:00:00' else ts end as ts"
+
+
+def _backfilled(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.when(F.col("sample_id") % 3 == 0, F.lit("2024-01-09 00:00:00").cast("timestamp_ntz")).otherwise(F.col("ts")))
+
+
+@query(
+    "w4_even_chunks",
+    with_inputs("counters") + f", b as (select * replace ({_BACKFILL}) from counters), l as (select *, bytes - lag(bytes) over w as g, ts - lag(ts) over w as dt from b window w as (partition by server_id order by ts, sample_id))"
+    " select server_id, ts, sample_id, bytes, case when g >= 0 then g end as delta, case when g >= 0 then g / nullif(cast(trunc(epoch(dt)) as bigint), 0) end as per_second from l",
+)
+def w4_even(spark, d):
+    order = ["ts", "sample_id"]
+    pieces = ordered.even_chunks(_backfilled(inputs.counters(spark, d)), ["server_id"], order, "piece")
+    return ordered.counter_delta(pieces, ["server_id"], "bytes", order, "ts", chunk=F.col("piece")).drop("piece")
+
+
+@query("w5_even_chunks", STREAKS_SQL.replace("ts, cpu <= 40 as ok from samples", _BACKFILL + ", cpu <= 40 as ok from samples") + " select * from t")
+def w5_even(spark, d):
+    order = ["ts", "sample_id"]
+    samples = _backfilled(inputs.samples(spark, d).select("sample_id", "server_id", "ts", "cpu"))
+    pieces = ordered.even_chunks(samples, ["server_id"], order, "piece")
+    return ordered.streaks(pieces, ["server_id"], F.col("cpu") <= 40, order, "ts", chunk=F.col("piece")).drop("cpu", "piece")
+
+
 @query("w5_fail_streak", STREAKS_SQL + " select * from t")
 def w5(spark, d):
     samples = inputs.samples(spark, d).select("sample_id", "server_id", "ts", "cpu")

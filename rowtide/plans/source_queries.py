@@ -98,7 +98,7 @@ def a6(spark, d):
     " select cast(r as integer) as range_no, min(k) as lo, max(k) as hi, count(*) as rows from t group by 1",
 )
 def a7(spark, d):
-    return splits.key_ranges(base(spark, d, "orders"), "o_orderkey", 8)
+    return splits.key_ranges(base(spark, d, "orders"), "o_orderkey", 8, accuracy=100)
 
 
 @query(
@@ -259,6 +259,12 @@ def a21(spark, d):
     return scan.page(base(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], 100, 50)
 
 
+@query("a21_deep_page", "select l_orderkey, l_linenumber, l_quantity from lineitem order by l_orderkey, l_linenumber limit 70 offset (select count(*) * 9 // 10 from lineitem)")
+def a21_deep(spark, d):
+    lines = base(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return scan.page(lines, ["l_orderkey", "l_linenumber"], lines.count() * 9 // 10, 70)
+
+
 @query(
     "a0_sync_list",
     "select 'orders' as table_name, count(*) as rows from orders where o_orderdate >= timestamp '2001-07-02' union all select 'nation', count(*) from nation",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from rowtide.operators.ordered import even_chunks
 from rowtide.session import sql_over
+from rowtide.sources.splits import bucket_of, sketch_marks
 from rowtide.specs import CdcSpec, TableCatalog
 
 # fixed values: preferred time columns, best first
@@ -115,5 +117,31 @@ def choose_time_column(schema: T.StructType, indexed: set[str] = frozenset()) ->
 
 
 def page(df: DataFrame, order: list[str], offset: int, n: int) -> DataFrame:
-    """One page in a total order."""
-    return df.orderBy(*order).offset(offset).limit(n)
+    """One page in a total order, nulls first.
+
+    Where the page lies is found by counting: a sketch cuts the first column into buckets, whose rows are counted, and only
+    those the page touches are sorted. If that is one value alone, the next column is cut. A first column that is neither
+    number nor time is cut by a sort by ranges. So no task keeps the rows before the page.
+    """
+    rows = df
+    for i, column in enumerate(order):
+        if not isinstance(df.schema[column].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+            rows = even_chunks(rows, order[i:], [], "_bucket")
+            bucket = F.col("_bucket")
+        else:
+            bucket = F.coalesce(bucket_of(column, sketch_marks(rows, column, 64, 1000)), F.lit(-1))
+        stats = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("filled"))
+        before, chosen = 0, []
+        for s in sorted(stats.collect(), key=lambda r: r["b"]):  # one row per bucket
+            if not chosen and before + s["n"] <= offset:
+                before += s["n"]
+            elif not chosen or sum(c["n"] for c in chosen) < offset - before + n:
+                chosen.append(s)
+        offset -= before
+        if not chosen:
+            return df.limit(0)
+        rows = rows.filter(bucket.isin(*[c["b"] for c in chosen]))
+        one = len(chosen) == 1 and chosen[0]["lo"] == chosen[0]["hi"] and chosen[0]["filled"] in (0, chosen[0]["n"])
+        if not one or "_bucket" in rows.columns:
+            break
+    return rows.select(*df.columns).orderBy(*order).offset(offset).limit(n)

@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed value: a span of ids beyond this many times the rows is called sparse
 SPARSE_FACTOR = 3
 
 
-def key_ranges(df: DataFrame, key: str, n: int, accuracy: int = 100_000) -> DataFrame:
-    """``n`` ranges (lo, hi, rows) with about equal row counts.
+def bucket_of(key: str, marks: list) -> Column:
+    """Number of the bucket between sorted ``marks`` that a key lies in: keys up to the first mark are in bucket 0; null for a null key."""
+    held = F.array(*[F.lit(m) for m in marks])
+    return F.when(F.col(key).isNotNull(), F.size(F.filter(held, lambda m: m < F.col(key))) if marks else F.lit(0))
 
-    Quantile sketches combine on the map side, so no sort of the table is needed; rows are counted exactly.
+
+def sketch_marks(df: DataFrame, key: str, n: int, accuracy: int) -> list:
+    """At most ``n - 1`` different values that cut the keys into about equal parts, from a quantile sketch."""
+    return sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], accuracy)).first()[0] or []))
+
+
+def exact_cuts(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> list:
+    """The keys at ranks ceil(i * rows / n), i from 1 to n - 1, exactly; keys may be numbers or times, nulls don't count.
+
+    A sketch cuts the keys into buckets, whose rows are counted. Only the buckets that hold a cut are looked at again: their
+    keys are counted one by one. The driver gets one number per bucket and the cuts; no sort of the table is needed.
     """
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], accuracy).alias("c"))
-    cut = df.select(key).withColumn("_cuts", cuts.scalar())
-    ranged = cut.withColumn("range_no", F.size(F.filter("_cuts", lambda c: c < F.col(key))))
+    marks = sketch_marks(df, key, 4 * n, accuracy)
+    bucket = bucket_of(key, marks).alias("bucket")
+    sizes = {r["bucket"]: r["n"] for r in df.groupBy(bucket).agg(F.count(key).alias("n")).collect() if r["n"]}
+    total, below, first = sum(sizes.values()), 0, {}
+    for b in sorted(sizes):
+        first[b], below = below, below + sizes[b]
+    ranks = [(i * total + n - 1) // n for i in range(1, n)] if total else []
+    wanted = [(max(b for b in first if first[b] < r), r) for r in ranks]
+    inside = df.select(key, bucket).filter(F.col("bucket").isin(*{b for b, _ in wanted}))
+    counted = inside.groupBy("bucket", key).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy(key)).alias("upto")
+    at = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(r - first[b]).alias("rank"), F.lit(r).alias("r")) for b, r in wanted])).alias("w") if wanted else None
+    if at is None:
+        return []
+    ranked = counted.select("bucket", F.col(key).alias("k"), "n", upto).select("*", at)
+    hit = ranked.filter((F.col("w.b") == F.col("bucket")) & (F.col("upto") >= F.col("w.rank")) & (F.col("upto") - F.col("n") < F.col("w.rank")))
+    found = {r["r"]: r["k"] for r in hit.select(F.col("w.r").alias("r"), "k").collect()}
+    return [found[r] for _, r in wanted]
+
+
+def key_ranges(df: DataFrame, key: str, n: int, accuracy: int = 10_000) -> DataFrame:
+    """``n`` ranges (lo, hi, rows) of equal row counts but for repeated keys; null keys are a range of their own."""
+    ranged = df.select(F.col(key), bucket_of(key, exact_cuts(df, key, n, accuracy)).alias("range_no"))
     return ranged.groupBy("range_no").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("rows"))
 
 

@@ -19,15 +19,12 @@ from rowtide.operators.alert_runs import FOLLOWED, STATE, AlertState, advance, f
 from rowtide.operators.ordered import keep_last
 from rowtide.sources.sinks import children, has_parquet, mark_folder, path_exists
 from rowtide.specs import AlertRule
-from rowtide.streaming.changes import buffered
+from rowtide.streaming.changes import STATE_STORE_CONF, buffered, use_rocksdb
 
 # the processor travels to the workers as code, so they need not have this package installed
 for _module in (sys.modules[__name__], alert_runs, specs):
     cloudpickle.register_pickle_by_value(_module)
 
-STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class AlertProcessor(StatefulProcessor):
     """Keeps one small state row per key and takes a batch of its samples as arrays."""
@@ -148,10 +145,3 @@ def start_alerts(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
 def read_alerts(spark: SparkSession, path: str, keys: list[str], ident: str) -> DataFrame:
     """The state after every sample as far as is known, with its notification: of several rows the latest batch's counts."""
     return keep_last(spark.read.parquet(f"{path}/out"), [*keys, ident], ["batch"]).drop("batch")
-
-
-def use_rocksdb(spark: SparkSession) -> str:
-    """Set the state store ``alert_stream`` needs, before its query starts. Gives the one set before."""
-    before = spark.conf.get(STATE_STORE_CONF)
-    spark.conf.set(STATE_STORE_CONF, STATE_STORE)
-    return before

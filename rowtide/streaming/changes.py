@@ -1,14 +1,12 @@
-"""Change files as a stream: reading, buffering, de-duplication and lag."""
+"""Change files as a stream: reading, buffering and lag."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from rowtide.operators.changes import CHANGE_SCHEMA
 from rowtide.operators.ordered import POSITION
-from rowtide.sources.sinks import has_parquet
-
 
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
@@ -41,23 +39,15 @@ def buffer_changes(stream: DataFrame, path: str, checkpoint: str, gap: str | Non
     return buffered(stream, checkpoint, gap).format("parquet").outputMode("append").start(path)
 
 
-def dedupe_stream(stream: DataFrame, path: str, checkpoint: str, gap: str | None = None) -> StreamingQuery:
-    """The change log at ``path`` with each log place once, however late or often an event is delivered.
-
-    A micro-batch leaves out the places that the log already holds; only the folders of the log files it touches are
-    read. Each micro-batch writes folders of its own, so one that runs again replaces what it wrote before. Nothing
-    is forgotten after a time, so no event is dropped for being late.
-    """
+STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(POSITION)
-        spark = batch.sparkSession
-        if has_parquet(spark, path):
-            there = spark.read.parquet(path).filter(F.col("batch") < number).select(*POSITION)
-            fresh = fresh.join(there, POSITION, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").partitionBy("file_no").parquet(f"{path}/batch={number}")
 
-    return buffered(stream, checkpoint, gap).foreachBatch(add).start()
+def use_rocksdb(spark: SparkSession) -> str:
+    """Set the state store that keyed state needs, before its query starts. Gives the one set before."""
+    before = spark.conf.get(STATE_STORE_CONF)
+    spark.conf.set(STATE_STORE_CONF, STATE_STORE)
+    return before
 
 
 def stream_lag(query: StreamingQuery) -> dict[str, int]:

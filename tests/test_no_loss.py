@@ -1,13 +1,15 @@
 """Nothing is dropped or doubled: late files, null keys, moved keys, empty folders, other schemas."""
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.operators import archive, changes as cdc, images, ordered, reconcile, schema, sync
-from rowtide.sources import sinks, splits
-from rowtide.streaming import changes as streams, metrics
+from rowtide.operators import aggregates, archive, changes as cdc, images, ordered, reconcile, schema, sync
+from rowtide.sources import scan, sinks, splits
+from rowtide.streaming import changes as streams, metrics, seen
 
 AS_OF = dt.datetime(2001, 8, 1)
 
@@ -111,13 +113,73 @@ def test_late_files_are_kept_and_counted(spark, tmp_path):
     log, out = str(tmp_path / "log"), str(tmp_path / "out")
     for seq, day in ((31, 20), (12, 2), (31, 20), (5, 1)):  # each run sees one more file, older and older
         streams.write_change_files(_event(spark, seq, day), log)
-        streams.dedupe_stream(streams.read_changes(spark, log), out, f"{out}-ck").awaitTermination()
+        seen.dedupe_stream(streams.read_changes(spark, log), out, f"{out}-ck").awaitTermination()
         metrics.ops_metrics(streams.read_changes(spark, log), 86400, f"{out}-m", f"{out}-mck").awaitTermination()
     assert sorted(r["seq"] for r in spark.read.parquet(out).collect()) == [5, 12, 31]
     counted = {r["window_start"].day: r["event_amount"] for r in metrics.read_ops_metrics(spark, f"{out}-m").collect()}
     assert counted == {20: 2, 2: 1, 1: 1}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_places_seen_are_kept_exactly(seed):
+    rng = np.random.default_rng(seed)
+    known, seen_places = np.zeros((0, 2), np.int64), set()
+    for _ in range(20):
+        places = np.stack([rng.integers(0, 40, 30), rng.integers(-3, 4, 30)], axis=1)
+        fresh, known = seen.unseen(known, places)
+        want = []
+        for p in map(tuple, places.tolist()):
+            want.append(p not in seen_places)
+            seen_places.add(p)
+        assert fresh.tolist() == want
+        known = seen.unpack(seen.pack(known))
+    assert known.tolist() == sorted(map(list, seen_places))
+
+
+def test_repeats_are_found_without_reading_the_log(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    columns = "seq long, file_no long, pos long, tbl string, op string, before_pk long, pk long, val double, kind string, ts timestamp_ntz"
+    for run in range(3):  # every run delivers the events before it again; blocks and places at their borders, and one without a place
+        rows = [(i, 9, i * 40_000, "app.t", "insert", 1, 1, 0.5, "x", None) for i in range(10 * (run + 1))] + [(None, None, None, "app.t", "insert", 1, run, 0.5, "x", None)]
+        streams.write_change_files(spark.createDataFrame(rows, columns), f"{log}/{run}")
+        query = seen.dedupe_stream(streams.read_changes(spark, f"{log}/*"), out, f"{out}-ck")
+        query.awaitTermination()
+        assert f"{out}/" not in query._jsq.explainInternal(False)
+    got = spark.read.parquet(out).collect()
+    assert sorted(r["seq"] for r in got if r["seq"] is not None) == list(range(30))
+    assert sorted(r["pk"] for r in got if r["seq"] is None) == [0, 1, 2]
+
+
+def test_changes_without_time_are_counted(spark, tmp_path):
+    times = [None, dt.datetime(2024, 1, 1, 0, 59, 59, 999999), dt.datetime(2024, 1, 1, 1), None, dt.datetime(1969, 12, 31, 23, 59, 59, 500000)]
+    rows = spark.createDataFrame([(t, "insert") for t in times], "ts timestamp_ntz, op string")
+    got = {r["window_start"]: r["event_amount"] for r in aggregates.ops_by_interval(rows, 3600).collect()}
+    assert got == {None: 2, dt.datetime(2024, 1, 1): 1, dt.datetime(2024, 1, 1, 1): 1, dt.datetime(1969, 12, 31, 23): 1}
+
+
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_cuts_are_exact_whatever_the_sketch_says(spark, accuracy):
+    rng = random.Random(1)
+    keys = [7] * 700 + [rng.randrange(-500, 500) for _ in range(1300)] + [None] * 50
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(5)
+    held = sorted(k for k in keys if k is not None)
+    want = [held[(i * len(held) + 7) // 8 - 1] for i in range(1, 8)]
+    assert splits.exact_cuts(df, "k", 8, accuracy) == want
+    assert splits.exact_cuts(df.limit(0), "k", 8, accuracy) == []
+    assert splits.key_ranges(df, "k", 8, accuracy).agg(F.sum("rows")).first()[0] == len(keys)
+
+
+@pytest.mark.parametrize("order", [["k", "s"], ["s", "k", "i"], ["t", "i"]])
+def test_deep_pages(spark, order):
+    rng = random.Random(2)
+    rows = [(i, None if i % 11 == 0 else 5 if i % 3 == 0 else rng.randrange(300), f"s{i % 400:03d}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, k int, s string, t timestamp_ntz").repartition(6)
+    want = [tuple(r) for r in df.orderBy(*order, "i").collect()]
+    for offset, n in ((0, 5), (1000, 7), (2700, 300), (2995, 50), (5000, 5)):
+        got = [tuple(r) for r in scan.page(df, [*order, "i"], offset, n).collect()]
+        assert sorted(got, key=repr) == sorted(want[offset : offset + n], key=repr)
+
+
 def test_rows_without_a_place_stay(spark):
     t = dt.datetime(2024, 1, 1)
     samples = spark.createDataFrame([(1, t, 5), (None, t, 6), (1, None, 7), (1, t + dt.timedelta(minutes=1), 65)], "k int, ts timestamp_ntz, v long")
