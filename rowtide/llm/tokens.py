@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +19,26 @@ _BEGINS[0x21:0x7F] = _BEGINS[0xC3:0xE1] = _BEGINS[0xE4:0xF5] = True
 class Encoder:
     """Ids of a byte-level BPE whose pattern never joins a white space with what stands before it.
 
-    Texts are cut before a white space that a word follows; such a cut is always a border of the pattern, so the ids of a
-    text are those of its pieces. Pieces repeat a lot: each distinct one of a chunk is looked up once, and ids are
-    gathered by number. Known pieces are kept up to ``most``; then the store starts anew.
+    Ids are those of ``tokenizers`` with the JSON file, without added special tokens. Texts are first cut at the vocabulary's added
+    tokens (such as the end of a text), which have ids of their own wherever a text holds them; what lies between is a text by
+    itself. That is cut before a white space that a word follows; such a cut is always a border of the pattern, so the
+    ids of a text are those of its pieces. Pieces repeat a lot: each distinct one of a chunk is looked up once, and
+    ids are gathered by number. Known pieces are kept up to ``most``; then the store starts anew.
     """
 
     def __init__(self, ranks_path: str, json_path: str, most: int = 400_000):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoder = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.long = Tokenizer.from_file(json_path)  # for very long pieces, where it needs less time
-        self.long.encode_special_tokens = True
+        with open(json_path, encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take blanks or words around them can't be cut out")
+        self.added = {t["content"]: t["id"] for t in added}
+        self.added_pattern = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self.most = most
         self._forget()
 
@@ -41,7 +48,10 @@ class Encoder:
         self.begins, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, piece: str) -> int:
-        got = self.encoder.encode_ordinary(piece) if len(piece) < 1000 else self.long.encode(piece, add_special_tokens=False).ids
+        if piece in self.added:
+            got = [self.added[piece]]
+        else:
+            got = self.encoder.encode_ordinary(piece)
         while self.used + len(got) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         k = len(self.known)
@@ -53,12 +63,29 @@ class Encoder:
         self.known[piece] = k
         return k
 
+    def _cut_added(self, buf: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> None:
+        """Put a cut before and after each added token, and none before the white space in front of one."""
+        whole, at, end = buf.tobytes(), 0, -1
+        while match := self.added_pattern.search(whole, at):
+            a, b = match.span()
+            row = int(np.searchsorted(offsets, a, "right")) - 1
+            if b > offsets[row + 1]:  # half of it stands in the next text
+                at = a + 1
+                continue
+            if a > offsets[row] + 1 and a - 1 != end:
+                cut[a - 1] = False
+            cut[a] = True
+            if b < len(cut):
+                cut[b] = True
+            at = end = b
+
     def _chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after the other, and how many each row has."""
         cut = np.zeros(len(buf), bool)
         cut[:-1] = SPACE[buf[:-1]] & _BEGINS[buf[1:]]
         cut[offsets[offsets > 0] - 1] = False  # what follows the last byte of a row is another text
         cut[offsets[:-1][offsets[:-1] < len(buf)]] = True
+        self._cut_added(buf, offsets, cut)
         at = np.append(np.flatnonzero(cut), len(buf))
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         if len(self.known) + len(pieces.dictionary) > self.most:
