@@ -122,36 +122,40 @@ def best_fit(lengths: Counter, capacity: int) -> Counter:
 def plan(lengths: Counter, capacity: int) -> Counter:
     """How often each pattern is used, so that every length of the histogram is placed exactly once.
 
-    Full pieces stand alone. Patterns are used as often as the fit says, rounded down and within what is left of each
-    length; what remains is packed by best fit. The smaller of this plan and best fit alone is taken.
+    Full pieces stand alone. Patterns are used as often as the fit says, rounded, within what is left of each length;
+    then the rest of the histogram is fitted again, as long as a pattern comes into use. Residuals are packed by best fit.
     """
     full, rest = lengths[capacity], Counter({k: v for k, v in lengths.items() if v and k < capacity})
-    start = Counter(rest)
-    patterns, used = few_document_patterns(rest, capacity), Counter()
-    for x, pattern in sorted(zip(fit(patterns, rest), patterns, strict=True), key=lambda e: (capacity - sum(e[1]), -e[0], e[1])):
-        need = Counter(pattern)
-        n = min(int(x), *(rest[k] // c for k, c in need.items()))
-        if n > 0:
-            used[pattern] += n
-            for k, c in need.items():
-                rest[k] -= c * n
-    used.update(best_fit(+rest, capacity))
-    alone = best_fit(start, capacity)
-    out = min(used, alone, key=lambda u: sum(u.values()))
+    used, more = Counter(), True
+    while more:
+        patterns, more = few_document_patterns(rest, capacity), False
+        for x, pattern in sorted(zip(fit(patterns, rest), patterns, strict=True), key=lambda e: (capacity - sum(e[1]), -e[0], e[1])):
+            need = Counter(pattern)
+            n = min(int(x + 0.5), *(rest[k] // c for k, c in need.items()))
+            if n > 0:
+                used[pattern], more = used[pattern] + n, True
+                for k, c in need.items():
+                    rest[k] -= c * n
+        rest = +rest
+    used.update(best_fit(rest, capacity))
     if full:
-        out[(capacity,)] += full
-    return out
+        used[(capacity,)] += full
+    return used
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, bins: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, bins: int | None = None) -> DataFrame:
     """``pieces`` with sequence_id and offset: where each piece lies, gapless from 0, at most ``capacity`` in a sequence.
 
     The driver gets the histogram of lengths (``capacity`` numbers at most) and plans on it. Each length's pieces are
     ranked, in bins by hash so that a frequent length is many tasks, and the plan says where each range of ranks goes;
-    that table is bounded by the histogram, and is broadcast. Every length must be from 1 to ``capacity``.
-    Other columns pass through; rows that are equal in all columns are interchangeable; no rows give no rows.
+    that table is bounded by the histogram, and is broadcast. Bins hold a million pieces or less, as far as these differ in
+    doc_id or piece. Every length must be from 1 to ``capacity``. Other columns pass through whatever their names, but
+    sequence_id and offset, which are replaced; rows that are equal in all columns are interchangeable; no rows give no rows.
     """
-    sums = pieces.groupBy("length", (F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bins))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    bins = bins or max(64, pieces.count() >> 20)
+    passed = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    keyed = pieces.select(F.struct(*[F.col(f"`{c}`") for c in passed]).alias("row"), "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bins)).cast("int").alias("bin"))
+    sums = keyed.groupBy("length", "bin").agg(F.count("*").alias("n"))
     lengths = Counter({r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()})
     if any(not 1 <= x <= capacity for x in lengths):
         raise ValueError("a piece is empty or longer than a sequence")
@@ -166,11 +170,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, bins: int = 64) -> DataFrame:
     spark = pieces.sparkSession
     table = spark.createDataFrame(ranges, "r_length long, low long, high long, base long, offset long")
     firsts = sums.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("bin")) - F.col("n")).select(F.col("length").alias("f_length"), F.col("bin").alias("f_bin"), "first")
-    keyed = pieces.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bins)).cast("int"))
-    nth = F.row_number().over(Window.partitionBy("length", "_bin").orderBy(F.xxhash64("piece", "doc_id"), "doc_id", "piece")) - 1
-    ranked = keyed.withColumn("_nth", nth).join(F.broadcast(firsts), (F.col("length") == F.col("f_length")) & (F.col("_bin") == F.col("f_bin"))).withColumn("_rank", F.col("first") + F.col("_nth"))
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("r_length")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high")))
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("base") + F.col("_rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    nth = F.row_number().over(Window.partitionBy("length", "bin").orderBy(F.xxhash64("row.piece", "row.doc_id"), "row.doc_id", "row.piece")) - 1
+    ranked = keyed.withColumn("nth", nth).join(F.broadcast(firsts), (F.col("length") == F.col("f_length")) & (F.col("bin") == F.col("f_bin"))).withColumn("rank", F.col("first") + F.col("nth"))
+    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in passed], (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
 
 
 def packed_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:

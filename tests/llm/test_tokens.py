@@ -16,7 +16,6 @@ from rowtide.llm.tokens import Encoder, default_paths
 @pytest.fixture(scope="module")
 def reference():
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return lambda texts: [x.ids for x in made.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -36,10 +35,16 @@ def test_ids_are_those_of_the_tokenizer(spark, sf, reference):
 def test_ids_of_odd_texts(reference):
     rnd = random.Random(6)
     parts = [" ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\u0085", "\x0b", "\x1c", "a", "Zé", "日本", "😀", "'s", "'ll", "12", "!?", "<|endoftext|>", "​", "ß.", " ", "_"]
-    texts = ["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(4000)] + ["", "x" * 30_000, " " * 5000, "ab " * 3000]
+    texts = ["".join(rnd.choices(parts, k=rnd.randrange(12))) for _ in range(4000)] + ["", "<|endoftext|>", "a  <|endoftext|>  b", " <|endoftext|><|endoftext|> x", "<|endof", "text|><|endoftext|", "<<|endoftext|>>", "x" * 30_000, " " * 5000, "ab " * 3000]
     assert encode(texts) == reference(texts)
 
 
+def test_pieces_of_texts_with_added_tokens(spark, documents, reference):
+    rows = [(1, "one <|endoftext|> two"), (2, "<|endoftext|>"), (3, "a \n <|endoftext|>\n")]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(documents(rows)).collect()}
+    assert got == {d: x + [2] for (d, _), x in zip(rows, reference([t for _, t in rows]), strict=True)} and got[2] == [50256, 2]
+
+
 def check_packing(rows, docs, ids_of, capacity=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -80,6 +85,30 @@ def test_packing_edges(spark, documents, reference):
     assert len(twice) == 5 and len({(r["sequence_id"], r["offset"]) for r in twice}) == 5
 
 
+def test_fit_equals_a_plain_solver():
+    """Multiplicative updates on the dense matrix come to the same least squares distance."""
+    rnd = random.Random(11)
+    lengths = Counter(rnd.choice([3, 4, 5, 7, 8, 9, 12, 13]) for _ in range(400))
+    patterns = packing.few_document_patterns(lengths, 20, slack=2)
+    names = sorted(lengths)
+    a = np.array([[Counter(p)[x] for p in patterns] for x in names], float)
+    b = np.array([lengths[x] for x in names], float)
+    x = np.ones(len(patterns))
+    for _ in range(200_000):
+        x *= (a.T @ b + 1e-12) / (a.T @ (a @ x) + 1e-12)
+    best = np.linalg.norm(a @ x - b)
+    ours = np.array(packing.fit(patterns, lengths, rounds=400))
+    assert (ours >= 0).all() and np.linalg.norm(a @ ours - b) <= best + 1.0
+
+
+def test_most_short_pieces_come_through_fitted_patterns():
+    rnd = random.Random(5)
+    lengths = Counter(min(1024, int(rnd.lognormvariate(5.5, 1)) + 1) for _ in range(10_000))
+    fitted = [p for p in packing.plan(lengths, 1024) if len(p) <= 3 and 1024 - sum(p) <= 7]
+    made = packing.plan(lengths, 1024)
+    assert sum(made[p] * len(p) for p in fitted) >= 0.4 * sum(lengths.values())
+
+
 def test_plans_place_every_length_once():
     rnd = random.Random(3)
     for capacity, lengths in ((20, [rnd.randrange(1, 21) for _ in range(500)]), (1024, [min(1024, int(rnd.lognormvariate(5, 1)) + 1) for _ in range(20_000)]), (16, [16] * 5 + [9] * 7), (8, [])):
