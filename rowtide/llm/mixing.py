@@ -8,6 +8,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rowtide.llm.columns import whole_row
+
 #: Cost of a word of the first, second and third pass over a document: it rises, so flow repeats as little as it can.
 PASS_COSTS = (1, 3, 9)
 
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, weight: Callable[[int],
     listed = F.when(F.size(listed) == 0, F.array(F.lit(None).cast("string"))).otherwise(listed)
     pattern = F.array_sort(F.array_distinct(F.transform(listed, _code)))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("doc"), size.cast("long").alias("size"), F.concat_ws("\x00", pattern).alias("pattern"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    keyed = docs.select(row.alias("doc"), size.cast("long").alias("size"), F.concat_ws("\x00", pattern).alias("pattern"), whole_row(docs, seed).alias("h"))
     keyed = keyed.withColumn("bin", F.pmod("h", F.lit(bins)).cast("int"))
     sums = keyed.groupBy("pattern", "bin").agg(F.sum("size").alias("n"))
     totals = {r["pattern"]: r["n"] for r in sums.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
