@@ -219,6 +219,8 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5,
     last. With ``spare_no_id``, rows without doc_id stay as they are and only the others are counted; else they are
     copies like any others, and one of them stays where no row of the component has a doc_id.
 
+    Other columns, whatever their names and types, pass through; a very long text takes memory in proportion to it.
+
     Small tables say which (doc_id, fingerprint) a component is left to; only rows of these are moved, and the rank
     filter leaves one row of a component in each input partition.
     """
@@ -229,10 +231,13 @@ def keep_first(docs: DataFrame, width: int = 3, radius: int = 3, bands: int = 5,
 
     _, named = _components(docs, width, radius, bands)
     first = named.where("least = component_id" if spare_no_id else "least <=> component_id")
-    first = first.select(F.col("fp").alias("_of"), F.coalesce("least", F.lit(0)).alias("_least"), F.col("least").isNull().alias("_none"), F.col("component").alias("_component"))
-    rows = docs.where("doc_id is not null") if spare_no_id else docs
-    rows = rows.withColumn("_fp", simhash.asNondeterministic()(F.col("text").cast("string")))  # not computed again in a pushed filter
-    own = (F.col("_fp") == F.col("_of")) & (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.col("_least")) & (F.col("doc_id").cast("long").isNull() == F.col("_none"))
-    nth = F.row_number().over(Window.partitionBy("_component").orderBy(F.col("text").asc_nulls_first()))
-    kept = rows.join(first, own).withColumn("_nth", nth).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.select("fp", F.coalesce("least", F.lit(0)).alias("least"), F.col("least").isNull().alias("no_id"), "component")
+    given = docs.where("doc_id is not null") if spare_no_id else docs
+    doc_id = F.col("doc_id").cast("long")
+    rows = given.select(  # the print is not computed again in a pushed filter
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), simhash.asNondeterministic()(F.col("text").cast("string")).alias("fp"),
+        F.coalesce(doc_id, F.lit(0)).alias("least"), doc_id.isNull().alias("no_id"),
+    )
+    nth = F.row_number().over(Window.partitionBy("component").orderBy(F.col("row.text").asc_nulls_first()))
+    kept = rows.join(first, ["fp", "least", "no_id"]).withColumn("nth", nth).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null")) if spare_no_id else kept
