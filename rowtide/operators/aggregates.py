@@ -79,8 +79,8 @@ def priority_tier(total: Column, avg: Column, execs: Column, compat: bool = Fals
 
 
 def _exact(name: str) -> Column:
-    """Sum of a measure in decimals: the same whatever order the rows are added in."""
-    return F.sum(F.col(name).cast("decimal(20,6)"))
+    """Sum of a measure in decimals: the same whatever order the rows are added in, for values below 10^22."""
+    return F.sum(F.col(name).cast("decimal(28,6)"))
 
 
 def statement_stats(stats: DataFrame, compat: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from rowtide.functions.timing import midnight, moment, moment_for
 from rowtide.operators.filters import between_days, recent
 from rowtide.operators.ordered import keep_last
 from rowtide.operators.sync import without_keys
+from rowtide.session import scratch_path
 
 
 def reconcile_days(source: DataFrame, target: DataFrame, ts: str, n: int, as_of: datetime) -> DataFrame:
@@ -113,6 +114,28 @@ def repair_by_key_list(source: DataFrame, target: DataFrame, errors: DataFrame,
     return without_keys(target, fresh, keys).unionByName(fresh.select(*target.columns))
 
 
+def repair_tables(
+    pairs: dict[str, tuple[DataFrame, DataFrame, str, list[str]]], errors: DataFrame, as_of: datetime, days: int = 3
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Repair a list of tables by the same error values: by name (source, target, column with the value, keys).
+
+    Gives the new targets and the error list, flagged and timed. The values are worked out once; each source is read once,
+    for the rows that carry one.
+    """
+    values = _kept(recent_errors(errors, as_of, days).select(F.col("val").alias("_val")).distinct(), "error-values")
+    new = {}
+    for name, (source, target, col, keys) in pairs.items():
+        fresh = _kept(source.join(values, F.col(col).cast("string") == F.col("_val"), "left_semi"), "repaired")
+        new[name] = without_keys(target, fresh, keys).unionByName(fresh.select(*target.columns))
+    return new, flag_repaired(errors, as_of, days)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    place = scratch_path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def flag_repaired(errors: DataFrame, as_of: datetime, days: int = 3) -> DataFrame:
     """The error list with the recent entries flagged and timed."""
     since = moment(as_of - timedelta(days=days))

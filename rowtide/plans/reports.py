@@ -7,19 +7,25 @@ from datetime import date, datetime, time
 from pyspark.sql import DataFrame, SparkSession
 
 from rowtide.operators.reconcile import run_log
+from rowtide.session import sql_over
 from rowtide.sources.sinks import report_rows
 from rowtide.specs import ReportSpec
 
 
-def run_report(spark: SparkSession, spec: ReportSpec, begin: date, end: date) -> DataFrame:
-    """Prepare views in order, then the query; ``:begin`` and ``:end`` (last second of the end day) are bound."""
+def run_report(spark: SparkSession, spec: ReportSpec, begin: date, end: date, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Prepare views in order, then the query; ``:begin`` and ``:end`` (last second of the end day) are bound.
+
+    ``tables`` are read under their names. The session's own views are as they were afterwards.
+    """
     args = {"begin": datetime.combine(begin, time(0, 0, 0)).isoformat(sep=" "), "end": datetime.combine(end, time(23, 59, 59)).isoformat(sep=" ")}
 
+    views = dict(tables or {})
+
     def bound(sql: str) -> DataFrame:
-        return spark.sql(sql, args={k: v for k, v in args.items() if f":{k}" in sql})
+        return sql_over(spark, sql, views, {k: v for k, v in args.items() if f":{k}" in sql})
 
     for name, sql in spec.preprocess:
-        bound(sql).createOrReplaceTempView(name)
+        views[name] = bound(sql)
     result = bound(spec.query)
     return report_rows(result, list(spec.headers)) if spec.headers else result
 

@@ -179,8 +179,7 @@ _REPORT = ReportSpec(
     " where o_orderdate >= timestamp '2000-01-01' and o_orderdate <= timestamp '2000-06-30 23:59:59' group by 1",
 )
 def r1(spark, d):
-    base(spark, d, "orders").createOrReplaceTempView("all_orders")
-    return run_report(spark, _REPORT, date(2000, 1, 1), date(2000, 6, 30))
+    return run_report(spark, _REPORT, date(2000, 1, 1), date(2000, 6, 30), {"all_orders": base(spark, d, "orders")})
 
 
 @query("r2_report_range", "select o_orderstatus, '2000-01-01 0:0:0 - 2000-06-30 23:59:59' as covers, count(*) as n from orders where o_orderdate >= timestamp '2000-01-01' and o_orderdate < timestamp '2000-07-01' group by 1")

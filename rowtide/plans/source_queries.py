@@ -225,6 +225,19 @@ def a18(spark, d):
     return sinks.export_with_manifest(spark, tables, scratch_path(spark, "export"), "nightly").select("item", "rows", "status")
 
 
+@query(
+    "a18_export_with_failures",
+    "select 'nation' as item, count(*) as rows, 'ok' as status from nation union all select 'broken', null, 'failed' union all select 'nothing', 0, 'empty'"
+    " union all select 'orders', count(*), 'ok' from orders union all select 'TOTAL', (select count(*) from nation) + (select count(*) from orders), 'failed'",
+)
+def a18_failed(spark, d):
+    """A table that breaks while it is written leaves the others as they are."""
+    orders = base(spark, d, "orders")
+    broken = orders.select(F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("broken row"))).alias("c"))
+    tables = {"nation": base(spark, d, "nation"), "broken": broken, "nothing": orders.filter("o_orderkey < 0"), "orders": orders}
+    return sinks.export_with_manifest(spark, tables, scratch_path(spark, "export"), "nightly").select("item", "rows", "status")
+
+
 @query(
     "a19_select_databases",
     "with l as (select concat('db_', lower(c_mktsegment)) as db from customer union all select case when s_suppkey % 2 = 0 then 'mysql' else 'sys' end from supplier)"

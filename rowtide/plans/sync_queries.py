@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.timing import moment
-from rowtide.operators import archive, reconcile, sync
+from rowtide.operators import archive, load, reconcile, sync
 from rowtide.operators.numbering import add_surrogate_key
 from rowtide.plans import inputs
 from rowtide.plans.inputs import ORDERS_AS_OF, base, with_inputs
@@ -53,6 +53,29 @@ def y1(spark, d):
     return loaded.unionByName(sync.init_load(src, tgt).withColumn("target", F.lit("filled")))
 
 
+@query(
+    "y1_ranged_load",
+    with_inputs("orders_src") + "select 'stopped' as run, 3::bigint as done, false as whole, 0::bigint as rows, 0::bigint as keys union all select 'resumed', 9, true, count(*), cast(sum(order_id) as bigint) from orders_src"
+    " union all select 'composite', 5, true, count(*), cast(sum(l_orderkey * 10 + l_linenumber) as bigint) from lineitem",
+)
+def y1_ranges(spark, d):
+    """A load by key ranges that stops after three of them and goes on; and one by the first part of a composite key."""
+    src, lines, parts = inputs.orders_src(spark, d), base(spark, d, "lineitem"), []
+
+    def note(run, ledger, path, key):
+        whole = load.load_left(spark, path) == 0
+        total = load.loaded(spark, path).agg(F.count(F.lit(1)), F.sum(key).cast("bigint")).first() if whole else (0, 0)
+        parts.append((run, ledger.count(), whole, *total))
+
+    path = scratch_path(spark, "loaded")
+    for run, most in (("stopped", 3), ("resumed", None)):
+        note(run, load.ranged_load(spark, src.where, lambda: load.reading_plan(src, KEY, TS, 8), path, most=most), path, "order_id")
+    path = scratch_path(spark, "loaded")
+    ledger = load.ranged_load(spark, lines.where, lambda: load.reading_plan(lines, ["l_orderkey", "l_linenumber"], None, 4), path)
+    note("composite", ledger, path, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return spark.createDataFrame(parts, "run string, done bigint, whole boolean, rows bigint, keys bigint")
+
+
 @query("y2_full_refresh", "select n_nationkey, n_name, n_regionkey from nation union all select cast(o_custkey % 25 as integer), o_orderpriority, cast(null as integer) from orders")
 def y2(spark, d):
     source = base(spark, d, "nation").unionByName(
@@ -216,6 +239,27 @@ def y12(spark, d):
     return reconcile.repair_by_key_list(src, tgt, _errors(spark, d), "cust_id", KEY, ORDERS_AS_OF)
 
 
+@query(
+    "y12_repair_tables",
+    PAIR + f", {_ERRORS}, v as (select val from errors where create_time >= timestamp '2001-07-29'), f as (select * from orders_src where cast(cust_id as varchar) in (select val from v)),"
+    " t as (select order_id, cust_id as id from orders_tgt where order_id not in (select order_id from f) union all select order_id, cust_id from f),"
+    " c as (select c_custkey as id, case when cast(c_custkey as varchar) in (select val from v) then c_name else 'old' end as name from customer)"
+    " select 'orders' as tbl, count(*) as rows, cast(sum(order_id) as bigint) as keys, count(*) filter (cast(id as varchar) in (select val from v)) as repaired from t"
+    " union all select 'customer', count(*), cast(sum(id) as bigint), count(*) filter (name <> 'old') from c union all select 'errors', count(*), null, count(*) filter (create_time >= timestamp '2001-07-29') from errors",
+)
+def y12_tables(spark, d):
+    """Two tables repaired by one list of error values, which is flagged afterwards."""
+    src, tgt = _pair(spark, d)
+    people = base(spark, d, "customer").selectExpr("c_custkey as id", "c_name as name")
+    pairs = {"orders": (src, tgt, "cust_id", KEY), "customer": (people, people.withColumn("name", F.lit("old")), "id", ["id"])}
+    new, errors = reconcile.repair_tables(pairs, _errors(spark, d), ORDERS_AS_OF)
+    values = errors.filter("flag = '1'").select(F.col("val").alias("_val"))
+    orders = new["orders"].join(values, F.col("cust_id").cast("string") == F.col("_val"), "left").agg(F.lit("orders").alias("tbl"), F.count(F.lit(1)).alias("rows"), F.sum("order_id").cast("bigint").alias("keys"), F.count("_val").alias("repaired"))
+    held = new["customer"].agg(F.lit("customer").alias("tbl"), F.count(F.lit(1)).alias("rows"), F.sum("id").cast("bigint").alias("keys"), F.count_if(F.col("name") != "old").alias("repaired"))
+    listed = errors.agg(F.lit("errors").alias("tbl"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("bigint").alias("keys"), F.count_if((F.col("flag") == "1") & F.col("repair_time").isNotNull()).alias("repaired"))
+    return orders.unionByName(held).unionByName(listed)
+
+
 @query(
     "y12_flag_repaired",
     f"with {_ERRORS} select val, case when create_time >= timestamp '2001-07-29' then '1' else flag end as flag,"
@@ -309,6 +353,35 @@ def y17_written(spark, d):
     return both.groupBy("part", "yyyymm").agg(F.count(F.lit(1)).alias("rows"), F.sum("order_id").alias("keys"))
 
 
+# some keys are null; rows of old times come in after the first run
+_LIVE = "live as (select case when order_id % 500 = 0 then null else order_id end as id, amount, updated_at from orders_src)"
+
+
+@query(
+    "y17_archive_job",
+    with_inputs("orders_src") + f", {_LIVE}, late as (select id + 2000000 as id, amount, updated_at from live where id % 300 = 1 and updated_at <= {END}),"
+    f" n as (select (select count(*) from live where updated_at <= {END}) as old, (select count(*) from late) as late, (select count(*) from live where updated_at > {END}) as kept)"
+    " select 1 as run, 'ok' as status, old as source_rows, 0 as target_rows, old as moved, kept as live_rows, old as archived, (select count(*) from live where id is null and updated_at <= timestamp '1999-12-10') as null_keys from n"
+    " union all select 2, 'target_not_empty', late, old, 0, kept + late, old, (select count(*) from live where id is null and updated_at <= timestamp '1999-12-10') from n"
+    " union all select 3, 'ok', late, old, late, kept, old + late, (select count(*) from live where id is null and updated_at <= timestamp '1999-12-10') from n",
+)
+def y17_job(spark, d):
+    """An archive job run three times: the move, one that its checks stop, and one with cover for rows that came late; some keys are null."""
+    path = scratch_path(spark, "archive-job")
+    rows = inputs.orders_src(spark, d).select(F.when(F.col("order_id") % 500 != 0, F.col("order_id")).alias("id"), "amount", TS)
+    sinks.write_month_partitioned(rows, f"{path}/live", TS, ["id"])
+    late = rows.filter((F.col("id") % 300 == 1) & (F.col(TS) <= moment("1999-12-10 00:00:00"))).withColumn("id", F.col("id") + 2000000)
+    parts = []
+    for run, cover in ((1, False), (2, False), (3, True)):
+        if run == 2:
+            sinks.write_month_partitioned(late, f"{path}/live", TS, ["id"], mode="append")
+        log = archive.archive_job(spark, f"{path}/live", f"{path}/old", ["id"], TS, *OLD, cover=cover).select("status", "source_rows", "target_rows", "moved")
+        held, old = sync.read_month_target(spark, f"{path}/live").count(), sync.read_month_target(spark, f"{path}/old")
+        nulls = old.filter("id is null").count()
+        parts.append(log.select(F.lit(run).alias("run"), "*", F.lit(held).cast("bigint").alias("live_rows"), F.lit(old.count()).cast("bigint").alias("archived"), F.lit(nulls).cast("bigint").alias("null_keys")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("y18_archive_purge", with_inputs("orders_src") + f"select * from orders_src where updated_at >= {END}")
 def y18(spark, d):
     return archive.archive_purge(inputs.orders_src(spark, d), TS, *OLD)

@@ -45,13 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rowtide/{name}-{uuid.uuid4().hex}"
 
 
-def sql_over(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
+def sql_over(spark: SparkSession, sql: str, views: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
     """The rows of ``sql`` over named tables. The names hold while the text is read; views of the session stay as they were."""
     before = {name: spark.table(name) for name in views if spark.catalog.tableExists(name)}
     try:
         for name, df in views.items():
             df.createOrReplaceTempView(name)
-        return spark.sql(sql)
+        return spark.sql(sql, args=args) if args else spark.sql(sql)
     finally:
         for name in views:
             if name in before:

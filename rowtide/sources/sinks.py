@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -83,10 +84,58 @@ def remove_path(spark: SparkSession, path: str) -> None:
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
-def _files(spark: SparkSession, folder: str) -> frozenset[str]:
+def _statuses(spark: SparkSession, folder: str) -> list:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return frozenset(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else frozenset()
+    return list(fs.listStatus(path)) if fs.exists(path) else []
+
+
+def _files(spark: SparkSession, folder: str) -> frozenset[str]:
+    return frozenset(f.getPath().getName() for f in _statuses(spark, folder))
+
+
+def partition_files(spark: SparkSession, path: str, part_col: str) -> dict[str, list[str]]:
+    """Parquet files of each partition that has a value, as they are now."""
+    found = {}
+    for folder in children(spark, path):
+        name, _, value = folder.partition("=")
+        if name == part_col and value != NO_VALUE:
+            found[value] = [f"{path}/{folder}/{n}" for n in sorted(_files(spark, f"{path}/{folder}")) if n.endswith(".parquet")]
+    return found
+
+
+def replace_files(rows: DataFrame, path: str, part_col: str, files: list[str]) -> None:
+    """Put ``rows`` in the place of certain files of a partitioned target; files that came in meanwhile stay.
+
+    The rows and the list of files are first written aside, under names that readers pass over. What follows is a
+    step that can be done again: the old files go, the new ones are moved in.
+    """
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").partitionBy(part_col).parquet(f"{path}/_replacing/rows")
+    spark.createDataFrame([(f,) for f in files], "value string").write.mode("overwrite").text(f"{path}/_replacing/files")
+    finish_replacing(spark, path)
+
+
+def finish_replacing(spark: SparkSession, path: str) -> None:
+    """Go on with a ``replace_files`` that died: one whose list is whole is brought to its end, another is forgotten."""
+    aside = f"{path}/_replacing"
+    if not path_exists(spark, aside):
+        return
+    if path_exists(spark, f"{aside}/files/_SUCCESS"):
+        for row in spark.read.text(f"{aside}/files").collect():  # names of files
+            remove_path(spark, row["value"])
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for folder in children(spark, f"{aside}/rows"):
+            if "=" in folder:
+                mark_folder(spark, f"{path}/{folder}")
+                for name in sorted(_files(spark, f"{aside}/rows/{folder}")):
+                    if name.endswith(".parquet") and not fs.rename(hadoop(f"{aside}/rows/{folder}/{name}"), hadoop(f"{path}/{folder}/{name}")):
+                        raise RuntimeError(f"can't move {name} into {path}/{folder}")
+        for folder in children(spark, path):
+            if folder.partition("=")[1] and not any(n.endswith(".parquet") for n in _files(spark, f"{path}/{folder}")):
+                remove_path(spark, f"{path}/{folder}")
+    remove_path(spark, aside)
 
 
 def rewrite_partitions(new_rows: DataFrame, path: str, part_col: str, touched: list) -> None:
@@ -149,35 +198,39 @@ def report_rows(df: DataFrame, headers: list[str]) -> DataFrame:
 
 
 def export_report(df: DataFrame, headers: list[str], path: str) -> DataFrame:
-    """Write the report as CSV with a header line and give back its rows."""
+    """Write the report as CSV with a header line, and give back what was written."""
     shown = report_rows(df, headers)
     shown.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
-    return shown
-
-
-def export_with_manifest(spark: SparkSession, tables: dict[str, DataFrame], path: str, job: str) -> DataFrame:
-    """Write every table, then report rows, files, bytes, seconds and status per table and in total."""
-    took = []
-    for name, df in tables.items():
-        began = time.monotonic()
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        took.append((name, time.monotonic() - began))
-    seconds = spark.createDataFrame(took, "item string, seconds double")
-    files = None
-    for name in tables:
-        listed = (
-            spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/{name}")
-            .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
-        )
-        counted = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows"))
-        row = listed.withColumn("item", F.lit(name)).withColumn("rows", counted.scalar())
-        files = row if files is None else files.unionByName(row)
-    detail = files.join(seconds, "item").withColumn("status", F.when(F.col("files") > 0, "ok").otherwise("empty"))
-    total = detail.agg(
-        F.lit("TOTAL").alias("item"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"),
-        F.sum("rows").alias("rows"), F.sum("seconds").alias("seconds"), F.lit("ok").alias("status"),
-    )
-    return detail.unionByName(total).withColumn("job", F.lit(job)).select("job", "item", "rows", "files", "bytes", "seconds", "status")
+    return df.sparkSession.read.schema(shown.schema).option("header", True).csv(path).fillna("")
+
+
+_MANIFEST = "job string, item string, rows bigint, files bigint, bytes bigint, seconds double, status string, message string"
+
+
+def _export(spark: SparkSession, df: DataFrame, place: str) -> tuple:
+    """Write one table: rows, files, bytes, seconds, status and message. What goes wrong is a result like any other."""
+    began = time.monotonic()
+    try:
+        df.write.mode("overwrite").parquet(place)
+        sizes = [f.getLen() for f in _statuses(spark, place) if f.getPath().getName().endswith(".parquet")]
+        rows = spark.read.schema(df.schema).parquet(place).count()
+        return rows, len(sizes), sum(sizes), time.monotonic() - began, "ok" if rows else "empty", None
+    except Exception as error:  # noqa: BLE001 - one broken table must not end the others
+        return None, 0, 0, time.monotonic() - began, "failed", str(error).strip().split("\n")[0][:500]
+
+
+def export_with_manifest(spark: SparkSession, tables: dict[str, DataFrame], path: str, job: str, at_once: int = 4) -> DataFrame:
+    """Write every table, ``at_once`` of them side by side; rows, files, bytes, seconds and status per table and in total.
+
+    A table that fails has status ``failed`` and its message, and leaves the others as they are; the total has failed then too.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(lambda name: _export(spark, tables[name], f"{path}/{name}"), tables))
+    items = [(job, name, *row) for name, row in zip(tables, done, strict=True)]
+    failed = [name for name, row in zip(tables, done, strict=True) if row[4] == "failed"]
+    total = [sum(row[i] or 0 for row in done) for i in range(4)]
+    items.append((job, "TOTAL", *total[:3], float(total[3]), "failed" if failed else "ok", ", ".join(failed) or None))
+    return spark.createDataFrame(items, _MANIFEST)
 
 
 def select_databases(listing: DataFrame, wanted: str | None, col: str = "db") -> DataFrame:

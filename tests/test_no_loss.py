@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide.operators import aggregates, archive, changes as cdc, images, ordered, reconcile, schema, sync
+from rowtide.operators import aggregates, archive, changes as cdc, images, load, ordered, reconcile, schema, sync
 from rowtide.sources import scan, sinks, splits
 from rowtide.streaming import changes as streams, metrics, seen
 
@@ -54,6 +54,72 @@ def test_archive_moves_a_key_out_of_the_month_it_was_in(spark, tmp_path):
     assert sorted((r["k"], r["yyyymm"]) for r in sync.read_month_target(spark, old).collect()) == [(1, "200003"), (2, "200003")]
 
 
+def test_a_row_that_arrives_during_the_move_stays_in_the_source(spark, tmp_path, monkeypatch):
+    live, old = str(tmp_path / "live"), str(tmp_path / "old")
+    sinks.write_month_partitioned(_old(spark, [(1, (2000, 1, 5)), (2, (2000, 1, 6)), (None, (2000, 1, 7)), (None, (2000, 1, 7)), (5, (2001, 7, 1)), (6, (2001, 7, 30))]), live, "ts", ["k"])
+    rewrite = archive.rewrite_partitions
+
+    def meanwhile(*args):
+        rewrite(*args)
+        sinks.write_month_partitioned(_old(spark, [(99, (2000, 1, 6)), (98, (2001, 7, 1))]), live, "ts", ["k"], mode="append")
+
+    monkeypatch.setattr(archive, "rewrite_partitions", meanwhile)
+    held = lambda path: sorted((r["k"] for r in sync.read_month_target(spark, path).collect()), key=repr)
+    assert archive.archive_month_target(spark, live, old, ["k"], "ts", 30, "day", AS_OF) == 5
+    monkeypatch.undo()
+    assert held(live) == [6, 98, 99] and held(old) == [1, 2, 5, None, None]
+    assert archive.archive_month_target(spark, live, old, ["k"], "ts", 30, "day", AS_OF) == 2
+    assert held(live) == [6] and held(old) == [1, 2, 5, 98, 99, None, None]
+
+
+@pytest.mark.parametrize("dies_in", ["remove_path", "mark_folder", "finish_replacing"])
+def test_a_move_that_dies_goes_on(spark, tmp_path, monkeypatch, dies_in):
+    live, old = str(tmp_path / "live"), str(tmp_path / "old")
+    sinks.write_month_partitioned(_old(spark, [(1, (2000, 1, 5)), (5, (2001, 7, 1)), (6, (2001, 7, 30))]), live, "ts", ["k"])
+    with monkeypatch.context() as m:
+        module = sinks
+        called = []
+
+        def die(*args):
+            called.append(args)
+            raise OSError("gone")
+
+        if dies_in == "finish_replacing":
+            m.setattr(module, "finish_replacing", die)
+        else:
+            m.setattr(module, dies_in, die)
+        with pytest.raises(OSError):
+            archive.archive_month_target(spark, live, old, ["k"], "ts", 30, "day", AS_OF)
+    assert archive.archive_month_target(spark, live, old, ["k"], "ts", 30, "day", AS_OF) == 0
+    assert [r["k"] for r in sync.read_month_target(spark, live).collect()] == [6]
+    assert sorted(r["k"] for r in sync.read_month_target(spark, old).collect()) == [1, 5]
+
+
+def test_a_load_goes_on_where_it_died(spark, tmp_path):
+    path = str(tmp_path / "loaded")
+    df = spark.createDataFrame([(i if i % 9 else None, dt.datetime(2024, 1, 1 + i % 5)) for i in range(300)], "k int, ts timestamp_ntz")
+    asked = []
+
+    def read(predicate):
+        asked.append(predicate)
+        if len(asked) == 3:
+            raise OSError("lost")
+        return df.where(predicate)
+
+    make = lambda: load.reading_plan(df, ["k"], "ts", 4)
+    with pytest.raises(OSError):
+        load.ranged_load(spark, read, make, path, at_once=1)
+    left, tried = load.load_left(spark, path), len(asked)
+    assert 1 <= left <= 3 and load.loaded(spark, path).count() < 300
+    ledger = load.ranged_load(spark, read, lambda: pytest.fail("planned twice"), path, at_once=1)
+    assert len(asked) == tried + left and load.load_left(spark, path) == 0
+    assert ledger.agg(F.sum("rows")).first()[0] == load.loaded(spark, path).count() == 300
+    load.ranged_load(spark, read, make, path)
+    assert len(asked) == tried + left
+    sparse = spark.createDataFrame([(i * 1000, dt.datetime(2024, 1, 1 + i % 5)) for i in range(50)], "k int, ts timestamp_ntz")
+    assert len(load.reading_plan(sparse, ["k"], "ts", 4, floor=0)) == 6  # five days and rows without one
+
+
 def test_archive_of_everything_leaves_a_target_that_syncs(spark, tmp_path):
     live, old = str(tmp_path / "live"), str(tmp_path / "old")
     rows = _old(spark, [(1, (2000, 1, 5)), (2, (2000, 3, 5))])
