@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,7 +99,9 @@ def training_order(sequences: DataFrame, key: int = 99, shard_rows: int = 8192,
 def materialise(docs: DataFrame, length: int = 512, key: int = 99, shard_rows: int = 8192, paths: tuple[str, str] | None = None) -> DataFrame:
     """All documents in training order. The sequences are written to the shared folder first, so texts are encoded once and numbers stay.
 
-    Each document is in it whole, repeated rows as often as they come; an empty table gives no rows; other columns are ignored.
+    Each document is in it whole however long, repeated rows as often as they come; rows of one doc_id are told apart by nothing but
+    their place. An empty table gives no rows; other columns are ignored. Slots follow from the order of the rows in the
+    input's partitions: the same files in the same splits give the same slots.
     """
     spark = docs.sparkSession
     place = scratch_path(spark, "sequences")
@@ -107,35 +110,57 @@ def materialise(docs: DataFrame, length: int = 512, key: int = 99, shard_rows: i
 
 
 def write_shards(ordered: DataFrame, path: str) -> DataFrame:
-    """Binary files ``shard-<number>.bin`` under ``path``, one per shard, and a row (shard, first_slot, rows, stride, file) for each.
+    """Binary files ``shard-<number>.bin`` under ``path``, one per shard; gives a row (slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, file) for each sequence written.
 
-    ``path`` is any folder that pyarrow's file systems reach from every executor. A file is written under another name and moved
-    into place, so a task that runs again, or twice at once, leaves the same whole file.
+    Every file holds its sequences in order of slot, at equal strides and with nothing between, so that it can be read on from any
+    slot. ``path`` is any folder that pyarrow's file systems reach from every executor. A file is written under
+    another name and moved into place, so a task that runs again, or twice at once, leaves the same whole file.
     """
+    kinds = [("slot", pa.int64()), ("shard", pa.int32()), ("byte_offset", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("file", pa.string())]
+    given = [name for name, _ in kinds[:6]]
 
     def run(batches):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         store.create_dir(root)
         attempt, out, now = TaskContext.get().taskAttemptId(), None, None
 
+        def name(shard: int) -> str:
+            return f"shard-{shard:06d}.bin"
+
         def close():
             out.close()
-            store.move(f"{root}/{now['name']}.{attempt}", f"{root}/{now['name']}")
-            return pa.RecordBatch.from_pylist([{"shard": now["shard"], "first_slot": now["first"], "rows": now["rows"], "stride": now["stride"], "file": now["name"]}], schema=schema)
+            store.move(f"{root}/{name(now)}.{attempt}", f"{root}/{name(now)}")
 
         for batch in batches:
-            for shard, slot, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "ids")), strict=True):
-                if now is None or shard != now["shard"]:
-                    if now:
-                        yield close()
-                    now = {"shard": shard, "first": slot, "rows": 0, "stride": len(ids), "name": f"shard-{shard:06d}.bin"}
-                    out = store.open_output_stream(f"{root}/{now['name']}.{attempt}")
-                out.write(ids)
-                now["rows"] += 1
-        if now:
-            yield close()
-
-    schema = pa.schema([("shard", pa.int32()), ("first_slot", pa.int64()), ("rows", pa.int64()), ("stride", pa.int32()), ("file", pa.string())])
-    return ordered.select("shard", "slot", "ids").mapInArrow(run, "shard int, first_slot long, rows long, stride int, file string")
+            shards, ids = batch.column("shard").to_pylist(), batch.column("ids").to_pylist()
+            for shard, data in zip(shards, ids, strict=True):
+                if shard != now:
+                    if now is not None:
+                        close()
+                    now, out = shard, store.open_output_stream(f"{root}/{name(shard)}.{attempt}")
+                out.write(data)
+            columns = [batch.column(c) for c in given] + [pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([name(x) for x in shards], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
+        if now is not None:
+            close()
+
+    return ordered.mapInArrow(run, "slot long, shard int, byte_offset long, doc_id long, piece int, n_tokens int, ids_crc32 long, file string")
+
+
+def read_slots(path: str, first: int, count: int, stride: int, shard_rows: int = 8192) -> list[bytes]:
+    """``count`` sequences from slot ``first`` on, read from the shards one after the other."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    out: list[bytes] = []
+    while len(out) < count:
+        shard, at = divmod(first + len(out), shard_rows)
+        with store.open_input_file(f"{root}/shard-{shard:06d}.bin") as file:
+            file.seek(at * stride)
+            data = file.read(min(count - len(out), shard_rows - at) * stride)
+        if not data:
+            break
+        out += [data[i : i + stride] for i in range(0, len(data), stride)]
+    return out

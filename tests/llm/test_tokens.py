@@ -135,23 +135,52 @@ def test_feistel_is_a_keyed_permutation():
 def test_training_order_holds_every_document(spark, sf, reference, tmp_path):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = dict(zip(docs, reference(list(docs.values())), strict=True))
-    rows = op9(spark, sf).collect()
-    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    ordered = training_order.materialise(spark.read.parquet(f"{sf}/documents.parquet"), shard_rows=100)
+    folder = f"file://{tmp_path}/shards"
+    rows = sorted(training_order.write_shards(ordered, folder).collect())
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
     got = defaultdict(dict)
     for r in rows:
-        assert len(r["ids"]) == 1024 and r["byte_offset"] == r["slot"] % 8192 * 1024 and r["shard"] == r["slot"] // 8192
-        got[r["doc_id"]][r["piece"]] = np.frombuffer(r["ids"], "<u2")[: r["n_tokens"]].tolist()
+        assert r["byte_offset"] == r["slot"] % 100 * 1024 and r["shard"] == r["slot"] // 100 and r["file"] == f"shard-{r['shard']:06d}.bin"
+        data = (tmp_path / "shards" / r["file"]).read_bytes()[r["byte_offset"] : r["byte_offset"] + 1024]
+        assert len(data) == 1024 and zlib.crc32(data) == r["ids_crc32"]
+        got[r["doc_id"]][r["piece"]] = np.frombuffer(data, "<u2")[: r["n_tokens"]].tolist()
     assert {d: [x for _, p in sorted(own.items()) for x in p] for d, own in got.items()} == {d: ids + [2] for d, ids in want.items()}
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted({r["file"] for r in rows})
+    whole = b"".join((tmp_path / "shards" / f).read_bytes() for f in sorted({r["file"] for r in rows}))
+    assert len(whole) == 1024 * len(rows)
+    assert b"".join(training_order.read_slots(folder, 95, 210, 1024, 100)) == whole[95 * 1024 : 305 * 1024]
+    assert training_order.read_slots(folder, len(rows), 5, 1024, 100) == [] or len(rows) % 100
 
-    ordered = training_order.materialise(spark.read.parquet(f"{sf}/documents.parquet"), shard_rows=100)
-    folder = f"file://{tmp_path}/shards"
-    manifest = sorted(training_order.write_shards(ordered, folder).collect())
-    assert sum(m["rows"] for m in manifest) == len(rows) and [m["first_slot"] for m in manifest] == [100 * m["shard"] for m in manifest]
-    by_slot = {r["slot"]: r["ids"] for r in ordered.collect()}
-    for m in manifest:
-        data = (tmp_path / "shards" / m["file"]).read_bytes()
-        assert len(data) == m["rows"] * m["stride"]
-        assert [data[k * 1024 : (k + 1) * 1024] for k in range(m["rows"])] == [by_slot[m["first_slot"] + k] for k in range(m["rows"])]
+
+def test_training_order_query(spark, sf):
+    rows = op9(spark, sf).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows))) and all(r["byte_offset"] == r["slot"] % 8192 * 1024 for r in rows)
+
+
+def test_slots_are_the_plain_permutation(spark, documents):
+    """Each slot is recomputed from the row's number with a Feistel network in whole numbers."""
+    ordered = training_order.token_sequences(documents([(i, "w " * (40 * i)) for i in range(60)]), length=64).orderBy("part", "nth").collect()
+    place = spark.createDataFrame(ordered).repartition(5)
+    n, got = len(ordered), {(r["doc_id"], r["piece"]): r["slot"] for r in training_order.training_order(place, key=7, shard_rows=16).collect()}
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % (1 << 64)
+        return x ^ x >> 31
+
+    for number, r in enumerate(ordered):
+        x = number
+        while True:
+            left, right = x >> half, x & mask
+            for k in range(6):
+                left, right = right, left ^ mix((right + mix(k + 1 + 7)) % (1 << 64)) & mask
+            x = left << half | right
+            if x < n:
+                break
+        assert got[r["doc_id"], r["piece"]] == x
 
 
 def test_training_order_edges(spark, documents, reference):
