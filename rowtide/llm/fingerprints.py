@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -101,35 +103,50 @@ def fingerprint(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     return rows.groupBy("to").applyInArrow(judge, _ROW)
 
 
-def _apart(a: Column, b: Column) -> Column:
-    """Bits in which two hex fingerprints differ."""
-    half = lambda x, i: F.conv(F.substring(x, 1 + 16 * i, 16), 16, -10).cast("long")
-    return sum((F.bit_count(half(a, i).bitwiseXOR(half(b, i))) for i in range(BITS // 64)), F.lit(0))
+def _halves(fp: Column) -> list[Column]:
+    """A hex fingerprint as signed 64-bit numbers, high half first."""
+    return [F.conv(F.substring(fp, 1 + 16 * i, 16), 16, -10).cast("long") for i in range(BITS // 64)]
 
 
 def near(queries: DataFrame, index: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """All pairs (query, fingerprint, apart) of distinct fingerprints within ``radius`` bits; both sides have a column fp.
 
-    The hex digits are cut into ``blocks``; of two fingerprints within the radius, ``blocks - radius`` agree. Each choice of
-    them is a table whose rows have these blocks moved to the front; a query meets the rows with the same front. A pair
+    The bits are cut into ``blocks``; of two fingerprints within the radius, ``blocks - radius`` agree. Each choice of them
+    is a table whose rows have these blocks moved to the front; a query meets the rows with the same front. Fingerprints are
+    two numbers and a front is one, with the table's number in it: rows are 24 bytes, whatever plan joins them. A pair
     comes from the first table that holds it, so there is nothing to make distinct.
     """
     if not 0 <= radius < blocks <= BITS // 4:
         raise ValueError("0 <= radius < blocks <= 32 must hold")
-    cuts = [BITS // 4 * i // blocks for i in range(blocks + 1)]
+    cuts = [BITS // 4 * i // blocks * 4 for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - radius))
-    block = lambda x, i: F.substring(x, 1 + cuts[i], cuts[i + 1] - cuts[i])
-    front = lambda x, c: F.concat(*[block(x, i) for i in c])
-
-    def tables(df: DataFrame, name: str) -> DataFrame:
-        fp = F.col("fp")
-        return df.select(fp.alias(name), F.posexplode(F.array(*[front(fp, c) for c in choices])).alias("number", "front"))
-
-    q, x = tables(queries.select("fp").distinct(), "query"), tables(index.select("fp").distinct(), "fingerprint")
-    firsts = F.coalesce(*[F.when(front(F.col("query"), c) == front(F.col("fingerprint"), c), F.lit(k)) for k, c in enumerate(choices)])
-    apart = _apart(F.col("query"), F.col("fingerprint"))
-    met = q.join(x, (q["number"] == x["number"]) & (q["front"] == x["front"]) & (apart <= radius) & (firsts == q["number"]))
-    return met.select("query", "fingerprint", apart.alias("apart"))
+
+    def block(high: Column, low: Column, i: int) -> Column:
+        """Bits from cuts[i] to cuts[i + 1], counted from the highest."""
+        a, b, out = cuts[i], cuts[i + 1], F.lit(0).cast("long")
+        for half, (start, end) in ((high, (a, min(b, 64))), (low, (max(a, 64), b))):
+            if end > start:
+                part = F.shiftrightunsigned(half, 64 - (end - 1) % 64 - 1).bitwiseAND((1 << (end - start)) - 1 if end - start < 64 else -1)
+                out = F.shiftleft(out, end - start).bitwiseOR(part)
+        return out
+
+    def front(high: Column, low: Column, number: int) -> Column:
+        return F.xxhash64(F.lit(number), *[block(high, low, i) for i in choices[number]])
+
+    def tables(df: DataFrame, side: str) -> DataFrame:
+        high, low = _halves(F.col("fp"))
+        rows = df.select(high.alias(f"{side}_high"), low.alias(f"{side}_low")).distinct()
+        fronts = F.array(*[front(F.col(f"{side}_high"), F.col(f"{side}_low"), k) for k in range(len(choices))])
+        return rows.select("*", F.explode(fronts).alias("front"))
+
+    q, x = [F.col("q_high"), F.col("q_low")], [F.col("x_high"), F.col("x_low")]
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(q, x, strict=True)), F.lit(0))
+    met = tables(queries, "q").join(tables(index, "x"), "front").where(apart <= radius)
+    # blocks that agree, highest table first: the pair counts where its front is that of the first choice that agrees
+    same = [F.when(reduce(and_, [block(*q, i) == block(*x, i) for i in c]), front(*q, k)) for k, c in enumerate(choices)]
+    met = met.where(F.col("front") == F.coalesce(*same))
+    text = lambda parts: F.concat(*[F.lpad(F.lower(F.hex(p)), 16, "0") for p in parts])
+    return met.select(text(q).alias("query"), text(x).alias("fingerprint"), apart.alias("apart"))
 
 
 def fingerprint_and_search(docs: DataFrame, every: int = 100, radius: int = 6, blocks: int = 8, batch_bytes: int = 8 << 20) -> DataFrame:

@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rowtide.llm.fingerprints import BITS, fingerprint, fingerprint_and_search, near, prints_of
-from rowtide.llm.texts import bit_votes, rolling, word_bounds
+from rowtide.llm.fingerprints import BITS, LONG, PAIR, SHORT, fingerprint, fingerprint_and_search, near, prints_of
+from rowtide.llm.texts import bit_votes, mix64, rolling, span_hashes, word_bounds
 
 
 def plain(rows):
@@ -54,6 +55,34 @@ def test_search_finds_all_within_the_radius(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("radius, blocks", [(0, 1), (2, 5), (6, 8)])
+def test_any_cut_into_blocks_finds_all(spark, radius, blocks):
+    rnd = random.Random(radius)
+    prints = [rnd.getrandbits(BITS) for _ in range(12)]
+    prints += [p ^ sum(1 << b for b in rnd.sample(range(BITS), rnd.randrange(radius + 3))) for p in prints for _ in range(6)]
+    table = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fp string")
+    want = sorted((f"{q:032x}", f"{p:032x}", (q ^ p).bit_count()) for q in set(prints) for p in set(prints) if (q ^ p).bit_count() <= radius)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(tuple(r) for r in near(table, table, radius, blocks).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_prints_equal_a_plain_vote(spark):
+    """Words and word pairs hashed one by one, each voting with its weight for or against every bit."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(["a", "the", "longer", "words", "été"]) for _ in range(rnd.randrange(40))) for _ in range(30)]
+    for text, (one, two) in zip(texts, prints_of(texts).tolist(), strict=True):
+        said = text.encode().split()
+        hashes = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in said]
+        terms = [(SHORT if len(w) <= 4 else LONG, h) for w, h in zip(said, hashes, strict=True)]
+        terms += [(PAIR, int(mix64(np.array([(3 * a + b * 0xD6E8FEB86659FD93) % (1 << 64)], np.uint64))[0])) for a, b in zip(hashes, hashes[1:])]
+        for half, value in enumerate((one, two)):
+            salted = [(w, int(mix64(np.array([(h + half + 1) % (1 << 64)], np.uint64))[0])) for w, h in terms]
+            assert value == sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for w, h in salted) > 0)
+
+
 def test_search_counts_rows(spark, documents):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(100, text), (101, text), (102, text), (200, "quite another text " * 9), (None, text)]
