@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from pyspark.sql import functions as F
@@ -18,6 +19,74 @@ def test_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in test) >= 0.98 * len(test)
 
 
+def plain_trigrams(text):
+    """(word number, bucket) of every letter with its neighbours inside the word's text; letters are a-z and all bytes beyond ASCII."""
+    data, out, word, inside = text.lower().encode(), [], -1, False
+    letter = lambda b: 0x61 <= b <= 0x7A or b >= 0x80
+    for i, b in enumerate(data):
+        if not letter(b):
+            inside = False
+            continue
+        word, inside = word + (not inside), True
+        x, y, z = (data[j] if 0 <= j < len(data) and letter(data[j]) else 0x20 for j in (i - 1, i, i + 1))
+        h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % (1 << 32)
+        h ^= h >> 15
+        out.append((word, h * 0x27D4EB2F % (1 << 32) >> 16))
+    return out
+
+
+def plain_mixture(like, allowed, rounds):
+    """Shares of the allowed languages by expectation-maximisation, word by word, and the log-likelihood."""
+    k = len(like[0])
+    share = [float(i in allowed) / len(allowed) for i in range(k)]
+    for _ in range(rounds):
+        sums = [0.0] * k
+        for row in like:
+            total = max(sum(p * s for p, s in zip(row, share)), 1e-300)
+            for i in range(k):
+                sums[i] += row[i] * share[i] / total
+        share = [x / len(like) for x in sums]
+    return share, sum(math.log(max(sum(p * s for p, s in zip(row, share)), 1e-300)) for row in like)
+
+
+def test_whole_table_equals_a_plain_version(spark, sf):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = [d for d in docs if len(d[1]) < 1500]
+    counts = {}
+    for d, text, lang in docs:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and lang is not None:
+            own = counts.setdefault(lang, [0] * 65536)
+            for _, bucket in plain_trigrams(text):
+                own[bucket] += 1
+    langs = sorted(counts)
+    logs = [[math.log((c + 0.5) / (sum(counts[x]) + 0.5 * 65536)) for c in counts[x]] for x in langs]
+    schema = "doc_id long, text string, lang string"
+    got = {r["doc_id"]: r for r in predict(spark.createDataFrame(docs, schema).repartition(3)).collect()}
+    for d, text, _ in docs:
+        grams = plain_trigrams(text)
+        words = [[0.0] * len(langs) for _ in range(grams[-1][0] + 1 if grams else 0)]
+        for w, bucket in grams:
+            for i in range(len(langs)):
+                words[w][i] += logs[i][bucket]
+        if not words:
+            assert got[d]["lang_pred"] == "und"
+            continue
+        like = [[math.exp(x - max(row)) for x in row] for row in words]
+        alone = [sum(row[i] - max(row) for row in words) for i in range(len(langs))]
+        share, _ = plain_mixture(like, set(range(len(langs))), 8)
+        first = max(range(len(langs)), key=alone.__getitem__)
+        price, best = 6.0 * math.log(len(words) + 1) / 2, (max(alone), {first: share[first]})  # alone, a language keeps its share of all
+        ranking = sorted(range(len(langs)), key=lambda i: -share[i])
+        for size in range(2, len(langs) + 1):
+            own, value = plain_mixture(like, set(ranking[:size]), 8)
+            if value - (size - 1) * price > best[0] + 1e-6:
+                best = (value - (size - 1) * price, {i: own[i] for i in range(len(langs)) if own[i] > 0})
+        mixture = {m["lang"]: m["share"] for m in got[d]["mixture"]}
+        want = {langs[i]: s for i, s in best[1].items()}
+        assert set(mixture) == set(want) and all(abs(mixture[x] - want[x]) < 1e-3 for x in want)
+        assert abs(want[got[d]["lang_pred"]] - max(want.values())) < 1e-3
+
+
 def test_mixtures_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = learn(docs)
