@@ -39,13 +39,16 @@ def distinct_tuples(df: DataFrame, cols: list[str], ts: str) -> DataFrame:
 
 
 def concat_group(
-    df: DataFrame, keys: list[str], col: str, order: str | None = None, sep: str = ",", distinct: bool = False, chunk: Column | None = None
+    df: DataFrame, keys: list[str], col: str, order: str | None = None, sep: str = ",", distinct: bool = False, chunk: Column | None = None, bounded: bool = False
 ) -> DataFrame:
     """The values of a group as one text. Distinct values are reduced before they meet in the group.
 
-    A group without a bound on its size needs ``chunk``, a step of the order: the text then comes in parts, one row
-    per chunk (``part``), whose order is the order of the text; no task holds the whole group.
+    A group needs ``chunk``, a step of the order: the text then comes in parts, one row per chunk (``part``), whose order is
+    the order of the text; no task holds the whole group. One text per group is made only of distinct values or where
+    ``bounded`` says that groups have a bound.
     """
+    if chunk is None and not (distinct or bounded):
+        raise ValueError("say how the text is cut (chunk), or that groups are bounded")
     rows = df.select(*keys, F.col(col).cast("string").alias("_v"), F.col(order or col).alias("_o"), *([chunk.alias("part")] if chunk is not None else []))
     groups = [*keys, "part"] if chunk is not None else keys
     if distinct:
@@ -148,7 +151,7 @@ def effect_range(pairs: DataFrame, id_col: str, flag: str) -> DataFrame:
     """Per id the text ``class:count`` of the jobs that touch it."""
     counts = pairs.groupBy(id_col, flag).agg(F.count(F.lit(1)).alias("times"))
     part = F.concat_ws(":", F.col(flag).cast("string"), F.col("times").cast("string"))
-    return concat_group(counts.withColumn("_part", part), [id_col], "_part").withColumnRenamed("joined", "effect")
+    return concat_group(counts.withColumn("_part", part), [id_col], "_part", bounded=True).withColumnRenamed("joined", "effect")
 
 
 def run_totals(details: DataFrame, tag: str = "tag") -> DataFrame:

@@ -70,12 +70,19 @@ def big_transactions(processes: DataFrame, trx: DataFrame, min_secs: int) -> Dat
     )
 
 
-def lock_waits(processes: DataFrame, trx: DataFrame, locks: DataFrame, waits: DataFrame, as_of: datetime, min_secs: int) -> DataFrame:
-    """Transactions that hold or wait for locks, with whom they wait for."""
+def lock_waits(
+    processes: DataFrame, trx: DataFrame, locks: DataFrame, waits: DataFrame, as_of: datetime, min_secs: int, part: Column | None = None
+) -> DataFrame:
+    """Transactions that hold or wait for locks, with whom they wait for.
+
+    Those a transaction waits for come as one text where ``part`` is not given: for sources that bound how many there are. With
+    ``part``, a step of the time ``_since``, a waiter has a row for each part of the text, in their order.
+    """
     holders = trx.select(F.col("trx_id").alias("blocking_trx_id"), F.col("started").alias("_since"))
+    step = [part.alias("part")] if part is not None else []
     waiters = (
         waits.join(holders, "blocking_trx_id")
-        .groupBy("requesting_trx_id")
+        .groupBy("requesting_trx_id", *step)
         .agg(F.expr("listagg(cast(blocking_trx_id as string), '|') within group (order by _since, blocking_trx_id)").alias("_by"))
     )
     blocked = F.col("requesting_trx_id").isNotNull()
@@ -92,6 +99,7 @@ def lock_waits(processes: DataFrame, trx: DataFrame, locks: DataFrame, waits: Da
             "host",
             "usr",
             F.coalesce("_by", F.lit("")).alias("blocked_by"),
+            *(["part"] if part is not None else []),
             "started",
             "duration",
             F.when(blocked, "BLOCKING").otherwise("RUNNING").alias("trx_status"),

@@ -17,13 +17,13 @@ LEDGER = "range_no int, predicate string, rows bigint, seconds double"
 def reading_plan(source: DataFrame, keys: list[str], ts: str | None, parts: int, floor: int = 100_000) -> list[str]:
     """Conditions that together take every row of a table once, also rows that come in later and rows with nulls.
 
-    A10 chooses: ranges of the first key with equal row counts (A7), which also serve a composite key, or days (A9)
+    A10 chooses: ranges of the first key with equal row counts (A7), which also serve a composite key, or ranges of days (A9)
     where ids are far sparser than rows. A key that is neither a number nor a time is read by days, or at one go.
     """
     key = keys[0] if keys and dict(source.dtypes)[keys[0]].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "decimal", "float", "double", "date", "timestamp", "timestamp_ntz") else None
     by_date = key is None or (dict(source.dtypes)[key] in ("smallint", "int", "bigint") and choose_split(source, key, floor).first()["split"] == "date")
     if ts and by_date:
-        return day_predicates(day_slices(source, ts), ts)
+        return day_predicates(day_slices(source, ts), ts, parts)
     return range_predicates(key_ranges(source, key, parts), key) if key else ["true"]
 
 

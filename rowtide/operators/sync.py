@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -121,36 +122,42 @@ def read_month_target(spark: SparkSession, path: str, like: DataFrame | None = N
     return df.withColumn("yyyymm", F.col("yyyymm").cast("string"))
 
 
+def rewrite_months(target: DataFrame, path: str, ts: str, months: list[str | None], make: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace the given months (None: rows without a time) of a month-partitioned target by ``make(their rows)``."""
+
+    def inside(month: Column) -> Column:
+        listed = month.isin(*[m for m in months if m])
+        return listed | month.isNull() if None in months else listed
+
+    new = with_month(make(target.filter(inside(F.col("yyyymm"))).drop("yyyymm")), ts).filter(inside(F.col("yyyymm")))  # no other month may be overwritten
+    rewrite_partitions(even_files(new, "yyyymm"), path, "yyyymm", months)
+
+
 def sync_month_target(
-    source: DataFrame, path: str, keys: list[str], ts: str, n: int, unit: str, as_of: datetime, upsert: bool = False
+    source: DataFrame, path: str, keys: list[str], ts: str, n: int, unit: str, as_of: datetime, upsert: bool = False, staged: bool = False
 ) -> list[str | None]:
     """Y1 then Y3, Y4 or (without keys) Y6 on a month-partitioned target, rewriting only the months that change.
 
-    Gives back the rewritten months; running it again with the same input changes nothing.
+    Gives back the rewritten months; running it again with the same input changes nothing. ``staged`` says that the
+    source is the window already, as written files.
     """
     spark = source.sparkSession
     if not has_parquet(spark, path):
         write_month_partitioned(source, path, ts, keys or source.columns)
         return ["*"]
     target = read_month_target(spark, path)
-    # the source is read once: a row that comes in meanwhile waits for the next run
-    staged = scratch_path(spark, "window")
-    recent(source, ts, n, unit, as_of).write.parquet(staged)
-    source = spark.read.parquet(staged)
+    if not staged:  # the source is read once: a row that comes in meanwhile waits for the next run
+        place = scratch_path(spark, "window")
+        recent(source, ts, n, unit, as_of).write.parquet(place)
+        source = spark.read.parquet(place)
     months = touched_months(source, target, keys, ts, n, unit, as_of)
     if not months:
         return []
-    inside = F.col("yyyymm").isin(*[m for m in months if m])
-    part = target.filter(inside | F.col("yyyymm").isNull() if None in months else inside)
-    held = part.drop("yyyymm")
-    if not keys:
-        new = window_replace_nokey(source, held, ts, n, unit, as_of)
-    elif upsert:
-        new = window_upsert(source, held, keys, ts, n, unit, as_of)
-    else:
-        new = window_replace(source, held, keys, ts, n, unit, as_of)
-    new = with_month(new, ts)
-    listed = F.col("yyyymm").isin(*[m for m in months if m])
-    new = new.filter(listed | F.col("yyyymm").isNull() if None in months else listed)  # no other month may be overwritten
-    rewrite_partitions(even_files(new, "yyyymm"), path, "yyyymm", months)
+
+    def new(held: DataFrame) -> DataFrame:
+        if not keys:
+            return window_replace_nokey(source, held, ts, n, unit, as_of)
+        return (window_upsert if upsert else window_replace)(source, held, keys, ts, n, unit, as_of)
+
+    rewrite_months(target, path, ts, months, new)
     return months

@@ -46,6 +46,51 @@ def y0(spark, d):
     return log.select("tbl", "moved").join(reduce(DataFrame.unionByName, held), "tbl")
 
 
+# a second state of the source: rows changed, moved to other days, new and gone
+_NEXT = (
+    "next as (select order_id, cust_id, status, amount + case when order_id % 7 = 0 then 1 else 0 end as amount, priority, updated_at - to_days(case when order_id % 50 = 0 then 40 else 0 end) as updated_at"
+    " from orders_src where order_id % 61 <> 0)"
+)
+
+
+def _next(spark, d) -> DataFrame:
+    rows = inputs.orders_src(spark, d).filter("order_id % 61 <> 0")
+    moved = F.col(TS) - F.when(F.col("order_id") % 50 == 0, F.expr("interval 40 days")).otherwise(F.expr("interval 0 days"))
+    return rows.withColumn("amount", F.col("amount") + F.when(F.col("order_id") % 7 == 0, 1).otherwise(0)).withColumn(TS, moved)
+
+
+_TOTALS = "count(*) as rows, cast(sum(order_id) as bigint) as keys, cast(sum(cast(amount as decimal(18,2))) as decimal(38,2)) as amount"
+_DIFFER = "(select day from (select cast(updated_at as date) as day, count(*) as n from next where updated_at >= timestamp '2001-05-03' and updated_at < timestamp '2001-08-02' group by 1) full outer join (select cast(updated_at as date) as day, count(*) as m from u where updated_at >= timestamp '2001-05-03' and updated_at < timestamp '2001-08-02' group by 1) using (day) where n is distinct from m)"
+
+
+@query(
+    "y0_sync_job_modes",
+    with_inputs("orders_src") + f", {_NEXT}, w as (select * from next where updated_at >= {START}), u as (select * from orders_src where order_id not in (select order_id from w) union all select * from w),"
+    f" g as (select * from u where order_id in (select order_id from next)), b as {_DIFFER}, f as (select * from next where cast(updated_at as date) in (select day from b)),"
+    " r as (select * from u where cast(updated_at as date) not in (select day from b) and order_id not in (select order_id from f) union all select * from f),"
+    " s as (select row_number() over (order by order_id, cust_id, status, amount, priority, updated_at) as pkid, * from orders_src),"
+    f" z as (select * from s where updated_at < {START} union all select row_number() over (order by order_id, cust_id, status, amount, priority, updated_at) + (select max(pkid) from s), * from w)"
+    f" select 'upsert' as mode, (select count(*) from w) as moved, {_TOTALS}, 0::bigint as numbers from u union all select 'orphans', (select count(*) from w), {_TOTALS}, 0 from g"
+    f" union all select 'repair', (select count(*) from w), {_TOTALS}, 0 from r union all select 'surrogate', (select count(*) from w), {_TOTALS}, cast(sum(pkid) as bigint) from z",
+)
+def y0_modes(spark, d):
+    """Four targets loaded from one state of a table and brought on from the next one: by upsert, then without orphans, then with differing days repaired, and with numbers of their own."""
+    place, parts = scratch_path(spark, "job"), []
+    inputs.orders_src(spark, d).write.parquet(f"{place}/one/orders.parquet")
+    _next(spark, d).write.parquet(f"{place}/two/orders.parquet")
+    for mode in (("upsert",), ("upsert", "orphans"), ("upsert", "repair:90"), ("surrogate:pkid",)):
+        name = mode[-1].partition(":")[0]
+        spec = SyncSpec.parse_list(f"orders:{TS}:90")
+        for state in ("one", "two"):
+            log = sync_tables(spark, catalog_of(f"{place}/{state}", ["orders"], {"orders": tuple(KEY)}), spec, f"{place}/{name}", ORDERS_AS_OF, modes={"orders": mode})
+        held = sync.read_month_target(spark, f"{place}/{name}/orders")
+        numbers = F.sum("pkid").cast("bigint") if name == "surrogate" else F.lit(0).cast("bigint")
+        total = F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(38,2)")
+        sums = held.agg(F.count(F.lit(1)).alias("rows"), F.sum("order_id").cast("bigint").alias("keys"), total.alias("amount"), numbers.alias("numbers"))
+        parts.append(sums.select(F.lit(name).alias("mode"), F.lit(log.first()["moved"]).cast("bigint").alias("moved"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("y1_init_load", PAIR + "select 'empty' as target, * from orders_src union all select 'filled', * from orders_tgt")
 def y1(spark, d):
     src, tgt = _pair(spark, d)

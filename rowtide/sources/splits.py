@@ -103,7 +103,17 @@ def range_predicates(ranges: DataFrame, key: str) -> list[str]:
     return _cover(key, [r[0] for r in ranges.filter(F.col(low).isNotNull()).select(low).orderBy(low).toLocalIterator()])
 
 
-def day_predicates(slices: DataFrame, ts: str) -> list[str]:
-    """JDBC predicates of A9 slices, one per day and one for rows without a time; together they cover all rows."""
-    days = slices.filter(F.col("slice_start").isNotNull()).select("slice_start").orderBy("slice_start")
-    return _cover(ts, [f"{r[0]:%Y-%m-%d}" for r in days.toLocalIterator()])
+def day_predicates(slices: DataFrame, ts: str, parts: int | None = None) -> list[str]:
+    """JDBC predicates of A9 slices, one per day and one for rows without a time; together they cover all rows.
+
+    With ``parts``, neighbouring days are put together to about so many ranges of equal row counts.
+    """
+    days = slices.filter(F.col("slice_start").isNotNull()).select("slice_start", "rows").orderBy("slice_start").collect()
+    if parts:
+        size, held, kept = max(1, sum(r["rows"] for r in days) // parts), 0, []
+        for r in days:
+            if not kept or held >= size:
+                kept, held = [*kept, r], 0
+            held += r["rows"]
+        days = kept
+    return _cover(ts, [f"{r['slice_start']:%Y-%m-%d}" for r in days])

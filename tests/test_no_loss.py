@@ -20,7 +20,7 @@ def test_predicates_cover_every_row_once(spark):
     later = df.unionByName(spark.createDataFrame([(-5, "", dt.datetime(2023, 1, 1)), (10_000, "zzz", dt.datetime(2025, 1, 1)), (77, "k'35", dt.datetime(2024, 1, 5))], df.schema))
     for made in (
         splits.range_predicates(splits.key_ranges(df, "id", 6), "id"), splits.range_predicates(splits.key_blocks(df, "id", 0, 50), "id"),
-        splits.day_predicates(splits.day_slices(df, "ts"), "ts"),
+        splits.day_predicates(splits.day_slices(df, "ts"), "ts"), splits.day_predicates(splits.day_slices(df, "ts"), "ts", 3),
         splits.range_predicates(df.groupBy("name").agg(F.min("name").alias("lo"), F.max("name").alias("hi")), "name"),
     ):
         hits = [F.coalesce(F.expr(p).cast("int"), F.lit(0)) for p in made]
@@ -117,7 +117,8 @@ def test_a_load_goes_on_where_it_died(spark, tmp_path):
     load.ranged_load(spark, read, make, path)
     assert len(asked) == tried + left
     sparse = spark.createDataFrame([(i * 1000, dt.datetime(2024, 1, 1 + i % 5)) for i in range(50)], "k int, ts timestamp_ntz")
-    assert len(load.reading_plan(sparse, ["k"], "ts", 4, floor=0)) == 6  # five days and rows without one
+    assert len(load.reading_plan(sparse, ["k"], "ts", 5, floor=0)) == 6  # five days and rows without one
+    assert len(load.reading_plan(sparse, [], "ts", 2)) == 4 and load.reading_plan(sparse, [], None, 2) == ["true"]
 
 
 def test_archive_of_everything_leaves_a_target_that_syncs(spark, tmp_path):
