@@ -118,7 +118,7 @@ def test_a_load_goes_on_where_it_died(spark, tmp_path):
     assert len(asked) == tried + left
     sparse = spark.createDataFrame([(i * 1000, dt.datetime(2024, 1, 1 + i % 5)) for i in range(50)], "k int, ts timestamp_ntz")
     assert len(load.reading_plan(sparse, ["k"], "ts", 5, floor=0)) == 6  # five days and rows without one
-    assert len(load.reading_plan(sparse, [], "ts", 2)) == 4 and load.reading_plan(sparse, [], None, 2) == ["true"]
+    assert len(load.reading_plan(sparse, [], "ts", 2)) == 3 and load.reading_plan(sparse, [], None, 2) == ["true"]
 
 
 def test_archive_of_everything_leaves_a_target_that_syncs(spark, tmp_path):
