@@ -10,7 +10,7 @@ from operator import and_, or_
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from rowtide import specs
@@ -118,10 +118,12 @@ def start_alerts(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
 
         # a day that is new starts with what the day before it started with, and with what that one left
         new = sorted(r["day"] for r in kept.filter(F.col("batch") == number).select("day").distinct().collect() if r["day"] not in had)
-        none, opened = spark.createDataFrame([], states), []
+        none, opened, after = spark.createDataFrame([], states), [], {}
         for d in new:
-            earlier = [x for x in had if x < d][-1:]
-            opened.append(later_wins(held("carry", earlier), held("ends", earlier), keys).withColumn("day", F.lit(d)))
+            for earlier in [x for x in had if x < d][-1:]:
+                after.setdefault(earlier, []).append(d)
+        for earlier, days in after.items():
+            opened.append(later_wins(held("carry", [earlier]), held("ends", [earlier]), keys).withColumn("day", F.explode(F.array(*map(F.lit, days)))))
         start = reduce(DataFrame.unionByName, [held("carry", [x for x in came if x in had]), *opened])
         same = reduce(and_, [start[c] == first[c] for c in keys], F.col("day") == F.col("_first"))
         since = start.join(first, same).select(*[start[c] for c in keys], *AlertState._fields)
@@ -133,8 +135,10 @@ def start_alerts(samples: DataFrame, keys: list[str], ts: str, ident: str, rule:
         _put(ends, f"{path}/ends", number, "day")
         # the days behind start, for these keys, with the last state left before them
         behind = [d for d in sorted({*had, *new}) if d > came[0]]
-        moved = [keep_last(ends.filter(F.col("day") < d), keys, ["day"]).withColumn("day", F.lit(d)) for d in behind]
-        fresh, patched = (reduce(DataFrame.unionByName, parts, none.drop("batch")) for parts in ([o.drop("batch") for o in opened], moved))
+        until = F.lead("day").over(Window.partitionBy(*keys).orderBy("day"))
+        reached = F.filter(F.array(*map(F.lit, behind)).cast("array<string>"), lambda d: (d > F.col("day")) & (F.col("_until").isNull() | (d <= F.col("_until"))))
+        patched = ends.withColumn("_until", until).withColumn("day", F.explode(reached)).drop("_until")
+        fresh = reduce(DataFrame.unionByName, [o.drop("batch") for o in opened], none.drop("batch"))
         _put(later_wins(fresh, patched, [*keys, "day"]), f"{path}/carry", number, "day")
         for d in new:  # also a day that starts without any state is known from now on
             mark_folder(spark, f"{path}/carry/day={d}/batch={number}")
