@@ -68,3 +68,38 @@ def doc_batches(docs: DataFrame, batch_bytes: int, bounds: np.ndarray | None = N
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     return rows.withColumn("batch", _place(bounds)("doc_id")), len(bounds) + 1
+
+
+def split_batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, np.ndarray, int]:
+    """Rows as of ``doc_batches``, the first batch of each group, and a number of slices for work that isn't cut by doc_id.
+
+    Groups rise with doc_id. A doc_id with more than ``batch_bytes`` of text is a group of its own, and so are the rows
+    without one; such a group is cut into several batches by a hash of the row. Any other group is one batch. A slice
+    has about four batches' share, so the blocks that batches and slices exchange stay few. The driver holds two
+    numbers for each group and one for each such doc_id.
+    """
+    bounds = id_bounds(docs, batch_bytes)
+    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    bins = ids.withColumn("bin", _place(bounds)("doc_id"))
+    sizes = {r["bin"]: r for r in bins.groupBy("bin").agg(F.sum("n").alias("n"), F.max("doc_id").alias("top")).collect()}
+    full = [k for k, r in sizes.items() if r["n"] > 2 * batch_bytes or r["top"] == NO_ID]
+    large: dict[int, int] = {}
+    if full:
+        heavy = bins.where(F.col("bin").isin(full)).groupBy("doc_id").agg(F.sum("n").alias("n"))
+        large = {r["doc_id"]: r["n"] for r in heavy.where((F.col("n") > batch_bytes) | (F.col("doc_id") == NO_ID)).collect()}
+    own = np.array(sorted(large), np.int64)
+    bounds = np.unique(np.concatenate([bounds, own - 1, own[own < NO_ID]])).astype(np.int64)
+    parts = np.ones(len(bounds) + 1, np.int64)
+    parts[np.searchsorted(bounds, own)] = [max(1, -(-large[i] // batch_bytes)) for i in own.tolist()]
+    firsts = np.cumsum(parts) - parts
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        group = np.searchsorted(bounds, ids.to_numpy(), "left")
+        return pd.Series((firsts[group] + hashes.to_numpy() % parts[group]).astype(np.int32))
+
+    rows, _ = doc_batches(docs, batch_bytes, bounds)
+    hashed = F.xxhash64("text", F.to_json("rest")) if parts.max() > 1 else F.lit(0).cast("long")
+    batches = int(parts.sum())
+    return rows.withColumn("batch", number("doc_id", hashed)), firsts, max(-(-batches // 4), min(batches, least))

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+from rowtide.llm import suffix_index
+from rowtide.llm.batches import split_batches
 from rowtide.llm.suffix_index import Levels, drop_repeats, removed_spans
 
 
@@ -81,3 +83,41 @@ def test_texts_are_shuffled_once(spark, sf):
     got.collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("ReusedExchange") >= 2
+
+
+def shared_parts(ids, n, seed):
+    rnd = random.Random(seed)
+    pool = ["".join(rnd.choices("abcdefg ", k=rnd.randrange(30, 400))) for _ in range(15)]
+    return [(rnd.choice(ids), "".join(rnd.choice(pool)[rnd.randrange(20) :] for _ in range(rnd.randrange(5)))) for _ in range(n)]
+
+
+def test_strings_of_hot_samples_go_one_by_one(spark, documents):
+    line = "a line in all documents, "  # longer than a gram, shorter than a string
+    rnd = random.Random(4)
+    rows = shared_parts(range(100), 80, 5) + [(200 + i, "".join(rnd.choices("xyz", k=8)) + line + "".join(rnd.choices("xyz", k=22))) for i in range(60)]
+    rows += [(900, "w" * 9000), (901, "w" * 700 + "v" * 90)]
+    for hot in (0, 500):
+        assert run(documents(rows), batch_bytes=1500, hot=hot) == plain(rows)
+
+
+def test_rows_of_one_id_and_of_none_are_several_batches(spark, documents):
+    rows = shared_parts([7, 7, 7, None, None, 1, 2, 8, 9], 150, 6) + [(7, "same " * 30)] * 3 + [(50, "short")]
+    docs = documents(rows)
+    batched, firsts, _ = split_batches(docs, 2000)
+    held = {r["doc_id"]: r["n"] for r in batched.groupBy("doc_id").agg({"batch": "approx_count_distinct"}).toDF("doc_id", "n").collect()}
+    assert held[7] > 3 and max(held) > 1 << 62 and held[max(held)] > 3 and held[50] == 1
+    assert run(docs, batch_bytes=2000) == plain(rows)
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart(spark, documents, monkeypatch):
+    buf = np.frombuffer(b"abcabcabd", np.uint8)
+    spans = np.array([0, 3, 6]), np.array([3, 6, 9])
+    assert suffix_index.distinct_spans(buf, *spans)[0].tolist().count(0) in (1, 2)
+    monkeypatch.setattr(suffix_index, "span_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    place, one = suffix_index.distinct_spans(buf, *spans)
+    assert place.tolist() == [0, 0, 1] and one.tolist() == [0, 2]
+    monkeypatch.setattr(suffix_index, "rolling", lambda piece, width: np.zeros(len(piece) - width + 1, np.uint64))
+    batch = suffix_index.Batch.__new__(suffix_index.Batch)
+    batch.buf, batch.length = buf, 3
+    starts, place, distinct, _ = batch.strings(np.array([0, 6]), np.array([3, 6]))
+    assert [bytes(buf[a : a + 3]) for a in distinct[place]] == [bytes(buf[a : a + 3]) for a in starts]
