@@ -75,7 +75,7 @@ def split_batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, np.ndar
 
     Groups rise with doc_id. A doc_id with more than ``batch_bytes`` of text is a group of its own, and so are the rows
     without one; such a group is cut into several batches by a hash of the row. Any other group is one batch. A slice
-    has about four batches' share, so the blocks that batches and slices exchange stay few. The driver holds two
+    has about two batches' share, which bounds what one task holds. The driver holds two
     numbers for each group and one for each such doc_id.
     """
     bounds = id_bounds(docs, batch_bytes)
@@ -102,4 +102,4 @@ def split_batches(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, np.ndar
     rows, _ = doc_batches(docs, batch_bytes, bounds)
     hashed = F.xxhash64("text", F.to_json("rest")) if parts.max() > 1 else F.lit(0).cast("long")
     batches = int(parts.sum())
-    return rows.withColumn("batch", number("doc_id", hashed)), firsts, max(-(-batches // 4), min(batches, least))
+    return rows.withColumn("batch", number("doc_id", hashed)), firsts, max(-(-batches // 2), min(batches, least))

@@ -209,6 +209,17 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
 
 
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows one after the other, as they lie in the column: no copy if it is one chunk."""
+    chunks = [c.cast(pa.large_binary()) for c in column.chunks if len(c)]
+    parts = []
+    for c in chunks:
+        _, offsets, data = c.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(c) + 1, c.offset * 8)
+        parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _scan_samples(width: int, hot: int):
     """For one slice: which samples several batches have, and which have more than ``hot`` strings (counted in steps of 64)."""
 
@@ -229,13 +240,12 @@ def _scan_blocks(length: int, firsts: np.ndarray):
     tells whether an earlier group has it. ``firsts`` are the first batches of the groups."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("batch")
-        batches, slices, prints, sizes, data, passed = (table.column(c).to_pylist() for c in _ASK_NAMES)
+        batches, slices, passed = (table.column(c).to_pylist() for c in ("batch", "slice", "passed"))
         if slices[0] < 0:
             return _table([(b, s, None, None, p) for b, s, p in zip(batches, slices, passed, strict=True)], _REPLY_NAMES)
-        held = [len(x) // 4 for x in sizes]
-        size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
-        tag, buf = np.frombuffer(b"".join(prints), "<u4"), np.frombuffer(b"".join(data), np.uint8)
+        held = [len(x) // 4 for x in table.column("sizes").to_pylist()]
+        size = np.ascontiguousarray(_joined(table.column("sizes"))).view("<u4").astype(np.int64)
+        tag, buf = np.ascontiguousarray(_joined(table.column("prints"))).view("<u4"), _joined(table.column("bytes"))
         group = np.repeat(np.searchsorted(firsts, batches, "right"), held)
         starts, counts = np.cumsum(size) - size, size - length + 1
         place, one = distinct_spans(buf, starts, starts + size)
@@ -244,6 +254,7 @@ def _scan_blocks(length: int, firsts: np.ndarray):
         whole = group > least[place]
         _, sample, blocks = np.unique(tag[one], return_inverse=True, return_counts=True)
         open_ = np.flatnonzero(~whole & (blocks[sample] > 1)[place])
+        open_ = open_[np.argsort(group[open_], kind="stable")]
         flags, bit, levels = np.repeat(whole, counts), np.cumsum(counts) - counts, Levels()
         for own in np.split(open_, np.flatnonzero(np.diff(group[open_])) + 1):
             strings = _strings_at(buf, _expand(starts[own], counts[own]), length)
