@@ -8,7 +8,7 @@ grow with the number of schema changes, which are a small table that rows are jo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -151,49 +151,71 @@ def tables_of(
     targets: Mapping[str, DataFrame], statements: DataFrame, keys: Mapping[str, list[str]], load: Callable[[str], DataFrame] | None = None
 ) -> tuple[dict[str, Table], DataFrame]:
     """What is known of the tables at the end of the log, and the table that events are joined to. Statements are collected, rows never."""
+    made = {t: _table(h, keys[t]) for t, h in _histories(targets, statements, load).items()}
+    return {t: table for t, (table, _) in made.items()}, _info(statements, made)
+
+
+def known_tables(
+    targets: Mapping[str, DataFrame], statements: DataFrame, keys: Mapping[str, list[str]], load: Callable[[str], DataFrame] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """The table that events are joined to while not all statements are there, and the tables that lack a key column so far."""
+    told = _histories(targets, statements, load)
+    lacking = [t for t, h in told.items() if not {k.lower() for k in keys[t]} <= {f.name.lower() for f in h.columns[-1]}]
+    return _info(statements, {t: _table(h, keys[t]) for t, h in told.items() if t not in lacking}), lacking
+
+
+def _histories(targets: Mapping[str, DataFrame], statements: DataFrame, load: Callable[[str], DataFrame] | None) -> dict[str, History]:
     names = {t.lower(): t for t in targets}
     said: dict[str, list] = {t: [] for t in targets}
     for r in statements.filter(F.col("tbl").isin(*names)).collect():
         said[names[r["tbl"]]].append(((r["file_no"], r["pos"], r["seq"]), r["kind"], r["statement"]))
-    made = {t: _table(history(df, said[t], (lambda t=t: load(t)) if load else None), keys[t]) for t, df in targets.items()}
-    info = statements.sparkSession.createDataFrame([(t, *row) for t, (_, row) in made.items()], _INFO)
-    return {t: table for t, (table, _) in made.items()}, info
+    return {t: history(df, said[t], (lambda t=t: load(t)) if load else None) for t, df in targets.items()}
 
 
-def _keyed(changes: DataFrame, info: DataFrame, compat: bool) -> DataFrame:
-    """The last event of each key, as (tbl, key, deleted, image, epoch, place, names, chains); a key that an update leaves is deleted."""
+def _info(statements: DataFrame, made: Mapping[str, tuple[Table, tuple]]) -> DataFrame:
+    return statements.sparkSession.createDataFrame([(t, *row) for t, (_, row) in made.items()], _INFO)
+
+
+def _keyed(changes: DataFrame, info: DataFrame, compat: bool, kept: Callable[[Column], Column]) -> DataFrame:
+    """The last event of each key, as (tbl, key, deleted, image, epoch, place); a key that an update leaves is deleted.
+
+    Of an image only what ``kept`` makes of it goes on. Events are dealt out by place in parts of the advisory size before each
+    part is reduced to its last events, so that a task sorts as much as that, however large its part of the log's files is. What
+    is the same for all rows of a table stays in ``info``.
+    """
     place = F.struct(*[F.col(c) for c in POSITION])
     epoch = F.size(F.filter("starts", lambda s: s < place))
-    rows = changes.filter(F.col("op").isin(*ROW_OPS)).join(info, "tbl").withColumn("epoch", epoch).filter("epoch >= reset")
+    rows = changes.filter(F.col("op").isin(*ROW_OPS)).join(F.broadcast(info), "tbl").withColumn("epoch", epoch).filter("epoch >= reset")
 
     def key(image: str) -> Column:
         return F.transform(F.element_at("keys", F.col("epoch") + 1), lambda n: F.element_at(image, n))
 
-    none = F.lit(None).cast("map<string,string>")
-    own = F.when(F.col("op") == "delete", F.struct(key("before").alias("key"), F.lit(True).alias("deleted"), F.col("before").alias("image")))
-    own = own.otherwise(F.struct(key("after").alias("key"), F.lit(False).alias("deleted"), F.col("after").alias("image")))
-    old = F.struct(key("before").alias("key"), F.lit(True).alias("deleted"), F.coalesce(F.col("before"), none).alias("image"))
+    before, after = kept(F.col("before")).alias("image"), kept(F.col("after")).alias("image")
+    own = F.when(F.col("op") == "delete", F.struct(key("before").alias("key"), F.lit(True).alias("deleted"), before))
+    own = own.otherwise(F.struct(key("after").alias("key"), F.lit(False).alias("deleted"), after))
+    old = F.struct(key("before").alias("key"), F.lit(True).alias("deleted"), before)
     moved = (F.col("op") == "update") & ~key("before").eqNullSafe(key("after")) & F.lit(not compat)
-    flat = rows.select("tbl", "epoch", "names", "chains", *POSITION, F.explode(F.when(moved, F.array(old, own)).otherwise(F.array(own))).alias("_e"))
-    flat = flat.select("tbl", "_e.*", "epoch", "names", "chains", *POSITION)
+    flat = rows.select("tbl", "epoch", *POSITION, F.explode(F.when(moved, F.array(old, own)).otherwise(F.array(own))).alias("_e"))
+    flat = flat.select("tbl", "_e.*", "epoch", *POSITION).hint("rebalance", *[F.col(c) for c in POSITION])
     return keep_last(flat, ["tbl", "key"], POSITION)
 
 
 def net_images(changes: DataFrame, info: DataFrame, compat: bool = False) -> DataFrame:
     """The last event of each key of every table: (tbl, key, deleted, values, chains, place); values are those of the last columns."""
     at = F.col("epoch") + 1
-    values = F.transform(F.element_at("names", at), lambda n: F.element_at("image", n))
-    return _keyed(changes, info, compat).select("tbl", "key", "deleted", values.alias("values"), F.element_at("chains", at).alias("chains"), *POSITION)
+    last = _keyed(changes, info, compat, lambda image: F.transform(F.element_at("names", at), lambda n: F.element_at(image, n)))
+    last = last.join(F.broadcast(info.select("tbl", F.col("chains").alias("_chains"))), "tbl")
+    return last.select("tbl", "key", "deleted", F.col("image").alias("values"), F.element_at("_chains", at).alias("chains"), *POSITION)
 
 
-def reduced_log(changes: DataFrame, info: DataFrame, compat: bool = False) -> DataFrame:
-    """A shorter log with the same effect: one insert or delete for each key, and all statements."""
+def reduced_log(changes: DataFrame, info: DataFrame, compat: bool = False, whole: Sequence[str] = ()) -> DataFrame:
+    """A shorter log with the same effect: one insert or delete for each key, all events of the tables ``whole``, and all statements."""
     none = F.lit(None).cast("map<string,string>")
-    last = _keyed(changes, info, compat).select(
+    last = _keyed(changes, info, compat, lambda image: image).select(
         *POSITION, "tbl", F.when(F.col("deleted"), "delete").otherwise("insert").alias("op"), F.when(F.col("deleted"), F.col("image")).otherwise(none).alias("before"),
         F.when(~F.col("deleted"), F.col("image")).otherwise(none).alias("after"), F.lit(None).cast("string").alias("statement"),
     )
-    return last.select(*_IMAGE_COLUMNS).unionByName(changes.filter("op = 'query'").select(*_IMAGE_COLUMNS))
+    return last.select(*_IMAGE_COLUMNS).unionByName(changes.filter((F.col("op") == "query") | (F.col("op").isin(*ROW_OPS) & F.col("tbl").isin(*whole))).select(*_IMAGE_COLUMNS))
 
 
 def _typed(value: Column, chain: Column, chains: list[tuple[T.DataType, ...]], kind: T.DataType) -> Column:

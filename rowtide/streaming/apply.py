@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowtide.operators.changes import after_position, net_changes
-from rowtide.operators.images import IMAGE_SCHEMA, reduced_log, route_tables, statements_of, tables_of
+from rowtide.operators.images import IMAGE_SCHEMA, known_tables, reduced_log, route_tables, statements_of
 from rowtide.operators.ordered import POSITION, keep_last
 from rowtide.sources.sinks import has_parquet
 from rowtide.streaming.changes import buffered
@@ -73,7 +73,8 @@ def start_routing(
     """Keep the effect of a log of many tables with their own keys, row changes and schema changes alike.
 
     ``stream`` has rows of ``IMAGE_SCHEMA``. Each micro-batch is reduced to one event per key, by the schemas known so
-    far, and keeps its statements; ``routed_tables`` gives the tables. Of ``targets`` only the columns are used here.
+    far, and keeps its statements; of a table whose key columns come from a statement that is still to be read it keeps all
+    events. ``routed_tables`` gives the tables. Of ``targets`` only the columns are used here.
     """
 
     def add(batch: DataFrame, number: int) -> None:
@@ -81,8 +82,8 @@ def start_routing(
         said = statements_of(batch)
         said.write.mode("overwrite").parquet(f"{path}/statements/batch={number}")
         known = spark.read.parquet(f"{path}/statements").filter(F.col("batch") <= number)
-        _, info = tables_of(targets, known, keys, load)
-        reduced_log(batch, info, compat).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        info, unkeyed = known_tables(targets, known, keys, load)
+        reduced_log(batch, info, compat, unkeyed).write.mode("overwrite").parquet(f"{path}/log/batch={number}")
 
     return buffered(stream, checkpoint, gap).foreachBatch(add).start()
 

@@ -274,3 +274,36 @@ def test_merged_ids_are_counted_per_operation(spark):
     rows = [(9, 1, "update", 1, 1, 1.0), (9, 2, "update", 1, 1, 2.0), (10, 1, "delete", 1, 1, 0.0)]
     got = {r["op"]: (r["seq"], r["merged"], r["first_id"]) for r in ordered.last_change_per_key(log(spark, rows), ["tbl", "op", "pk"]).collect()}
     assert got == {"update": (1, 2, 0), "delete": (2, 1, 2)}
+
+
+def _image_log(spark, rows):
+    """rows of (file, pos, op, before, after, statement) of table a.t"""
+    full = [(f, p, i, "a.t", op, before, after, said) for i, (f, p, op, before, after, said) in enumerate(rows)]
+    return spark.createDataFrame(full, images.IMAGE_SCHEMA)
+
+
+def test_events_are_dealt_out_before_they_are_sorted_and_carry_no_schemas(spark):
+    start = {"a.t": spark.createDataFrame([], "k bigint, v string")}
+    log = _image_log(spark, [(1, i, "insert", None, {"k": str(i % 3), "v": str(i)}, None) for i in range(9)])
+    _, info = images.tables_of(start, images.statements_of(log), {"a.t": ["k"]})
+    plan = images.net_images(log, info)._jdf.queryExecution().executedPlan().toString()
+    first_sort = plan[plan.rindex("Sort [tbl"):]
+    assert "REBALANCE_PARTITIONS_BY_COL" in first_sort
+    assert not any(name in first_sort.split("\n")[0] for name in ("names", "chains", "keys"))
+    got = images.net_images(log, info).collect()
+    assert sorted((r["key"][0], r["values"][1], list(r["chains"])) for r in got) == [("0", "6", [0, 0]), ("1", "7", [0, 0]), ("2", "8", [0, 0])]
+
+
+def test_a_key_is_renamed_in_a_later_batch(spark):
+    """Events that come before the statement that gives their table its last key are all kept until it is there."""
+    files, path = scratch_path(spark, "log"), scratch_path(spark, "routed")
+    before = {"a.t": spark.createDataFrame([(1, "old"), (2, "old")], "k bigint, v string")}
+    log = _image_log(spark, [
+        (1, 1, "insert", None, {"k": "3", "v": "a"}, None), (1, 2, "update", {"k": "3", "v": "a"}, {"k": "4", "v": "b"}, None), (1, 3, "delete", {"k": "1", "v": "old"}, None, None),
+        (2, 1, "query", None, None, "alter table t change k id bigint"), (2, 2, "update", {"id": "4", "v": "b"}, {"id": "4", "v": "c"}, None),
+    ])
+    for number in (1, 2):
+        streams.write_change_files(log.filter(f"file_no = {number}"), files)
+        applying.start_routing(streams.read_changes(spark, files, schema=images.IMAGE_SCHEMA), path, f"{path}-ck", before, {"a.t": ["id"]}).awaitTermination()
+    got = applying.routed_tables(spark, path, before, {"a.t": ["id"]})["a.t"]
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(2, "old"), (4, "c")]
