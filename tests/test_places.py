@@ -1,6 +1,7 @@
 """The change log as a stream with places: starts, flushes, restarts, gaps."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -106,3 +107,56 @@ def test_places_inside_row_groups_and_overlapping_files(spark):
 def test_an_empty_log_gives_nothing(spark):
     source = reader(scratch_path(spark, "none"))
     assert source.latestOffset() == source.initialOffset() and source.partitions(source.initialOffset(), source.latestOffset()) == []
+
+
+def test_small_log_files_share_parquet_files_and_tasks(spark):
+    log = scratch_path(spark, "log")
+    places.write_log(events(spark, [(f, 4, 1) for f in range(9, 209)]), log)
+    source = reader(log)
+    end = source.latestOffset()
+    parts = source.partitions(source.initialOffset(), end)
+    assert end == {"file_no": 208, "pos": 4} and len(parts) <= 8
+    assert sorted(r["file_no"] for p in parts for b in source.read(p) for r in b.to_pylist()) == list(range(9, 209))
+    assert [r[0] for r in places.log_files(spark, log).collect()] == list(range(9, 209))
+    source = reader(log, start="[100, 4]")
+    parts = source.partitions(source.initialOffset(), source.latestOffset())
+    assert sorted(r["file_no"] for p in parts for b in source.read(p) for r in b.to_pylist()) == list(range(101, 209))
+
+
+@pytest.mark.parametrize("max_rows", [1, 7, 64])
+def test_flushes_cut_row_groups_of_many_log_files(spark, max_rows):
+    """Several Parquet files whose places interleave, events of one place, without pos and without log file."""
+    rng, log, rows = random.Random(max_rows), scratch_path(spark, "log"), []
+    for n in range(3):
+        own = [(len(rows) + i, rng.randrange(5, 12), rng.choice([None, *range(0, 40)])) for i in range(60)]
+        rows += own
+        full = [(i, f, p, "app.t", "insert", 1, i, 0.0, "k", None) for i, f, p in [*own, (1000 + n, None, 99), (2000 + n, None, None)]]
+        places.write_log(spark.createDataFrame(full, CHANGE_SCHEMA).coalesce(1), log)
+    source, got = reader(log, max_rows=str(max_rows)), []
+    start = source.initialOffset()
+    while (end := source.latestOffset()) != start:
+        read = [r["seq"] for p in source.partitions(start, end) for b in source.read(p) for r in b.to_pylist()]
+        got.append(sorted(read))
+        start = end
+    want, left = [], sorted((f, -1 if p is None else p, i) for i, f, p in rows)
+    while left:
+        last = left[min(max_rows, len(left)) - 1][:2]
+        want.append(sorted(r[2] for r in left if r[:2] <= last))
+        left = [r for r in left if r[:2] > last]
+    assert got == want
+
+
+def test_a_log_in_folders_of_single_files_is_read(spark):
+    log = scratch_path(spark, "log")
+    events(spark, [(f, p, 1) for f in (9, 10) for p in (4, 8)]).write.partitionBy("file_no").parquet(log)
+    source = reader(log, start="[9, 4]")
+    parts = source.partitions(source.initialOffset(), source.latestOffset())
+    assert sorted((r["file_no"], r["pos"]) for p in parts for b in source.read(p) for r in b.to_pylist()) == [(9, 8), (10, 4), (10, 8)]
+    assert [r[0] for r in places.log_files(spark, log).collect()] == [9, 10]
+
+
+def test_a_missing_log_file_inside_a_row_group_is_reported(spark):
+    log = scratch_path(spark, "log")
+    places.write_log(events(spark, [(8, 4, 1), (10, 4, 1)]).coalesce(1), log)
+    with pytest.raises(RuntimeError, match="gap: log file 9 .* begins at file 10"):
+        reader(log, start="[9, 4]").latestOffset()
