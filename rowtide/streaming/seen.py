@@ -20,17 +20,18 @@ from rowtide.streaming.changes import STATE_STORE_CONF, buffered, use_rocksdb
 # the processor travels to the workers as code, so they need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Places of a log file are kept together in blocks of this many bytes of the log; a block is what one batch reads of them.
-BLOCK_BITS = 16
+#: Places are kept together in blocks of this many bytes of this many log files that follow each other, so that small log files
+#: don't make a block each; a block is what one batch reads of them.
+BLOCK_BITS, FILE_BITS = 16, 5
 
 
 def pack(places: np.ndarray) -> bytes:
-    """Sorted places (pos, seq), a row each, as differences, which are small and compress well."""
-    return zlib.compress(np.diff(places, axis=0, prepend=np.zeros((1, 2), np.int64)).astype("<i8").T.tobytes(), 1)
+    """Sorted places, a row each, as differences, which are small and compress well."""
+    return zlib.compress(np.diff(places, axis=0, prepend=np.zeros((1, places.shape[1]), np.int64)).astype("<i8").T.tobytes(), 1)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8").reshape(2, -1).T, axis=0)
+def unpack(data: bytes, width: int = 2) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i8").reshape(width, -1).T, axis=0)
 
 
 def unseen(known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,7 @@ def unseen(known: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class SeenPlaces(StatefulProcessor):
-    """Keeps the places seen in one block of one log file; gives the events whose place is new."""
+    """Keeps the places seen in one block of the log; gives the events whose place is new."""
 
     def __init__(self, columns: list[str]):
         self.columns = columns
@@ -52,12 +53,12 @@ class SeenPlaces(StatefulProcessor):
         self.state = handle.getValueState("seen", "places binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = unpack(self.state.get()[0]) if self.state.exists() else np.zeros((0, 2), np.int64)
+        known = unpack(self.state.get()[0], len(POSITION)) if self.state.exists() else np.zeros((0, len(POSITION)), np.int64)
         before = len(known)
         for events in rows:
             events = events[self.columns]
-            if key[1] >= 0:  # else they have no place and can't be told from others: all stay
-                fresh, known = unseen(known, events[["pos", "seq"]].to_numpy(dtype=np.int64))
+            if key[2]:  # else they have no place and can't be told from others: all stay
+                fresh, known = unseen(known, events[POSITION].to_numpy(dtype=np.int64))
                 events = events[fresh]
             if len(events):
                 yield events
@@ -74,8 +75,11 @@ def without_repeats(stream: DataFrame) -> DataFrame:
     # whole numbers that may be null travel as text, since pandas would make them inexact
     longs = [f.name for f in stream.schema.fields if f.dataType.typeName() == "long" and f.name not in POSITION]
     placed = stream.withColumns({c: F.col(c).cast("string") for c in longs})
-    keyed = placed.withColumns({"_file": F.when(lacking, -1).otherwise(F.col("file_no")).cast("bigint"), "_block": F.when(lacking, -1).otherwise(F.shiftright("pos", BLOCK_BITS)).cast("bigint")})
-    seen = keyed.groupBy("_file", "_block").transformWithStateInPandas(
+    # events without a place need no state in common: they are spread by what they hold
+    cut = {"_files": F.shiftright("file_no", FILE_BITS), "_block": F.shiftright("pos", BLOCK_BITS)}
+    cut = {name: F.when(lacking, F.pmod(F.xxhash64(*stream.columns), F.lit(64))).otherwise(part).cast("bigint") for name, part in cut.items()}
+    keyed = placed.withColumns({**cut, "_placed": ~lacking})
+    seen = keyed.groupBy("_files", "_block", "_placed").transformWithStateInPandas(
         statefulProcessor=SeenPlaces(stream.columns), outputStructType=placed.schema, outputMode="Append", timeMode="None"
     )
     return seen.withColumns({c: F.col(c).cast("bigint") for c in longs})
@@ -84,13 +88,13 @@ def without_repeats(stream: DataFrame) -> DataFrame:
 def dedupe_stream(stream: DataFrame, path: str, checkpoint: str, gap: str | None = None) -> StreamingQuery:
     """The change log at ``path`` with each log place once, however late or often an event is delivered.
 
-    The places seen are state, a compressed set for each block of a log file. A batch reads the sets of the blocks its
+    The places seen are state, a compressed set for each block of the log. A batch reads the sets of the blocks its
     events lie in and never the log; no event is forgotten after a time, so none is dropped for being late. Each
-    micro-batch writes folders of its own, so one that runs again replaces what it wrote before.
+    micro-batch writes a folder of its own, ``batch=N``, so one that runs again replaces what it wrote before.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").partitionBy("file_no").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     spark = stream.sparkSession
     before = use_rocksdb(spark)

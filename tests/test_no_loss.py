@@ -217,6 +217,19 @@ def test_repeats_are_found_without_reading_the_log(spark, tmp_path):
     assert sorted(r["pk"] for r in got if r["seq"] is None) == [0, 1, 2]
 
 
+def test_small_log_files_share_blocks_and_folders(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    columns = "seq long, file_no long, pos long, tbl string, op string, before_pk long, pk long, val double, kind string, ts timestamp_ntz"
+    rows = [(0, f, 4, "app.t", "insert", 1, 1, 0.5, "x", None) for f in range(100)]  # told apart by the log file alone
+    for _ in range(2):
+        streams.write_change_files(spark.createDataFrame(rows + rows[:50], columns), log)
+        query = seen.dedupe_stream(streams.read_changes(spark, log), out, f"{out}-ck")
+        query.awaitTermination()
+    assert sorted(r["file_no"] for r in spark.read.parquet(out).collect()) == list(range(100))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    assert not list((tmp_path / "out").glob("batch=*/file_no=*"))
+
+
 def test_changes_without_time_are_counted(spark, tmp_path):
     times = [None, dt.datetime(2024, 1, 1, 0, 59, 59, 999999), dt.datetime(2024, 1, 1, 1), None, dt.datetime(1969, 12, 31, 23, 59, 59, 500000)]
     rows = spark.createDataFrame([(t, "insert") for t in times], "ts timestamp_ntz, op string")
