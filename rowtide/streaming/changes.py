@@ -11,8 +11,17 @@ from rowtide.operators.ordered import POSITION
 _TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
+#: A change file has at most about so many events, which one task sorts.
+FILE_ROWS = 1_000_000
+
+
 def write_change_files(changes: DataFrame, path: str, files: int | None = None) -> None:
-    """Lay a change log out as change-capture tools do: JSON lines in files of about equal size, in log order."""
+    """Lay a change log out as change-capture tools do: JSON lines in files of about equal size, in log order.
+
+    A log too large for ``files`` files of ``FILE_ROWS`` events gets more of them.
+    """
+    if files:
+        files = max(files, -(-changes.count() // FILE_ROWS))
     ranged = changes.repartitionByRange(*([files] if files else []), *POSITION).sortWithinPartitions(*POSITION)
     ranged.write.mode("append").option("timestampNTZFormat", _TIME_FORMAT).json(path)
 

@@ -307,3 +307,11 @@ def test_a_key_is_renamed_in_a_later_batch(spark):
         applying.start_routing(streams.read_changes(spark, files, schema=images.IMAGE_SCHEMA), path, f"{path}-ck", before, {"a.t": ["id"]}).awaitTermination()
     got = applying.routed_tables(spark, path, before, {"a.t": ["id"]})["a.t"]
     assert sorted((r["id"], r["v"]) for r in got.collect()) == [(2, "old"), (4, "c")]
+
+
+def test_a_large_log_gets_more_change_files(spark, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    path = scratch_path(spark, "log")
+    streams.write_change_files(log(spark, random_log(1)), path, files=2)
+    written = spark.read.schema(CHANGE_SCHEMA).json(path)
+    assert written.select("_metadata.file_path").distinct().count() == 6 and written.count() == 300
