@@ -10,6 +10,7 @@ from rowtide.operators.joins import null_safe
 from rowtide.operators.numbering import number_rows
 from rowtide.operators.reconcile import reconcile_days, repair_days
 from rowtide.operators.sync import read_month_target, rewrite_months, touched_months, window_replace_nokey
+from rowtide.session import scratch_path
 from rowtide.sources.sinks import with_month
 
 
@@ -30,11 +31,17 @@ def surrogate_month_target(source: DataFrame, path: str, surrogate: str, ts: str
 
 
 def orphans_month_target(source: DataFrame, path: str, keys: list[str], ts: str) -> list[str | None]:
-    """Rows whose key the source no longer has leave the target; only months that hold one are rewritten."""
-    target, there = read_month_target(source.sparkSession, path), source.select(*keys).distinct()
-    months = _months(target.join(there, null_safe(target, there, keys), "left_anti"))
+    """Rows whose key the source no longer has leave the target; only months that hold one are rewritten.
+
+    The whole tables meet once: the keys that must leave are written aside, and the months are rewritten without them.
+    """
+    spark = source.sparkSession
+    target, there, place = read_month_target(spark, path), source.select(*keys), scratch_path(spark, "orphans")
+    target.join(there, null_safe(target, there, keys), "left_anti").select(*dict.fromkeys([*keys, "yyyymm"])).write.parquet(place)
+    gone = read_month_target(spark, place)
+    months = _months(gone)
     if months:
-        rewrite_months(target, path, ts, months, lambda held: held.join(there, null_safe(held, there, keys), "left_semi"))
+        rewrite_months(target, path, ts, months, lambda held: held.join(gone, null_safe(held, gone, keys), "left_anti"))
     return months
 
 

@@ -42,7 +42,7 @@ def number_rows(
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     index = F.col("_at").bitwiseAND((1 << _PART_BITS) - 1)
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")  # one row per partition
         .withColumn(name, (F.col("_offset") + index + 1).cast("bigint"))
         .select(name, *df.columns)
     )

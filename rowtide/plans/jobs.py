@@ -55,8 +55,11 @@ def sync_table(
     keys, ts = list(source.keys.get(spec.table, ())), spec.time_col
     said = dict(m.partition(":")[::2] for m in modes)
     if not has_parquet(spark, path):
-        numbered = add_surrogate_key(rows, said["surrogate"]) if "surrogate" in said else rows
-        return _first_load(spark, numbered, path, [said["surrogate"]] if "surrogate" in said else keys, ts, parts), time.monotonic() - began
+        if "surrogate" in said:  # numbered once, as files that lie in the order of the numbers: a range reads its part of them
+            place = scratch_path(spark, "numbered")
+            add_surrogate_key(rows, said["surrogate"]).write.parquet(place)
+            rows, keys = spark.read.parquet(place), [said["surrogate"]]
+        return _first_load(spark, rows, path, keys, ts, parts), time.monotonic() - began
     place = scratch_path(spark, "window")
     recent(rows, ts, spec.window, spec.unit, as_of).write.parquet(place)
     window = spark.read.parquet(place)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 
@@ -75,10 +76,11 @@ _DIFFER = "(select day from (select cast(updated_at as date) as day, count(*) as
 )
 def y0_modes(spark, d):
     """Four targets loaded from one state of a table and brought on from the next one: by upsert, then without orphans, then with differing days repaired, and with numbers of their own."""
-    place, parts = scratch_path(spark, "job"), []
+    place = scratch_path(spark, "job")
     inputs.orders_src(spark, d).write.parquet(f"{place}/one/orders.parquet")
     _next(spark, d).write.parquet(f"{place}/two/orders.parquet")
-    for mode in (("upsert",), ("upsert", "orphans"), ("upsert", "repair:90"), ("surrogate:pkid",)):
+
+    def run(mode: tuple[str, ...]) -> DataFrame:
         name = mode[-1].partition(":")[0]
         spec = SyncSpec.parse_list(f"orders:{TS}:90")
         for state in ("one", "two"):
@@ -87,8 +89,11 @@ def y0_modes(spark, d):
         numbers = F.sum("pkid").cast("bigint") if name == "surrogate" else F.lit(0).cast("bigint")
         total = F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(38,2)")
         sums = held.agg(F.count(F.lit(1)).alias("rows"), F.sum("order_id").cast("bigint").alias("keys"), total.alias("amount"), numbers.alias("numbers"))
-        parts.append(sums.select(F.lit(name).alias("mode"), F.lit(log.first()["moved"]).cast("bigint").alias("moved"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+        return sums.select(F.lit(name).alias("mode"), F.lit(log.first()["moved"]).cast("bigint").alias("moved"), "*")
+
+    modes = [("upsert",), ("upsert", "orphans"), ("upsert", "repair:90"), ("surrogate:pkid",)]
+    with ThreadPoolExecutor(len(modes)) as pool:  # each has a target of its own
+        return reduce(DataFrame.unionByName, list(pool.map(run, modes)))
 
 
 @query("y1_init_load", PAIR + "select 'empty' as target, * from orders_src union all select 'filled', * from orders_tgt")

@@ -8,12 +8,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed value: a span of ids beyond this many times the rows is called sparse
 SPARSE_FACTOR = 3
+# fixed value: more marks than this would make one expression too large to be compiled
+_HALVED = 128
 
 
 def bucket_of(key: str, marks: list) -> Column:
-    """Number of the bucket between sorted ``marks`` that a key lies in: keys up to the first mark are in bucket 0; null for a null key."""
-    held = F.array(*[F.lit(m) for m in marks])
-    return F.when(F.col(key).isNotNull(), F.size(F.filter(held, lambda m: m < F.col(key))) if marks else F.lit(0))
+    """Number of the bucket between sorted ``marks`` that a key lies in: keys up to the first mark are in bucket 0; null for a null key.
+
+    Up to ``_HALVED`` marks are halved again and again, so that a key is compared with a few of them.
+    """
+    if len(marks) > _HALVED:
+        held = F.array(*[F.lit(m) for m in marks])
+        return F.when(F.col(key).isNotNull(), F.size(F.filter(held, lambda m: m < F.col(key))))
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.lit(marks[mid]) < F.col(key), among(mid + 1, hi)).otherwise(among(lo, mid))
+
+    return F.when(F.col(key).isNotNull(), among(0, len(marks)))
 
 
 def sketch_marks(df: DataFrame, key: str, n: int, accuracy: int) -> list:
@@ -100,7 +114,7 @@ def _cover(col: str, starts: list) -> list[str]:
 def range_predicates(ranges: DataFrame, key: str) -> list[str]:
     """JDBC predicates of A7 ranges, or A8 blocks, that cover all rows; as many as parallel reads asked for, and one for null keys."""
     low = "lo" if "lo" in ranges.columns else "start_id"
-    return _cover(key, [r[0] for r in ranges.filter(F.col(low).isNotNull()).select(low).orderBy(low).toLocalIterator()])
+    return _cover(key, ranges.agg(F.sort_array(F.collect_list(low))).first()[0])  # one value per range, nulls left out
 
 
 def day_predicates(slices: DataFrame, ts: str, parts: int | None = None) -> list[str]:

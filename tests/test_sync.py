@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import Row, functions as F, types as T
 
 from rowtide.functions import rows as rowfn
-from rowtide.operators import aggregates as agg, archive, filters, joins, reconcile, schema, slowlog, sync
+from rowtide.operators import aggregates as agg, archive, filters, joins, months, reconcile, schema, slowlog, sync
 from rowtide.operators.numbering import add_surrogate_key, number_rows
-from rowtide.plans import inputs
+from rowtide.plans import inputs, jobs
 from rowtide.session import scratch_path
 from rowtide.sources import scan, sinks, splits
 from rowtide.specs import CdcSpec, SyncSpec, TableCatalog
@@ -343,3 +343,32 @@ def test_keyless_month_target(spark):
     sinks.write_month_partitioned(spark.createDataFrame([old, old, new], cols), path, TS, ["v"])
     sync.sync_month_target(spark.createDataFrame([old, new, new, new], cols), path, [], TS, *WINDOW)
     assert sorted(r["v"] for r in sync.read_month_target(spark, path).collect()) == [1, 1, 2, 2, 2]
+
+
+def test_buckets_are_found_without_a_walk_over_all_marks(spark):
+    df = spark.createDataFrame([(k,) for k in (None, -1, 0, 3, 4, 5, 9, 10, 99)], "k bigint")
+    for marks in ([], [3], [0, 4, 9], list(range(0, 90, 2)), list(range(200))):
+        placed = df.select("k", splits.bucket_of("k", marks).alias("b"))
+        assert {r["k"]: r["b"] for r in placed.collect()} == {r["k"]: None if r["k"] is None else sum(m < r["k"] for m in marks) for r in df.collect()}
+        assert len(marks) > 100 or "lambda" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_numbered_once_before_a_load_in_ranges(spark, sf, monkeypatch):
+    inputs.orders_src(spark, sf).write.parquet(f"{(place := scratch_path(spark, 'numbers'))}/orders.parquet")
+    seen, first = [], jobs._first_load
+    monkeypatch.setattr(jobs, "_first_load", lambda s, rows, *rest: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), first(s, rows, *rest))[1])
+    source = scan.catalog_of(place, ["orders"], {"orders": ("order_id",)})
+    moved, _ = jobs.sync_table(spark, source, SyncSpec.parse_list(f"orders:{TS}:90")[0], f"{place}/to", AS_OF, modes=("surrogate:pkid",))
+    assert "FileScan parquet" in seen[0] and "Exchange" not in seen[0]
+    back = spark.read.parquet(f"{place}/to/orders")
+    assert sorted(r["pkid"] for r in back.select("pkid").collect()) == list(range(1, moved + 1))
+
+
+def test_orphans_leave_with_null_and_repeated_keys(spark):
+    day = dt.datetime(2001, 7, 1)
+    held = spark.createDataFrame([(1, "a", day), (1, None, day), (2, "b", dt.datetime(2001, 5, 1)), (2, "b", day), (None, None, day), (3, "c", None)], "k int, s string, at timestamp_ntz")
+    sinks.write_month_partitioned(held, (path := scratch_path(spark, "held")), "at", ["k"])
+    source = spark.createDataFrame([(1, None), (1, None), (2, "b")], "k int, s string").withColumn("at", F.lit(day).cast("timestamp_ntz"))
+    assert months.orphans_month_target(source, path, ["k", "s"], "at") == [None, "200107"]
+    assert sorted((r["k"], r["s"] or "") for r in spark.read.parquet(path).collect()) == [(1, ""), (2, "b"), (2, "b")]
+    assert months.orphans_month_target(source, path, ["k", "s"], "at") == []
