@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,21 +48,20 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begins, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, piece: str) -> int:
-        if piece in self.added:
-            got = [self.added[piece]]
-        else:
-            got = self.encoder.encode_ordinary(piece)
-        while self.used + len(got) > len(self.ids):
+    def _learn(self, pieces: list[str]) -> None:
+        """Keep the ids of pieces that aren't known yet."""
+        added, encode = self.added, self.encoder.encode_ordinary
+        got = [[added[p]] if p in added else encode(p) for p in pieces]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        first, used = len(self.known), self.used + int(n.sum())
+        while used > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        k = len(self.known)
-        if k == len(self.n):
+        while first + len(got) > len(self.n):
             self.begins, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.n))
-        self.ids[self.used : self.used + len(got)] = got
-        self.begins[k], self.n[k] = self.used, len(got)
-        self.used += len(got)
-        self.known[piece] = k
-        return k
+        self.ids[self.used : used] = np.fromiter(chain.from_iterable(got), np.uint32, used - self.used)
+        self.begins[first : first + len(got)], self.n[first : first + len(got)] = self.used + np.cumsum(n) - n, n
+        self.used = used
+        self.known.update(zip(pieces, range(first, first + len(got)), strict=True))
 
     def _cut_added(self, buf: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> None:
         """Put a cut before and after each added token, and none before the white space in front of one."""
@@ -90,8 +90,9 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         if len(self.known) + len(pieces.dictionary) > self.most:
             self._forget()
-        known, learn = self.known, self._learn
-        place = np.fromiter((k if (k := known.get(p)) is not None else learn(p) for p in pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+        distinct, known = pieces.dictionary.to_pylist(), self.known
+        self._learn([p for p in distinct if p not in known])
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
         of = place[pieces.indices.to_numpy()]
         n = self.n[of]
         ends = np.cumsum(n)
@@ -101,7 +102,7 @@ class Encoder:
     def column(self, column):
         """(first row, ids, ids per row) of runs of rows; null counts as empty."""
         buf, offsets = column_bytes(column)
-        for i, j in spans(offsets, 1 << 20):
+        for i, j in spans(offsets, 1 << 22):
             if offsets[j] == offsets[i]:
                 yield i, np.zeros(0, np.uint32), np.zeros(j - i, np.int64)
             else:

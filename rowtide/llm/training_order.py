@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.llm.texts import mix64
 from rowtide.llm.tokens import default_paths, encoder
@@ -70,30 +68,94 @@ def token_sequences(docs: DataFrame, length: int = 512, end_id: int = 2, paths:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, nth long, doc_id long, piece int, n_tokens int, ids binary")
 
 
+def _blocks(n: int, key: int, per_part: int, most: int = 96 << 20):
+    """For ``mapInArrow``: rows (number, stride, doc_id, piece, n_tokens, ids) as (part, block), a block being rows of one part as a compressed Arrow stream.
+
+    About ``most`` bytes are held at a time; rows of random places compress far better together than one by one.
+    """
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+
+        def block(rows: pa.RecordBatch) -> bytes:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_batch(rows)
+            return sink.getvalue().to_pybytes()
+
+        def flush(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            slots = feistel(rows.column("number").to_numpy(), n, key)
+            order = np.argsort(slots)
+            whole = rows.drop_columns("number").append_column("slot", pa.array(slots)).take(order).combine_chunks().to_batches()[0]
+            of = slots[order] // per_part
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            made = [block(whole.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]], pa.int32()), pa.array(made, pa.binary())], names=["to", "block"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held, size = [*held, batch], size + batch.nbytes
+            if size > most:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _rows_of_blocks(shard_rows: int):
+    """For ``mapInArrow``: the rows of a part's blocks in order of slot, with shard and byte offset."""
+    names = ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "stride", "ids"]
+
+    def run(batches):
+        held = [b for batch in batches for x in batch.column("block") for b in pa.ipc.open_stream(x.as_buffer()).read_all().to_batches()]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        slots = rows.column("slot").to_numpy()
+        order = np.argsort(slots)
+        for at in range(0, len(order), 4096):
+            some = rows.take(order[at : at + 4096])
+            slot = slots[order[at : at + 4096]]
+            some = some.append_column("shard", pa.array(slot // shard_rows, pa.int32())).append_column("byte_offset", pa.array(slot % shard_rows * some.column("stride").to_numpy(), pa.int64()))
+            yield from some.select(names).combine_chunks().to_batches()
+
+    return run
+
+
 def training_order(sequences: DataFrame, key: int = 99, shard_rows: int = 8192, parts: int | None = None) -> DataFrame:
-    """Written sequences with slot, shard and byte offset, range-partitioned by shard and sorted by slot.
+    """Written sequences with slot, shard and byte offset, in parts of whole shards and sorted by slot.
 
     A row's number is the rows of the parts before its own (one number per task is counted and broadcast) plus nth;
     ``feistel`` turns it into its slot. A shard holds ``shard_rows`` slots of equal stride, so a reader finds slot s at
     byte (s mod shard_rows) * stride of shard s div shard_rows, reads on from there, and resumes at any slot.
+
+    Rows go to their part in compressed blocks, without the ids that only fill up a sequence. A task holds the rows of its part:
+    by default the shards of a part are 15 at most.
     """
     sums = sorted((r["part"], r["n"]) for r in sequences.groupBy("part").agg(F.count("*").alias("n")).collect())
     firsts = np.concatenate([[0], np.cumsum([n for _, n in sums], dtype=np.int64)])
     n, spark = int(firsts[-1]), sequences.sparkSession
     table = spark.createDataFrame([(p, int(f)) for (p, _), f in zip(sums, firsts, strict=False)], "part int, first long")
-
-    @F.pandas_udf("long")
-    def slot(numbers: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in numbers:
-            yield pd.Series(feistel(x.to_numpy(), n, key))
-
     shards = max(1, -(-n // shard_rows))
     parts = parts or min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 8))
-    rows = sequences.join(F.broadcast(table), "part").withColumn("slot", slot(F.col("first") + F.col("nth")))
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
-    rows = rows.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
-    offset = (F.col("slot") % shard_rows) * F.octet_length("ids")
-    return rows.select("slot", "shard", offset.cast("long").alias("byte_offset"), "doc_id", "piece", "n_tokens", "ids")
+
+    stride = F.octet_length("ids")
+    filled = F.substring(F.col("ids"), F.lit(1), 2 * F.col("n_tokens"))
+    short = F.when(_filled_up(filled, stride) == F.col("ids"), filled).otherwise(F.col("ids"))
+    rows = sequences.join(F.broadcast(table), "part").select((F.col("first") + F.col("nth")).alias("number"), stride.alias("stride"), "doc_id", "piece", "n_tokens", short.alias("ids"))
+    blocks = rows.mapInArrow(_blocks(n, key, shard_rows * -(-shards // parts)), "to int, block binary").repartitionById(parts, "to")
+    passed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("number", "stride", "ids").schema)
+    ordered = blocks.mapInArrow(_rows_of_blocks(shard_rows), f"slot long, shard int, byte_offset long, {passed}, stride int, ids binary")
+    return ordered.withColumn("ids", _filled_up(F.col("ids"), F.col("stride"))).drop("stride")
+
+
+def _filled_up(ids: Column, stride: Column) -> Column:
+    """ids with the last one repeated up to ``stride`` bytes."""
+    return F.rpad(ids, stride, F.substring(ids, -2, 2))
 
 
 def materialise(docs: DataFrame, length: int = 512, key: int = 99, shard_rows: int = 8192, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -105,7 +167,8 @@ def materialise(docs: DataFrame, length: int = 512, key: int = 99, shard_rows: i
     """
     spark = docs.sparkSession
     place = scratch_path(spark, "sequences")
-    token_sequences(docs, length, paths=paths).write.option("compression", "zstd").parquet(place)
+    kept = token_sequences(docs, length, paths=paths).write.option("compression", "zstd")
+    kept.option("parquet.compression.codec.zstd.level", "6").option("parquet.page.size", str(4 << 20)).parquet(place)
     return training_order(spark.read.parquet(place), key, shard_rows)
 
 
