@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -14,13 +15,28 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a text column and the offsets of its rows (one more than rows); null counts as empty."""
+def give_back() -> None:
+    """Give the system what numpy and Arrow have freed. A Python worker lives on after its task, with all it once needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def freeing(work, *args):
+    """What ``work`` gives; what it held on the way goes back to the system."""
+    try:
+        return work(*args)
+    finally:
+        give_back()
+
+
+def column_bytes(column, kind: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a text column and the offsets of its rows (one more than rows); null counts as empty. ``kind`` is large_binary for bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):  # no chunk at all
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(kind), "" if kind == pa.large_string() else b"")
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

@@ -41,9 +41,10 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in added}
         self.added_pattern = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self.most = most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Start the store of known pieces anew."""
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begins, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -89,7 +90,7 @@ class Encoder:
         at = np.append(np.flatnonzero(cut), len(buf))
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         if len(self.known) + len(pieces.dictionary) > self.most:
-            self._forget()
+            self.forget()
         distinct, known = pieces.dictionary.to_pylist(), self.known
         self._learn([p for p in distinct if p not in known])
         place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from rowtide.llm import packing, training_order
 from rowtide.llm.queries import op9, op10
+from rowtide.llm.texts import give_back
 from rowtide.llm.tokens import Encoder, default_paths
 
 
@@ -204,3 +205,31 @@ def test_sequences_travel_in_compressed_blocks(spark, sf):
     numbered = made.selectExpr("cast(row_number() over (order by part, nth) - 1 as bigint) as number", "octet_length(ids) as stride", "doc_id", "piece", "n_tokens", "ids")
     blocks = numbered.mapInArrow(training_order._blocks(made.count(), 99, 5000), "to int, block binary").agg(F.sum(F.octet_length("block"))).first()[0]
     assert blocks < made.count() * 128 * 2 / 3
+
+
+def test_blocks_of_ids_are_small_and_exact():
+    rng = np.random.default_rng(4)
+    for distinct in (0, 1, 255, 256, 257, 512, 4811, 50257, 65536):
+        ids = np.concatenate([np.arange(distinct), rng.integers(0, max(distinct, 1), distinct)]).astype("<u2")
+        rng.shuffle(ids)
+        data = ids.view(np.uint8)
+        assert np.array_equal(training_order._decode(training_order._code(data), len(ids)), data)
+    for values in ([b"ab", b"", b"abcd"], [b"a", b"bcd"], [b""]):
+        rows = pa.record_batch([pa.array(range(len(values)), pa.int64()), pa.array(values, pa.binary())], names=["x", "ids"])
+        assert training_order._unpack(pa.py_buffer(training_order._pack(rows))).equals(rows)
+    ids = np.minimum(rng.zipf(1.3, 1 << 18), 50000).astype("<u2")
+    rows = pa.record_batch([pa.array([ids.tobytes()], pa.binary())], names=["ids"])
+    assert len(training_order._pack(rows)) < 0.9 * len(pa.Codec("zstd", compression_level=6).compress(ids.tobytes()))
+
+
+def test_workers_give_memory_back():
+    psutil = pytest.importorskip("psutil")
+    encode = Encoder(*default_paths())
+    texts = pa.array([" ".join(f"{i}{k:x}z" for k in range(6000)) for i in range(300)])
+    for _ in encode.column(texts):
+        pass
+    before = psutil.Process().memory_info().rss
+    del texts
+    encode.forget()
+    give_back()
+    assert not encode.known and psutil.Process().memory_info().rss < before - (20 << 20)
