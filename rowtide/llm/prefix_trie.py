@@ -50,7 +50,7 @@ def share_openings(turns: DataFrame, base: Column, shared: Column, most: int) ->
     ``base`` and ``shared`` are expressions over ``c``, and ``shared`` is at most ``most``. Fewer turns there give all of
     them, a conversation that isn't there gives none, and so does a null id. A conversation may be left without turns.
     """
-    own = turns.where("pos > 0")
+    own = _kept(turns.where("pos > 0"), "trie-turns")
     sizes = own.groupBy(*CONV).agg(F.max("pos").alias("size"))
     asked = F.when(~F.col("no_id"), shared).otherwise(0).cast("long")
     convs = sizes.select(*CONV, "size", F.when(~F.col("no_id"), base).alias("base"), asked.alias("asked"))

@@ -110,3 +110,12 @@ def test_other_columns_may_have_any_name(spark):
 def test_one_deep_conversation_takes_few_rounds(spark):
     rows = [(1, k, "user", f"t{k}") for k in range(280)] + [(2, k, "user", f"t{k}") for k in range(260)] + [(2, 260, "user", "else")]
     assert got(trie(number_turns(table(spark, rows)), 4)) == plain_trie(plain_conversations(rows))
+
+
+def test_turns_are_numbered_once(spark):
+    """What rebuilds conversations reads the numbered turns from a file: the plan doesn't hold the numbering, let alone several times."""
+    rows = [(c, k, "user", f"{c % 3} {k}") for c in range(40) for k in range(4)]
+    turns = number_turns(table(spark, rows))
+    assert "Window" in turns._jdf.queryExecution().optimizedPlan().toString()
+    rebuilt = share_openings(turns, F.col("c") - F.pmod("c", F.lit(20)), F.lit(2), 3)
+    assert "Window" not in rebuilt._jdf.queryExecution().optimizedPlan().toString()
