@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rowtide.llm.texts import give_back
 from rowtide.llm.tokens import default_paths, encoder
 from rowtide.session import scratch_path
 
@@ -42,6 +43,9 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[
                         data = own[a:b].tobytes()
                         rows.append((doc_ids[k], p, a, b - a, zlib.crc32(data), data if with_ids else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema=pa.schema(list(zip(("doc_id", "piece", "start", "length", "ids_crc32", "ids"), kinds, strict=True))))
+        batch = ids = rows = own = data = None  # the worker is used again: it keeps neither the last batch nor the pieces
+        encode.forget()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

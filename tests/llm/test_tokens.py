@@ -233,3 +233,17 @@ def test_workers_give_memory_back():
     encode.forget()
     give_back()
     assert not encode.known and psutil.Process().memory_info().rss < before - (20 << 20)
+
+
+def test_workers_forget_pieces_after_packing(spark, documents):
+    """A worker that has encoded texts and lives on holds no pieces of them."""
+    packing.pieces(documents([(i, f"some words of {i} and {i * i}") for i in range(300)], parts=8)).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        from rowtide.llm import tokens
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.known) for x in tokens._HELD.values())], pa.int64())], names=["n"])
+
+    assert {r["n"] for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
